@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, pii, simhash
+from . import bpe, decontam, exact_dedup, lang_id, pii, quality, simhash
+from .common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def rank_file() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    model = lang_id.fit(docs.where(~F.col("held_out")))
+    return lang_id.identify(docs, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    model = quality.fit(docs.where(~F.col("held_out")), labels)
+    return quality.score(docs, model, carry=("held_out",)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
@@ -90,8 +108,11 @@ FROM d LEFT JOIN found USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lang_id": op1_lang_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op9_byte_bpe": op9_byte_bpe,
 }
