@@ -194,3 +194,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ids = F.array_sort(F.transform("__found", lambda x: x["item"]))
     best = F.coalesce(F.array_max(F.transform("__found", lambda x: x["similarity"])), F.lit(0.0))
     return out.select(id_col, (F.size("__found") > 0).alias("contaminated"), F.size("__found").cast("long").alias("n_items"), ids.alias("item_ids"), best.alias("max_similarity"))
+
+
+def is_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similarity: float = SIMILARITY):
+    """A condition on ``docs``: the row's text holds no item of the benchmark."""
+    found = [_searcher(docs.sparkSession, items, similarity)(F.col(text_col)) for items in slices(benchmark)]
+    return F.size(F.concat(*found)) == 0

@@ -70,3 +70,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = again.groupBy(F.col("sha").alias("__sha")).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_cp", F.bitwise_not("id").alias("back"))).alias("best"))
     settled = again.join(groups, F.col("sha") == F.col("__sha")).select("id", F.bitwise_not("best.back").alias("keep_id"), "group_size", "sha")
     return alone.unionByName(settled).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group, also of rows that repeat an id and text."""
+    decided = exact_dedup(docs, id_col, text_col)
+    pairs = decided.groupBy(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha")).agg(F.bool_and("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    special = stored(pairs.where("not __kept or __rows > 1"), "special")
+    rows = docs.withColumn("__own", F.unhex(F.sha2(without_white_space(F.col(text_col)), 256)))
+    joined = rows.join(special, (F.col("__own") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    plain = joined.where("__sha is null").select(*docs.columns)
+    once = joined.where("__kept").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    return plain.unionByName(once)

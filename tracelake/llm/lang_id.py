@@ -224,3 +224,20 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """(id_col, columns to carry along, lang_pred, score, bits_per_byte), a row for each row of ``docs``."""
     found = predictor(docs.sparkSession, model)(F.col(text_col))
     return docs.select(id_col, *carry, found.alias("__found")).select(id_col, *carry, "__found.*")
+
+
+def accepts(spark, model: Model | None, least_score: float):
+    """A function from a text column to whether the text has a language with at least ``least_score``; without a model all with letters have."""
+    frozen = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.BooleanType())
+    def accept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for column in batches:
+            texts = [t if isinstance(t, str) else None for t in column]
+            if frozen.value is None:
+                yield pd.Series([t is not None and any(map(str.isalpha, t)) for t in texts], dtype=bool)
+            else:
+                found = predictions(frozen.value, texts)
+                yield (found["lang_pred"] != UNKNOWN) & (found["score"] >= least_score)
+
+    return accept

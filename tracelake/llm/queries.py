@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, lang_id, pii, quality, simhash, substrings
+from . import bpe, decontam, exact_dedup, html_text, lang_id, line_dedup, pii, quality, simhash, substrings
 from .common import remainder
 
 
@@ -28,6 +28,14 @@ def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, model, carry=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +93,15 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY sha ORDER BY n DESC, doc_id)
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+boilerplate AS (SELECT trim(line) AS line FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT r, i, l.line, b.line IS NOT NULL AS gone FROM l LEFT JOIN boilerplate b ON trim(l.line) = b.line),
+joined AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed FROM marked GROUP BY r)
+SELECT doc_id, text, n_lines, n_removed FROM d JOIN joined USING (r)
+"""
+
 _PII_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, replace(replace(coalesce(text, ''), chr(57344), chr(57346)), chr(57345), chr(57346)) AS text FROM documents),
 patterns(rank, kind, pattern) AS (VALUES
@@ -115,6 +132,8 @@ FROM d LEFT JOIN found USING (r)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_html_text": op3_html_text,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
@@ -124,4 +143,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
 }
 
-SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op8_pii": _PII_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_pii": _PII_SQL}
