@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_ranges  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["a04_session_rollup"](spark, sf_dir)
