@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Texts are cut into pre-tokens. Each task keeps, for blocks of some MB of text, the distinct words of the block and the
-positions where each stands, packed as a sequence of word numbers. The distinct words are dealt out by word over
-the whole cluster; where they meet each is encoded once, and its ids go back to every block that asked for it. Each
-block then puts its texts together again by position. Decoding looks each id up in the token-byte table, which has a
-fixed size and is broadcast.
+positions where each stands, packed as a sequence of word numbers. The distinct words are dealt out by a hash of the word over
+the whole cluster, those of one block and hash bucket packed in one row; where they meet each is encoded once, and its ids go back
+to every block that asked for it. Each block then puts its texts together again by position. Decoding looks each id up in
+the token-byte table, which has a fixed size and is broadcast.
+
+A block's texts and words come from two passes over the input, so that texts shuffle once. A block's key is a hash
+of its content. Should the input come in another order the second time, the job fails instead of giving wrong ids.
 
 Defined results: a null text counts as empty and has no ids. Repeated rows and ids stay as they are, null ids
-too. A table without rows gives none. Other columns are not looked at. A task that runs anew after a loss must
-read the same rows: should it not, a block misses its words and the job fails instead of giving wrong ids.
+too. A table without rows gives none. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,21 +18,27 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text in a block, a longer text being a block of its own.
-BLOCK = 8_000_000
-#: Words in a row group that goes to Spark, and encoded words that a task remembers.
-ROWS, REMEMBERED = 50_000, 300_000
+BLOCK = 24_000_000
+#: Encoded words that a task remembers, and tokens that are put together at once.
+REMEMBERED, TOKENS = 300_000, 1_000_000
+#: Least and most buckets that words are dealt into.
+BUCKETS = (64, 4096)
+#: A block's texts sort behind its buckets of words, under this number plus that of its words.
+LAST = 1 << 24
 
-_RECORDS = "kind byte, block long, idx int, word binary, doc_ids array<long>, sizes array<int>, packed binary"
-_FIELDS = pa.schema([("kind", pa.int8()), ("block", pa.int64()), ("idx", pa.int32()), ("word", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("packed", pa.binary())])
+_WORDS = "block long, bucket int, words binary"
+_IDS = "block long, bucket int, ids binary"
+_TEXTS = "block long, bucket int, doc_ids array<long>, sizes array<int>, positions binary"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -47,59 +55,76 @@ def _encoding(pattern: str, tokens: tuple[bytes, ...]):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={t: k for k, t in enumerate(tokens)}, special_tokens={})
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """int32 numbers as compressed byte planes."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """int32 arrays, each as compressed byte planes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = [x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    head = np.array([len(p) for p in planes], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(planes))
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed: bytes, n: int) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    ends = 8 * n + np.r_[0, np.cumsum(data[: 8 * n].view("<i8"))]
+    return [np.ascontiguousarray(data[i:j].reshape(4, -1).T).view("<i4").ravel() for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def _batch(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in _FIELDS], schema=_FIELDS)
+def _row(schema: str, **values) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([values[name]], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
-def _cut(pattern: str):
-    """Blocks of texts as rows: kind 0 a distinct word of the block, kind 1 the block's texts as word numbers."""
+def _cut(pattern: str, buckets: int, texts: bool):
+    """Blocks of texts: their distinct words by bucket, or else their texts as numbers of those words."""
 
     def cut(batches):
         import regex
         import xxhash
+        import zstandard
 
-        find, part = regex.compile(pattern).findall, TaskContext.get().partitionId()
-        number, chars, ids, sizes, seen = 0, 0, [], [], xxhash.xxh64()
-        positions: list[np.ndarray] = []
+        find = regex.compile(pattern).findall
 
         def close():
-            block = xxhash.xxh64_intdigest(f"{part}:{number}:{seen.intdigest()}".encode()) - (1 << 63)
             raw = [w.encode("utf-8", "replace") for w in words]
-            for k in range(0, len(raw), ROWS):
-                some = raw[k : k + ROWS]
-                yield _batch(len(some), kind=pa.array(np.zeros(len(some), np.int8)), block=pa.array(np.full(len(some), block)), idx=pa.array(np.arange(k, k + len(some), dtype=np.int32)), word=pa.array(some, pa.binary()))
-            packed = _pack(np.concatenate(positions)) if positions else b""
-            yield _batch(1, kind=pa.array([1], pa.int8()), block=pa.array([block]), idx=pa.array([len(raw)], pa.int32()), doc_ids=pa.array([ids], pa.list_(pa.int64())), sizes=pa.array([sizes], pa.list_(pa.int32())), packed=pa.array([packed], pa.binary()))
-
-        words = defaultdict()
-        words.default_factory = words.__len__
+            own = np.fromiter(map(crc32, raw), np.int64, len(raw)) % buckets
+            order = sorted(range(len(raw)), key=raw.__getitem__)
+            order = np.array(order, np.int64)[np.argsort(own[order], kind="stable")]
+            for w in raw:
+                seen.update(w)
+            block = seen.intdigest() - (1 << 63)
+            if texts:
+                new = np.empty(len(raw), np.int32)
+                new[order] = np.arange(len(raw), dtype=np.int32)
+                yield _row(_TEXTS, block=block, bucket=LAST + len(raw), doc_ids=ids, sizes=sizes, positions=_pack(new[np.concatenate(found)]))
+                return
+            ends = np.searchsorted(own[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(ends)):
+                some = [raw[i] for i in order[ends[k] : ends[k + 1]]]
+                lengths = _pack(np.fromiter(map(len, some), np.int32, len(some)))
+                joined = zstandard.ZstdCompressor(level=6).compress(b"".join(some))
+                yield _row(_WORDS, block=block, bucket=k, words=len(lengths).to_bytes(8, "little") + lengths + joined)
+
+        def fresh():
+            words = defaultdict()
+            words.default_factory = words.__len__
+            return words
+
+        chars, ids, sizes, found, words, seen = 0, [], [], [], fresh(), xxhash.xxh64()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.fromiter(map(words.__getitem__, find(text or "")), np.int32)
-                seen.update(found.tobytes())
+                own = np.fromiter(map(words.__getitem__, find(text or "")), np.int32)
+                seen.update(f"{doc_id}:{len(own)}:".encode() + own.tobytes())
                 ids.append(doc_id)
-                sizes.append(len(found))
-                positions.append(found)
+                sizes.append(len(own))
+                found.append(own)
                 chars += len(text or "")
                 if chars >= BLOCK:
                     yield from close()
-                    number, chars, ids, sizes, positions = number + 1, 0, [], [], []
-                    words = defaultdict()
-                    words.default_factory = words.__len__
+                    chars, ids, sizes, found, words, seen = 0, [], [], [], fresh(), xxhash.xxh64()
         if ids:
             yield from close()
 
@@ -107,70 +132,76 @@ def _cut(pattern: str):
 
 
 def _encode(pattern: str, table):
-    """Where the equal words meet: each is encoded once. The rows of texts pass."""
+    """Where equal words meet: each is encoded once."""
 
     def encode(batches):
+        import zstandard
+
         encoding, known = _encoding(pattern, tuple(table.value)), {}
         for batch in batches:
-            words = batch.column(3).to_pylist()
-            if None not in words:
+            for block, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = 8 + int.from_bytes(packed[:8], "little")
+                (lengths,) = _unpack(packed[8:n], 1)
+                joined, ends = zstandard.ZstdDecompressor().decompress(packed[n:]), np.cumsum(lengths).tolist()
                 out = []
-                for w in words:
-                    if (ids := known.get(w)) is None:
+                for i, j in zip([0, *ends], ends, strict=False):
+                    word = joined[i:j]
+                    if (ids := known.get(word)) is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        ids = known[w] = np.array(encoding.encode_ordinary(w.decode("utf-8")), "<i4").tobytes()
+                        ids = known[word] = encoding.encode_ordinary(word.decode("utf-8"))
                     out.append(ids)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary()), *batch.columns[4:]], schema=_FIELDS)
-            else:
-                texts = batch.column(0).to_numpy() == 1
-                yield batch.filter(pa.array(texts))
-                yield from encode([b]) if (b := batch.filter(pa.array(~texts))).num_rows else ()
+                counts = np.fromiter(map(len, out), np.int32, len(out))
+                yield _row(_IDS, block=block, bucket=bucket, ids=_pack(counts, np.fromiter(chain.from_iterable(out), np.int32)))
 
     return encode
 
 
 def _assemble(batches):
-    """Rows sorted by block, words before texts: the ids of each text in order."""
-    at, words, filled = None, {}, 0
+    """Rows sorted by block and bucket, a block's texts last: the ids of each text in order."""
+    at, last_bucket, counts, ids = None, None, [], []
     for batch in batches:
-        kinds, blocks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(np.r_[True, (np.diff(blocks) != 0) | (np.diff(kinds) != 0)])
-        for i, j in zip(cuts, np.r_[cuts[1:], len(blocks)], strict=True):
-            if blocks[i] != at:
-                at, words = blocks[i], {}
-            if kinds[i] == 0:
-                words.update(zip(batch.column(2)[i:j].to_pylist(), batch.column(3)[i:j].to_pylist(), strict=True))
+        for block, bucket, packed, doc_ids, sizes, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != at:
+                at, last_bucket, counts, ids = block, None, [], []
+            if positions is None:
+                if bucket == last_bucket:  # another block with the very same content
+                    continue
+                last_bucket = bucket
+                own = _unpack(packed, 2)
+                counts.append(own[0])
+                ids.append(own[1])
                 continue
-            for r in range(i, j):
-                doc_ids, sizes = batch.column(4)[r].as_py(), np.array(batch.column(5)[r].as_py(), np.int64)
-                n = batch.column(2)[r].as_py()
-                if len(words) != n:
-                    raise RuntimeError(f"a block has {n} words, but {len(words)} came back")
-                table = [words[k] for k in range(n)]
-                packed = batch.column(6)[r].as_py()
-                positions = _unpack(packed) if packed else np.zeros(0, np.int32)
-                lengths = np.fromiter(map(len, table), np.int64, n) // 4
-                ends = np.r_[0, np.cumsum(sizes)]
-                first = 0
-                while first < len(sizes):  # some of the block's texts at a time
-                    last = max(first + 1, int(np.searchsorted(ends, ends[first] + 1_000_000, "right")) - 1)
-                    own = positions[ends[first] : ends[last]]
-                    ids = np.frombuffer(b"".join(map(table.__getitem__, own.tolist())), "<i4")
-                    counts = np.r_[0, np.cumsum(lengths[own])] if len(own) else np.zeros(1, np.int64)
-                    offsets = counts[ends[first : last + 1] - ends[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))], names=["id", "ids"])
-                    first = last
+            (positions,) = _unpack(positions, 1)
+            lengths = np.concatenate([np.zeros(0, np.int64), *counts])
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
+            if bucket - LAST != len(lengths):
+                raise RuntimeError("a block's words did not all come back")
+            starts = np.cumsum(lengths) - lengths
+            ends = np.r_[0, np.cumsum(np.array(sizes, np.int64))]
+            first = 0
+            while first < len(sizes):  # some of the block's texts at a time
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOKENS, "right")) - 1)
+                own = positions[ends[first] : ends[last]]
+                many = lengths[own].astype(np.int64)
+                before = np.r_[0, np.cumsum(many)]
+                take = np.repeat(starts[own].astype(np.int64) - before[:-1], many) + np.arange(before[-1])
+                offsets = before[ends[first : last + 1] - ends[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take], pa.int32()))], names=["id", "ids"])
+                first = last
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids: array of int), a row for each row of ``docs``."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    records = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(pattern), _RECORDS)
-    by_word = records.repartition(F.when(F.col("kind") == 0, F.xxhash64("word")).otherwise(F.xxhash64("block")))
-    encoded = by_word.mapInArrow(_encode(pattern, table), _RECORDS)
-    by_block = encoded.repartition("block").sortWithinPartitions("block", "kind")
+    buckets = min(BUCKETS[1], max(BUCKETS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    words = texts.mapInArrow(_cut(pattern, buckets, False), _WORDS)
+    encoded = words.repartition("bucket").mapInArrow(_encode(pattern, table), _IDS)
+    positions = texts.mapInArrow(_cut(pattern, buckets, True), _TEXTS)
+    both = encoded.unionByName(positions, allowMissingColumns=True)
+    by_block = both.repartition("block").sortWithinPartitions("block", "bucket")
     return by_block.mapInArrow(_assemble, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
