@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_graph, q_ranges, q_recovery, q_timeline  # noqa: F401
+from . import q_detect, q_graph, q_index, q_ranges, q_recovery, q_timeline  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 
