@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_detect, q_graph, q_index, q_quality, q_ranges, q_records, q_recovery, q_timeline  # noqa: F401
+from . import q_detect, q_graph, q_index, q_pipeline, q_quality, q_ranges, q_records, q_recovery, q_timeline  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 
