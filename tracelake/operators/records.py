@@ -150,3 +150,88 @@ def assemble_report(images: DataFrame, **sections: DataFrame) -> DataFrame:
         part = df.select("image_id", F.struct(*[c for c in df.columns if c != "image_id"]).alias(name))
         out = out.join(part, "image_id", "left")
     return out
+
+
+def leaf_entries(pages: DataFrame, most: int = 80, header: int = 96, size: int = 48) -> DataFrame:
+    """Entries of index pages (page_id, data): count at byte 16, entries behind the header; blank, malformed (an offset of all ones) or populated.
+
+    The count is capped; entries that the page cuts off are not read, which ``truncated`` tells.
+    """
+    d = F.col("data")
+    declared = B.le_uint(d, 16, 4)
+    room = F.floor((F.octet_length("data") - header) / size)
+    rows = pages.withColumns({"declared": declared, "truncated": declared > F.least(room, F.lit(most))})
+    n = F.least(F.col("declared"), room, F.lit(most))
+    rows = rows.where(n > 0).withColumn("entry", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    at = F.lit(header) + F.col("entry") * size
+    offset = B.le_uint(d, at + 8, 6)
+    blank = F.substring("data", (at + 1).cast("int"), F.lit(size)) == F.lit(bytes(size))
+    state = F.when(blank, "blank").when(offset == (1 << 48) - 1, "malformed").otherwise("populated")
+    return rows.select("page_id", "entry", state.alias("state"), F.when(state == "populated", offset).alias("data_offset"), F.when(state == "populated", B.byte_at(d, at + 20)).alias("channel"), "truncated")
+
+
+def carve_frames(hits: DataFrame, most: int) -> DataFrame:
+    """Tag hits (image_id, offset, length, owned_len, trailer_ok, back_length) as frames: the reason against, or kept by a greedy pass.
+
+    A kept frame hides hits inside of it ("inside a frame"); behind ``most`` frames of an image the rest is "over the cap".
+    """
+    end = F.col("offset") + F.col("length")
+    judged = judge(hits, [("no length", F.col("length") > 0), ("past end", end <= F.col("owned_len")), ("no trailer", F.col("trailer_ok")), ("back length", F.col("back_length") == F.col("length"))])
+    good = judged.where("rejected is null")
+    w = Window.partitionBy("image_id").orderBy("offset")
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = number_islands(good.withColumn("__reach", reach), ["image_id"], ["offset"], F.col("__reach").isNull() | (F.col("offset") >= F.col("__reach")), "__island").drop("__reach")
+
+    def step(last, offset, length):
+        return (offset + length, 1) if last is None or offset >= last else (last, 0)
+
+    kept = fold_islands(rows, ["image_id"], ["offset"], "__island", ["offset", "length"], step, "__kept").drop("__island")
+    place = F.when(F.col("__kept") == 1, F.sum("__kept").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.withColumn("__place", place).withColumn("rejected", F.when(F.col("__kept") == 0, "inside a frame").when(F.col("__place") > most, "over the cap")).drop("__kept", "__place")
+    return kept.unionByName(judged.where("rejected is not null"))
+
+
+def evaluate_candidates(rows: DataFrame, conditions: dict[str, Column], required: list[str]) -> DataFrame:
+    """``rows`` with the names of the conditions that hold, and whether all required ones do; an unknown condition doesn't hold."""
+    held = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items()]))
+    return rows.withColumns({"held": F.array_join(held, ","), "recoverable": F.size(F.array_except(F.array(*map(F.lit, required)), held)) == 0})
+
+
+def directory_entries(entries: DataFrame, frames: DataFrame) -> DataFrame:
+    """Entries of a flat directory (image_id, entry, offset, length, size_bytes): the first reason against, and the payload of the frame at the offset."""
+    end = F.try_add("offset", "length")
+    judged = judge(entries, [("zero length", F.col("length") > 0), ("overflow", end.isNotNull()), ("past end", end <= F.col("size_bytes"))])
+    return judged.join(frames.select("image_id", "offset", "payload"), ["image_id", "offset"], "left").withColumn("payload", F.when(F.col("rejected").isNull(), F.col("payload")))
+
+
+def walk_parts(regions: DataFrame, resync: bool) -> DataFrame:
+    """Parts of containers (region_id, data): a start code 00 00 01, a kind, and a two-byte big-endian length of what follows.
+
+    Stops at the first place without a start code, or with ``resync`` goes on at the next one. Each region is walked in one pass; regions are independent.
+    """
+    import pyarrow as pa
+
+    def walk(batches):
+        for batch in batches:
+            out = {"region_id": [], "offset": [], "kind": [], "length": [], "complete": []}
+            for region, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data, at = data or b"", 0
+                while at + 6 <= len(data):
+                    if data[at : at + 3] != b"\0\0\1":
+                        at = data.find(b"\0\0\1", at) if resync else -1
+                        if at < 0:
+                            break
+                        continue
+                    length = 6 + int.from_bytes(data[at + 4 : at + 6], "big")
+                    for name, value in zip(out, (region, at, data[at + 3], length, at + length <= len(data)), strict=True):
+                        out[name].append(value)
+                    at += length
+            yield pa.RecordBatch.from_arrays([pa.array(out["region_id"], pa.int64()), pa.array(out["offset"], pa.int64()), pa.array(out["kind"], pa.int32()), pa.array(out["length"], pa.int64()), pa.array(out["complete"], pa.bool_())], names=list(out))
+
+    return regions.select(F.col("region_id").cast("long"), "data").mapInArrow(walk, "region_id long, offset long, kind int, length long, complete boolean")
+
+
+def reconstruct(grouped: DataFrame) -> DataFrame:
+    """Recordings out of grouped clips (image_id, channel, clip_group, block, start, end, offset, length): times, bytes and ranges in block order."""
+    parts = F.array_sort(F.collect_list(F.struct("block", "offset", "length")))
+    return grouped.groupBy("image_id", "channel", "clip_group").agg(F.count(F.lit(1)).alias("n_clips"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").alias("bytes"), F.array_join(F.transform(parts, lambda p: F.concat(p["offset"].cast("string"), F.lit("+"), p["length"].cast("string"))), ",").alias("ranges"), F.when(F.count("start") == F.count(F.lit(1)), "time").when(F.count("start") == 0, "place on disk").otherwise("mixed").alias("ordering"))

@@ -8,8 +8,12 @@ from ..functions import fields as B
 from ..operators import detect as D
 from ..operators import index as N
 from ..operators import records as E
+from ..operators import recovery as V
+from ..sources import images as S
+from ..sources.tables import read_case_tables
 from .q_detect import chunks
 from .q_index import _TWO, two
+from .q_recovery import _FRAGMENTS, fragments
 from .q_timeline import _DOMAINS, _GAPS, _ROLLUP, _SESSIONS, _STEPS, a04
 from .registry import query
 from .views import segments, table
@@ -125,3 +129,81 @@ def d17(spark, sf_dir):
     sessions = a04(spark, sf_dir).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("missing_seconds").alias("missing"))
     report = E.assemble_report(images, sessions=sessions, index=N.compare_indexes(*two(spark, sf_dir)))
     return report.select("image_id", "sessions.n_sessions", "sessions.missing", "index.verdict")
+
+
+@query("x06_leaf_entries", """WITH e AS (SELECT p_partkey AS page_id, p_size AS declared, unnest(range(0, least(p_size, 10))) AS entry FROM part) SELECT page_id, entry, CASE WHEN (page_id + entry) % 5 = 0 THEN 'blank' WHEN (page_id + entry) % 7 = 0 THEN 'malformed' ELSE 'populated' END AS state, CASE WHEN (page_id + entry) % 5 > 0 AND (page_id + entry) % 7 > 0 THEN page_id * 4096 + entry END AS data_offset, CASE WHEN (page_id + entry) % 5 > 0 AND (page_id + entry) % 7 > 0 THEN entry::INTEGER END AS channel, declared > 10 AS truncated FROM e""")
+def x06(spark, sf_dir):
+    """Pages of a header and ten entries, cut off behind them, packed from part."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+
+    def entry(i):
+        offset = F.when((k + i) % 7 == 0, F.lit((1 << 48) - 1)).otherwise(k * 4096 + i)
+        full = F.concat(F.lit(bytes(8)), B.le_bytes(offset, 6), F.lit(bytes(6)), B.le_bytes(i, 1), F.lit(bytes(27)))
+        return F.hex(F.when((k + i) % 5 == 0, F.lit(bytes(48))).otherwise(full))
+
+    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), entry), ""))
+    data = F.concat(F.lit(bytes(16)), B.le_bytes(n, 4), F.lit(bytes(76)), body)
+    return E.leaf_entries(table(spark, sf_dir, "part").select(k.alias("page_id"), data.alias("data")))
+
+
+@query("x10_carve_frames", """WITH RECURSIVE h AS (SELECT DISTINCT l_suppkey AS image_id, l_orderkey * 20 + l_linenumber AS "offset" FROM lineitem), d AS (SELECT *, "offset" % 61 AS length, "offset" % 13 > 0 AS trailer_ok, "offset" % 61 + CASE WHEN "offset" % 17 = 0 THEN 1 ELSE 0 END AS back_length FROM h), j AS (SELECT *, CASE WHEN length <= 0 THEN 'no length' WHEN "offset" + length > 290000 THEN 'past end' WHEN NOT trailer_ok THEN 'no trailer' WHEN back_length <> length THEN 'back length' END AS rejected FROM d),
+g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY "offset") AS i FROM j WHERE rejected IS NULL), w AS (SELECT image_id, i, "offset" + length AS reach, true AS kept FROM g WHERE i = 1 UNION ALL SELECT w.image_id, g.i, CASE WHEN g."offset" >= w.reach THEN g."offset" + g.length ELSE w.reach END, g."offset" >= w.reach FROM w JOIN g ON g.image_id = w.image_id AND g.i = w.i + 1),
+k AS (SELECT g.image_id, g."offset", g.length, kept, count(*) FILTER (kept) OVER (PARTITION BY g.image_id ORDER BY g.i ROWS UNBOUNDED PRECEDING) AS place FROM g JOIN w USING (image_id, i))
+SELECT image_id, "offset", length, CASE WHEN NOT kept THEN 'inside a frame' WHEN place > 200 THEN 'over the cap' END AS rejected FROM k UNION ALL SELECT image_id, "offset", length, rejected FROM j WHERE rejected IS NOT NULL""")
+def x10(spark, sf_dir):
+    at = F.col("offset")
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image_id"), (F.col("l_orderkey") * 20 + F.col("l_linenumber")).alias("offset")).distinct()
+    rows = hits.select("image_id", "offset", (at % 61).alias("length"), F.lit(290000).alias("owned_len"), (at % 13 > 0).alias("trailer_ok"), (at % 61 + F.when(at % 17 == 0, 1).otherwise(0)).alias("back_length"))
+    return E.carve_frames(rows, 200).select("image_id", "offset", "length", "rejected")
+
+
+@query("x11_walk_parts")
+def x11(spark, sf_dir):
+    """Containers of three parts for each row of part, every fifth with junk before the last one."""
+    k = F.col("p_partkey")
+
+    def part(kind, size):
+        body = F.unhex(F.repeat(F.lit("AA"), size.cast("int")))
+        return F.concat(F.lit(b"\x00\x00\x01"), B.le_bytes(kind, 1), B.le_bytes(F.shiftright(size, 8), 1), B.le_bytes(size, 1), body)
+
+    junk = F.when(k % 5 == 0, F.lit(b"\x07\x07\x07")).otherwise(F.lit(b""))
+    data = F.concat(part(F.lit(186), k % 40), part(F.lit(224), k % 300), junk, part(F.lit(192), k % 7))
+    return E.walk_parts(table(spark, sf_dir, "part").select(k.alias("region_id"), data.alias("data")), True)
+
+
+@query("x12_evaluate_candidates", """WITH c AS (SELECT o_orderkey AS candidate_id, o_orderkey % 2 = 0 AS a, o_orderkey % 3 > 0 AS b, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 2 = 0 END AS c, o_totalprice > 100000 AS d FROM orders) SELECT candidate_id, concat_ws(',', CASE WHEN a THEN 'start' END, CASE WHEN b THEN 'parameters' END, CASE WHEN c THEN 'sentinel' END, CASE WHEN d THEN 'size' END) AS held, a AND b AND coalesce(c, false) AS recoverable FROM c""")
+def x12(spark, sf_dir):
+    k = F.col("o_orderkey")
+    conditions = {"start": k % 2 == 0, "parameters": k % 3 > 0, "sentinel": F.when(k % 5 > 0, F.col("o_custkey") % 2 == 0), "size": F.col("o_totalprice") > 100000}
+    return E.evaluate_candidates(table(spark, sf_dir, "orders"), conditions, ["start", "parameters", "sentinel"]).select(k.alias("candidate_id"), "held", "recoverable")
+
+
+@query("x20_directory", """WITH e AS (SELECT o_custkey % 20 AS image_id, o_orderkey AS entry, o_orderkey * 64 AS "offset", CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE 64 END AS length FROM orders), r AS (SELECT *, CASE WHEN length <= 0 THEN 'zero length' WHEN "offset" + length > 900000 THEN 'past end' END AS rejected FROM e) SELECT image_id, entry, rejected, CASE WHEN rejected IS NULL AND entry % 3 = 0 THEN 'frame ' || entry END AS payload FROM r""")
+def x20(spark, sf_dir):
+    k = F.col("o_orderkey")
+    entries = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("image_id"), k.alias("entry"), (k * 64).alias("offset"), F.when(k % 31 == 0, 0).otherwise(64).cast("long").alias("length"), F.lit(900000).cast("long").alias("size_bytes"))
+    frames = entries.where("entry % 3 = 0").select("image_id", "offset", F.concat(F.lit("frame "), F.col("entry").cast("string")).alias("payload"))
+    return E.directory_entries(entries, frames).select("image_id", "entry", "rejected", "payload")
+
+
+@query("d11_reconstruct", f"""WITH {_FRAGMENTS}, c AS (SELECT image_id, channel, fragment_id AS block, CASE WHEN fragment_id % 3 > 0 THEN ts END AS s, CASE WHEN fragment_id % 3 > 0 THEN ts + 4 END AS e, "offset", length FROM v_fragments WHERE channel IS NOT NULL), n AS (SELECT *, lag(e) OVER w AS pe, lag("offset" + length) OVER w AS pd FROM c WINDOW w AS (PARTITION BY image_id, channel ORDER BY block)),
+g AS (SELECT *, sum(CASE WHEN coalesce(CASE WHEN s IS NOT NULL AND pe IS NOT NULL THEN abs(s - pe) <= 5 ELSE "offset" = pd END, false) THEN 0 ELSE 1 END) OVER (PARTITION BY image_id, channel ORDER BY block ROWS UNBOUNDED PRECEDING)::BIGINT AS clip_group FROM n)
+SELECT image_id, channel, clip_group, count(*) AS n_clips, min(s) AS start, max(e) AS "end", sum(length)::BIGINT AS bytes, string_agg("offset" || '+' || length, ',' ORDER BY block) AS ranges, CASE WHEN count(s) = count(*) THEN 'time' WHEN count(s) = 0 THEN 'place on disk' ELSE 'mixed' END AS ordering FROM g GROUP BY image_id, channel, clip_group""")
+def d11(spark, sf_dir):
+    timed = F.col("fragment_id") % 3 > 0
+    clips = fragments(spark, sf_dir).where("channel is not null").select("image_id", "channel", F.col("fragment_id").alias("block"), F.when(timed, F.col("ts")).alias("start"), F.when(timed, F.col("ts") + 4).alias("end"), "offset", "length")
+    return E.reconstruct(V.clip_groups(clips))
+
+
+@query("s02_read_regions", """WITH r AS (SELECT doc_id AS image_id, unnest([1, 2, 3]) AS region_id, unnest([0, 100, 5000]) AS "offset", unnest([16, 64, 200]) AS length, hex(encode(text)) AS h FROM documents) SELECT image_id, region_id, "offset", length, nullif(substr(h, 2 * "offset" + 1, 2 * length), '') AS hex FROM r""")
+def s02(spark, sf_dir):
+    rows = chunks(spark, sf_dir)
+    wanted = rows.select("image_id", F.explode(F.array(*[F.struct(F.lit(i).alias("region_id"), F.lit(o).alias("offset"), F.lit(n).alias("length")) for i, o, n in ((1, 0, 16), (2, 100, 64), (3, 5000, 200))])).alias("r")).select("image_id", "r.*")
+    pieces = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("owned_len") - 1, F.lit(0)) / 128)))).select("image_id", (F.col("at") * 128).alias("base_offset"), F.least(F.lit(128), F.col("owned_len") - F.col("at") * 128).alias("owned_len"), F.expr("substring(data, cast(at * 128 + 1 as int), 128)").alias("data"))
+    return S.read_regions(pieces, wanted, 128).select("image_id", "region_id", "offset", "length", F.hex("data").alias("hex"))
+
+
+@query("s06_case_tables", "SELECT o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL")
+def s06(spark, sf_dir):
+    tables = read_case_tables(spark, sf_dir, ["orders", "customer"])
+    return tables["orders"].join(tables["customer"], F.col("c_custkey") == F.col("o_custkey")).groupBy("o_orderpriority", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
