@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text in a block, a longer text being a block of its own.
-BLOCK = 24_000_000
+BLOCK = 6_000_000
 #: Encoded words that a task remembers, and tokens that are put together at once.
-REMEMBERED, TOKENS = 300_000, 1_000_000
+REMEMBERED, TOKENS = 200_000, 300_000
 #: Least and most buckets that words are dealt into.
 BUCKETS = (64, 4096)
 #: A block's texts sort behind its buckets of words, under this number plus that of its words.
@@ -114,7 +114,7 @@ def _cut(pattern: str, buckets: int, texts: bool):
             return words
 
         chars, ids, sizes, found, words, seen = 0, [], [], [], fresh(), xxhash.xxh64()
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.fromiter(map(words.__getitem__, find(text or "")), np.int32)
                 seen.update(f"{doc_id}:{len(own)}:".encode() + own.tobytes())
@@ -157,8 +157,26 @@ def _encode(pattern: str, table):
     return encode
 
 
-def _assemble(batches):
-    """Rows sorted by block and bucket, a block's texts last: the ids of each text in order."""
+def _assemble(tokens=None):
+    """Of rows sorted by block and bucket, a block's texts last: the ids of each text in order, and the bytes that ``tokens`` has for them."""
+
+    def assemble(batches):
+        for doc_ids, offsets, ids in _put_together(batches):
+            columns = {"id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
+            if tokens is not None:
+                columns["decoded"] = pa.array(_decoded(tokens.value, offsets, ids), pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return assemble
+
+
+def _decoded(table: list[bytes], offsets, ids: np.ndarray) -> list[bytes]:
+    """For each list of ids the bytes of its tokens."""
+    found = list(map(table.__getitem__, ids.tolist()))
+    return [b"".join(found[i:j]) for i, j in zip(offsets, offsets[1:], strict=False)]
+
+
+def _put_together(batches):
     at, last_bucket, counts, ids = None, None, [], []
     for batch in batches:
         for block, bucket, packed, doc_ids, sizes, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -187,12 +205,15 @@ def _assemble(batches):
                 before = np.r_[0, np.cumsum(many)]
                 take = np.repeat(starts[own].astype(np.int64) - before[:-1], many) + np.arange(before[-1])
                 offsets = before[ends[first : last + 1] - ends[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat[take], pa.int32()))], names=["id", "ids"])
+                yield doc_ids[first:last], offsets, flat[take]
                 first = last
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids: array of int), a row for each row of ``docs``."""
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, ids: array of int), a row for each row of ``docs``; with ``decoded`` also the bytes that the ids stand for.
+
+    That is ``bpe_decode`` within the tasks that put the ids together, for a round trip.
+    """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
     buckets = min(BUCKETS[1], max(BUCKETS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -202,7 +223,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     positions = texts.mapInArrow(_cut(pattern, buckets, True), _TEXTS)
     both = encoded.unionByName(positions, allowMissingColumns=True)
     by_block = both.repartition("block").sortWithinPartitions("block", "bucket")
-    return by_block.mapInArrow(_assemble, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    shape = "id long, ids array<int>" + ", decoded binary" * decoded
+    return by_block.mapInArrow(_assemble(table if decoded else None), shape).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -212,11 +234,10 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> Dat
     names = encoded.columns
 
     def decode(batches):
-        tokens = table.value
         for batch in batches:
-            lists = batch.column(names.index(ids_col))
-            out = [b"".join(map(tokens.__getitem__, x or ())) for x in (v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else None for v in lists)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+            lists = batch.column(names.index(ids_col)).fill_null([])
+            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_decoded(table.value, offsets, ids), pa.binary())], names=[*names, "decoded"])
 
     shape = T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())])
     return encoded.mapInArrow(decode, shape)

@@ -73,8 +73,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     path, pattern = rank_file()
-    decoded = bpe.bpe_decode(bpe.bpe_encode(docs, path, pattern), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.bpe_encode(docs, path, pattern, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
