@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 #: Longest context in bytes.
 ORDER = 4
 #: The sample's bounds: expected rows of each language, and the longest text (in characters) that is learnt from.
-ROWS_PER_LANGUAGE, LONGEST = 1200, 20_000
+ROWS_PER_LANGUAGE, LONGEST = 700, 20_000
 #: Bytes that are scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 UNKNOWN = "und"
 
 
@@ -50,10 +50,11 @@ def _padded(text: str) -> np.ndarray:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
-            data = [_padded(t) for t in texts]
-            for order in range(ORDER + 1):
-                grams, counts = np.unique(np.concatenate([_grams(d, order) for d in data]), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "depth": np.int32(order), "gram": grams, "n": counts})
+            for k in range(0, len(texts), 200):
+                data = [_padded(t) for t in texts.iloc[k : k + 200]]
+                for order in range(ORDER + 1):
+                    grams, counts = np.unique(np.concatenate([_grams(d, order) for d in data]), return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "depth": np.int32(order), "gram": grams, "n": counts})
 
 
 class _Table:
@@ -149,8 +150,7 @@ class Model:
         return sizes, total
 
 
-def _build(counts: pd.DataFrame) -> Model:
-    langs = sorted(counts["lang"].unique())
+def _build(langs: list[str], counts: pd.DataFrame) -> Model:
     grams, bits, contexts, escapes = [], [], [], []
     for order in range(ORDER + 1):
         own = counts[counts["depth"] == order]
@@ -158,8 +158,8 @@ def _build(counts: pd.DataFrame) -> Model:
         ctx = np.unique(keys >> 8)
         cost, esc = np.zeros((len(keys), len(langs))), np.zeros((max(1, len(ctx)), len(langs)))
         lower = np.full((len(keys), len(langs)), 8.0) if order == 0 else bits[-1][grams[-1].find(keys & ((1 << (8 * order)) - 1))]
-        for k, lang in enumerate(langs):
-            part = own[own["lang"] == lang]
+        for k in range(len(langs)):
+            part = own[own["lang"] == k]
             g, n = part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.float64)
             at = np.searchsorted(ctx, g >> 8)
             times, kinds = np.bincount(at, n, len(ctx)), np.bincount(at, minlength=len(ctx))
@@ -185,9 +185,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
         return None
     share = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, max(1, min(1_000_000, round(1_000_000 * rows / n))))])
     sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
-    counts = sample.mapInPandas(_count, "lang string, depth int, gram long, n long").groupBy("lang", "depth", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.toPandas()
-    return _build(counts) if len(counts) else None
+    langs = sorted(there)
+    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
+    counts = sample.withColumn("lang", number[F.col("lang")]).mapInPandas(_count, "lang int, depth int, gram long, n long").groupBy("lang", "depth", "gram").agg(F.sum("n").cast("int").alias("n"))
+    counts = counts.toArrow().to_pandas()
+    if not len(counts):
+        return None
+    seen = sorted(counts["lang"].unique())
+    return _build([langs[k] for k in seen], counts.assign(lang=np.searchsorted(seen, counts["lang"])))
 
 
 def predictions(model: Model | None, texts: list[str | None]) -> pd.DataFrame:
