@@ -68,6 +68,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = probed.where("maybe").select("id", "sha", "n_cp")
     # ~id falls as the id rises and can't overflow; a null sorts below all.
     groups = again.groupBy(F.col("sha").alias("__sha")).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_cp", F.bitwise_not("id").alias("back"))).alias("best"))
+    groups = stored(groups, "groups")  # the join below has plain sides then, so that a hot group is split
     settled = again.join(groups, F.col("sha") == F.col("__sha")).select("id", F.bitwise_not("best.back").alias("keep_id"), "group_size", "sha")
     return alone.unionByName(settled).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -80,5 +81,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.withColumn("__own", F.unhex(F.sha2(without_white_space(F.col(text_col)), 256)))
     joined = rows.join(special, (F.col("__own") == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
     plain = joined.where("__sha is null").select(*docs.columns)
+    if special.where("__kept").isEmpty():  # no row repeats an id and text that stays
+        return plain
     once = joined.where("__kept").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
     return plain.unionByName(once)
