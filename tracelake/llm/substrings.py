@@ -8,7 +8,7 @@ bytes, mostly at the edges of a copied passage: of those the bytes are fetched,
 put in order by deep-shallow sorting: a multikey sort, eight bytes at a time, to depth SHALLOW, and a blind trie for each
 group that still agrees. Suffixes that end at the same leaf are equal windows.
 
-"Earlier" means a smaller id, or the same id and an earlier start. A document equal to one that its task has seen under a smaller id
+Of equal runs that a task finds together only the first is sent on. "Earlier" means a smaller id, or the same id and an earlier start. A document equal to one that its task has seen under a smaller id
 is wholly repeated and sends no runs, so that many copies don't meet in one task.
 
 Defined results: a null text counts as empty. Documents shorter than a window keep all bytes. Rows that repeat an id and text
@@ -141,7 +141,24 @@ def _find_runs(batches):
             start = np.r_[0, ends][own] - shifts[own]
             keep = ~copy[rows[own]]
             if keep.any():
-                yield _record(1, gram[keep], run[keep], keys[rows[own]][keep], (first - start)[keep], (last - start)[keep])
+                yield from _settle_near([x[keep] for x in (gram, run, keys[rows[own]], first - start, last - start)])
+
+
+def _settle_near(found: list[np.ndarray]):
+    """Of runs found together, the first of equal ones to compare; the others are repeated, so a run that comes often is sent once."""
+    gram, run, key, first, last = found
+    order = np.lexsort((first, key, run, gram))
+    same = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (run[order][1:] == run[order][:-1])]
+    place = (key[order][1:] == key[order][:-1]) & (first[order][1:] == first[order][:-1])
+    again = np.zeros(len(order), bool)
+    again[order] = same & ~np.r_[False, place]
+    once = np.zeros(len(order), bool)
+    once[order] = ~same
+    yield _record(1, *[x[once] for x in found])
+    if again.any():
+        key, first, last = key[again], first[again], last[again]
+        new = np.r_[True, (key[1:] != key[:-1]) | (first[1:] != last[:-1] + 1)]
+        yield _record(0, np.zeros(0, np.int64), np.zeros(0, np.int64), key[new], first[new], last[np.r_[np.flatnonzero(new)[1:], len(new)] - 1])
 
 
 def _compare_runs(batches):
