@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.images import read_regions
+
 #: Thresholds, and factors of evidence states and of matches.
 THRESHOLDS = {"min_confidence": 0.65, "min_margin": 0.20, "min_quality": 0.50}
 STATE_FACTORS = {"validated": 1.00, "provisional": 0.80, "model_specific": 0.70, "firmware_specific": 0.60, "unvalidated": 0.40}
@@ -38,20 +40,56 @@ def first_hit(hits: DataFrame) -> DataFrame:
     return hits.groupBy("image_id").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def evaluate_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Evidence rows of rules (vendor, rule, pattern BINARY, kind, at, stop, step) on images held in one chunk from 0.
+def evaluate_rules(chunks: DataFrame, rules: DataFrame, window: int = 16 << 20, overlap: int = 64) -> DataFrame:
+    """Evidence rows of rules (vendor, rule, pattern BINARY, kind, at, stop, step) on images cut in windows of ``window`` bytes.
 
     kind exact: the pattern has to stand at ``at``; aligned: at ``at`` or a multiple of ``step`` behind it, before ``stop``; header: the same with step 1.
     match, or mismatch if the place is there but holds something else, or absent if the image is too short. The rules are a
-    small table of profiles and are broadcast.
+    small table of profiles, which goes to all tasks. The window doesn't change results: where a pattern is longer than the
+    ``overlap`` by which data runs on, each window is joined with the bytes behind it first. Images are looked at once, and no
+    bytes of windows behind the last place of a rule.
     """
-    met = chunks.where("base_offset = 0").join(F.broadcast(rules), F.lit(True))
-    exact = F.substring(F.col("data"), (F.col("at") + 1).cast("int"), F.octet_length("pattern")) == F.col("pattern")
-    places = F.sequence(F.col("at"), F.greatest(F.col("stop") - 1, F.col("at")), F.greatest(F.col("step"), F.lit(1).cast("long")))
-    aligned = F.exists(places, lambda p: F.substring(F.col("data"), (p + 1).cast("int"), F.octet_length("pattern")) == F.col("pattern"))
-    hit = F.when(F.col("kind") == "exact", exact).otherwise(aligned)
-    status = F.when(F.coalesce(hit, F.lit(False)), "match").when(F.octet_length("data") < F.col("at") + F.octet_length("pattern"), "absent").otherwise("mismatch")
-    return met.select("image_id", "vendor", "rule", status.alias("match_status"), "state", "weight", "exclusive")
+    table = rules.collect()
+    looked = []  # number, pattern, first place, last place, step
+    for k, r in enumerate(table):
+        if r["pattern"] is not None and r["at"] is not None:
+            last = r["at"] if r["kind"] == "exact" or r["stop"] is None else max(r["stop"] - 1, r["at"])
+            looked.append((k, bytes(r["pattern"]), r["at"], last, max(r["step"] or 1, 1)))
+    longest = max((len(x[1]) for x in looked), default=0)
+    rows = chunks.select("image_id", "base_offset", "owned_len", "data")
+    if longest > overlap + 1:
+        number = F.floor(F.col("base_offset") / window)
+        behind = rows.select("image_id", number.alias("region_id"), (F.col("base_offset") + F.col("owned_len")).alias("offset"), F.lit(longest - 1).cast("long").alias("length"))
+        tails = read_regions(rows, behind, window).select("image_id", F.col("region_id").alias("__n"), F.col("data").alias("__tail"))
+        whole = F.concat(F.substring("data", F.lit(1), F.col("owned_len").cast("int")), F.coalesce("__tail", F.lit(b"")))
+        rows = rows.withColumn("__n", number).join(tails, ["image_id", "__n"], "left").select("image_id", "base_offset", "owned_len", whole.alias("data"))
+    touched = F.col("base_offset") <= max((x[3] for x in looked), default=-1)
+
+    def search(batches):
+        for batch in batches:
+            images, ends, met = [], [], []
+            for image, base, owned, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = []
+                for k, pattern, first, last, step in looked if data is not None else ():
+                    stop = min(last, base + owned - 1) - base + len(pattern)
+                    at = data.find(pattern, max(first, base) - base, stop) if last >= base else -1
+                    while at >= 0 and (base + at - first) % step:
+                        at = data.find(pattern, at + 1, stop)
+                    if at >= 0:
+                        own.append(k)
+                images.append(image)
+                ends.append(None if owned is None else base + owned)
+                met.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(ends, pa.int64()), pa.array(met, pa.list_(pa.int32()))], names=["image_id", "end", "met"])
+
+    found = rows.select(F.col("image_id").cast("long"), "base_offset", F.col("owned_len").cast("long"), F.when(touched, F.col("data")).alias("data")).mapInArrow(search, "image_id long, end long, met array<int>")
+    images = found.groupBy("image_id").agg(F.max("end").alias("size"), F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    kinds = {f.name: f.dataType for f in rules.schema}
+    given = lambda r, c: F.lit(r[c]).cast(kinds[c]).alias(c)
+    listed = [F.struct(F.lit(k).alias("k"), F.lit(None if r["pattern"] is None or r["at"] is None else r["at"] + len(r["pattern"])).cast("long").alias("least"), *[given(r, c) for c in ("vendor", "rule", "state", "weight", "exclusive")]) for k, r in enumerate(table)]
+    each = images.select("image_id", "size", "met", F.explode(F.array(*listed)).alias("r")) if listed else images.join(rules.limit(0).select(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("least"), "vendor", "rule", "state", "weight", "exclusive").alias("r")), F.lit(False))
+    status = F.when(F.array_contains("met", F.col("r.k")), "match").when(F.col("size") < F.col("r.least"), "absent").otherwise("mismatch")
+    return each.select("image_id", "r.vendor", "r.rule", status.alias("match_status"), "r.state", "r.weight", "r.exclusive")
 
 
 def _factor(table: dict, col: str):

@@ -15,6 +15,18 @@ def chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.lit(0).cast("long").alias("base_offset"), F.octet_length(data).cast("long").alias("owned_len"), data.alias("data"))
 
 
+#: Bytes of a window of ``windows``, shorter than most documents, and by how many its data runs on.
+WINDOW, OVERLAP = 100, 8
+
+
+def windows(spark, sf_dir):
+    """The documents as images cut in small windows."""
+    data, n = F.col("text").cast("binary"), F.octet_length(F.col("text").cast("binary")).cast("long")
+    cut = lambda k: F.struct((k * WINDOW).alias("base_offset"), F.when(n.isNotNull(), F.least(F.lit(WINDOW).cast("long"), n - k * WINDOW)).alias("owned_len"), F.substring(data, (k * WINDOW + 1).cast("int"), F.lit(WINDOW + OVERLAP)).alias("data"))
+    last = F.floor(F.greatest(n - 1, F.lit(0).cast("long")) / WINDOW)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), cut)).alias("w")).select("image_id", "w.*")
+
+
 _BYTES = "byt AS (SELECT doc_id AS image_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n, encode(text) AS data FROM documents)"
 _HITS = """parts AS (SELECT doc_id AS image_id, unnest(string_split(text, 'tion')) AS part, generate_subscripts(string_split(text, 'tion'), 1) AS i, len(string_split(text, 'tion')) AS n FROM documents),
 hits AS (SELECT image_id, "offset" FROM (SELECT image_id, i, n, (sum(octet_length(encode(part))) OVER (PARTITION BY image_id ORDER BY i ROWS UNBOUNDED PRECEDING) + 4 * (i - 1))::BIGINT AS "offset" FROM parts) WHERE i < n)"""
@@ -51,7 +63,7 @@ cf AS (SELECT *, CASE WHEN insufficient THEN 'Insufficient' WHEN rank > 1 THEN '
 
 
 def evidence(spark, sf_dir):
-    return D.evaluate_rules(chunks(spark, sf_dir), spark.createDataFrame(_RULES, _SHAPE))
+    return D.evaluate_rules(windows(spark, sf_dir), spark.createDataFrame(_RULES, _SHAPE), WINDOW, OVERLAP)
 
 
 def scores(spark, sf_dir):

@@ -11,7 +11,7 @@ from ..operators import records as E
 from ..operators import recovery as V
 from ..sources import images as S
 from ..sources.tables import read_case_tables
-from .q_detect import chunks
+from .q_detect import WINDOW, chunks, windows
 from .q_index import _TWO, two
 from .q_recovery import _FRAGMENTS, fragments
 from .q_timeline import _DOMAINS, _GAPS, _ROLLUP, _SESSIONS, _STEPS, a04
@@ -134,11 +134,10 @@ def d06(spark, sf_dir):
 
 @query("d22_extract_payload", """WITH r AS (SELECT doc_id AS recording_id, text, octet_length(encode(text)) AS n, doc_id % 9 = 0 AS far FROM documents) SELECT recording_id, 60 + CASE WHEN far THEN 200000 ELSE 0 END AS n_bytes, CASE WHEN n >= 110 AND NOT far THEN sha256(unhex(substr(hex(encode(text)), 101, 120))) END AS sha256, CASE WHEN n < 110 OR far THEN 'range outside image' END AS error FROM r""")
 def d22(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    ids = rows.select(F.col("image_id").alias("recording_id"), "image_id")
+    ids = chunks(spark, sf_dir).select(F.col("image_id").alias("recording_id"), "image_id")
     far = F.when(F.col("recording_id") % 9 == 0, 200000).otherwise(0)
     pieces = ids.select("recording_id", "image_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(50).alias("offset"), F.lit(30).alias("length")), F.struct(F.lit(2).alias("seq"), F.lit(80).alias("offset"), (F.lit(30) + far).alias("length")))).alias("p")).select("recording_id", "image_id", "p.*")
-    return E.extract_payload(pieces, rows, 1000000)
+    return E.extract_payload(pieces, windows(spark, sf_dir), 1000000, WINDOW)
 
 
 @query("d17_report", f"""WITH {_DOMAINS}, {_STEPS}, {_SESSIONS}, {_GAPS}, {_ROLLUP}, {_TWO}, s AS (SELECT image_id, count(*) AS n_sessions, sum(missing_seconds)::BIGINT AS missing FROM ru GROUP BY image_id) SELECT i.image_id, n_sessions, missing, verdict FROM (SELECT DISTINCT image_id FROM v_segments) i LEFT JOIN s USING (image_id) LEFT JOIN vd USING (image_id)""")
