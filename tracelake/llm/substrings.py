@@ -6,7 +6,9 @@ anchor form a run; a run's bytes are hashed as a whole. Runs are dealt out by th
 all its windows but those of the first are found repeated. What is left are runs that share a gram but not all
 bytes, mostly at the edges of a copied passage: of those the bytes are fetched, dealt out by gram, and their suffixes are
 put in order by deep-shallow sorting: a multikey sort, eight bytes at a time, to depth SHALLOW, and a blind trie for each
-group that still agrees. Suffixes that end at the same leaf are equal windows.
+group that still agrees. Suffixes that end at the same leaf are equal windows. A gram of more than HEAVY undecided windows isn't
+dealt out as a whole: its windows go singly, by gram and their own hash, so that only equal ones meet in a task; of windows
+that a task finds to be equal byte by byte, only the first is sent.
 
 Of equal runs that a task finds together only the first is sent on. "Earlier" means a smaller id, or the same id and an earlier start. A document equal to one that its task has seen under a smaller id
 is wholly repeated and sends no runs, so that many copies don't meet in one task.
@@ -32,6 +34,8 @@ WINDOW, GRAM = 100, 24
 SPREAD = WINDOW - GRAM + 1
 #: Bytes at once, digests of texts that a task remembers, depth of the multikey sort.
 CHUNK, REMEMBERED, SHALLOW = 1 << 19, 200_000, 32
+#: Undecided windows of a gram that are dealt out together at most.
+HEAVY = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -207,14 +211,40 @@ def _compare_runs(batches):
 
 
 def _fetch(batches):
-    """The bytes of undecided runs: (gram, key, first, bytes)."""
+    """The bytes of undecided runs: (gram, part, key, first, bytes). Those of heavy grams come by window, with the window's hash as part; null bytes: first to part are repeated."""
+    import xxhash
+
+    seen: dict[bytes, tuple[int, int]] = {}  # windows of heavy grams, with the earliest place
     for batch in batches:
         texts, lists = batch.column(1), batch.column(2)
         for text, key, own in zip(texts.to_pylist(), batch.column(0).to_pylist(), lists.to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            own = [x for x in own if x["last"] + WINDOW <= len(raw)]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array([x["gram"] for x in own], pa.int64()), pa.array([key] * len(own), pa.int64()), pa.array([x["first"] for x in own], pa.int32()), pa.array([raw[x["first"] : x["last"] + WINDOW] for x in own], pa.binary())], names=["gram", "key", "first", "bytes"])
+            out = []
+            for x in own:
+                first, last = x["first"], x["last"]
+                if last + WINDOW > len(raw):
+                    continue
+                if not x["heavy"]:
+                    out.append((x["gram"], 0, first, raw[first : last + WINDOW]))
+                    continue
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                again = []
+                for p in range(first, last + 1):
+                    w = raw[p : p + WINDOW]
+                    old = seen.setdefault(w, (key, p))
+                    if old < (key, p):
+                        if again and again[-1][1] == p - 1:
+                            again[-1][1] = p
+                        else:
+                            again.append([p, p])
+                    else:
+                        seen[w] = (key, p)
+                        out.append((x["gram"], xxhash.xxh64_intdigest(w) - (1 << 63), p, w))
+                out += [(x["gram"], b, a, None) for a, b in again]
+            if out:
+                gram, part, at, found = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(part, pa.int64()), pa.array([key] * len(out), pa.int64()), pa.array(at, pa.int32()), pa.array(found, pa.binary())], names=["gram", "part", "key", "first", "bytes"])
 
 
 def _shared(x: bytes, y: bytes) -> int:
@@ -300,16 +330,16 @@ def equal_windows(groups: np.ndarray, parts: list[bytes]) -> list[np.ndarray]:
 
 
 def _sort_suffixes(batches):
-    """Rows sorted by gram, keys in order: the windows that an earlier one equals, as (key, first, last)."""
+    """Rows sorted by gram and part, keys in order: the windows that an earlier one equals, as (key, first, last)."""
     held: list[tuple] = []
 
     def settle(rows):
-        grams = np.array([r[0] for r in rows], np.int64)
-        sizes = np.array([len(r[3]) - WINDOW + 1 for r in rows], np.int64)
-        keys = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
-        place = np.repeat(np.array([r[2] for r in rows], np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        groups = np.unique(np.array([r[:2] for r in rows], np.int64), axis=0, return_inverse=True)[1].ravel()
+        sizes = np.array([len(r[4]) - WINDOW + 1 for r in rows], np.int64)
+        keys = np.repeat(np.array([r[2] for r in rows], np.int64), sizes)
+        place = np.repeat(np.array([r[3] for r in rows], np.int64) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         late = np.zeros(len(keys), bool)
-        for own in equal_windows(np.unique(grams, return_inverse=True)[1], [r[3] for r in rows]):
+        for own in equal_windows(groups, [r[4] for r in rows]):
             least = np.lexsort((place[own], keys[own]))[0]
             late[own] = (keys[own] != keys[own[least]]) | (place[own] != place[own[least]])
         found = np.flatnonzero(late)
@@ -320,9 +350,11 @@ def _sort_suffixes(batches):
 
     for batch in batches:
         rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        held += rows
-        if held and held[0][0] != held[-1][0] and len(held) >= 2000:
-            cut = next(k for k in range(len(held) - 1, -1, -1) if held[k][0] != held[-1][0]) + 1
+        if known := [r for r in rows if r[4] is None]:
+            yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in known], pa.int64()), pa.array([r[3] for r in known], pa.int32()), pa.array([r[1] for r in known], pa.int32())], names=["key", "first", "last"])
+        held += [r for r in rows if r[4] is not None]
+        if held and held[0][:2] != held[-1][:2] and len(held) >= 2000:
+            cut = next(k for k in range(len(held) - 1, -1, -1) if held[k][:2] != held[-1][:2]) + 1
             yield from settle(held[:cut])
             held = held[cut:]
     if held:
@@ -348,6 +380,17 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
 
+def undecided_runs(rows: DataFrame, compared: DataFrame) -> DataFrame:
+    """What ``_fetch`` gives for the runs of kind 2, dealt out by gram and part and sorted. Heavy grams are at most one in HEAVY windows and are broadcast."""
+    runs = compared.where("kind = 2").select("gram", "key", "first", "last")
+    heavy = runs.groupBy("gram").agg(F.sum(F.col("last").cast("long") - F.col("first") + 1).alias("n")).where(F.col("n") > HEAVY).select("gram", F.lit(True).alias("heavy"))
+    marked = runs.join(F.broadcast(heavy), "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    lists = marked.groupBy("key").agg(F.collect_list(F.struct("gram", "first", "last", "heavy")).alias("runs"))
+    fetched = rows.select("key", "text").join(lists, "key").mapInArrow(_fetch, "gram long, part long, key long, first int, bytes binary")
+    known = F.col("bytes").isNull()
+    return fetched.repartition(F.when(known, F.col("key")).otherwise(F.col("gram")), F.when(known, F.lit(0).cast("long")).otherwise(F.col("part"))).sortWithinPartitions("gram", "part", "key", "first")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id_col, n_bytes, spans (removed byte ranges, ends exclusive), kept (the bytes left)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -356,9 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = rows.select("key", "text").mapInArrow(_find_runs, _RUNS)
     dealt = found.repartition(F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.col("key"))).sortWithinPartitions("kind", "gram", "run", "key", "first")
     compared = stored(dealt.mapInArrow(_compare_runs, _RUNS), "runs")
-    undecided = compared.where("kind = 2").groupBy("key").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
-    fetched = rows.select("key", "text").join(undecided, "key").mapInArrow(_fetch, "gram long, key long, first int, bytes binary")
-    sorted_ = fetched.repartition("gram").sortWithinPartitions("gram", "key", "first").mapInArrow(_sort_suffixes, "key long, first int, last int")
+    sorted_ = undecided_runs(rows, compared).mapInArrow(_sort_suffixes, "key long, first int, last int")
     gone = compared.where("kind = 0").select("key", "first", "last").unionByName(sorted_)
     ranges = gone.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     joined = rows.join(ranges, "key", "left").select("id", "text", "ranges")
