@@ -1,10 +1,10 @@
 """Main text of web pages, with site templates removed.
 
 Pass one parses each page and hashes the text of its container elements' subtrees. Spark counts for each host on how many pages
-of different text a subtree stands; one on MIN_PAGES or more belongs to the site's template. Pass two parses
+of different text a subtree stands; one on MIN_PAGES or more, and on at least MIN_SHARE of the host's pages of different text, belongs to the site's template. Pass two parses
 again and deletes template subtrees, elements that are no article by their tag, role, class or id, scripts, styles and markup.
-If a page has article elements (or else a main element), its text is what stands in them. Inside those only containers
-can be template, never a paragraph, heading or list item by itself.
+If a page has article elements (or else a main element), its text is what stands in them. Inside those nothing is template
+that isn't marked as no article by its tag, role, class or id.
 
 Blocks end at block-level tags; inline tags and line breaks don't end them. Character references are decoded, white space
 in a block becomes one space, blocks are joined by an empty line.
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-#: Pages of different text from which a subtree of a host is template.
-MIN_PAGES = 5
+#: Pages of different text from which a subtree of a host is template, and the least share of the host's.
+MIN_PAGES, MIN_SHARE = 5, 0.1
 #: Elements whose content is no text, elements that hold no article, roles of such, and elements that are containers.
 RAW = frozenset("script style noscript template textarea title iframe svg math object head select datalist option".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog button header fieldset".split())
@@ -42,6 +42,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -70,7 +71,6 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
     page = page or ""
     root = Element("html", None, False, False, 0)
     blocks, elements, text, at, pos = [], [], [], root, 0
-    lowered = None
 
     def flush():
         if text:
@@ -89,11 +89,10 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
         tag = tag.lower()
         if tag in RAW:
             if not m[1] and not m[3].rstrip().endswith("/"):
-                lowered = page.lower() if lowered is None else lowered
-                end = lowered.find(f"</{tag}", pos)
-                if end < 0 and tag == "head":
+                end = _ENDS[tag].search(page, pos)
+                if end is None and tag == "head":
                     continue
-                pos = len(page) if end < 0 else end
+                pos = len(page) if end is None else end.start()
         elif tag == "br":
             text.append(" ")
         elif tag in BLOCKS:
@@ -139,7 +138,7 @@ def subtrees(page: str | None) -> tuple[int, list[int]]:
     out = []
     for e in elements:
         outermost = e.unwanted and not e.parent.unwanted
-        if e.last > e.first and e.tag in CONTAINERS - {"body", "article", "main"} and (outermost or not e.unwanted):
+        if e.last > e.first and e.tag in CONTAINERS - {"body", "article", "main"} and (outermost or not e.unwanted and not e.main):
             out.append(_subtree(e, blocks))
     return _digest("\n".join(b for b, _ in blocks)), sorted(set(out))
 
@@ -153,7 +152,7 @@ def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
     blocks, elements = parse(page)
     gone = [e.unwanted for _, e in blocks]
     for e in elements:
-        if template and not e.unwanted and e.last > e.first and e.tag in CONTAINERS - {"body", "article", "main"} and _subtree(e, blocks) in template:
+        if template and not e.unwanted and not e.main and e.last > e.first and e.tag in CONTAINERS - {"body", "article", "main"} and _subtree(e, blocks) in template:
             gone[e.first : e.last] = [True] * (e.last - e.first)
     for tag in ("article", "main"):
         inside = [False] * len(blocks)
@@ -171,6 +170,7 @@ def _find_subtrees(batches):
         keys, hosts, digests, trees = [], [], [], []
         for key, host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             digest, own = subtrees(page)
+            own = [None, *own]  # the page itself, for the host's pages
             keys += [key] * len(own)
             hosts += [host] * len(own)
             digests += [digest] * len(own)
@@ -184,14 +184,16 @@ def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([main_text(p if isinstance(p, str) else None, frozenset(g) if g is not None else frozenset()) for p, g in zip(pages, gone, strict=True)], dtype=object)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """A row for each row of ``pages``: id_col, url_col, text."""
     url, page = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
     key = F.xxhash64(url, page)
     rows = pages.select(key.alias("key"), F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"), page.alias("html"))
     found = rows.mapInArrow(_find_subtrees, "key long, host string, digest long, tree long")
     found = stored(found, "subtrees")
-    template = found.groupBy("host", "tree").agg(F.count_distinct("digest").alias("n")).where(F.col("n") >= min_pages).select("host", "tree")
+    own = found.where("tree is not null").groupBy("host", "tree").agg(F.count_distinct("digest").alias("n")).where(F.col("n") >= min_pages)
+    hosts = found.where("tree is null").groupBy("host").agg(F.count_distinct("digest").alias("n_pages"))
+    template = own.join(hosts, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("host", "tree")
     gone = found.join(template, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("gone"))
     docs = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), page.alias("__html"), key.alias("key")).join(gone, "key", "left")
     return docs.select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), _extract("__html", "gone").alias("text"))
