@@ -98,15 +98,18 @@ def adjacent_overlaps(fragments: DataFrame, key: str = "group_id") -> DataFrame:
 
 
 def group_fragments(fragments: DataFrame, max_members: int, max_groups: int) -> DataFrame:
-    """Fragments with a group key: the parent recording, else partition, channel and originating region, else alone; members and groups are capped with a flag."""
+    """Fragments with a group key: the parent recording, else partition, channel and originating region, else alone; members and groups are capped with a flag.
+
+    ``truncated``: the group has more members than are given; ``n_groups`` of the image, and ``groups_truncated`` if those behind ``max_groups`` are left out.
+    """
     together = F.concat_ws("/", F.lit("stream"), F.col("partition").cast("string"), F.col("channel").cast("string"), F.col("region_id").cast("string"))
     key = F.when(F.col("parent").isNotNull(), F.concat(F.lit("recording/"), F.col("parent").cast("string"))).when(F.col("channel").isNotNull() & F.col("region_id").isNotNull(), together).otherwise(F.concat(F.lit("alone/"), F.col("fragment_id").cast("string")))
     keyed = fragments.withColumn("group_id", key)
     w = Window.partitionBy("image_id", "group_id").orderBy("offset", "length", "fragment_id")
     rows = keyed.withColumns({"member": F.row_number().over(w), "n_members": F.count(F.lit(1)).over(Window.partitionBy("image_id", "group_id"))})
     groups = keyed.groupBy("image_id", "group_id").agg(F.min("offset").alias("first_offset"))
-    ranked = groups.withColumns({"group_rank": F.row_number().over(Window.partitionBy("image_id").orderBy("first_offset", "group_id"))}).where(F.col("group_rank") <= max_groups)
-    return rows.where(F.col("member") <= max_members).join(ranked, ["image_id", "group_id"]).withColumn("truncated", F.col("n_members") > max_members)
+    ranked = groups.withColumns({"group_rank": F.row_number().over(Window.partitionBy("image_id").orderBy("first_offset", "group_id")), "n_groups": F.count(F.lit(1)).over(Window.partitionBy("image_id"))}).where(F.col("group_rank") <= max_groups)
+    return rows.where(F.col("member") <= max_members).join(ranked, ["image_id", "group_id"]).withColumns({"truncated": F.col("n_members") > max_members, "groups_truncated": F.col("n_groups") > max_groups})
 
 
 def unanimous(col: str) -> Column:

@@ -8,8 +8,8 @@ from ..operators import pipeline as P
 from ..operators import ranges as R
 from .q_detect import _EVIDENCE, _SCORES, a02
 from .q_index import _SPANS, _spans
-from .q_recovery import _CLAIMS, _FRAGMENTS, _IMAGES, _records, fragments
-from .registry import query
+from .q_recovery import MOST, _CLAIMS, _FRAGMENTS, _IMAGES, _records, fragments
+from .registry import query, uncut
 from .views import RANGES, complement, merged, table
 
 
@@ -31,20 +31,38 @@ f AS (SELECT image_id, fragment_id, min(g."offset" // 20) AS pos, {_STATES} AS s
 c AS (SELECT image_id, count(*) AS n_candidates, count(*) FILTER (state = 'Active') AS n_active, count(*) FILTER (state = 'Deleted') AS n_deleted, count(*) FILTER (state = 'Orphaned') AS n_orphaned, count(*) FILTER (state = 'Unindexed') AS n_unindexed, count(*) FILTER (state = 'Corrupted') AS n_corrupted FROM h GROUP BY image_id)
 SELECT image_id, n_targets, bytes, truncated, coalesce(n_candidates, 0) AS n_candidates, coalesce(n_active, 0) AS n_active, coalesce(n_deleted, 0) AS n_deleted, coalesce(n_orphaned, 0) AS n_orphaned, coalesce(n_unindexed, 0) AS n_unindexed, coalesce(n_corrupted, 0) AS n_corrupted FROM (SELECT image_id, count(*) AS n_targets, sum(length)::BIGINT AS bytes, bool_or(truncated) AS truncated FROM b GROUP BY image_id) LEFT JOIN c USING (image_id)""")
 def d08(spark, sf_dir):
+    return _recovery(spark, sf_dir, 400000, 450)
+
+
+@query("d08_run_recovery_whole", uncut("d08_run_recovery", ("upto > 400000 OR place > 450", f"upto > {1 << 62} OR place > {MOST}")))
+def d08_whole(spark, sf_dir):
+    return _recovery(spark, sf_dir, 1 << 62, MOST)
+
+
+def _recovery(spark, sf_dir, max_bytes, max_regions):
     i = F.col("fragment_id")
     claim = F.element_at(F.array(*map(F.lit, ("indexed", "available", "unclaimed in scope", "outside scope", "no index"))), (i % 5 + 1).cast("int"))
     rows = fragments(spark, sf_dir).groupBy("image_id", "fragment_id").agg(F.floor(F.min("offset") / 20).alias("offset"))
     findings = rows.select("image_id", i.alias("region_id"), "offset", claim.alias("claim"), F.when(i % 3 == 0, "free").otherwise("allocated").alias("allocation"), (i % 7 > 0).alias("present"), F.lit(True).alias("signature"), (i % 4 > 0).alias("valid"))
     records, images = _records(spark, sf_dir)
-    return P.run_recovery(records, images, findings, 400000, 450)
+    return P.run_recovery(records, images, findings, max_bytes, max_regions)
 
 
 @query("d10_basis_inventory", f"""WITH {_SPANS}, {RANGES}, w AS (SELECT image_id % 10 AS image_id, "offset", length FROM v_ranges WHERE l_returnflag = 'A'), {merged("m", "w")}, uu AS (SELECT image_id, 0::BIGINT AS lo, max("offset" + length) AS hi FROM w GROUP BY image_id), {complement("h", "m", "uu")},
 x AS (SELECT image_id, 'indexed' AS basis, unit * 65536 + "offset" AS "offset", length FROM sp WHERE length > 0 UNION ALL SELECT image_id, 'structural', "offset", length FROM h UNION ALL SELECT image_id, 'heuristic', unit * 65536 + "index" % 65536, 512 FROM sp WHERE basis = 'unusable'), n AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY "offset", basis, length) AS rank, count(*) OVER (PARTITION BY image_id) AS n_all FROM x) SELECT * FROM n WHERE rank <= 500""")
 def d10(spark, sf_dir):
+    return _inventory(spark, sf_dir, 500)
+
+
+@query("d10_basis_inventory_whole", uncut("d10_basis_inventory", ("rank <= 500", f"rank <= {MOST}")))
+def d10_whole(spark, sf_dir):
+    return _inventory(spark, sf_dir, MOST)
+
+
+def _inventory(spark, sf_dir, most):
     spans = _spans(spark, sf_dir)
     indexed = spans.select("image_id", (F.col("unit") * 65536 + F.col("offset")).alias("offset"), "length")
     residual = spans.where("basis = 'unusable'").select("image_id", (F.col("unit") * 65536 + F.col("index") % 65536).alias("offset"), F.lit(512).alias("length"))
     known = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select((F.col("l_suppkey") % 10).alias("image_id"), (F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8).alias("offset"), (F.floor("l_quantity") * 32).alias("length"))
     universe = known.groupBy("image_id").agg(F.lit(0).cast("long").alias("offset"), F.max(F.col("offset") + F.col("length")).alias("length"))
-    return P.basis_inventory(indexed, R.complement_ranges(known, universe), residual, 500).withColumn("rank", F.col("rank").cast("long"))
+    return P.basis_inventory(indexed, R.complement_ranges(known, universe), residual, most).withColumn("rank", F.col("rank").cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import recovery as V
-from .registry import query
+from .registry import query, uncut
 from .views import RANGES, complement, merged, ranges, table
 
 #: Rows that agree in all columns are one fragment, so that ids are unique.
@@ -118,6 +118,15 @@ def a09(spark, sf_dir):
     return V.group_fragments(fragments(spark, sf_dir).drop("group_id"), 2, 300).select("image_id", "group_id", "fragment_id", F.col("member").cast("long").alias("member"), "n_members", F.col("group_rank").cast("long").alias("group_rank"), "truncated")
 
 
+#: The reference's largest bound, a u32: nothing of a table is cut.
+MOST = 4294967295
+
+
+@query("a09_group_fragments_whole", uncut("a09_group_fragments", ("n_members > 2 AS truncated", f"n_members > {MOST} AS truncated, (SELECT count(*) FROM g h WHERE h.image_id = n.image_id) AS n_groups, (SELECT count(*) FROM g h WHERE h.image_id = n.image_id) > {MOST} AS groups_truncated"), ("member <= 2", f"member <= {MOST}"), ("group_rank <= 300", f"group_rank <= {MOST}")))
+def a09_whole(spark, sf_dir):
+    return V.group_fragments(fragments(spark, sf_dir).drop("group_id"), MOST, MOST).select("image_id", "group_id", "fragment_id", F.col("member").cast("long").alias("member"), "n_members", F.col("group_rank").cast("long").alias("group_rank"), "truncated", "n_groups", "groups_truncated")
+
+
 @query("a10_unanimous", f"WITH {_FRAGMENTS} SELECT group_id, CASE WHEN count(DISTINCT channel) = 1 AND count(channel) = count(*) THEN min(channel) END AS channel, CASE WHEN count(DISTINCT state) = 1 AND count(state) = count(*) THEN min(state) END AS state, CASE WHEN count(DISTINCT partition) = 1 AND count(partition) = count(*) THEN min(partition) END AS partition FROM v_fragments GROUP BY group_id")
 def a10(spark, sf_dir):
     return fragments(spark, sf_dir).groupBy("group_id").agg(*[V.unanimous(c).alias(c) for c in ("channel", "state", "partition")])
@@ -134,6 +143,11 @@ def a12(spark, sf_dir):
     return V.reassemble(fragments(spark, sf_dir).where("sequence is not null"), 4)
 
 
+@query("a12_reassemble_whole", uncut("a12_reassemble", ("r <= 4 ", f"r <= {MOST} "), ("least(n_all, 4)", "n_all"), ("n_all > 4", f"n_all > {MOST}")))
+def a12_whole(spark, sf_dir):
+    return V.reassemble(fragments(spark, sf_dir).where("sequence is not null"), MOST)
+
+
 _IMAGES = 'img AS (SELECT image_id, max("offset" + length) + 3000000 AS size_bytes FROM v_ranges GROUP BY image_id), u AS (SELECT image_id, 0::BIGINT AS lo, size_bytes AS hi FROM img)'
 _CLAIMS = f"""rc AS (SELECT image_id, l_returnflag = 'N' AS accessible, "offset", length FROM v_ranges WHERE l_returnflag <> 'R'), acc AS (SELECT * FROM rc WHERE accessible), ava AS (SELECT * FROM rc WHERE NOT accessible), {merged("mc", "acc")}, {merged("mv", "ava")}, {merged("mb", "rc")}, {complement("un", "mb", "u")}"""
 
