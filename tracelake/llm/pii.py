@@ -2,7 +2,8 @@
 
 DataFrame functions alone. Each match is wrapped in two private-use characters, the text is split at the first of
 them and the lengths of the parts add up to code-point offsets, so a text is scanned once for each kind. The patterns take
-what cannot be given back possessively and start at a run's first character, so that long runs take linear time.
+what cannot be given back possessively and start at a run's first character, so that long runs take linear time; offsets and
+context words come from one fold over the parts, so that many spans in one text take linear time too.
 
 Defined results: a null text counts as empty and has no spans. A failing match is dropped and its characters are not tried again.
 Repeated rows and null ids keep their rows. A table without rows gives none. Other columns are not looked at.
@@ -24,6 +25,10 @@ BASE = ("email", "ip", "card", "phone")
 #: Words that make personal data likelier when one stands in the code points before a span.
 CONTEXT = "e-?mail|mail|contact|write|card|visa|mastercard|credit|phone|tel|call|mobile|fax|iban|account|bank|ip|server|host|address"
 CONTEXT_CHARS = 40
+#: A character without which a text has no match of the kind.
+NEEDED = {"email": "@", "phone": "+"}
+#: Matches that a fold gathers at once.
+BLOCK = 256
 OPEN, SHUT, OTHER = "", "", ""
 
 
@@ -71,23 +76,47 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """array of struct(kind, start, end, score): the valid matches of one kind, offsets in code points, score in hundredths."""
-    parts = F.split(F.regexp_replace(text, KINDS[kind], f"{OPEN}$0{SHUT}"), OPEN)
-    shape = "array<struct<start:int,end:int,m:string>>"
+def _parts(kind: str, text: Column) -> Column:
+    """The text cut at the start of each match; a part but the first is a match, SHUT and what comes before the next."""
+    marked = F.regexp_replace(text, KINDS[kind], f"{OPEN}$0{SHUT}")
+    if kind in NEEDED:
+        marked = F.when(F.contains(text, F.lit(NEEDED[kind])), marked).otherwise(text)
+    return F.split(marked, OPEN)
+
+
+def _located(parts: Column) -> Column:
+    """array of struct(start, end, before, m) of the matches; ``before`` is what stands ahead of one, CONTEXT_CHARS at most.
+
+    A fold over the parts carries the place and the last code points. It runs over blocks of BLOCK parts, as each
+    step of a fold copies what it has gathered.
+    """
+    spans = "array<struct<start:int,end:int,before:string,m:string>>"
 
     def add(a, p):
         m = F.substring_index(p, SHUT, 1)
-        span = F.struct(a["at"].alias("start"), (a["at"] + F.char_length(m)).alias("end"), m.alias("m"))
-        return F.struct((a["at"] + F.char_length(p) - 1).alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+        span = F.struct(a["at"].alias("start"), (a["at"] + F.char_length(m)).alias("end"), a["tail"].alias("before"), m.alias("m"))
+        tail = F.substring(F.concat(a["tail"], F.replace(p, F.lit(SHUT), F.lit(""))), F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS))
+        return F.struct((a["at"] + F.char_length(p) - 1).alias("at"), tail.alias("tail"), F.concat(a["spans"], F.array(span)).alias("spans"))
+
+    def add_block(a, k):
+        last, none = a["last"], F.array().cast(spans).alias("spans")
+        block = F.aggregate(F.slice(parts, k * BLOCK + 2, F.lit(BLOCK)), F.struct(last["at"].alias("at"), last["tail"].alias("tail"), none), add)
+        return F.struct(block.alias("last"), F.concat(a["out"], F.array(last["spans"])).alias("out"))
+
+    first = F.struct(F.char_length(parts[0]).alias("at"), F.substring(parts[0], F.lit(-CONTEXT_CHARS), F.lit(CONTEXT_CHARS)).alias("tail"), F.array().cast(spans).alias("spans"))
+    start = F.struct(first.alias("last"), F.array().cast(f"array<{spans}>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / BLOCK).cast("int"))
+    found = F.aggregate(blocks, start, add_block, lambda a: F.flatten(F.concat(a["out"], F.array(a["last"]["spans"]))))
+    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast(spans))
+
 
+def _judged(kind: str, located: Column) -> Column:
+    """array of struct(kind, start, end, score): the valid ones of ``located``, score in hundredths."""
     def score(s):
-        before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        near = F.lower(before).rlike(f"(^|[^a-z])({CONTEXT})([^a-z]|$)")
+        near = F.lower(s["before"]).rlike(f"(^|[^a-z])({CONTEXT})([^a-z]|$)")
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(80 if kind in ("card", "iban") else 50) + F.when(near, 20).otherwise(0)).alias("score"))
 
-    all_spans = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.struct(F.char_length(parts[0]).alias("at"), F.array().cast(shape).alias("spans")), add, lambda a: a["spans"])
-    return F.transform(F.filter(all_spans, lambda s: _valid(kind, s["m"])), score)
+    return F.transform(F.filter(located, lambda s: _valid(kind, s["m"])), score)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +124,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = F.replace(F.replace(text, F.lit(OPEN), F.lit(OTHER)), F.lit(SHUT), F.lit(OTHER))
     plain = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    return plain.select(F.col("id").alias(id_col), F.concat(*[spans_of(k, F.col("text")) for k in KINDS]).alias("spans"))
+    # each step's columns are used more than once by the next, so that Spark keeps them instead of computing them anew
+    parts = plain.select("id", *[_parts(k, F.col("text")).alias(k) for k in KINDS])
+    return parts.select(F.col("id").alias(id_col), F.concat(*[_judged(k, _located(F.col(k))) for k in KINDS]).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
