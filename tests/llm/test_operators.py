@@ -311,3 +311,30 @@ def test_quality(spark):
     assert all(got[k].predicted == k % 2 for k in range(120, 200))
     one = quality.fit(frame(spark, texts), labels.where("quality = 1"))
     assert quality.score(frame(spark, texts), one).where("predicted = 0").count() == 0
+
+
+def test_pii_many_spans_in_one_text(spark):
+    import time
+
+    part = "mail ab@cd.ef tel +49 30 123456 "
+    text, one = part * 50_000, re.finditer(r"[a-z]+@[a-z.]+", part * 3)
+    began = time.time()
+    spans = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert time.time() - began < 60 and len(spans) == 100_000
+    assert [(s.start, s.end, s.score) for s in spans[:3]] == [(m.start(), m.end(), 70) for m in one]
+    assert spans[49_999].start == 49_999 * len(part) + 5 and spans[99_999].score == 70
+
+
+def test_pii_context_across_spans(spark):
+    text = "call 1.2.3.4 5.6.7.8 " + "x" * 40 + " 9.9.9.9 then host é 8.8.8.8"
+    spans = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert [(s.start, s.score) for s in spans if s.kind == "ip"] == [(5, 70), (13, 70), (62, 50), (82, 70)]
+
+
+def test_substrings_of_repeated_ids(spark):
+    """Rows that repeat an id with other text are documents of their own."""
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    a, u = noise(300), noise(900)
+    got = substrings.remove_repeats(spark.createDataFrame([(1, a), (5, a + "x"), (5, u), (5, u), (None, u), (None, u[:500] + a)], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, len(r.kept)) for r in got) == [("1", 300, 300), ("5", 301, 1), ("5", 900, 900), ("5", 900, 900), ("None", 800, 0), ("None", 900, 0)]

@@ -14,8 +14,9 @@ Of equal runs that a task finds together only the first is sent on. "Earlier" me
 is wholly repeated and sends no runs, so that many copies don't meet in one task.
 
 Defined results: a null text counts as empty. Documents shorter than a window keep all bytes. Rows that repeat an id and text
-are one document and get the same result; what is removed under an id is removed from each row with that id. Rows
-without an id come after all others, in an order by a hash of their text. A table without rows gives none. Other columns are not looked at.
+are one document and get the same result. Rows that repeat an id with other text are documents of their own; among them, and among
+rows without an id, which come after all others, a hash of the text gives the order. A table without rows gives none. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SPREAD = WINDOW - GRAM + 1
 #: Bytes at once, digests of texts that a task remembers, depth of the multikey sort.
 CHUNK, REMEMBERED, SHALLOW = 1 << 19, 200_000, 32
 #: Undecided windows of a gram that are dealt out together at most.
-HEAVY = 1 << 18
+HEAVY = 1 << 16
 _PLACE = np.uint64((1 << 20) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -216,8 +217,7 @@ def _fetch(batches):
 
     seen: dict[bytes, tuple[int, int]] = {}  # windows of heavy grams, with the earliest place
     for batch in batches:
-        texts, lists = batch.column(1), batch.column(2)
-        for text, key, own in zip(texts.to_pylist(), batch.column(0).to_pylist(), lists.to_pylist(), strict=True):
+        for key, text, own in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "runs")), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             out = []
             for x in own:
@@ -386,16 +386,26 @@ def undecided_runs(rows: DataFrame, compared: DataFrame) -> DataFrame:
     heavy = runs.groupBy("gram").agg(F.sum(F.col("last").cast("long") - F.col("first") + 1).alias("n")).where(F.col("n") > HEAVY).select("gram", F.lit(True).alias("heavy"))
     marked = runs.join(F.broadcast(heavy), "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     lists = marked.groupBy("key").agg(F.collect_list(F.struct("gram", "first", "last", "heavy")).alias("runs"))
-    fetched = rows.select("key", "text").join(lists, "key").mapInArrow(_fetch, "gram long, part long, key long, first int, bytes binary")
+    # the same columns of the texts as in the last join, so that one exchange of them serves both
+    fetched = rows.join(lists, "key").mapInArrow(_fetch, "gram long, part long, key long, first int, bytes binary")
     known = F.col("bytes").isNull()
     return fetched.repartition(F.when(known, F.col("key")).otherwise(F.col("gram")), F.when(known, F.lit(0).cast("long")).otherwise(F.col("part"))).sortWithinPartitions("gram", "part", "key", "first")
 
 
+def with_keys(rows: DataFrame) -> DataFrame:
+    """(id, text) with ``key``, by which documents are told apart and put in order: the id itself where ids tell texts apart."""
+    hashed = rows.select("id", F.xxhash64("text").alias("hash"))
+    per_id = hashed.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    if per_id.where("id is null or low <> high").isEmpty():
+        return rows.select("id", F.coalesce("id", F.lit(0)).alias("key"), "text")
+    places = hashed.distinct().repartitionByRange(F.col("id").asc_nulls_last(), "hash").sortWithinPartitions(F.col("id").asc_nulls_last(), "hash")
+    places = stored(places.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.monotonically_increasing_id().alias("key")), "places")
+    return rows.join(places, (F.xxhash64("text") == F.col("__hash")) & F.col("id").eqNullSafe(F.col("__id"))).select("id", F.coalesce("key", F.lit(0)).alias("key"), "text")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id_col, n_bytes, spans (removed byte ranges, ends exclusive), kept (the bytes left)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), late).alias("key"), text.alias("text"))
+    rows = with_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     found = rows.select("key", "text").mapInArrow(_find_runs, _RUNS)
     dealt = found.repartition(F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.col("key"))).sortWithinPartitions("kind", "gram", "run", "key", "first")
     compared = stored(dealt.mapInArrow(_compare_runs, _RUNS), "runs")
