@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens. Each task keeps, for blocks of some MB of text, the distinct words of the block and the
-positions where each stands, packed as a sequence of word numbers. The distinct words are dealt out by a hash of the word over
-the whole cluster, those of one block and hash bucket packed in one row; where they meet each is encoded once, and its ids go back
-to every block that asked for it. Each block then puts its texts together again by position. Decoding looks each id up in
-the token-byte table, which has a fixed size and is broadcast.
+Texts are cut into pre-tokens once. Each task writes, for blocks of some MB of text, the block's distinct words and, for each
+text, the positions where they stand, as a sequence of word numbers. The distinct words are dealt out by a hash of the word over
+the whole cluster, those of one block and hash bucket packed in one row. Equal words of all blocks meet in one bucket, where
+each is encoded once; the ids go back to every block that asked for them, and each block puts its texts together again by
+position. Decoding looks each id up in the token-byte table, which has a fixed size and is broadcast.
 
-A block's texts and words come from two passes over the input, so that texts shuffle once. A block's key is a hash
-of its content. Should the input come in another order the second time, the job fails instead of giving wrong ids.
+Both the words and the positions are read from the written blocks, so neither the order of the input nor a lost executor
+can set them apart. Words that come often in a block have low numbers, which makes the positions compress well.
 
 Defined results: a null text counts as empty and has no ids. Repeated rows and ids stay as they are, null ids
 too. A table without rows gives none. Other columns are not looked at.
@@ -23,22 +23,25 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 #: Characters of text in a block, a longer text being a block of its own.
-BLOCK = 6_000_000
-#: Encoded words that a task remembers, and tokens that are put together at once.
-REMEMBERED, TOKENS = 200_000, 300_000
-#: Least and most buckets that words are dealt into.
-BUCKETS = (64, 4096)
-#: A block's texts sort behind its buckets of words, under this number plus that of its words.
-LAST = 1 << 24
+BLOCK = 32_000_000
+#: Tokens that are put together at once.
+TOKENS = 300_000
+#: Least number of buckets that words are dealt into, and blocks for each bucket beyond that.
+BUCKETS, BLOCKS_PER_BUCKET = 64, 128
+#: A block's texts sort behind its buckets of words.
+LAST = (1 << 31) - 1
 
-_WORDS = "block long, bucket int, words binary"
-_IDS = "block long, bucket int, ids binary"
-_TEXTS = "block long, bucket int, doc_ids array<long>, sizes array<int>, positions binary"
+_BLOCKS = "block long, doc_ids array<long>, sizes array<int>, positions binary, n_words int, words binary"
+_WORDS = "bucket int, block long, numbers binary, words binary"
+_IDS = "block long, bucket int, numbers binary, ids binary"
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -78,81 +81,98 @@ def _row(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values[name]], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
-def _cut(pattern: str, buckets: int, texts: bool):
-    """Blocks of texts: their distinct words by bucket, or else their texts as numbers of those words."""
+def _pack_words(words: list[bytes]) -> bytes:
+    import zstandard
+
+    lengths = _pack(np.fromiter(map(len, words), np.int32, len(words)))
+    return len(lengths).to_bytes(8, "little") + lengths + zstandard.ZstdCompressor(level=6).compress(b"".join(words))
+
+
+def _unpack_words(packed: bytes) -> list[bytes]:
+    import zstandard
+
+    n = 8 + int.from_bytes(packed[:8], "little")
+    (lengths,) = _unpack(packed[8:n], 1)
+    joined, ends = zstandard.ZstdDecompressor().decompress(packed[n:]), np.cumsum(lengths).tolist()
+    return [joined[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def _cut(pattern: str):
+    """Blocks of texts: their distinct words, and the texts as numbers of those words."""
 
     def cut(batches):
         import regex
-        import xxhash
-        import zstandard
 
         find = regex.compile(pattern).findall
-
-        def close():
-            raw = [w.encode("utf-8", "replace") for w in words]
-            own = np.fromiter(map(crc32, raw), np.int64, len(raw)) % buckets
-            order = sorted(range(len(raw)), key=raw.__getitem__)
-            order = np.array(order, np.int64)[np.argsort(own[order], kind="stable")]
-            for w in raw:
-                seen.update(w)
-            block = seen.intdigest() - (1 << 63)
-            if texts:
-                new = np.empty(len(raw), np.int32)
-                new[order] = np.arange(len(raw), dtype=np.int32)
-                yield _row(_TEXTS, block=block, bucket=LAST + len(raw), doc_ids=ids, sizes=sizes, positions=_pack(new[np.concatenate(found)]))
-                return
-            ends = np.searchsorted(own[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(ends)):
-                some = [raw[i] for i in order[ends[k] : ends[k + 1]]]
-                lengths = _pack(np.fromiter(map(len, some), np.int32, len(some)))
-                joined = zstandard.ZstdCompressor(level=6).compress(b"".join(some))
-                yield _row(_WORDS, block=block, bucket=k, words=len(lengths).to_bytes(8, "little") + lengths + joined)
+        first, made = TaskContext.get().partitionId() << 32, 0
 
         def fresh():
             words = defaultdict()
             words.default_factory = words.__len__
             return words
 
-        chars, ids, sizes, found, words, seen = 0, [], [], [], fresh(), xxhash.xxh64()
+        def close():
+            raw = [w.encode("utf-8", "replace") for w in words]
+            all_ = np.concatenate(found)
+            # frequent words first, by powers of two; words of one class in order, so that they compress well
+            rare = -np.log2(np.bincount(all_, minlength=len(raw)).clip(1)).astype(np.int32)
+            order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+            order = order[np.argsort(rare[order], kind="stable")]
+            number = np.empty(len(raw), np.int32)
+            number[order] = np.arange(len(raw), dtype=np.int32)
+            return _row(_BLOCKS, block=first + made, doc_ids=ids, sizes=sizes, positions=_pack(number[all_]), n_words=len(raw), words=_pack_words([raw[i] for i in order]))
+
+        chars, ids, sizes, found, words = 0, [], [], [], fresh()
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.fromiter(map(words.__getitem__, find(text or "")), np.int32)
-                seen.update(f"{doc_id}:{len(own)}:".encode() + own.tobytes())
                 ids.append(doc_id)
                 sizes.append(len(own))
                 found.append(own)
                 chars += len(text or "")
                 if chars >= BLOCK:
-                    yield from close()
-                    chars, ids, sizes, found, words, seen = 0, [], [], [], fresh(), xxhash.xxh64()
+                    yield close()
+                    made += 1
+                    chars, ids, sizes, found, words = 0, [], [], [], fresh()
         if ids:
-            yield from close()
+            yield close()
 
     return cut
 
 
+def _deal(buckets: int):
+    """A block's distinct words by bucket, with their numbers."""
+
+    def deal(batches):
+        for batch in batches:
+            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = _unpack_words(packed)
+                own = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+                order = np.argsort(own, kind="stable")
+                cuts = np.r_[0, np.flatnonzero(np.diff(own[order])) + 1, len(order)] if len(order) else [0]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    some = order[i:j]
+                    yield _row(_WORDS, bucket=own[some[0]], block=block, numbers=_pack(np.diff(some, prepend=0)), words=_pack_words([words[k] for k in some]))
+
+    return deal
+
+
 def _encode(pattern: str, table):
-    """Where equal words meet: each is encoded once."""
+    """Of rows sorted by bucket, so that all equal words come together: each distinct word is encoded once."""
 
     def encode(batches):
-        import zstandard
-
-        encoding, known = _encoding(pattern, tuple(table.value)), {}
+        encoding, at, known = _encoding(pattern, tuple(table.value)), None, {}
         for batch in batches:
-            for block, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = 8 + int.from_bytes(packed[:8], "little")
-                (lengths,) = _unpack(packed[8:n], 1)
-                joined, ends = zstandard.ZstdDecompressor().decompress(packed[n:]), np.cumsum(lengths).tolist()
+            for bucket, block, numbers, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
                 out = []
-                for i, j in zip([0, *ends], ends, strict=False):
-                    word = joined[i:j]
+                for word in _unpack_words(packed):
                     if (ids := known.get(word)) is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
                         ids = known[word] = encoding.encode_ordinary(word.decode("utf-8"))
                     out.append(ids)
                 counts = np.fromiter(map(len, out), np.int32, len(out))
-                yield _row(_IDS, block=block, bucket=bucket, ids=_pack(counts, np.fromiter(chain.from_iterable(out), np.int32)))
+                yield _row(_IDS, block=block, bucket=bucket, numbers=numbers, ids=_pack(counts, np.fromiter(chain.from_iterable(out), np.int32)))
 
     return encode
 
@@ -177,33 +197,33 @@ def _decoded(table: list[bytes], offsets, ids: np.ndarray) -> list[bytes]:
 
 
 def _put_together(batches):
-    at, last_bucket, counts, ids = None, None, [], []
+    at, numbers, counts, ids = None, [], [], []
     for batch in batches:
-        for block, bucket, packed, doc_ids, sizes, positions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, bucket, own, packed, doc_ids, sizes, positions, n_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != at:
-                at, last_bucket, counts, ids = block, None, [], []
-            if positions is None:
-                if bucket == last_bucket:  # another block with the very same content
-                    continue
-                last_bucket = bucket
-                own = _unpack(packed, 2)
-                counts.append(own[0])
-                ids.append(own[1])
+                at, numbers, counts, ids = block, [], [], []
+            if bucket != LAST:
+                numbers.append(np.cumsum(_unpack(own, 1)[0]))
+                some = _unpack(packed, 2)
+                counts.append(some[0])
+                ids.append(some[1])
                 continue
             (positions,) = _unpack(positions, 1)
-            lengths = np.concatenate([np.zeros(0, np.int64), *counts])
-            flat = np.concatenate([np.zeros(0, np.int32), *ids])
-            if bucket - LAST != len(lengths):
+            all_ = np.concatenate([np.zeros(0, np.int64), *numbers])
+            if n_words != len(all_):
                 raise RuntimeError("a block's words did not all come back")
-            starts = np.cumsum(lengths) - lengths
+            came = np.concatenate([np.zeros(0, np.int64), *counts])
+            flat = np.concatenate([np.zeros(0, np.int32), *ids])
+            lengths, starts = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+            lengths[all_], starts[all_] = came, np.cumsum(came) - came
             ends = np.r_[0, np.cumsum(np.array(sizes, np.int64))]
             first = 0
             while first < len(sizes):  # some of the block's texts at a time
                 last = max(first + 1, int(np.searchsorted(ends, ends[first] + TOKENS, "right")) - 1)
                 own = positions[ends[first] : ends[last]]
-                many = lengths[own].astype(np.int64)
+                many = lengths[own]
                 before = np.r_[0, np.cumsum(many)]
-                take = np.repeat(starts[own].astype(np.int64) - before[:-1], many) + np.arange(before[-1])
+                take = np.repeat(starts[own] - before[:-1], many) + np.arange(before[-1])
                 offsets = before[ends[first : last + 1] - ends[first]]
                 yield doc_ids[first:last], offsets, flat[take]
                 first = last
@@ -216,12 +236,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    buckets = min(BUCKETS[1], max(BUCKETS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = texts.mapInArrow(_cut(pattern, buckets, False), _WORDS)
-    encoded = words.repartition("bucket").mapInArrow(_encode(pattern, table), _IDS)
-    positions = texts.mapInArrow(_cut(pattern, buckets, True), _TEXTS)
-    both = encoded.unionByName(positions, allowMissingColumns=True)
+    blocks = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_cut(pattern), _BLOCKS), "blocks")
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BLOCKS_PER_BUCKET)
+    words = blocks.select("block", "words").mapInArrow(_deal(buckets), _WORDS)
+    encoded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(pattern, table), _IDS)
+    texts = blocks.select("block", F.lit(LAST).alias("bucket"), "doc_ids", "sizes", "positions", "n_words")
+    both = encoded.unionByName(texts, allowMissingColumns=True)
     by_block = both.repartition("block").sortWithinPartitions("block", "bucket")
     shape = "id long, ids array<int>" + ", decoded binary" * decoded
     return by_block.mapInArrow(_assemble(table if decoded else None), shape).withColumnRenamed("id", id_col)
