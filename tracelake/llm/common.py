@@ -73,7 +73,7 @@ def bitmaps(slot: DataFrame) -> DataFrame:
 
 
 def with_probe(rows: DataFrame, filter_pages: DataFrame, bits: int, h) -> DataFrame:
-    """``rows`` with ``maybe``: whether both slots of the hash ``h`` are set in the filter, which is broadcast (32 MB at most)."""
+    """``rows`` with ``__maybe``: whether both slots of the hash ``h`` are set in the filter, which is broadcast (32 MB at most)."""
     out, names, hits = rows, rows.columns, []
     for k, slot in enumerate(slots(h, bits)):
         pages = F.broadcast(filter_pages.select(F.col("page").alias(f"__page{k}"), F.col("bitmap").alias(f"__bitmap{k}")))
@@ -81,7 +81,7 @@ def with_probe(rows: DataFrame, filter_pages: DataFrame, bits: int, h) -> DataFr
         out = out.join(pages, F.floor(F.col(f"__slot{k}") / PAGE).cast("long") == F.col(f"__page{k}"), "left")
         byte = f"cast(conv(hex(substring(__bitmap{k}, cast((__slot{k} % {PAGE}) div 8 as int) + 1, 1)), 16, 10) as int)"
         hits.append(F.coalesce(F.expr(f"shiftright({byte}, cast(__slot{k} % 8 as int)) & 1"), F.lit(0)) == 1)
-    return out.select(*names, (hits[0] & hits[1]).alias("maybe"))
+    return out.select(*names, (hits[0] & hits[1]).alias("__maybe"))
 
 
 def apart(rows: DataFrame, key, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +92,7 @@ def apart(rows: DataFrame, key, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = filter_bits(keys.count())
     own = keys.select(F.explode(F.array(*slots(F.xxhash64(F.col(keys.columns[0])), bits))).alias("slot"))
     probed = with_probe(rows, stored(bitmaps(own), "filter"), bits, F.xxhash64(key))
-    return probed.where(~F.col("maybe")).drop("maybe"), probed.where("maybe").drop("maybe")
+    return probed.where(~F.col("__maybe")).drop("__maybe"), probed.where("__maybe").drop("__maybe")
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
