@@ -338,3 +338,21 @@ def test_substrings_of_repeated_ids(spark):
     a, u = noise(300), noise(900)
     got = substrings.remove_repeats(spark.createDataFrame([(1, a), (5, a + "x"), (5, u), (5, u), (None, u), (None, u[:500] + a)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_bytes, len(r.kept)) for r in got) == [("1", 300, 300), ("5", 301, 1), ("5", 900, 900), ("5", 900, 900), ("None", 800, 0), ("None", 900, 0)]
+
+
+def test_decontamination_in_slices(monkeypatch, spark):
+    """Several slices give what one gives, with the weights of the whole benchmark, repeated item ids and a long text."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    items = [(k % 17, " ".join(rng.choice(words) for _ in range(rng.randint(2, 40)))) for k in range(20)] + [(50, None), (51, "!")]
+    items += [(60 + k, items[2][1] + f" more {k}") for k in range(3)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(50)) + " " + items[k % 20][1].upper()) for k in range(30)] + [(90, None), (91, "")]
+    docs += [(92, "word " * 100_000 + items[4][1]), (None, items[5][1]), (3, items[6][1]), (3, items[6][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(str, decontam.find_leaks(frame(spark, docs), bench).collect()))
+    left = Counter(r.doc_id for r in decontam.clean(frame(spark, docs), bench).collect())
+    monkeypatch.setattr(decontam, "SLICE_ITEMS", 4)
+    assert decontam.slices(bench)[0] > 3
+    assert sorted(map(str, decontam.find_leaks(frame(spark, docs), bench).collect())) == one
+    assert Counter(r.doc_id for r in decontam.clean(frame(spark, docs), bench).collect()) == left
+    assert 90 in left and 92 not in left and 3 not in left and None not in left
