@@ -180,11 +180,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     Learns from about ``rows`` rows of each language, picked by a hash of the text, none longer than ``longest`` characters.
     """
     usable = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and lang <> '' and text is not null").where(F.char_length("text").between(1, longest))
-    there = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usable = usable.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
+    there = {r["lang"]: r for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()}
     if not there:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in there.items() for x in (lang, max(1, min(1_000_000, round(1_000_000 * rows / n))))])
-    sample = usable.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    # at least the rows of the smallest draw, so that a language whose rows share few texts isn't lost
+    share = F.create_map(*[F.lit(x) for lang, r in there.items() for x in (lang, max(r["least"] + 1, min(1_000_000, round(1_000_000 * rows / r["n"]))))])
+    sample = usable.where(F.col("draw") < share[F.col("lang")])
     langs = sorted(there)
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
     counts = sample.withColumn("lang", number[F.col("lang")]).mapInPandas(_count, "lang int, depth int, gram long, n long").groupBy("lang", "depth", "gram").agg(F.sum("n").cast("int").alias("n"))

@@ -41,8 +41,8 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
 
 
 def _key(id_col: str, text):
-    """What a row is joined by: id and text, so that ids may repeat or be null."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text)
+    """What a row is joined by: 16 bytes of MD5 of id and text, so that ids may repeat or be null."""
+    return F.unhex(F.md5(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text)))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
