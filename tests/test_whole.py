@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__
-from tracelake.plans import q_ranges
+from tracelake.plans import registry
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
-#: Part keys that the queries over a subset skip.
 ROWS = [(1 + k // 3, 3 + k % 5, 1 + k % 2, k % 7, 20.0 + k % 30, "ANR"[k % 3], "OF"[k % 4 // 3]) for k in range(90)]
 
 
@@ -31,7 +30,7 @@ def run(spark, name, at):
 def test_overlap_join(spark, lines):
     a, b = [r for r in placed() if r[4] == "O"], [r for r in placed() if r[3] == "R"]
     want = sorted((x[0], x[1], x[2], x[5], y[1], y[2], y[5]) for x in a for y in b if x[0] == y[0] and x[1] < y[1] + y[2] and y[1] < x[1] + x[2])
-    got = sorted((r.image_id, r.a_offset, r.a_length, r.a_l_orderkey, r.b_offset, r.b_length, r.b_l_orderkey) for r in run(spark, "j02_overlap_join_whole", lines))
+    got = sorted((r.image_id, r.a_offset, r.a_length, r.a_l_orderkey, r.b_offset, r.b_length, r.b_l_orderkey) for r in run(spark, "j02_overlap_join", lines))
     assert got == want and want
 
 
@@ -50,22 +49,22 @@ def test_map_logical(spark, lines):
             lo, hi = max(at, p * 13), min(at + n, p * 13 + 2000)
             if i == j and lo < hi:
                 want.append((i, p, seq, disk + lo - at, hi - lo))
-    got = sorted((r.image_id, r.range_id, r.seq, r.offset, r.length) for r in run(spark, "j14_map_logical_whole", lines))
+    got = sorted((r.image_id, r.range_id, r.seq, r.offset, r.length) for r in run(spark, "j14_map_logical", lines))
     assert got == sorted(want) and want
 
 
 def test_partition_entries(spark, lines):
-    got = {r.image_id: r for r in run(spark, "x09_partition_entries_whole", lines)}
+    got = {r.image_id: r for r in run(spark, "x09_partition_entries", lines)}
     assert set(got) == {1, 19, 999, 1000, 1045, 19000, 1234567}
     assert got[1045].finding == "unused with geometry" and got[19].finding == "overflow" and got[1234567].finding == "out of bounds"
 
 
 def test_pointers_and_entries(spark, lines):
-    assert sorted(r.hit_id for r in run(spark, "x03_follow_pointers_whole", lines)) == list(range(1, 400))
-    odd = [r for r in run(spark, "j04_match_entries_whole", lines) if r.clip_id % 2 and r.clip_id % 3 == 0]
+    assert sorted(r.hit_id for r in run(spark, "x03_follow_pointers", lines)) == list(range(1, 400))
+    odd = [r for r in run(spark, "j04_match_entries", lines) if r.clip_id % 2 and r.clip_id % 3 == 0]
     assert odd and all((r.entry_id, r.basis) == (r.clip_id * 7, "offset") for r in odd)
 
 
 def test_uncut_names_its_filters():
     with pytest.raises(ValueError):
-        q_ranges.uncut("j02_overlap_join", (" WHERE nothing", ""))
+        registry.uncut("j02_overlap_join", (" WHERE nothing", ""))

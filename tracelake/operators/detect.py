@@ -145,15 +145,21 @@ def scan_report(chunks: DataFrame, limit: int) -> DataFrame:
     return by.withColumn("termination", F.when(F.col("bytes") >= limit, "limit").otherwise("end of image"))
 
 
+def unit_points(unit):
+    """Points for H.264 and for H.265 of the first byte behind a start code."""
+    a, h, clear = unit.bitwiseAND(F.lit(31)), F.shiftright(unit, 1).bitwiseAND(F.lit(63)), unit < 128
+    avc = F.when(clear & a.isin(7, 8), 2).when(clear & a.isin(1, 5), 1).otherwise(0)
+    hevc = F.when(clear & h.isin(32, 33, 34), 2).when(clear & h.isin(1, 19, 20), 1).otherwise(0)
+    return avc, hevc
+
+
 def codec_vote(units: DataFrame) -> DataFrame:
     """Per region votes of start-code units (region_id, unit: first byte behind a start code) for H.264 and H.265, and the codec.
 
     A codec needs 4 points and a lead of more than 2; less is a REVIEW.
     """
-    a, h = F.col("unit").bitwiseAND(F.lit(31)), F.shiftright("unit", 1).bitwiseAND(F.lit(63))
-    clear = F.col("unit") < 128
-    avc = F.when(clear & a.isin(7, 8), 2).when(clear & a.isin(1, 5), 1).otherwise(0)
-    hevc = F.when(clear & h.isin(32, 33, 34), 2).when(clear & h.isin(1, 19, 20), 1).otherwise(0)
+    a, clear = F.col("unit").bitwiseAND(F.lit(31)), F.col("unit") < 128
+    avc, hevc = unit_points(F.col("unit"))
     by = units.groupBy("region_id").agg(F.sum(avc).alias("h264"), F.sum(hevc).alias("h265"), F.count_if(clear & (a == 5)).alias("keyframes"))
     lead = F.col("h264") - F.col("h265")
     codec = F.when((F.col("h264") >= 4) & (lead > 2), "H264").when((F.col("h265") >= 4) & (-lead > 2), "H265")

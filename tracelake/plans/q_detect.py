@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fields as B
+from ..operators import decode as C
 from ..operators import detect as D
 from .registry import query
 from .views import table
@@ -115,7 +116,7 @@ def x15(spark, sf_dir):
 
 @query("x18_probe_nonzero", f"WITH {_BYTES} SELECT image_id, regexp_matches(substr(h, 1, 128), '[1-9A-F]') AS nonzero FROM byt")
 def x18(spark, sf_dir):
-    return chunks(spark, sf_dir).select("image_id", F.hex(F.substring("data", 1, 64)).rlike("[1-9A-F]").alias("nonzero"))
+    return chunks(spark, sf_dir).select("image_id", C.probe_nonzero(F.substring("data", 1, 64)).alias("nonzero"))
 
 
 @query("x22_scan_report", f"WITH {_BYTES}, c AS (SELECT image_id % 10 AS image_id, image_id * 50000 AS base_offset, n AS owned_len FROM byt) SELECT image_id, min(base_offset) AS first, max(base_offset + owned_len) AS \"end\", sum(owned_len)::BIGINT AS bytes, CASE WHEN sum(owned_len) >= 250000 THEN 'limit' ELSE 'end of image' END AS termination FROM c GROUP BY image_id")
@@ -126,7 +127,8 @@ def x22(spark, sf_dir):
 
 @query("p11_content_hash", "SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5, sha256(substr(text, 11, 50)) AS region_sha256 FROM documents")
 def p11(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.md5(F.col("text").cast("binary")).alias("md5"), F.sha2(F.substring("text", 11, 50).cast("binary"), 256).alias("region_sha256"))
+    data = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", C.content_hash(data)["value"].alias("sha256"), C.content_hash(data, "MD5")["value"].alias("md5"), C.content_hash(F.substring("text", 11, 50).cast("binary"))["value"].alias("region_sha256"))
 
 
 _LE8 = " || ".join("lpad(to_hex(({0} >> %d) & 255), 2, '0')" % (8 * k) for k in range(8))
@@ -163,11 +165,10 @@ def x05(spark, sf_dir):
     entries = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(20)) - 1), lambda i: B.le_bytes((k * 31 + i * 17) % 4096, 2))
     data = F.when(n > 0, F.unhex(F.array_join(F.transform(entries, F.hex), ""))).otherwise(F.lit(b""))
     rows = table(spark, sf_dir, "part").select(k.alias("table_id"), n.alias("n_declared"), data.alias("data"))
-    there = F.floor(F.octet_length("data") / 2).cast("int")
-    slots = rows.where(there > 0).withColumn("slot", F.explode(F.sequence(F.lit(0), F.least("n_declared", there) - 1)))
-    sectors = B.le_uint(F.col("data"), F.col("slot") * 2, 2)
+    slots = C.explode_table(rows, {"sectors": (0, 2)}, 2, F.col("n_declared"))
+    sectors = F.col("sectors")
     state = F.when(sectors % 8 == 0, "Empty").when(sectors > 4000, "Malformed").otherwise("Occupied")
-    return slots.select("table_id", F.col("slot").cast("long").alias("slot"), sectors.alias("sectors"), state.alias("state"), F.least(sectors * 512, F.lit(1048576)).alias("length"), (F.col("n_declared") > there).alias("truncated"))
+    return slots.select("table_id", F.col("entry").alias("slot"), "sectors", state.alias("state"), F.least(sectors * 512, F.lit(1048576)).alias("length"), "truncated")
 
 
 @query("p13_validation_struct", "SELECT doc_id, quality IS NOT NULL AS valid, CASE WHEN quality = 1 THEN 'PASS' WHEN quality = 0 THEN 'REVIEW' END AS state, CASE WHEN quality IS NOT NULL THEN 'quality ' || quality END AS reason FROM documents LEFT JOIN labels USING (doc_id)")
@@ -206,6 +207,6 @@ def p25(spark, sf_dir):
 @query("d15_verify_hashes", "SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN 'MISMATCH' WHEN doc_id % 41 = 0 THEN 'UNKNOWN' ELSE 'MATCH' END AS verdict FROM documents")
 def d15(spark, sf_dir):
     """Stored hashes in any case against recomputed ones; no stored hash is unknown."""
-    own = F.sha2(F.col("text").cast("binary"), 256)
-    stored = F.when(F.col("doc_id") % 37 == 0, F.sha2(F.lit(b""), 256)).when(F.col("doc_id") % 41 != 0, F.upper(own))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(stored.isNull(), "UNKNOWN").when(F.lower(stored) == own, "MATCH").otherwise("MISMATCH").alias("verdict"))
+    rows = table(spark, sf_dir, "documents").withColumn("own", C.content_hash(F.col("text").cast("binary"))["value"])
+    stored = F.when(F.col("doc_id") % 37 == 0, F.sha2(F.lit(b""), 256)).when(F.col("doc_id") % 41 != 0, F.upper("own"))
+    return C.verify_hashes(rows.select("doc_id", stored.alias("expected")), rows.select("doc_id", F.col("own").alias("actual")), "doc_id").select("doc_id", "verdict")

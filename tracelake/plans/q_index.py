@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import index as N
-from .registry import query, uncut
+from .registry import query
 from .views import RANGES, ranges, table
 
 _TWO = """pr AS (SELECT o_orderkey % 20 AS image_id, o_orderkey * 512 AS "offset" FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 20 IN (3, 4)), ba AS (SELECT o_orderkey % 20 AS image_id, o_orderkey * 512 AS "offset" FROM orders WHERE (o_orderkey % 97 <> 0 OR o_orderkey % 20 IN (3, 4)) AND o_orderkey % 20 <> 7),
@@ -70,23 +70,15 @@ def j07(spark, sf_dir):
     return N.classify_blocks(rows, mapped).select("image_id", "block", "n_entries", "class")
 
 
-@query("j04_match_entries", """WITH cp AS (SELECT o_custkey % 40 AS image_id, o_orderkey AS clip_id, o_orderkey // 50 AS block, o_orderkey * 1000 AS "offset", 500 AS length, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 8 END AS channel, o_orderkey * 10 AS s, o_orderkey * 10 + 25 AS e FROM orders), ey AS (SELECT o_custkey % 40 AS image_id, o_orderkey * 7 AS entry_id, o_orderkey // 50 AS block, o_orderkey * 1000 + CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 700 END AS data_offset, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 8 END AS ec, o_orderkey * 10 + 5 AS es, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 10 + 15 END AS ee FROM orders WHERE o_orderkey % 2 = 0),
+@query("j04_match_entries", """WITH cp AS (SELECT o_custkey % 40 AS image_id, o_orderkey AS clip_id, o_orderkey // 50 AS block, o_orderkey * 1000 AS "offset", 500 AS length, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 8 END AS channel, o_orderkey * 10 AS s, o_orderkey * 10 + 25 AS e FROM orders), ey AS (SELECT o_custkey % 40 AS image_id, o_orderkey * 7 AS entry_id, o_orderkey // 50 AS block, o_orderkey * 1000 + CASE WHEN o_orderkey % 3 = 0 THEN 100 ELSE 700 END AS data_offset, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 8 END AS ec, o_orderkey * 10 + 5 AS es, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey * 10 + 15 END AS ee FROM orders),
 j AS (SELECT cp.image_id, clip_id, entry_id, CASE WHEN data_offset >= "offset" AND data_offset < "offset" + length THEN 0 WHEN entry_id IS NOT NULL AND (channel IS NULL OR ec IS NULL OR channel = ec) AND coalesce(s <= ee, true) AND coalesce(es <= e, true) THEN 1 END AS rank FROM cp LEFT JOIN ey ON ey.image_id = cp.image_id AND ey.block = cp.block),
 b AS (SELECT image_id, clip_id, min(CASE WHEN rank IS NOT NULL THEN rank * 1000000000000 + entry_id END) AS m FROM j GROUP BY image_id, clip_id) SELECT image_id, clip_id, m % 1000000000000 AS entry_id, CASE m // 1000000000000 WHEN 0 THEN 'offset' WHEN 1 THEN 'channel and time' END AS basis FROM b""")
 def j04(spark, sf_dir):
-    return _matched(table(spark, sf_dir, "orders"), "o_orderkey % 2 = 0")
-
-
-@query("j04_match_entries_whole", uncut("j04_match_entries", (" WHERE o_orderkey % 2 = 0", "")))
-def j04_whole(spark, sf_dir):
-    return _matched(table(spark, sf_dir, "orders"), "true")
-
-
-def _matched(rows, of_entries):
+    rows = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     image, block = (F.col("o_custkey") % 40).alias("image_id"), F.floor(k / 50).alias("block")
     clips = rows.select(image, k.alias("clip_id"), block, (k * 1000).alias("offset"), F.lit(500).alias("length"), F.when(k % 5 > 0, k % 8).alias("channel"), (k * 10).alias("start"), (k * 10 + 25).alias("end"))
-    entries = rows.where(of_entries).select(image, (k * 7).alias("entry_id"), block, (k * 1000 + F.when(k % 3 == 0, 100).otherwise(700)).alias("data_offset"), F.when(k % 7 > 0, k % 8).alias("entry_channel"), (k * 10 + 5).alias("entry_start"), F.when(k % 4 > 0, k * 10 + 15).alias("entry_end"))
+    entries = rows.select(image, (k * 7).alias("entry_id"), block, (k * 1000 + F.when(k % 3 == 0, 100).otherwise(700)).alias("data_offset"), F.when(k % 7 > 0, k % 8).alias("entry_channel"), (k * 10 + 5).alias("entry_start"), F.when(k % 4 > 0, k * 10 + 15).alias("entry_end"))
     return N.match_entries(clips, entries)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranges as R
-from .registry import query, uncut
+from .registry import query
 from .views import RANGES, complement, merged, ranges
 
 #: The ranges' universe in each image: from 1000 to the last end and 5000 bytes on.
@@ -138,16 +138,9 @@ def j01(spark, sf_dir):
     return R.resolve_claims(points, claims)
 
 
-@query("j02_overlap_join", f"""WITH {RANGES}, {_A}, s AS (SELECT * FROM a WHERE l_partkey % 20 = 0), t AS (SELECT * FROM b WHERE l_partkey % 20 = 1)
+@query("j02_overlap_join", f"""WITH {RANGES}, {_A}, s AS (SELECT * FROM a), t AS (SELECT * FROM b)
 SELECT s.image_id, s."offset" AS a_offset, s.length AS a_length, s.l_orderkey AS a_l_orderkey, t."offset" AS b_offset, t.length AS b_length, t.l_orderkey AS b_l_orderkey FROM s JOIN t ON s.image_id = t.image_id AND s."offset" < t."offset" + t.length AND t."offset" < s."offset" + s.length""")
 def j02(spark, sf_dir):
-    a, b = _two(spark, sf_dir)
-    cols = ["image_id", "offset", "length", "l_orderkey"]
-    return R.overlap_join(a.where("l_partkey % 20 = 0").select(*cols), b.where("l_partkey % 20 = 1").select(*cols))
-
-
-@query("j02_overlap_join_whole", uncut("j02_overlap_join", (" WHERE l_partkey % 20 = 0", ""), (" WHERE l_partkey % 20 = 1", "")))
-def j02_whole(spark, sf_dir):
     a, b = _two(spark, sf_dir)
     cols = ["image_id", "offset", "length", "l_orderkey"]
     return R.overlap_join(a.select(*cols), b.select(*cols))
@@ -175,20 +168,12 @@ def j11(spark, sf_dir):
     return R.resolve_claims(points, claims).where("claim_id is null").drop("claim_id", "accessible")
 
 
-@query("j14_map_logical", f"""WITH {RANGES}, s AS (SELECT image_id, "offset" AS disk, length, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM v_ranges WHERE l_returnflag = 'A' AND l_partkey % 7 = 0),
+@query("j14_map_logical", f"""WITH {RANGES}, s AS (SELECT image_id, "offset" AS disk, length, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS seq FROM v_ranges WHERE l_returnflag = 'A'),
 d AS (SELECT image_id, seq, min(disk) AS disk, min(length) AS length FROM s GROUP BY image_id, seq), t AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY image_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d),
-q AS (SELECT DISTINCT l_suppkey AS image_id, l_partkey AS range_id, l_partkey * 13 AS lo, 2000 AS n FROM lineitem WHERE l_partkey % 11 = 0)
+q AS (SELECT DISTINCT l_suppkey AS image_id, l_partkey AS range_id, l_partkey * 13 AS lo, 2000 AS n FROM lineitem)
 SELECT q.image_id, range_id, seq, disk + greatest(lo, pos) - pos AS "offset", least(lo + n, pos + length) - greatest(lo, pos) AS length FROM q JOIN t ON q.image_id = t.image_id AND lo < pos + length AND pos < lo + n""")
 def j14(spark, sf_dir):
-    return _logical(ranges(spark, sf_dir), "l_partkey % 7 = 0", "l_partkey % 11 = 0")
-
-
-@query("j14_map_logical_whole", uncut("j14_map_logical", (" AND l_partkey % 7 = 0", ""), (" WHERE l_partkey % 11 = 0", "")))
-def j14_whole(spark, sf_dir):
-    return _logical(ranges(spark, sf_dir), "true", "true")
-
-
-def _logical(rows, of_segments, of_ranges):
-    segs = rows.where("l_returnflag = 'A'").where(of_segments).groupBy("image_id", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq")).agg(F.min("offset").alias("offset"), F.min("length").alias("length"))
-    wanted = rows.where(of_ranges).select("image_id", F.col("l_partkey").alias("range_id"), (F.col("l_partkey") * 13).alias("offset"), F.lit(2000).cast("long").alias("length")).distinct()
+    rows = ranges(spark, sf_dir)
+    segs = rows.where("l_returnflag = 'A'").groupBy("image_id", ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("seq")).agg(F.min("offset").alias("offset"), F.min("length").alias("length"))
+    wanted = rows.select("image_id", F.col("l_partkey").alias("range_id"), (F.col("l_partkey") * 13).alias("offset"), F.lit(2000).cast("long").alias("length")).distinct()
     return R.map_logical(wanted, segs)

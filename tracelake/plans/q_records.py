@@ -15,7 +15,7 @@ from .q_detect import WINDOW, chunks, windows
 from .q_index import _TWO, two
 from .q_recovery import _FRAGMENTS, fragments
 from .q_timeline import _DOMAINS, _GAPS, _ROLLUP, _SESSIONS, _STEPS, a04
-from .registry import query, uncut
+from .registry import query
 from .views import segments, table
 
 
@@ -30,20 +30,12 @@ def p07(spark, sf_dir):
     return rows.select("p_partkey", (F.year("p.time") * 10000 + F.month("p.time") * 100 + F.dayofmonth("p.time")).cast("long").alias("ymd"), "p.state")
 
 
-@query("x03_follow_pointers", """WITH h AS (SELECT o_orderkey % 10 AS image_id, o_orderkey AS hit_id, CASE WHEN o_orderkey % 17 = 0 THEN 9999999 ELSE o_custkey * 10 END AS pointer, 0.5 AS weight FROM orders WHERE o_orderkey % 3 = 0), t AS (SELECT DISTINCT o_orderkey % 10 AS image_id, o_custkey * 10 AS pointer, o_custkey % 4 > 0 AS ok FROM orders),
+@query("x03_follow_pointers", """WITH h AS (SELECT o_orderkey % 10 AS image_id, o_orderkey AS hit_id, CASE WHEN o_orderkey % 17 = 0 THEN 9999999 ELSE o_custkey * 10 END AS pointer, 0.5 AS weight FROM orders), t AS (SELECT DISTINCT o_orderkey % 10 AS image_id, o_custkey * 10 AS pointer, o_custkey % 4 > 0 AS ok FROM orders),
 s AS (SELECT h.*, CASE WHEN h.pointer >= 1000000 THEN 'out of image' WHEN coalesce(ok, false) THEN 'match' ELSE 'mismatch' END AS status, row_number() OVER (PARTITION BY h.image_id, h.pointer ORDER BY hit_id) AS n FROM h LEFT JOIN t USING (image_id, pointer)) SELECT image_id, hit_id, pointer, status, CASE WHEN status = 'match' AND n = 1 THEN 0.5 ELSE 0 END::DOUBLE AS weight FROM s""")
 def x03(spark, sf_dir):
-    return _pointers(table(spark, sf_dir, "orders"), "o_orderkey % 3 = 0")
-
-
-@query("x03_follow_pointers_whole", uncut("x03_follow_pointers", (" WHERE o_orderkey % 3 = 0", "")))
-def x03_whole(spark, sf_dir):
-    return _pointers(table(spark, sf_dir, "orders"), "true")
-
-
-def _pointers(rows, of_hits):
+    rows = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    hits = rows.where(of_hits).select((k % 10).alias("image_id"), k.alias("hit_id"), F.when(k % 17 == 0, 9999999).otherwise(c * 10).alias("pointer"), F.lit(1000000).alias("size_bytes"), F.lit(0.5).alias("weight"))
+    hits = rows.select((k % 10).alias("image_id"), k.alias("hit_id"), F.when(k % 17 == 0, 9999999).otherwise(c * 10).alias("pointer"), F.lit(1000000).alias("size_bytes"), F.lit(0.5).alias("weight"))
     return E.follow_pointers(hits, rows.select((k % 10).alias("image_id"), (c * 10).alias("offset"), (c % 4 > 0).alias("magic_ok")).distinct())
 
 
@@ -61,20 +53,12 @@ def x08(spark, sf_dir):
     return E.unit_entries(slots).select("unit", "slot", "standing")
 
 
-@query("x09_partition_entries", """WITH e AS (SELECT c_custkey AS image_id, c_nationkey % 4 AS slot, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 7 END AS type, c_custkey * CASE WHEN c_custkey % 19 = 0 THEN 9000000000000000 ELSE 100 END AS lba, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 5000 END AS n, 60000000 AS size_bytes FROM customer WHERE c_custkey < 1000), f AS (SELECT *, lba::HUGEINT * 512 > 9223372036854775807 OR lba::HUGEINT * 512 + n * 512 > 9223372036854775807 AS wide FROM e),
+@query("x09_partition_entries", """WITH e AS (SELECT c_custkey AS image_id, c_nationkey % 4 AS slot, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 7 END AS type, CASE WHEN c_custkey % 19 = 0 THEN 9000000000000000 * (c_custkey % 1000) ELSE 100 * c_custkey END AS lba, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 5000 END AS n, 60000000 AS size_bytes FROM customer), f AS (SELECT *, lba::HUGEINT * 512 > 9223372036854775807 OR lba::HUGEINT * 512 + n * 512 > 9223372036854775807 AS wide FROM e),
 g AS (SELECT *, CASE WHEN type = 0 THEN CASE WHEN lba <> 0 OR n <> 0 THEN 'unused with geometry' END WHEN n = 0 THEN 'zero length' WHEN wide THEN 'overflow' WHEN lba::HUGEINT * 512 + n * 512 > size_bytes THEN 'out of bounds' END AS finding, type <> 0 AND n > 0 AND NOT wide AS there FROM f)
 SELECT image_id, slot, finding, CASE finding WHEN 'unused with geometry' THEN 'info' WHEN 'overflow' THEN 'error' WHEN 'zero length' THEN 'warning' WHEN 'out of bounds' THEN 'warning' END AS severity, CASE WHEN there THEN least(lba::HUGEINT * 512, size_bytes)::BIGINT END AS "offset", CASE WHEN there THEN (least(lba::HUGEINT * 512 + n * 512, size_bytes) - least(lba::HUGEINT * 512, size_bytes))::BIGINT END AS length, there AND finding IS NULL AS candidate FROM g""")
 def x09(spark, sf_dir):
-    return _partitions(table(spark, sf_dir, "customer").where("c_custkey < 1000"), F.col("c_custkey"))
-
-
-@query("x09_partition_entries_whole", uncut("x09_partition_entries", (" WHERE c_custkey < 1000", ""), ("c_custkey * CASE WHEN c_custkey % 19 = 0 THEN 9000000000000000 ELSE 100 END", "CASE WHEN c_custkey % 19 = 0 THEN 9000000000000000 * (c_custkey % 1000) ELSE 100 * c_custkey END")))
-def x09_whole(spark, sf_dir):
     """The starts far out go by the key modulo 1000, so that they stay in LONG at any size."""
-    return _partitions(table(spark, sf_dir, "customer"), F.col("c_custkey") % 1000)
-
-
-def _partitions(rows, far):
+    rows, far = table(spark, sf_dir, "customer"), F.col("c_custkey") % 1000
     k = F.col("c_custkey")
     entries = rows.select(k.alias("image_id"), (F.col("c_nationkey") % 4).alias("slot"), F.when(k % 5 == 0, 0).otherwise(7).alias("type"), F.when(k % 19 == 0, F.lit(9000000000000000) * far).otherwise(F.lit(100) * k).alias("start_lba"), F.when(k % 7 == 0, 0).otherwise(5000).cast("long").alias("sectors"), F.lit(60000000).cast("long").alias("size_bytes"))
     return E.partition_entries(entries)
