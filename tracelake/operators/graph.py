@@ -93,7 +93,7 @@ def traverse_pages(pages: DataFrame, roots: DataFrame, guard: int = 64) -> DataF
     """Pages (image_id, page, next, other; null: no pointer) that the roots reach, with depth, and the edges that go wrong.
 
     (image_id, kind, page, target, depth): kind visited, out of range, duplicate or cycle. An edge to a page already visited
-    closes a cycle if its target reaches its source, else it is a duplicate. Stops with an error after ``guard`` levels.
+    closes a cycle if its target reaches its source, else it is a duplicate. More than ``guard`` levels are an error; rings may be of any length.
     """
     edges = checkpointed(pages.select(IMAGE, "page", F.explode(F.array("next", "other")).alias("target")).where("target is not null").distinct())
     known = pages.select(IMAGE, F.col("page").alias("target")).distinct()
@@ -114,7 +114,7 @@ def traverse_pages(pages: DataFrame, roots: DataFrame, guard: int = 64) -> DataF
     # what the targets of those edges reach, level by level, to see whether they come back to the edge's source
     seen = checkpointed(again.select(IMAGE, F.col("page").alias("source"), F.col("target").alias("page")).distinct())
     walk = seen
-    for _ in range(guard):
+    while True:  # as many rounds as the longest way round, whatever the guard
         walk = checkpointed(walk.join(good, [IMAGE, "page"]).select(IMAGE, "source", F.col("target").alias("page")).distinct().join(seen, [IMAGE, "source", "page"], "left_anti"))
         if walk.isEmpty():
             break

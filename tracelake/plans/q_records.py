@@ -158,7 +158,8 @@ def x10(spark, sf_dir):
     return E.carve_frames(rows, 200).select("image_id", "offset", "length", "rejected")
 
 
-@query("x11_walk_parts")
+@query("x11_walk_parts", """WITH p AS (SELECT p_partkey AS k, p_partkey % 40 AS a, p_partkey % 300 AS b, p_partkey % 7 AS c, CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END AS junk FROM part)
+SELECT k AS region_id, unnest([0, 6 + a, 12 + a + b + junk]) AS "offset", unnest([186, 224, 192]) AS kind, unnest([6 + a, 6 + b, 6 + c]) AS length, true AS complete FROM p""")
 def x11(spark, sf_dir):
     """Containers of three parts for each row of part, every fifth with junk before the last one."""
     k = F.col("p_partkey")

@@ -225,6 +225,6 @@ def d12(spark, sf_dir):
     return V.candidates_to_events(rows).select("fragment_id", "channel", "ts", "withheld", "reason")
 
 
-@query("j15_pair_candidates", f"""WITH {_FRAGMENTS}, {_REGIONS} SELECT f.fragment_id, f.channel, f.ts, cl.data_state, cl.level FROM v_fragments f LEFT JOIN cl USING (fragment_id)""")
+@query("j15_pair_candidates", f"""WITH {_FRAGMENTS.replace("v_fragments AS (", "v_fragments AS MATERIALIZED (", 1)}, {_REGIONS.replace("rg AS (", "rg AS MATERIALIZED (", 1)} SELECT f.fragment_id, f.channel, f.ts, cl.data_state, cl.level FROM v_fragments f LEFT JOIN cl USING (fragment_id)""")
 def j15(spark, sf_dir):
     return V.pair_candidates(fragments(spark, sf_dir).select("fragment_id", "channel", "ts"), p15(spark, sf_dir).select("fragment_id", "data_state", "level"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``; sets a checkpoint folder only where ``spark.checkpoint.dir`` is unset, as in tests."""
+    """``df.checkpoint()``; where ``spark.checkpoint.dir`` is unset, in a new folder on a local master, as in tests, and an error on a cluster."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
     return df.checkpoint()
