@@ -36,7 +36,9 @@ def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(key, place, line: 16 bytes of MD5, site) of the lines that aren't empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(_key(id_col, text).alias("key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("place", "raw"))
+    # the key is made before the lines are, so once a row
+    rows = docs.select(_key(id_col, text).alias("key"), F.col(site_col).cast("string").alias("site"), text.alias("text"))
+    rows = rows.select("key", "site", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
     return rows.where(F.trim("raw") != "").select("key", "place", F.unhex(F.md5(F.trim("raw"))).alias("line"), "site")
 
 
