@@ -166,6 +166,40 @@ def capabilities(facts: DataFrame) -> DataFrame:
     return facts.select("image_id", F.explode(rows).alias("f")).select("image_id", "f.*")
 
 
+#: The names of the ten findings, in the order of output.
+FINDINGS = ("storage-geometry", "recording-index", "authoritative-index-scope", "deletion-metadata", "unreferenced-metadata", "recorder-timestamps", "channel-attribution", "payload-boundaries", "codec-metadata", "container-carving")
+
+
+def assess_capabilities(images: DataFrame, recordings: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(image_id, place, capability, available, reason): the ten findings of each image, with the counts that they rest on.
+
+    images: image_id, geometry (boolean), index_state (found, not found, null: not looked for), scope (null: no region governed);
+    recordings, described by an index: image_id, referenced (boolean), allocation (null: unknown), start, channel, n_payload, codec;
+    fragments, found by scanning: image_id, start, channel, carved (boolean).
+    """
+    described = recordings.groupBy("image_id").agg(
+        F.count("allocation").alias("allocation"), F.count_if(~F.col("referenced")).alias("unreferenced"), F.count("start").alias("start"),
+        F.count("channel").alias("channel"), F.count_if(F.col("n_payload") > 0).alias("payload"), F.count("codec").alias("codec"))
+    found = fragments.groupBy("image_id").agg(F.count("start").alias("f_start"), F.count("channel").alias("f_channel"), F.count_if("carved").alias("carved"))
+    rows = images.join(described, "image_id", "left").join(found, "image_id", "left").fillna(0, ["allocation", "unreferenced", "start", "channel", "payload", "codec", "f_start", "f_channel", "carved"])
+
+    def counted(*names):
+        total = F.col(names[0])
+        for n in names[1:]:
+            total = total + F.col(n)
+        return total > 0, F.concat_ws(" and ", *[F.concat(F.col(n).cast("string"), F.lit(" fragments" if n.startswith("f_") or n == "carved" else " recordings")) for n in names])
+
+    index = F.coalesce(F.col("index_state"), F.lit("not looked for"))
+    judged = [
+        (F.coalesce("geometry", F.lit(False)), F.when(F.coalesce("geometry", F.lit(False)), "read from the recorder").otherwise("none read")),
+        (index == "found", index),
+        (F.col("scope").isNotNull(), F.coalesce(F.concat(F.lit("absence counts within "), F.col("scope")), F.lit("absence counts nowhere"))),
+        counted("allocation"), counted("unreferenced"), counted("start", "f_start"), counted("channel", "f_channel"), counted("payload"), counted("codec"), counted("carved"),
+    ]
+    each = F.array(*[F.struct(F.lit(name).alias("capability"), yes.alias("available"), reason.alias("reason")) for name, (yes, reason) in zip(FINDINGS, judged, strict=True)])
+    return rows.select("image_id", F.posexplode(each).alias("place", "finding")).select("image_id", "place", "finding.*")
+
+
 def strategies(findings: DataFrame) -> DataFrame:
     """Which ways to recover the findings of ``capabilities`` license, one row each."""
     has = findings.groupBy("image_id").agg(*[F.bool_or((F.col("capability") == c) & F.col("available")).alias(c.replace(" ", "_")) for c in ("index", "accessible recordings", "unclaimed space", "fragments", "time evidence", "sequence evidence")])

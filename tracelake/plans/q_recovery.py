@@ -184,6 +184,30 @@ def a14(spark, sf_dir):
     return V.capabilities(_facts(spark, sf_dir))
 
 
+_COUNTED = [(3, ("allocation",)), (4, ("unreferenced",)), (5, ("start", "f_start")), (6, ("channel", "f_channel")), (7, ("payload",)), (8, ("codec",)), (9, ("carved",))]
+
+
+def _count_sql(place, names):
+    told = " || ' and ' || ".join(f"{n} || '{' fragments' if n[:2] == 'f_' or n == 'carved' else ' recordings'}'" for n in names)
+    return f"SELECT image_id, {place} AS place, '{V.FINDINGS[place]}' AS capability, {' + '.join(names)} > 0 AS available, {told} AS reason FROM w"
+
+
+@query("a14_ten_findings", f"""WITH i AS (SELECT c_custkey AS image_id, c_nationkey % 3 > 0 AS geometry, CASE c_nationkey % 4 WHEN 0 THEN 'found' WHEN 1 THEN 'not found' END AS index_state, CASE WHEN c_nationkey % 5 = 0 THEN c_mktsegment END AS scope FROM customer),
+r AS (SELECT o_custkey AS image_id, count(*) FILTER (o_orderstatus <> 'O') AS allocation, count(*) FILTER (o_orderkey % 3 = 0) AS unreferenced, count(*) FILTER (o_orderkey % 7 > 0) AS start, count(*) FILTER (o_orderkey % 2 = 0) AS channel, count(*) FILTER (o_orderkey % 5 = 0) AS payload, count(*) FILTER (o_orderkey % 11 = 0) AS codec FROM orders WHERE o_orderkey % 4 > 0 GROUP BY ALL),
+f AS (SELECT o_custkey AS image_id, count(*) FILTER (o_orderkey % 8 = 0) AS f_start, count(*) FILTER (o_orderkey % 12 = 0) AS f_channel, count(*) FILTER (o_orderkey % 16 = 0) AS carved FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL),
+w AS (SELECT i.*, {", ".join(f"coalesce({n}, 0) AS {n}" for _, ns in _COUNTED for n in ns)} FROM i LEFT JOIN r USING (image_id) LEFT JOIN f USING (image_id))
+SELECT image_id, 0 AS place, 'storage-geometry' AS capability, geometry AS available, CASE WHEN geometry THEN 'read from the recorder' ELSE 'none read' END AS reason FROM w UNION ALL SELECT image_id, 1, 'recording-index', coalesce(index_state, '') = 'found', coalesce(index_state, 'not looked for') FROM w
+UNION ALL SELECT image_id, 2, 'authoritative-index-scope', scope IS NOT NULL, coalesce('absence counts within ' || scope, 'absence counts nowhere') FROM w UNION ALL """ + " UNION ALL ".join(_count_sql(*x) for x in _COUNTED))
+def a14b(spark, sf_dir):
+    """Customers as images; their orders as described recordings, every fourth as a fragment found by scanning."""
+    n, k = F.col("c_nationkey"), F.col("o_orderkey")
+    images = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image_id"), (n % 3 > 0).alias("geometry"), F.when(n % 4 == 0, "found").when(n % 4 == 1, "not found").alias("index_state"), F.when(n % 5 == 0, F.col("c_mktsegment")).alias("scope"))
+    rows = table(spark, sf_dir, "orders").withColumn("image_id", F.col("o_custkey"))
+    recordings = rows.where(k % 4 > 0).select("image_id", (k % 3 > 0).alias("referenced"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("allocation"), F.when(k % 7 > 0, k).alias("start"), F.when(k % 2 == 0, k % 16).alias("channel"), F.when(k % 5 == 0, 1).otherwise(0).alias("n_payload"), F.when(k % 11 == 0, "H264").alias("codec"))
+    fragments_ = rows.where(k % 4 == 0).select("image_id", F.when(k % 8 == 0, k).alias("start"), F.when(k % 12 == 0, k % 16).alias("channel"), (k % 16 == 0).alias("carved"))
+    return V.assess_capabilities(images, recordings, fragments_)
+
+
 _WAYS = {"index walk": "n_records > 0", "sweep of unclaimed space": "bytes_unclaimed > 0", "order by sequence": "n_fragments > 0 AND n_sequenced > 0", "order by time": "n_fragments > 0 AND n_timed > 0", "carving": "bytes_unclaimed > 0 OR n_records = 0", "reconstruction": "n_accessible > 0"}
 
 
