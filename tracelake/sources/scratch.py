@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: ``spark.checkpoint.dir``, or on a local master a new one where that is unset."""
+    context = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not there:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tracelake-"))
+        there = context.getCheckpointDir()
+    return f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULE_SHAPE = "id string, version string, vendor string, models array<string>, firmware array<string>, signatures array<struct<name:string,pattern_hex:string,weight:double,exclusive:boolean>>"
+RULE_SHAPE = "id string, version string, vendor string, models array<string>, firmware array<string>, signatures array<struct<name:string,pattern_hex:string,weight:double,exclusive:boolean,evidence_status:string,offset_constraints:array<struct<type:string,offset:long,start:long,end:long,alignment:long,max_offset:long>>>>, layout map<string,string>"
 CASE_SHAPE = "case_id string, source_path string, source_type string, expected_detection string, expected_classification string, expected_regions array<struct<offset:long,length:long>>, synthetic boolean"
 #: The headers of the CSV reports.
 CSV_COLUMNS = {"recovery": ["candidate_id", "offset", "length", "data_state", "status", "level", "reason"], "recordings": ["channel", "start", "end", "n_segments", "missing_seconds"], "timeline": ["channel", "instant", "kind", "description"]}
@@ -25,6 +25,22 @@ def load_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
+def signature_rules(profiles: DataFrame) -> DataFrame:
+    """Profiles as rules for ``evaluate_rules``: vendor, rule, pattern, kind, at, stop, step, state, weight, exclusive; one for each constraint.
+
+    exact: at an offset; range: from start, before end; aligned: at multiples of the alignment from start on, before max_offset;
+    header: from 0, before max_offset. A signature without constraints is looked for in the first 512 bytes.
+    """
+    each = profiles.select("vendor", F.explode("signatures").alias("s"))
+    rows = each.select("vendor", "s", F.explode_outer("s.offset_constraints").alias("c"))
+    kind = F.coalesce(F.col("c.type"), F.lit("header"))
+    at = F.when(kind == "exact", F.col("c.offset")).otherwise(F.coalesce("c.start", F.lit(0)))
+    stop = F.when(kind == "exact", F.lit(None)).otherwise(F.coalesce("c.end", "c.max_offset", F.lit(512)))
+    return rows.select(
+        "vendor", F.col("s.name").alias("rule"), F.unhex("s.pattern_hex").alias("pattern"), F.when(kind == "range", "header").otherwise(kind).alias("kind"), at.cast("long").alias("at"), stop.cast("long").alias("stop"),
+        F.when(kind == "aligned", F.coalesce("c.alignment", F.lit(1))).otherwise(1).cast("long").alias("step"), F.lower(F.coalesce("s.evidence_status", F.lit("unvalidated"))).alias("state"), F.col("s.weight").alias("weight"), F.coalesce("s.exclusive", F.lit(False)).alias("exclusive"))
+
+
 def applicable_rules(images: DataFrame, rules: DataFrame) -> DataFrame:
     """Images with the first profile of their vendor (any case) whose model and firmware lists are empty or name theirs."""
     fits = lambda col, own: (F.coalesce(F.size(col), F.lit(0)) <= 0) | F.array_contains(F.col(col), F.col(own))
