@@ -87,3 +87,8 @@ def flow_totals(units: DataFrame) -> DataFrame:
     w = Window.partitionBy("image_id").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
     rows = units.withColumn("__bad", F.max(F.when(F.col("readable"), 0).otherwise(1)).over(w))
     return rows.groupBy("image_id").agg(F.coalesce(F.sum(F.when(F.col("readable"), F.col("bytes"))), F.lit(0)).alias("scan_bytes"), F.coalesce(F.sum(F.when(F.col("__bad") == 0, F.col("bytes"))), F.lit(0)).alias("prefix_bytes"))
+
+
+def described_regions(clips: DataFrame) -> DataFrame:
+    """The distinct regions that clips (image_id, offset, length) describe."""
+    return clips.select("image_id", "offset", "length").distinct()

@@ -189,3 +189,15 @@ def recovery_targets(gaps: DataFrame, holes: DataFrame) -> DataFrame:
     physical = holes.select("image_id", F.lit("physical").alias("source"), F.col("offset").alias("scan_start"), F.col("length").alias("scan_bytes"))
     w = Window.partitionBy("image_id").orderBy("scan_start", "source", "scan_bytes")
     return temporal.unionByName(physical).withColumn("place", F.row_number().over(w))
+
+
+def order_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions (image_id, domain, start, channel) with their place in the image's list: by basis, start and channel."""
+    w = Window.partitionBy("image_id").orderBy("domain", "start", "channel")
+    return sessions.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def final_events(preliminary: DataFrame, recovered: DataFrame) -> DataFrame:
+    """Both kinds of events with their origin; columns that only one of them has are null in the other."""
+    first = preliminary.withColumn("origin", F.lit("preliminary"))
+    return first.unionByName(recovered.withColumn("origin", F.lit("recovered")), allowMissingColumns=True)

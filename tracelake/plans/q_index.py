@@ -36,7 +36,7 @@ def u02(spark, sf_dir):
 
 @query("u04_described_regions", f'WITH {RANGES} SELECT DISTINCT image_id, "offset", length FROM v_ranges')
 def u04(spark, sf_dir):
-    return ranges(spark, sf_dir).select("image_id", "offset", "length").distinct()
+    return N.described_regions(ranges(spark, sf_dir))
 
 
 @query("j10_select_table", """WITH t AS (SELECT o_custkey % 50 AS image_id, o_orderkey % 4 AS partition, CASE WHEN o_orderkey % 11 = 0 OR o_custkey % 50 > 45 THEN 'primary' ELSE 'secondary' END AS role, o_orderkey * 512 AS "offset" FROM orders WHERE o_custkey % 50 < 48 OR o_orderkey % 11 = 0),

@@ -224,10 +224,7 @@ def o06(spark, sf_dir):
 
 @query("o07_order_sessions", f"WITH {_DOMAINS}, {_STEPS}, {_SESSIONS}, {_GAPS}, {_ROLLUP} SELECT image_id, channel, domain, session, row_number() OVER (PARTITION BY image_id ORDER BY domain, start, channel) AS place FROM ru")
 def o07(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("image_id").orderBy("domain", "start", "channel")
-    return a04(spark, sf_dir).select("image_id", "channel", "domain", "session", F.row_number().over(w).cast("long").alias("place"))
+    return T.order_sessions(a04(spark, sf_dir)).select("image_id", "channel", "domain", "session", "place")
 
 
 @query("a23_facets", f"WITH {SEGMENTS} SELECT DISTINCT image_id, 'channel' AS facet, channel::VARCHAR AS value FROM v_segments UNION ALL SELECT DISTINCT image_id, 'date', strftime(make_timestamp(instant * 1000000), '%Y-%m-%d') FROM v_segments")
@@ -238,8 +235,8 @@ def a23(spark, sf_dir):
 @query("u01_final_events", f"""WITH {SEGMENTS} SELECT image_id, channel, instant, kind, NULL AS fragment_id, 'preliminary' AS origin FROM v_segments WHERE tz IS NOT NULL UNION ALL SELECT image_id, channel, instant, NULL, event_id, 'recovered' FROM v_segments WHERE tz IS NULL""")
 def u01(spark, sf_dir):
     rows = segments(spark, sf_dir)
-    first = rows.where("tz is not null").select("image_id", "channel", "instant", "kind", F.lit("preliminary").alias("origin"))
-    return first.unionByName(rows.where("tz is null").select("image_id", "channel", "instant", F.col("event_id").alias("fragment_id"), F.lit("recovered").alias("origin")), allowMissingColumns=True)
+    recovered = rows.where("tz is null").select("image_id", "channel", "instant", F.col("event_id").alias("fragment_id"))
+    return T.final_events(rows.where("tz is not null").select("image_id", "channel", "instant", "kind"), recovered)
 
 
 @query("u03_recovery_targets", f"""WITH {SEGMENTS}, n AS (SELECT *, lead(instant) OVER w - instant AS gap, lead("offset") OVER w AS next_offset FROM v_segments WHERE tz IS NOT NULL WINDOW w AS (PARTITION BY image_id, channel ORDER BY instant, "offset")), uu AS (SELECT image_id, 0::BIGINT AS lo, max("offset" + length) AS hi FROM v_segments GROUP BY image_id), {merged("m", "v_segments")}, {complement("h", "m", "uu")},
