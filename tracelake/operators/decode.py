@@ -110,12 +110,13 @@ def _bytes_at(chunks: DataFrame, places: DataFrame, at: Column, length: Column,
     return places.join(got, ["image_id", "offset"], "left")
 
 
-def tagged_frames(chunks: DataFrame, window: int, tag: bytes = b"DHAV", trailer: bytes = b"dhav", header: int = 24, least: int = 32, longest: int = 64 << 20) -> DataFrame:
+def tagged_frames(chunks: DataFrame, window: int, tag: bytes = b"DHAV", trailer: bytes = b"dhav", header: int = 24, least: int = 32, longest: int = 64 << 20, hits: DataFrame | None = None) -> DataFrame:
     """Frames at each hit of the tag, for ``carve_frames``: the header's fields, and whether trailer and back-length agree.
 
-    A declared length out of bounds counts as none.
+    A declared length out of bounds counts as none. With ``hits`` (image_id, offset) only those are decoded.
     """
-    hits = detect.find_pattern(chunks, tag).join(image_sizes(chunks).withColumnRenamed("size_bytes", "owned_len"), "image_id")
+    found = detect.find_pattern(chunks, tag) if hits is None else hits.select("image_id", "offset")
+    hits = found.join(image_sizes(chunks).withColumnRenamed("size_bytes", "owned_len"), "image_id")
     rows = _bytes_at(chunks, hits, F.col("offset"), F.lit(header), "head", window)
     rows = rows.withColumns(unpack(F.col("head"), TAGGED_FRAME)).drop("head")
     rows = rows.withColumn("length", F.when(F.col("length").between(least, longest), F.col("length")).otherwise(0))
@@ -126,18 +127,24 @@ def tagged_frames(chunks: DataFrame, window: int, tag: bytes = b"DHAV", trailer:
     return rows.withColumns({"kind": kind, "trailer_ok": F.coalesce(F.substring("tail", 1, n) == F.lit(trailer), F.lit(False)), "back_length": B.le_uint(F.col("tail"), n, 4)}).drop("tail")
 
 
-def start_codes(chunks: DataFrame, window: int) -> DataFrame:
-    """(image_id, pos, unit, h264, h265, boundary) of the start codes 00 00 01, for ``carve_runs``; a boundary is a first parameter set."""
-    hits = _bytes_at(chunks, detect.find_pattern(chunks, b"\0\0\1"), F.col("offset") + 3, F.lit(1), "byte", window)
+def start_codes(chunks: DataFrame, window: int, images: DataFrame | None = None) -> DataFrame:
+    """(image_id, pos, unit, h264, h265, boundary) of the start codes 00 00 01, for ``carve_runs``; a boundary is a first parameter set.
+
+    With ``images`` (image_id) only theirs.
+    """
+    found = detect.find_pattern(chunks, b"\0\0\1")
+    if images is not None:
+        found = found.join(images, "image_id", "left_semi")
+    hits = _bytes_at(chunks, found, F.col("offset") + 3, F.lit(1), "byte", window)
     rows = hits.select("image_id", F.col("offset").alias("pos"), B.byte_at(F.col("byte"), 0).alias("unit")).where("unit is not null")
     avc, hevc = detect.unit_points(F.col("unit"))
     boundary = (F.col("unit") < 128) & ((F.col("unit").bitwiseAND(F.lit(31)) == 7) | (F.shiftright("unit", 1).bitwiseAND(F.lit(63)) == 32))
     return rows.withColumns({"h264": avc, "h265": hevc, "boundary": boundary})
 
 
-def carve_streams(chunks: DataFrame, window: int, max_gap: int = 256 << 10, least: int = 2) -> DataFrame:
-    """Runs of start codes in image bytes."""
-    return records.carve_runs(start_codes(chunks, window).drop("unit"), max_gap, least)
+def carve_streams(chunks: DataFrame, window: int, max_gap: int = 256 << 10, least: int = 2, images: DataFrame | None = None) -> DataFrame:
+    """Runs of start codes in image bytes, of all images or of ``images``."""
+    return records.carve_runs(start_codes(chunks, window, images).drop("unit"), max_gap, least)
 
 
 def stream_records(chunks: DataFrame, window: int, needle: bytes = b"TPREC\1\0", size: int = 64) -> DataFrame:

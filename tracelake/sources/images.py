@@ -59,12 +59,12 @@ def read_images(spark: SparkSession, paths: list[str], window: int = 16 << 20, o
 
 
 def read_regions(chunks: DataFrame, regions: DataFrame, window: int) -> DataFrame:
-    """Regions (image_id, region_id, offset, length) with their bytes: short at the image's end, null beyond it."""
+    """Regions (image_id, region_id, offset, length) with their bytes: short at the image's end, null beyond it or where a window of theirs is unreadable (null data)."""
     wanted = regions.where("length > 0 and offset >= 0").withColumn("__n", F.explode(F.sequence(F.floor(F.col("offset") / window), F.floor((F.col("offset") + F.col("length") - 1) / window))))
     met = wanted.join(chunks.withColumn("__n", F.floor(F.col("base_offset") / window)), ["image_id", "__n"])
     lo = F.greatest(F.col("offset") - F.col("base_offset"), F.lit(0))
     hi = F.least(F.col("offset") + F.col("length") - F.col("base_offset"), F.col("owned_len"))
     piece = F.substring(F.col("data"), (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
-    parts = met.where(hi > lo).groupBy("image_id", "region_id").agg(F.array_sort(F.collect_list(F.struct("__n", F.hex(piece).alias("piece")))).alias("parts"))
-    joined = parts.select("image_id", "region_id", F.unhex(F.array_join(F.transform("parts", lambda p: p["piece"]), "")).alias("data"))
+    parts = met.where(hi > lo).groupBy("image_id", "region_id").agg(F.array_sort(F.collect_list(F.struct("__n", F.hex(piece).alias("piece")))).alias("parts"), F.bool_and(F.col("data").isNotNull()).alias("whole"))
+    joined = parts.where("whole").select("image_id", "region_id", F.unhex(F.array_join(F.transform("parts", lambda p: p["piece"]), "")).alias("data"))
     return regions.join(joined, ["image_id", "region_id"], "left")
