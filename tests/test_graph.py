@@ -1,4 +1,4 @@
-"""Index pages: rings longer than the guard and random graphs against a search by hand."""
+"""Index pages and block chains: rings, shared tails and random graphs against a search by hand."""
 
 import random
 
@@ -62,3 +62,54 @@ def test_ring_longer_than_the_guard(spark):
     found = graph.traverse_pages(spark.createDataFrame(pages, SHAPE), roots, guard=3).collect()
     assert sorted((r.page, r.target) for r in found if r.kind == "cycle") == [(p, p % n + 1) for p in range(1, n + 1)]
     assert not [r for r in found if r.kind == "duplicate"]
+
+
+LINKS = "image_id long, block long, first long, prev long, next long, empty boolean"
+
+
+def chains_by_hand(blocks):
+    """blocks: {block: (first, prev, next, empty)}; head: (blocks, last block, mismatches, outcome)."""
+    out, held = {}, {}
+    for head in sorted(b for b, (first, _, _, empty) in blocks.items() if first == b > 0 and not empty):
+        path, bad, at = [head], 0, head
+        while True:
+            nxt = blocks[at][2]
+            if nxt == 0:
+                end = "back-link mismatch" if bad else "complete"
+            elif nxt == at:
+                end = "self-reference"
+            elif nxt not in blocks:
+                end = "out of range"
+            elif blocks[nxt][3]:
+                end = "broken at empty slot"
+            elif nxt in path:
+                end = "loop"
+            else:
+                bad += blocks[nxt][1] != at
+                path.append(nxt)
+                at = nxt
+                continue
+            break
+        held[head] = path
+        out[head] = (len(path), at, bad, end)
+    return {h: v for h, v in out.items() if not any(h in p for g, p in held.items() if g < h)}
+
+
+def test_random_chains(spark):
+    rng, rows, want = random.Random(7), [], {}
+    for image in range(40):
+        n = rng.choice([1, 3, 8, 20])
+        blocks = {b: (b if rng.random() < 0.4 else rng.randrange(n + 1), rng.choice([b - 1, rng.randrange(n + 2)]), rng.choice([b + 1, b + 1, rng.randrange(n + 3)]), rng.random() < 0.1) for b in range(1, n + 1)}
+        rows += [(image, b, *v) for b, v in blocks.items()]
+        want |= {(image, h): v for h, v in chains_by_hand(blocks).items()}
+    got = graph.traverse_chains(spark.createDataFrame(rows, LINKS)).collect()
+    assert {(r.image_id, r.head): (r.n_blocks, r.last_block, r.back_mismatches, r.outcome) for r in got} == want and len(got) == len(want)
+    assert {v[3] for v in want.values()} == {"complete", "back-link mismatch", "self-reference", "out of range", "broken at empty slot", "loop"}
+
+
+def test_many_heads_on_one_tail(spark):
+    """10,000 heads lead into one tail of 3,000 blocks: one row each, no pairs."""
+    tail, heads = 3000, 10_000
+    rows = [(1, b, 0, b - 1, b + 1 if b < tail else 0, False) for b in range(1, tail + 1)] + [(1, b, b, 0, 1, False) for b in range(tail + 1, tail + heads + 1)]
+    got = graph.traverse_chains(spark.createDataFrame(rows, LINKS)).collect()
+    assert len(got) == heads and {(r.n_blocks, r.last_block, r.back_mismatches, r.outcome) for r in got} == {(tail + 1, tail, 1, "back-link mismatch")}

@@ -38,24 +38,73 @@ def reach(edges: DataFrame, heads: DataFrame, max_rounds: int = 40) -> DataFrame
     raise RuntimeError(f"chains are longer than 2**{max_rounds} blocks")
 
 
+def _walk(rows: DataFrame) -> DataFrame:
+    """Rows (image_id, block, to, steps, bad, done, low), one a block, with ``to`` moved on along the links until it is done.
+
+    Pointer doubling from each block's side: an active row of round k has jumped 2**k links; steps and bad add up over the jumps, and low
+    is the least of a block's own and all that lead to it. A round in which no row gets done and nothing else changes leaves
+    only rows that lead into loops, all of them with ``to`` on a loop.
+    """
+    was = None
+    while True:
+        rows = checkpointed(rows)
+        now = rows.agg(F.count_if(~F.col("done")), F.count("low"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
+        if now[0] == 0:
+            return rows
+        active = rows.where("not done")
+        now = (*now, active.select(IMAGE, "to").distinct().count() if was is not None and was[0] == now[0] else None)
+        if now == was and now[3] is not None:
+            return rows
+        was = now
+        there = rows.select(IMAGE, F.col("block").alias("to"), F.col("to").alias("__to"), F.col("steps").alias("__steps"), F.col("bad").alias("__bad"), F.col("done").alias("__done"))
+        moved = active.join(there, [IMAGE, "to"]).select(IMAGE, "block", F.col("__to").alias("to"), (F.col("steps") + F.col("__steps")).alias("steps"), (F.col("bad") + F.col("__bad")).alias("bad"), F.col("__done").alias("done"), "low")
+        pushed = active.where("low is not null").groupBy(IMAGE, F.col("to").alias("block")).agg(F.min("low").alias("__low"))
+        rows = rows.where("done").unionByName(moved).join(pushed, [IMAGE, "block"], "left").withColumn("low", F.least("low", "__low")).drop("__low")
+
+
+def chain_ends(blocks: DataFrame) -> DataFrame:
+    """One row a block in use: the end of its walk, links up to there, mismatches on the way, whether it is a loop, and the least head that leads to it.
+
+    In a loop the end is the block that the walk would come back from. No pairs of heads and blocks are listed.
+    """
+    rows = checkpointed(link_state(blocks).where("not empty"))
+    follow = F.col("link") == "follow"
+    head = F.when((F.col("block") > 0) & (F.col("first") == F.col("block")), F.col("block"))
+    bad = F.when(F.col("back_mismatch"), 1).otherwise(0).cast("long")
+    start = rows.select(IMAGE, "block", F.when(follow, F.col("next")).otherwise(F.col("block")).alias("to"), follow.cast("long").alias("steps"), bad.alias("bad"), (~follow).alias("done"), head.alias("low"))
+    walked = _walk(start)
+    straight = walked.where("done").select(IMAGE, "block", F.col("to").alias("end"), "steps", "bad", F.lit(False).alias("loop"), F.col("low").alias("least_head"))
+    left = checkpointed(walked.where("not done"))
+    if left.isEmpty():
+        return straight
+    on = left.select(IMAGE, F.col("to").alias("block")).distinct().withColumn("__on", F.lit(True))
+    edges = checkpointed(start.join(left.select(IMAGE, "block", F.col("low").alias("__low")), [IMAGE, "block"]).drop("low").join(on, [IMAGE, "block"], "left"))
+    ring = edges.where("__on").select(IMAGE, "block", "to", "bad")
+    # the ring's least block names it
+    names = ring.select(IMAGE, "block", "to", F.lit(1).cast("long").alias("steps"), F.lit(0).cast("long").alias("bad"), F.lit(False).alias("done"), F.col("block").alias("low"))
+    named = ring.join(_walk(names).select(IMAGE, "block", F.col("low").alias("ring")), [IMAGE, "block"])
+    sizes = named.groupBy(IMAGE, "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("all_bad"))
+    entered = named.select(IMAGE, "ring", F.col("to").alias("entry"), F.col("block").alias("end"), F.col("bad").alias("closing")).join(sizes, [IMAGE, "ring"])
+    stop = F.coalesce("__on", F.lit(False))
+    tails = _walk(edges.select(IMAGE, "block", F.when(stop, F.col("block")).otherwise(F.col("to")).alias("to"), F.when(stop, 0).otherwise(1).cast("long").alias("steps"), F.when(stop, 0).otherwise(F.col("bad")).cast("long").alias("bad"), stop.alias("done"), F.lit(None).cast("long").alias("low")))
+    looped = tails.select(IMAGE, "block", F.col("to").alias("entry"), "steps", "bad").join(entered, [IMAGE, "entry"]).join(left.select(IMAGE, "block", "low"), [IMAGE, "block"])
+    return straight.unionByName(looped.select(IMAGE, "block", "end", (F.col("steps") + F.col("n") - 1).alias("steps"), (F.col("bad") + F.col("all_bad") - F.col("closing")).alias("bad"), F.lit(True).alias("loop"), F.col("low").alias("least_head")))
+
+
 def chain_members(blocks: DataFrame) -> DataFrame:
     """(image_id, head, block, place) of the chains; a head that an earlier head's chain holds has none of its own."""
     rows = link_state(blocks)
-    heads = rows.where("block > 0 and first = block and not empty").select(IMAGE, "block")
-    found = reach(rows.where("link = 'follow' and not empty").select(IMAGE, "block", "next"), heads)
-    taken = found.where(F.col("block") > F.col("head")).select(IMAGE, F.col("block").alias("head")).distinct()
-    return found.join(taken, [IMAGE, "head"], "left_anti")
+    heads = chain_ends(blocks).where("least_head = block").select(IMAGE, "block")
+    return reach(rows.where("link = 'follow' and not empty").select(IMAGE, "block", "next"), heads)
 
 
 def traverse_chains(blocks: DataFrame) -> DataFrame:
-    """One row a chain: blocks, last block, back-link mismatches and outcome."""
-    rows = link_state(blocks)
-    inside = chain_members(blocks).join(rows.select(IMAGE, "block", "link", "back_mismatch"), [IMAGE, "block"])
-    ends = inside.groupBy(IMAGE, "head").agg(F.count(F.lit(1)).alias("n_blocks"), F.max_by(F.struct("block", "link", "back_mismatch"), "place").alias("end"), F.count_if("back_mismatch").alias("all_mismatches"))
-    followed = F.col("all_mismatches") - F.when(F.col("end.back_mismatch"), 1).otherwise(0)
-    link = F.col("end.link")
-    outcome = F.when(link == "self", "self-reference").when(link == "out of range", "out of range").when(link == "empty", "broken at empty slot").when(link == "follow", "loop").when(followed > 0, "back-link mismatch").otherwise("complete")
-    return ends.select(IMAGE, "head", "n_blocks", F.col("end.block").alias("last_block"), followed.alias("back_mismatches"), outcome.alias("outcome"))
+    """One row a chain: blocks, last block, back-link mismatches and outcome; as many rows as blocks at most are worked on, however many heads share a tail."""
+    ends = chain_ends(blocks).where("least_head = block")
+    rows = ends.join(link_state(blocks).select(IMAGE, F.col("block").alias("end"), "link"), [IMAGE, "end"])
+    link, followed = F.col("link"), F.col("bad")
+    outcome = F.when(F.col("loop"), "loop").when(link == "self", "self-reference").when(link == "out of range", "out of range").when(link == "empty", "broken at empty slot").when(followed > 0, "back-link mismatch").otherwise("complete")
+    return rows.select(IMAGE, F.col("block").alias("head"), (F.col("steps") + 1).alias("n_blocks"), F.col("end").alias("last_block"), followed.alias("back_mismatches"), outcome.alias("outcome"))
 
 
 def unreached(blocks: DataFrame) -> DataFrame:
@@ -63,7 +112,7 @@ def unreached(blocks: DataFrame) -> DataFrame:
 
     Ordered by links when a walk from the group's one start covers it, else by block number.
     """
-    used = blocks.where("not empty").join(chain_members(blocks).select(IMAGE, "block").distinct(), [IMAGE, "block"], "left_anti")
+    used = blocks.where("not empty").join(chain_ends(blocks).where("least_head is not null").select(IMAGE, "block"), [IMAGE, "block"], "left_anti")
     rows = used.withColumn("group", F.when(F.col("first") > 0, F.col("first")).otherwise(-F.col("block")))
     members = rows.select(IMAGE, "group", F.col("block").alias("next"))
     edges = checkpointed(rows.where("next <> block").join(members, [IMAGE, "group", "next"]).select(IMAGE, "group", "block", "next"))
