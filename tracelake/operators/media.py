@@ -58,21 +58,66 @@ def frame_quality(frames: DataFrame, width: int) -> DataFrame:
     return frames.select(F.col("frame_index").cast("long"), "pixels").mapInArrow(measure, "frame_index long, mean double, deviation double, sharpness double, has_tonal_variation boolean")
 
 
-def crop_and_shrink(frames: DataFrame, width: int, height: int, roi: tuple[int, int, int, int], factor: int) -> DataFrame:
-    """(frame_index, pixels) of a region (left, top, width, height) of each frame, shrunk by averaging ``factor`` x ``factor`` pixels."""
-    left, top, w, h = roi
-    if min(left, top) < 0 or w <= 0 or h <= 0 or left + w > width or top + h > height or factor <= 0 or w % factor or h % factor:
-        raise ValueError("the region has to lie in the frame and be a multiple of the factor")
+#: Weights of red, green and blue in grey.
+GREY = (0.299, 0.587, 0.114)
+
+
+def _shares(n: int, m: int) -> np.ndarray:
+    """(m, n): how much of each of n pixels each of m pixels of the same length covers; rows add up to 1."""
+    edges = np.arange(m + 1) * n / m
+    cover = np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n))
+    return np.maximum(cover, 0) * m / n
+
+
+def transform_frames(frames: DataFrame, width: int, height: int, plan: list[tuple], channels: int = 1) -> DataFrame:
+    """(frame_index, pixels) of frames of one size, channels side by side in each pixel, by the steps of ``plan`` in order.
 
-    def cut(batches):
+    ("crop", left, top, width, height): a region, which has to lie in the frame; ("resize", width, height): to any size, each pixel the mean of
+    the area that it covers; ("grey",): one channel out of red, green and blue. A step that can't be done is an error ahead of the run.
+    Frames without pixels or of another size are left out.
+    """
+    w, h, n = width, height, channels
+    for name, *args in plan:
+        if name == "crop":
+            left, top, cw, ch = args
+            if min(left, top) < 0 or cw <= 0 or ch <= 0 or left + cw > w or top + ch > h:
+                raise ValueError("the region has to lie in the frame")
+            w, h = cw, ch
+        elif name == "resize":
+            w, h = args
+            if w <= 0 or h <= 0:
+                raise ValueError("a size has to be above zero")
+        elif name == "grey":
+            if n != 3:
+                raise ValueError("grey takes three channels")
+            n = 1
+        else:
+            raise ValueError(f"no step {name}")
+
+    def change(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _pixels(batch.column(1), width)[:, top : top + h, left : left + w]
-            small = x.reshape(len(x), h // factor, factor, w // factor, factor).mean(axis=(2, 4)).reshape(len(x), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small.tolist(), pa.list_(pa.float64()))], names=["frame_index", "pixels"])
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, height, width, channels)
+            for name, *args in plan:
+                if name == "crop":
+                    left, top, cw, ch = args
+                    x = x[:, top : top + ch, left : left + cw]
+                elif name == "resize":
+                    x = np.einsum("hy,fyxc,wx->fhwc", _shares(x.shape[1], args[1]), x, _shares(x.shape[2], args[0]))
+                else:
+                    x = (x @ np.array(GREY))[..., None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.reshape(len(x), -1).tolist(), pa.list_(pa.float64()))], names=["frame_index", "pixels"])
+
+    sized = frames.where(F.size("pixels") == width * height * channels)
+    return sized.select(F.col("frame_index").cast("long"), "pixels").mapInArrow(change, "frame_index long, pixels array<double>")
+
 
-    return frames.select(F.col("frame_index").cast("long"), "pixels").mapInArrow(cut, "frame_index long, pixels array<double>")
+def crop_and_shrink(frames: DataFrame, width: int, height: int, roi: tuple[int, int, int, int], factor: int) -> DataFrame:
+    """(frame_index, pixels) of a region (left, top, width, height) of each frame, shrunk by averaging ``factor`` x ``factor`` pixels."""
+    if factor <= 0 or roi[2] % factor or roi[3] % factor:
+        raise ValueError("the region has to be a multiple of the factor")
+    return transform_frames(frames, width, height, [("crop", *roi), ("resize", roi[2] // factor, roi[3] // factor)])
 
 
 def eligible(findings: DataFrame) -> DataFrame:

@@ -46,9 +46,23 @@ def p22(spark, sf_dir):
     return M.frame_quality(frames(spark, sf_dir), 8).withColumns({c: F.round(c, 6) for c in ("mean", "deviation", "sharpness")})
 
 
-@query("p23_crop_and_shrink")
+def _each_pixel(frames):
+    return frames.select("frame_index", F.posexplode("pixels").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("p23_crop_and_shrink", """WITH e AS (SELECT vec_id AS frame_index, embedding::DOUBLE[] AS e, unnest(range(6)) AS place FROM embeddings), k AS (SELECT *, (place // 2) * 16 + 3 + place % 2 * 2 AS k FROM e)
+SELECT frame_index, place::INTEGER AS place, round((e[k] + e[k + 1] + e[k + 8] + e[k + 9]) / 4, 6) AS value FROM k""")
 def p23(spark, sf_dir):
-    return M.crop_and_shrink(frames(spark, sf_dir), 8, 8, (2, 0, 4, 6), 2)
+    return _each_pixel(M.crop_and_shrink(frames(spark, sf_dir), 8, 8, (2, 0, 4, 6), 2))
+
+
+@query("p23_transform_frames", """WITH e AS (SELECT vec_id AS frame_index, embedding::DOUBLE[] AS e, unnest(range(6)) AS place FROM embeddings), g AS (SELECT frame_index, place, list_transform(range(16), lambda p: 0.299 * e[3 * p + 1] + 0.587 * e[3 * p + 2] + 0.114 * e[3 * p + 3]) AS g FROM e),
+c AS (SELECT frame_index, place, list_transform(range(1, 5), lambda x: (g[x + place // 3 * 8] + g[x + place // 3 * 8 + 4]) / 2) AS c FROM g)
+SELECT frame_index, place::INTEGER AS place, round(CASE place % 3 WHEN 0 THEN 0.75 * c[1] + 0.25 * c[2] WHEN 1 THEN (c[2] + c[3]) / 2 ELSE 0.25 * c[3] + 0.75 * c[4] END, 6) AS value FROM c""")
+def p23b(spark, sf_dir):
+    """The first 48 values of each vector as 4 x 4 pixels of three channels, in grey, resized to 3 x 2."""
+    rows = frames(spark, sf_dir).withColumn("pixels", F.slice("pixels", 1, 48))
+    return _each_pixel(M.transform_frames(rows, 4, 4, [("grey",), ("resize", 3, 2)], 3))
 
 
 _FINDINGS = "f AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'FAIL' WHEN quality = 1 THEN 'PASS' WHEN quality = 0 THEN 'REVIEW' ELSE 'UNKNOWN' END AS state FROM documents LEFT JOIN labels USING (doc_id))"
