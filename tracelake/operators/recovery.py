@@ -207,6 +207,32 @@ def strategies(findings: DataFrame) -> DataFrame:
     return has.select("image_id", F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), v.alias("licensed")) for k, v in pairs.items()])).alias("s")).select("image_id", "s.*")
 
 
+def license_strategies(findings: DataFrame, counts: DataFrame) -> DataFrame:
+    """(image_id, strategy, licensed, basis, reason): which ways to recover the ten findings and the plan's counts license, six rows an image of ``counts``.
+
+    counts: image_id, n_accessible and n_available (claims), n_orphan and n_ungoverned (unclaimed regions inside and outside of an index's
+    scope), n_parented, n_channel, n_sequence and n_timed (fragments that carry one); null counts as 0. That fragments lie side by side licenses nothing.
+    """
+    needed = ("recording-index", "unreferenced-metadata", "authoritative-index-scope")
+    has = findings.groupBy("image_id").agg(*[F.bool_or((F.col("capability") == c) & F.col("available")).alias(c) for c in needed])
+    rows = counts.fillna(0).join(has, "image_id", "left").fillna(False, list(needed))
+    n = F.col
+
+    def row(strategy, basis, licensed, *told):
+        counted = F.concat_ws(", ", *[F.concat(n(c).cast("string"), F.lit(f" {what}")) for c, what in told])
+        return F.struct(F.lit(strategy).alias("strategy"), licensed.alias("licensed"), F.lit(basis).cast("string").alias("basis"), counted.alias("reason"))
+
+    each = F.array(
+        row("indexed recovery", needed[0], n(needed[0]) & (n("n_accessible") > 0), ("n_accessible", "accessible claims")),
+        row("available metadata recovery", needed[1], n(needed[1]) & (n("n_available") > 0), ("n_available", "claims out of reach")),
+        row("structural orphan recovery", needed[2], n(needed[2]) & (n("n_orphan") > 0), ("n_orphan", "unclaimed regions in scope")),
+        row("raw recovery", None, n("n_ungoverned") > 0, ("n_ungoverned", "regions that no index governs")),
+        row("fragment correlation", "channel-attribution", (n("n_parented") > 0) | (n("n_channel") > 0), ("n_parented", "fragments of a recording"), ("n_channel", "with a channel")),
+        row("temporal correlation", "recorder-timestamps", (n("n_sequence") > 1) | (n("n_timed") > 1), ("n_sequence", "fragments with a number"), ("n_timed", "with a time")),
+    )
+    return rows.select("image_id", F.explode(each).alias("s")).select("image_id", "s.*")
+
+
 def reduce_validation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The worst state of each key (FAIL, REVIEW, UNKNOWN, PASS) and the reasons for it, sorted and joined by '; '."""
     rank = F.when(F.col("state") == "FAIL", 4).when(F.col("state") == "REVIEW", 3).when(F.col("state") == "UNKNOWN", 2).otherwise(1)

@@ -216,6 +216,19 @@ def a15(spark, sf_dir):
     return V.strategies(V.capabilities(_facts(spark, sf_dir)))
 
 
+_LICENSED = [("indexed recovery", "recording-index", "y0 AND n_accessible > 0", [("n_accessible", "accessible claims")]), ("available metadata recovery", "unreferenced-metadata", "y1 AND n_available > 0", [("n_available", "claims out of reach")]), ("structural orphan recovery", "authoritative-index-scope", "y2 AND n_orphan > 0", [("n_orphan", "unclaimed regions in scope")]), ("raw recovery", None, "n_ungoverned > 0", [("n_ungoverned", "regions that no index governs")]),
+    ("fragment correlation", "channel-attribution", "n_parented > 0 OR n_channel > 0", [("n_parented", "fragments of a recording"), ("n_channel", "with a channel")]), ("temporal correlation", "recorder-timestamps", "n_sequence > 1 OR n_timed > 1", [("n_sequence", "fragments with a number"), ("n_timed", "with a time")])]
+_PLANNED = {"n_accessible": "o_orderkey % 4 = 1", "n_available": "o_orderkey % 9 = 1", "n_orphan": "o_orderkey % 7 = 1", "n_ungoverned": "o_orderkey % 11 = 1", "n_parented": "o_orderkey % 13 = 0", "n_channel": "o_orderkey % 12 = 0", "n_sequence": "o_orderkey % 6 = 0", "n_timed": "o_orderkey % 8 = 0"}
+
+
+@query("a15_licensed_strategies", f"""WITH c AS (SELECT o_custkey AS image_id, {", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in _PLANNED.items())}, count(*) FILTER (o_orderkey % 4 > 0 AND o_orderkey % 3 = 0) > 0 AS unreferenced FROM orders GROUP BY 1),
+w AS (SELECT c.*, coalesce(c_nationkey % 4 = 0, false) AS y0, unreferenced AND c_custkey IS NOT NULL AS y1, coalesce(c_nationkey % 5 = 0 AND c_mktsegment IS NOT NULL, false) AS y2 FROM c LEFT JOIN customer ON c_custkey = image_id) """ + " UNION ALL ".join(f"SELECT image_id, '{s}' AS strategy, {v} AS licensed, {repr(b) if b else 'NULL'} AS basis, " + " || ', ' || ".join(f"{n} || ' {t}'" for n, t in told) + " AS reason FROM w" for s, b, v, told in _LICENSED))
+def a15b(spark, sf_dir):
+    """The findings of ``a14_ten_findings`` with counts out of the same images' orders."""
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("image_id")).agg(*[F.count_if(F.expr(v)).alias(k) for k, v in _PLANNED.items()])
+    return V.license_strategies(a14b(spark, sf_dir), counts)
+
+
 @query("a16_reduce_validation", """WITH x AS (SELECT source AS subject, CASE WHEN quality = 0 AND toxic = 1 THEN 'FAIL' WHEN quality = 0 THEN 'REVIEW' WHEN quality IS NULL THEN 'UNKNOWN' ELSE 'PASS' END AS state, lang || ' ' || coalesce(quality::VARCHAR, '?') AS reason FROM documents LEFT JOIN labels USING (doc_id)),
 r AS (SELECT subject, state, CASE state WHEN 'FAIL' THEN 4 WHEN 'REVIEW' THEN 3 WHEN 'UNKNOWN' THEN 2 ELSE 1 END AS rank, string_agg(DISTINCT reason, '; ' ORDER BY reason) AS reasons FROM x GROUP BY subject, state) SELECT subject, arg_max(state, rank) AS state, arg_max(reasons, rank) AS reasons FROM r GROUP BY subject""")
 def a16(spark, sf_dir):
