@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, html_text, lang_id, line_dedup, pii, quality, simhash, spelling, substrings, url_filter
+from . import alignment, bpe, decontam, exact_dedup, html_text, lang_id, line_dedup, pii, quality, simhash, spelling, substrings, url_filter
 from .common import remainder
 
 
@@ -94,6 +94,12 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align_tokens(_table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_substrings": op10_substrings,
     "op11_url_filter": op11_url_filter,
+    "op12_alignment": op12_alignment,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
