@@ -34,11 +34,12 @@ from .bpe import _pack, _unpack
 from .common import stored
 
 #: Characters of text in a block, a longer text being a block of its own; characters that are encoded in one call; units of documents worked on at once.
-BLOCK, CALL, UNITS = 12_000_000, 20_000, 200_000
+BLOCK, CALL, UNITS = 8_000_000, 20_000, 200_000
 #: A pair of ids as one number: A's id above B's.
 B_BITS = 32
 
-_CUT = re.compile(r"(?<=\S)(?= )")
+#: Before a space behind another character than white space, unless only spaces follow; and what tells that not all single spaces are such places.
+_CUT, _ODD = re.compile(r"(?<=\S)(?= )(?! +\Z)"), re.compile(r"\s | \Z")
 _TOTALS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -70,6 +71,8 @@ class Tokenizers:
             self.a_bytes[k] = token.encode() if k in special else byte_level(token)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         #: Whether B's tokens end before each space behind another character.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -77,41 +80,51 @@ class Tokenizers:
         """The units of space and text, each without its first character, the space."""
         if not self.cuts:
             return [text]
-        if not re.search(r"\s ", " " + text):
+        if not _ODD.search(" " + text):
             return text.split(" ")
         return [u[1:] for u in _CUT.split(" " + text)]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's and B's ids of each unit, none for a unit whose bytes don't come back; units that end without white space go in calls of many."""
-        a, b = [[]] * len(units), [[]] * len(units)
-
-        def settle(some: list[list[int]]):
-            texts = ["".join(" " + units[k] for k in ks) for ks in some]
-            found_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-            found_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-            for ks, text, ids_a, ids_b in zip(some, texts, found_a, found_b, strict=True):
-                tokens_a, tokens_b, whole = [self.a_bytes[k] for k in ids_a], [self.b_bytes[k] for k in ids_b], text.encode()
-                if b"".join(tokens_a) == whole == b"".join(tokens_b):
-                    ends = np.cumsum([len(units[k].encode()) + 1 for k in ks])
-                    for out, ids, tokens in ((a, ids_a, tokens_a), (b, ids_b, tokens_b)):
-                        upto = np.searchsorted(np.cumsum(list(map(len, tokens))), ends, "right").tolist()
-                        for k, i, j in zip(ks, [0, *upto], upto, strict=False):
-                            out[k] = ids[i:j]
-                elif len(ks) > 1:
-                    settle([[k] for k in ks])
-
-        calls, size = [[]], 0
+    def encode(self, units: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """A's and B's ids of all units, each with the numbers of ids of each unit; a unit whose bytes don't come back has none.
+
+        Units that end without white space go in calls of many.
+        """
+        units_of, ids_of, counts_of = [], ([], []), ([], [])
+
+        def settle(ks: list[int]):
+            text = "".join(" " + units[k] for k in ks)
+            found = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+            tokens = [list(map(table.__getitem__, ids)) for table, ids in zip((self.a_bytes, self.b_bytes), found, strict=True)]
+            if b"".join(tokens[0]) == text.encode() == b"".join(tokens[1]):
+                ends = np.cumsum([len(units[k].encode()) + 1 for k in ks])
+                units_of.append(ks)
+                for ids, own, all_ids, counts in zip(found, tokens, ids_of, counts_of, strict=True):
+                    all_ids.append(np.array(ids, np.int32))
+                    counts.append(np.diff(np.searchsorted(np.cumsum(list(map(len, own))), ends, "right"), prepend=0))
+            elif len(ks) > 1:
+                for k in ks:
+                    settle([k])
+
+        call, size = [], 0
         for k, unit in enumerate(units):
-            if not unit or unit[-1].isspace() or not self.cuts:
-                settle([[k]])
+            if not self.cuts or not unit or unit[-1].isspace():
+                settle([k])
                 continue
-            if size > CALL:
-                calls.append([])
-                size = 0
-            calls[-1].append(k)
+            call.append(k)
             size += len(unit) + 1
-        settle([c for c in calls if c])
-        return a, b
+            if size > CALL:
+                settle(call)
+                call, size = [], 0
+        if call:
+            settle(call)
+        which = np.array([k for ks in units_of for k in ks], np.int64)
+        out = []
+        for ids, counts in zip(ids_of, counts_of, strict=True):
+            ids, counts = np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+            n = np.zeros(len(units), np.int64)
+            n[which] = counts
+            out.append((ids[np.argsort(np.repeat(which, counts), kind="stable")], n))
+        return tuple(out)
 
 
 @lru_cache(maxsize=2)
@@ -139,11 +152,9 @@ class _Units:
     """A block's distinct units: their tokens, groups and links."""
 
     def __init__(self, units: list[str], tokenizers: Tokenizers):
-        a, b = tokenizers.encode(units)
-        self.good = np.fromiter((bool(x) for x in a), bool, len(units))
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        a_ids, b_ids = (np.fromiter((k for ids in x for k in ids), np.int64) for x in (a, b))
-        a_ends, b_ends = (np.cumsum(np.fromiter((len(table[k]) for k in ids.tolist()), np.int64, len(ids))) for table, ids in ((tokenizers.a_bytes, a_ids), (tokenizers.b_bytes, b_ids)))
+        (a_ids, self.n_a), (b_ids, self.n_b) = tokenizers.encode(units)
+        self.good = self.n_a > 0
+        a_ends, b_ends = np.cumsum(tokenizers.a_sizes[a_ids]), np.cumsum(tokenizers.b_sizes[b_ids])
         a_last, b_last = group_labels(a_ends, b_ends)
         last = np.unique(a_last)
         unit_of_a = np.repeat(np.arange(len(units)), self.n_a)
@@ -151,14 +162,15 @@ class _Units:
         # a link is a stretch between two neighbouring ends of either side: two tokens overlap in one stretch
         ends = np.union1d(a_ends, b_ends)
         on_a, on_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        self.pairs, self.link_pair = np.unique((a_ids[on_a] << B_BITS) | b_ids[on_b], return_inverse=True)
+        self.pairs, link_pair = np.unique((a_ids[on_a].astype(np.int64) << B_BITS) | b_ids[on_b], return_inverse=True)
+        self.link_pair = link_pair.astype(np.int32)
         self.n_links = np.bincount(unit_of_a[on_a], minlength=len(units))
         self.first_link = np.cumsum(self.n_links) - self.n_links
-        self.texts = self._texts(a_ids.tolist(), b_ids.tolist(), (last + 1).tolist(), np.searchsorted(b_last, last, "right").tolist())
+        names = tokenizers.names
+        self.texts = self._texts([names[k] for k in a_ids], [names[k] for k in b_ids], (last + 1).tolist(), np.searchsorted(b_last, last, "right").tolist())
 
-    def _texts(self, a_ids: list, b_ids: list, a_upto: list, b_upto: list) -> list[str]:
+    def _texts(self, a_ids: list[str], b_ids: list[str], a_upto: list[int], b_upto: list[int]) -> list[str]:
         """Each unit's groups as text."""
-        a_ids, b_ids = list(map(str, a_ids)), list(map(str, b_ids))
         groups = [",".join(a_ids[i:j]) + "|" + ",".join(b_ids[k:m]) for i, j, k, m in zip([0, *a_upto], a_upto, [0, *b_upto], b_upto, strict=False)]
         upto = np.cumsum(self.n_groups).tolist()
         return [";".join(groups[i:j]) for i, j in zip([0, *upto], upto, strict=False)]
