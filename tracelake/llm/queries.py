@@ -147,6 +147,25 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN found USING (r)
 """
 
+OP13_SQL = r"""
+WITH RECURSIVE run AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r FROM documents),
+each AS (SELECT d, r, count(*) AS n, hex(d || ':' || r) AS x FROM run WHERE length(r) >= 6 GROUP BY ALL),
+hashed AS (SELECT r, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: CASE WHEN s % 2 = 1 THEN xor(3988292384, s // 2) ELSE s // 2 END))) AS h FROM each),
+word AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+place AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM word),
+hole AS (SELECT word, n, k, substr(word, 1, k - 1) AS a, substr(word, k + 1) AS b FROM place),
+short AS (SELECT DISTINCT word, n, a || b AS near FROM hole),
+pair AS (SELECT x.word, x.n, y.word AS near, y.n AS m FROM hole x JOIN hole y ON x.k = y.k AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT s.word, s.n, w.word, w.n FROM short s JOIN word w ON s.near = w.word
+  UNION ALL SELECT w.word, w.n, s.word, s.n FROM short s JOIN word w ON s.near = w.word),
+best AS (SELECT word, n, count(*) AS n_near, max(m) AS m, arg_min(near, (-m, near)) AS near FROM pair GROUP BY ALL),
+form AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.near END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n FROM word w LEFT JOIN best b USING (word)),
+way AS (SELECT word, word AS here, 0 AS step FROM form UNION ALL SELECT y.word, f.form, step + 1 FROM way y JOIN form f ON f.word = y.here WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, step) AS root FROM way GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN root USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_line_dedup": op2_line_dedup,
@@ -163,4 +182,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling_variants": op13_spelling_variants,
 }
 
-SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_pii": _PII_SQL}
+SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op8_pii": _PII_SQL, "op13_spelling_variants": OP13_SQL}
