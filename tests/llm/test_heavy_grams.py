@@ -29,8 +29,8 @@ def test_results(monkeypatch, spark, bound):
 def test_no_group_over_the_bound(monkeypatch, spark):
     monkeypatch.setattr(substrings, "HEAVY", 200)
     texts = spark.createDataFrame(documents(), "key long, text string").repartition(5)
-    found = texts.mapInArrow(substrings._find_runs, substrings._RUNS)
-    compared = found.repartition(F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.col("key"))).sortWithinPartitions("kind", "gram", "run", "key", "first").mapInArrow(substrings._compare_runs, substrings._RUNS)
+    found = texts.mapInArrow(substrings._find_runs(b"key"), substrings._RUNS)
+    compared = found.repartition(F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.col("key"))).sortWithinPartitions(*substrings._ORDER).mapInArrow(substrings._compare_runs, substrings._RUNS)
     runs = compared.where("kind = 2").groupBy("gram").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))
     assert runs.agg(F.max("n")).first()[0] > 1000
     dealt = substrings.undecided_runs(texts, compared).where("bytes is not null")
@@ -44,3 +44,11 @@ def test_equal_windows_are_sent_once():
     got = [r for b in substrings._fetch([batch]) for r in b.to_pylist()]
     assert sorted({r["key"] for r in got if r["bytes"] is not None}) == [3, 5]
     assert [(r["key"], r["first"], r["part"]) for r in got if r["bytes"] is None] == [(9, 0, 20)]
+
+
+def test_texts_made_to_have_one_polynomial_hash(spark):
+    """Two texts without a common window whose runs were equal under a polynomial modulo 2**64."""
+    one = "eshqxpdzcabsthkescaueonhkuwbbbxoywzeeudgflfsamaisnywqakjofxznreuojgiwtcattmiackmatqugokpseeonxrcjsaejpwadsquvwhwpafonipsqcfuwvxenaheyvbcgbaemmjrimfgckbdizcxccrvbgslmifqecxtpsid"
+    two = "ashqxpdzcbbsthkescaueonhkuwabbxoywzeaudgflfsemaisnywqekjofxznrauojgiwtcattmiackmatqugokpseeonxrcjsaejpwaasquvwhwpcfonipsqcauwvxenahayvbcgbaammjrimfgakbdizcxcarvbgslmiaqecxtpsia"
+    docs = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: len(r.kept) for r in substrings.remove_repeats(docs).collect()} == {1: 176, 2: 176, 3: 0}

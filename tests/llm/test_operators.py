@@ -186,7 +186,7 @@ def test_long_text_in_pieces(monkeypatch, spark):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([raw.decode()])], names=["key", "text"])
-    seen = sorted((f, l) for r in substrings._find_runs([batch]) for f, l in zip(r.column(4).to_pylist(), r.column(5).to_pylist(), strict=True))
+    seen = sorted((f, l) for r in substrings._find_runs(b"key")([batch]) for f, l in zip(r.column("first").to_pylist(), r.column("last").to_pylist(), strict=True))
     starts = [p for f, l in seen for p in range(f, l + 1)]
     assert sorted(starts) == list(range(len(raw) - 99))
 

@@ -2,7 +2,8 @@
 
 Equal windows have to meet, so each window goes by its anchor: of the GRAM-byte grams in it the one with the smallest
 hash, the first of them if several are. Equal windows have equal anchors at equal places. Successive windows with one
-anchor form a run; a run's bytes are hashed as a whole. Runs are dealt out by the anchor's gram. Where a run comes again,
+anchor form a run; a run's bytes are hashed as a whole (keyed BLAKE2b of 128 bits, the key drawn for each job, so that n runs
+hold a pair of unequal ones with one hash by a chance of n**2 / 2**129 at most, whatever the texts). Runs are dealt out by the anchor's gram. Where a run comes again,
 all its windows but those of the first are found repeated. What is left are runs that share a gram but not all
 bytes, mostly at the edges of a copied passage: of those the bytes are fetched, dealt out by gram, and their suffixes are
 put in order by deep-shallow sorting: a multikey sort, eight bytes at a time, to depth SHALLOW, and a blind trie for each
@@ -21,7 +22,9 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,11 @@ CHUNK, REMEMBERED, SHALLOW = 1 << 19, 200_000, 32
 #: Undecided windows of a gram that are dealt out together at most.
 HEAVY = 1 << 16
 _PLACE = np.uint64((1 << 20) - 1)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASE = 0x9E3779B97F4A7C15
 
-_RUNS = "kind byte, gram long, run long, key long, first int, last int"
+_RUNS = "kind byte, gram long, run long, more long, key long, first int, last int"
+#: Order of the rows that ``_compare_runs`` takes.
+_ORDER = ("kind", "gram", "run", "more", "key", "first")
 
 
 @lru_cache(maxsize=2)
@@ -66,13 +71,13 @@ def _sums(data: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts that stand one after the other, under 2**20 bytes in all: each run's gram, hash, first and last window start."""
+    """Of texts that stand one after the other, under 2**20 bytes in all: each run's gram, first and last window start."""
     n = len(data) - WINDOW + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
+        return none, none, none
     wide = data.astype(np.uint64)
-    sums, down = _sums(wide, _BASES[0])
+    sums, down = _sums(wide, _BASE)
     grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
     keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     short = -len(keys) % SPREAD
@@ -87,9 +92,14 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(change & whole)
     stop = np.r_[np.flatnonzero(change)[1:], n] - 1
     stop = stop[whole[np.flatnonzero(change)]]
-    sums, down = _sums(wide, _BASES[1])
-    hashes = _mixed((sums[stop + WINDOW] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64) + (anchor[begin] - begin).astype(np.uint64) * np.uint64(_BASES[0]))
-    return grams[anchor[begin]].view(np.int64), hashes.view(np.int64), begin, stop
+    return grams[anchor[begin]].view(np.int64), begin, stop
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, secret: bytes) -> np.ndarray:
+    """Two numbers for each run: 128 bits of a keyed hash of its bytes."""
+    view = memoryview(data)
+    found = [blake2b(view[a:b], digest_size=16, key=secret).digest() for a, b in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def _pieces(batch, column: int):
@@ -111,16 +121,22 @@ def _pieces(batch, column: int):
         row = stop
 
 
-def _record(kind: int, gram, run, key, first, last) -> pa.RecordBatch:
+def _record(kind: int, gram, run, more, key, first, last) -> pa.RecordBatch:
     n = len(key)
-    arrays = [np.full(n, kind, np.int8), gram if len(gram) else np.zeros(n, np.int64), run if len(run) else np.zeros(n, np.int64), key, np.asarray(first, np.int32), np.asarray(last, np.int32)]
+    arrays = [np.full(n, kind, np.int8), *(x if len(x) else np.zeros(n, np.int64) for x in (gram, run, more)), key, np.asarray(first, np.int32), np.asarray(last, np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[f.split()[0] for f in _RUNS.split(", ")])
 
 
-def _find_runs(batches):
-    """kind 0: windows that are known to be repeated; kind 1: runs to compare."""
-    import xxhash
+def _find_runs(secret: bytes):
+    """kind 0: windows that are known to be repeated; kind 1: runs to compare. ``secret`` is the key of the hashes."""
+
+    def find(batches):
+        yield from _runs_of(batches, secret)
+
+    return find
+
 
+def _runs_of(batches, secret: bytes):
     none, seen = np.zeros(0, np.int64), {}
     for batch in batches:
         keys = batch.column(0).to_numpy()
@@ -133,27 +149,28 @@ def _find_runs(batches):
             seen.clear()
         for k, key in enumerate(keys.tolist()):
             if offsets[k + 1] - offsets[k] >= WINDOW:
-                digest = xxhash.xxh128_digest(view[offsets[k] : offsets[k + 1]])
+                digest = blake2b(view[offsets[k] : offsets[k + 1]], digest_size=16, key=secret).digest()
                 if seen.setdefault(digest, key) < key:
                     copy[k] = True
                 else:
                     seen[digest] = key
         if copy.any():
-            yield _record(0, none, none, keys[copy], np.zeros(copy.sum(), np.int64), np.diff(offsets)[copy] - WINDOW)
+            yield _record(0, none, none, none, keys[copy], np.zeros(copy.sum(), np.int64), np.diff(offsets)[copy] - WINDOW)
         for data, ends, rows, shifts in _pieces(batch, 1):
-            gram, run, first, last = runs(data, ends)
+            gram, first, last = runs(data, ends)
             own = np.searchsorted(ends, first, side="right")
-            start = np.r_[0, ends][own] - shifts[own]
-            keep = ~copy[rows[own]]
-            if keep.any():
-                yield from _settle_near([x[keep] for x in (gram, run, keys[rows[own]], first - start, last - start)])
+            if (keep := ~copy[rows[own]]).any():
+                gram, first, last, own = (x[keep] for x in (gram, first, last, own))
+                start = np.r_[0, ends][own] - shifts[own]
+                run, more = run_hashes(data, first, last, secret).T
+                yield from _settle_near([gram, run, more, keys[rows[own]], first - start, last - start])
 
 
 def _settle_near(found: list[np.ndarray]):
     """Of runs found together, the first of equal ones to compare; the others are repeated, so a run that comes often is sent once."""
-    gram, run, key, first, last = found
-    order = np.lexsort((first, key, run, gram))
-    same = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (run[order][1:] == run[order][:-1])]
+    gram, run, more, key, first, last = found
+    order = np.lexsort((first, key, more, run, gram))
+    same = np.r_[False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (gram, run, more)])]
     place = (key[order][1:] == key[order][:-1]) & (first[order][1:] == first[order][:-1])
     again = np.zeros(len(order), bool)
     again[order] = same & ~np.r_[False, place]
@@ -163,11 +180,11 @@ def _settle_near(found: list[np.ndarray]):
     if again.any():
         key, first, last = key[again], first[again], last[again]
         new = np.r_[True, (key[1:] != key[:-1]) | (first[1:] != last[:-1] + 1)]
-        yield _record(0, np.zeros(0, np.int64), np.zeros(0, np.int64), key[new], first[new], last[np.r_[np.flatnonzero(new)[1:], len(new)] - 1])
+        yield _record(0, *[np.zeros(0, np.int64)] * 3, key[new], first[new], last[np.r_[np.flatnonzero(new)[1:], len(new)] - 1])
 
 
 def _compare_runs(batches):
-    """Rows sorted by gram, run, key, first: runs that come again are kind 0; the first of runs that share a gram are kind 2."""
+    """Rows in ``_ORDER``: runs that come again are kind 0; the first of runs that share a gram are kind 2."""
     none = np.zeros(0, np.int64)
     gram_at, run_at, place, held = None, None, None, None  # of the last row; the gram's first run as long as it has no other
 
@@ -181,16 +198,16 @@ def _compare_runs(batches):
             batch = batch.filter(pa.array(kinds != 0))
         if not batch.num_rows:
             continue
-        gram, run, key, first, last = (c.to_numpy() for c in batch.columns[1:])
-        before = [np.r_[np.int64(0), x[:-1]] for x in (gram, run, key, first)]
-        same_gram, same_run = before[0] == gram, before[1] == run
-        same_place = (before[2] == key) & (before[3] == first)
+        gram, run, more, key, first, last = (c.to_numpy() for c in batch.columns[1:])
+        before = [np.r_[np.int64(0), x[:-1]] for x in (gram, run, more, key, first)]
+        same_gram, same_run = before[0] == gram, (before[1] == run) & (before[2] == more)
+        same_place = (before[3] == key) & (before[4] == first)
         same_gram[0] = gram[0] == gram_at
-        same_run[0] = run[0] == run_at
+        same_run[0] = (run[0], more[0]) == run_at
         same_place[0] = (key[0], first[0]) == place
         again = same_gram & same_run
         if (hit := again & ~same_place).any():  # a repeated row is the same place, not a copy
-            yield _record(0, none, none, key[hit], first[hit], last[hit])
+            yield _record(0, none, none, none, key[hit], first[hit], last[hit])
         new = np.flatnonzero(~again)
         if len(new):
             starts = np.flatnonzero(~same_gram[new])
@@ -200,15 +217,15 @@ def _compare_runs(batches):
                 if held is not None:
                     yield undecided(held)
                     held = None
-                yield undecided([x[carried] for x in (gram, run, key, first, last)])
+                yield undecided([x[carried] for x in (gram, run, more, key, first, last)])
             if len(starts):
                 sizes = np.diff(np.r_[starts, len(new)])
                 many = np.repeat(sizes > 1, sizes)
                 rest = new[starts[0] :]
                 if many.any():
-                    yield undecided([x[rest[many]] for x in (gram, run, key, first, last)])
-                held = [x[rest[-1:]] for x in (gram, run, key, first, last)] if sizes[-1] == 1 else None
-        gram_at, run_at, place = gram[-1], run[-1], (key[-1], first[-1])
+                    yield undecided([x[rest[many]] for x in (gram, run, more, key, first, last)])
+                held = [x[rest[-1:]] for x in (gram, run, more, key, first, last)] if sizes[-1] == 1 else None
+        gram_at, run_at, place = gram[-1], (run[-1], more[-1]), (key[-1], first[-1])
 
 
 def _fetch(batches):
@@ -381,10 +398,10 @@ def _remove(batches):
 
 
 def undecided_runs(rows: DataFrame, compared: DataFrame) -> DataFrame:
-    """What ``_fetch`` gives for the runs of kind 2, dealt out by gram and part and sorted. Heavy grams are at most one in HEAVY windows and are broadcast."""
+    """What ``_fetch`` gives for the runs of kind 2, dealt out by gram and part and sorted. Heavy grams, one in HEAVY windows at most, are joined as Spark sees fit by their size."""
     runs = compared.where("kind = 2").select("gram", "key", "first", "last")
     heavy = runs.groupBy("gram").agg(F.sum(F.col("last").cast("long") - F.col("first") + 1).alias("n")).where(F.col("n") > HEAVY).select("gram", F.lit(True).alias("heavy"))
-    marked = runs.join(F.broadcast(heavy), "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    marked = runs.join(heavy, "gram", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     lists = marked.groupBy("key").agg(F.collect_list(F.struct("gram", "first", "last", "heavy")).alias("runs"))
     # the same columns of the texts as in the last join, so that one exchange of them serves both
     fetched = rows.join(lists, "key").mapInArrow(_fetch, "gram long, part long, key long, first int, bytes binary")
@@ -406,8 +423,8 @@ def with_keys(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id_col, n_bytes, spans (removed byte ranges, ends exclusive), kept (the bytes left)."""
     rows = with_keys(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    found = rows.select("key", "text").mapInArrow(_find_runs, _RUNS)
-    dealt = found.repartition(F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.col("key"))).sortWithinPartitions("kind", "gram", "run", "key", "first")
+    found = rows.select("key", "text").mapInArrow(_find_runs(os.urandom(32)), _RUNS)
+    dealt = found.repartition(F.when(F.col("kind") == 1, F.col("gram")).otherwise(F.col("key"))).sortWithinPartitions(*_ORDER)
     compared = stored(dealt.mapInArrow(_compare_runs, _RUNS), "runs")
     sorted_ = undecided_runs(rows, compared).mapInArrow(_sort_suffixes, "key long, first int, last int")
     gone = compared.where("kind = 0").select("key", "first", "last").unionByName(sorted_)
