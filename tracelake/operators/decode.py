@@ -1,8 +1,8 @@
 """Byte decoders: fields and entries out of image bytes, in the form that the rules in ``records`` judge.
 
-Tables of fixed entries are decoded by column expressions; what is found by a tag is searched in the chunks (see ``detect``) and
-its bytes are then read by region, so windows may cut anything anywhere. Layouts are dicts of name: (place, bytes); numbers are
-little-endian. Missing bytes give nulls.
+Tables of fixed entries are decoded by column expressions over a layout (see ``layouts``), which a row's profile may move; what is
+found by a tag is searched in the chunks (see ``detect``) and its bytes are then read by region, so windows may cut anything
+anywhere. Small layouts are dicts of name: (place, bytes); numbers are little-endian. Missing bytes give nulls.
 """
 
 from __future__ import annotations
@@ -11,15 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields as B
+from ..functions.times import packed_clock, unix_clock
 from ..sources.images import read_regions
 from . import detect, records
+from .layouts import BLOCK_ENTRY, CLIP_SLOT, DIRECTORY_ENTRY, FRAME_ARRAY, FRAME_REFERENCE, LEAF_ENTRY, explode_entries, read_head, unsigned
 
-#: The layouts of a boot record's slots, of a block table's entries, a block footer's slots, frame references, a flat directory and a tagged frame.
+#: The layouts of a boot record's slots and of a tagged frame.
 BOOT_SLOT = {"type": (4, 1), "start_lba": (8, 4), "sectors": (12, 4)}
-BLOCK_ENTRY = {"type": (0, 1), "channel": (1, 1), "sectors": (2, 2), "start": (4, 4), "end": (8, 4), "next": (12, 4), "prev": (16, 4), "first": (20, 4)}
-CLIP_SLOT = {"channel": (0, 4), "start": (4, 4), "end": (8, 4), "first": (12, 4), "last": (16, 4)}
-FRAME_REFERENCE = {"offset": (0, 4), "length": (4, 4)}
-DIRECTORY_ENTRY = {"offset": (0, 6), "length": (8, 6)}
 TAGGED_FRAME = {"type": (4, 1), "subtype": (5, 1), "raw_channel": (6, 2), "frame_number": (8, 4), "length": (12, 4), "packed_time": (16, 4)}
 #: Kinds of a tagged frame by its type byte.
 FRAME_KINDS = {0xFD: "video-key-frame", 0xFC: "video-delta-frame", 0xF0: "audio-frame", 0xF1: "info-frame"}
@@ -68,34 +66,83 @@ def boot_entries(sectors: DataFrame) -> DataFrame:
     return explode_table(marked, BOOT_SLOT, 16, F.lit(4), 446).select("image_id", F.col("entry").cast("int").alias("slot"), "type", "start_lba", "sectors", "size_bytes")
 
 
-def block_entries(tables: DataFrame, block_bytes: int, first: int = 0) -> DataFrame:
-    """Entries of block tables (image_id, size_bytes, data) as blocks: Empty, Malformed (ends before it starts) or Occupied, with their byte range.
+def block_entries(tables: DataFrame, block_bytes: int, first: int = 0, count: Column | None = None) -> DataFrame:
+    """Entries of block tables (image_id, size_bytes, data, maybe layout) as blocks, each with its state, the problems, and its byte range.
 
-    A chain's last block has as many bytes as its sectors say, others are whole; ranges are clipped to the image.
+    Empty: by its type. Malformed: a next below -1, a previous below -1, a first below 0, a last block without sectors or with more than a
+    block, a place outside of the image or cut by its end. Else Occupied. A last block (next 0 or -1) has as many bytes as its sectors
+    say, others are whole, empty ones have none; ranges are clipped to the image. Without ``count`` all whole entries are read.
     """
-    rows = explode_table(tables, BLOCK_ENTRY, 32, F.floor(F.octet_length("data") / 32))
-    state = F.when(F.col("blank"), "Empty").when(F.col("end") < F.col("start"), "Malformed").otherwise("Occupied")
-    lo = F.least(F.lit(first) + F.col("entry") * block_bytes, F.col("size_bytes"))
-    own = F.when(F.col("next") == 0, F.least(F.col("sectors") * 512, F.lit(block_bytes))).otherwise(block_bytes)
-    return rows.withColumns({"state": state, "offset": lo, "length": F.least(lo + own, "size_bytes") - lo}).drop("blank", "truncated")
-
-
-def footer_slots(footers: DataFrame, layout: dict = CLIP_SLOT, size: int = 32, header: int = 16, channels: int = 64) -> DataFrame:
-    """Slots of block footers (block_id, data) for ``clip_slots``: the count stands at byte 8; a channel out of range or an end of zero is unknown."""
-    rows = explode_table(footers, layout, size, B.le_uint(F.col("data"), 8, 4), header).where(~F.col("blank"))
-    return rows.withColumns({"channel": F.when(F.col("channel") < channels, F.col("channel")), "end": F.when(F.col("end") > 0, F.col("end"))})
-
+    rows = explode_entries(tables, BLOCK_ENTRY, F.floor(F.octet_length("data") / BLOCK_ENTRY.size) if count is None else count)
+    empty, last = F.col("type").isin(0xFE, 0), F.col("next").isin(0, -1) | (F.col("next") < -1)
+    declared, lo = F.col("sectors") * 512, F.lit(first) + F.col("entry") * block_bytes
+    own = F.when(~last, F.lit(block_bytes)).when(F.col("sectors") > 0, F.least(declared, F.lit(block_bytes)))
+    cut = F.when(own.isNotNull() & (lo < F.col("size_bytes")), F.least(lo + own, F.col("size_bytes")) - lo)
+    problems = {"next": F.col("next") < -1, "previous": F.col("prev") < -1, "first": F.col("first") < 0, "no sectors": last & (F.col("sectors") <= 0), "too many sectors": last & (declared > block_bytes), "outside the image": lo >= F.col("size_bytes"), "cut by the image's end": cut < own}
+    named = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in problems.items()])), ", ")
+    flagged = F.col("channel_flag").bitwiseAND(F.lit(1)) == 1
+    channel = F.when(flagged, F.col("extended_channel").bitwiseAND(F.lit(31))).otherwise(F.col("legacy_channel").bitwiseAND(F.lit(15)) + 1)
+    rows = rows.withColumns({"channel": channel, "problems": F.when(~empty & (named != ""), named), "offset": F.when(~empty & (lo < F.col("size_bytes")), lo), "length": F.when(~empty, cut)})
+    state = F.when(empty, "Empty").when(F.col("problems").isNotNull(), "Malformed").otherwise("Occupied")
+    rows = rows.withColumns({"state": state, "start_time": packed_clock(F.col("start"))["time"], "end_time": packed_clock(F.col("end"))["time"], "next": F.greatest("next", F.lit(0).cast("long"))})
+    return rows.drop("blank", "entry_at", "entry_size", "legacy_channel", "channel_flag", "extended_channel")
+
+
+def footer_slots(footers: DataFrame, low: int = 946_684_800, high: int = 4_102_444_800, channels: int = 127) -> DataFrame:
+    """Slots of block footers (block_id, data, maybe layout) for ``clip_slots``; a footer with a marker of 255, without slots or with more than it has room for has none.
+
+    The start is the first of two places that holds a time. A channel above ``channels``, an end that is no time, are null; ``low`` and ``high`` bound
+    what is a likely time.
+    """
+    rows = read_head(footers, CLIP_SLOT).where("head_marker is null or head_marker <> 255")
+    rows = explode_entries(rows, CLIP_SLOT, F.col("head_count")).where(~F.col("truncated"))
+    seconds = lambda name: F.when(unix_clock(F.col(name), low, high)["time"].isNotNull(), F.col(name))
+    start = seconds("start")
+    return rows.withColumns({"channel": F.when(F.col("raw_channel") <= channels, F.col("raw_channel") + 1), "from_fallback": start.isNull() & seconds("time_a").isNotNull(), "start": F.coalesce(start, seconds("time_a")), "end": seconds("end"), "frame_rate": F.when(F.col("frame_rate") != 0, F.col("frame_rate"))}).drop("head_marker", "head_count", "blank", "entry_at", "entry_size", "truncated", "time_a")
 
-def frame_references(indexes: DataFrame, tag: bytes = b"DHII", header: int = 12, size: int = 8) -> DataFrame:
-    """Frame references of clip indexes (clip_id, clip_length, index_offset, data) that carry the tag, for ``frame_index``; the count stands at byte 8."""
-    marked = indexes.where(F.substring("data", 1, len(tag)) == F.lit(tag))
-    return explode_table(marked, FRAME_REFERENCE, size, B.le_int(F.col("data"), 8, 4), header)
 
+def leaf_entries(pages: DataFrame, channels: int = 127) -> DataFrame:
+    """Entries of index pages (page_id, data; page_offset and layout if there) as blank, populated or malformed by their sentinel, with channel, times and place.
 
-def directory(images: DataFrame, tag: bytes = b"DIDX", header: int = 16, size: int = 32) -> DataFrame:
-    """Entries of flat directories (image_id, size_bytes, data) that carry the tag, for ``directory_entries``; the count stands at byte 4."""
-    marked = images.where(F.substring("data", 1, len(tag)) == F.lit(tag))
-    return explode_table(marked, DIRECTORY_ENTRY, size, B.le_uint(F.col("data"), 4, 4), header).select("image_id", "entry", "offset", "length", "size_bytes", "truncated")
+    The declared count is capped; entries that the page cuts off aren't read, which ``truncated`` tells. ``notes`` are what speaks against a
+    populated entry: an unlikely channel, a place of zero or less, an end before the start, a page that isn't its own.
+    """
+    rows = explode_entries(read_head(pages, LEAF_ENTRY), LEAF_ENTRY, F.col("head_count"))
+    state = F.when(F.coalesce(F.col("sentinel") == -1, F.lit(True)), "blank").when(F.col("sentinel") == 0, "populated").otherwise("malformed")
+    incomplete = F.col("start") == 2**31 - 1
+    notes = {"channel": F.col("raw_channel") > channels, "place": F.col("data_offset") <= 0, "not ended": incomplete, "end before start": ~incomplete & (F.col("start") > 0) & (F.col("end") > 0) & (F.col("end") < F.col("start"))}
+    if "page_offset" in pages.columns:
+        notes["other page"] = (F.col("page") != 0) & (F.col("page") != F.col("page_offset"))
+    named = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in notes.items()])), ", ")
+    there = F.col("state") == "populated"
+    own = lambda c: F.when(there, c)
+    rows = rows.withColumn("state", state).withColumns({"channel": own(F.when(F.col("raw_channel") <= channels, F.col("raw_channel") + 1)), "notes": own(F.when(named != "", named)), "data_offset": own(F.col("data_offset")), "start": own(F.when(F.col("start") > 0, F.col("start"))), "end": own(F.when(F.col("end") > 0, F.col("end"))), "status": own(F.col("status"))})
+    return rows.select("page_id", "entry", "state", "data_offset", "channel", "start", "end", "status", "notes", "truncated")
+
+
+def frame_references(indexes: DataFrame, tag: bytes = b"DHII") -> DataFrame:
+    """Frame references of clip indexes (clip_id, clip_length, index_offset, data from there on, maybe layout) that carry the tag, for ``frame_index``.
+
+    Two levels: the header's entries (array) name a kind, and where in the clip an array of references lies and its bytes. An array that doesn't
+    begin inside the index has no references. An index shorter than its header is bounded by the clip. Columns: clip_id, array,
+    kind, entry, offset, length, time, clip_length, index_offset, index_end, truncated (the array or the header's entries).
+    """
+    marked = read_head(indexes.where(F.substring("data", 1, len(tag)) == F.lit(tag)), FRAME_ARRAY)
+    end = F.col("index_offset") + F.when(F.col("head_index_length") < FRAME_ARRAY.header, F.col("clip_length")).otherwise(F.col("head_index_length"))
+    rows = marked.withColumns({"index_end": end.cast("long"), "__data": F.col("data"), **({"__layout": F.col("layout")} if "layout" in indexes.columns else {})})
+    arrays = explode_entries(rows, FRAME_ARRAY, F.col("head_count")).withColumnsRenamed({"entry": "array", "truncated": "__cut", "__data": "data", "__layout": "layout"})
+    inside = (F.col("first") >= F.col("index_offset")) & (F.col("first") < F.least("index_end", "clip_length"))
+    arrays = arrays.where(inside).drop("entry_at", "entry_size", "blank")
+    size = F.lit(FRAME_REFERENCE.size) if "layout" not in arrays.columns else F.coalesce(F.try_element_at("layout", F.lit("frame_reference.size")).try_cast("int"), F.lit(FRAME_REFERENCE.size))
+    found = explode_entries(arrays, FRAME_REFERENCE, F.floor(F.col("bytes") / size), F.col("first") - F.col("index_offset"))
+    return found.select("clip_id", "array", "kind", "entry", "offset", "length", packed_clock(F.col("packed_time"))["time"].alias("time"), "clip_length", "index_offset", "index_end", (F.col("truncated") | F.col("__cut")).alias("truncated"))
+
+
+def directory(images: DataFrame, tag: bytes = b"DIDX") -> DataFrame:
+    """Entries of flat directories (image_id, size_bytes, data, maybe layout) that carry the tag, for ``directory_entries``; places are unsigned, times of zero are none."""
+    marked = read_head(images.where(F.substring("data", 1, len(tag)) == F.lit(tag)), DIRECTORY_ENTRY)
+    rows = explode_entries(marked, DIRECTORY_ENTRY, F.col("head_count"))
+    return rows.select("image_id", "entry", (F.col("raw_channel") + 1).alias("channel"), "frame_type", unsigned(F.col("offset")).alias("offset"), unsigned(F.col("length")).alias("length"), F.when(F.col("time") > 0, F.col("time")).alias("start"), "crc", "size_bytes", "truncated")
 
 
 def image_sizes(chunks: DataFrame) -> DataFrame:

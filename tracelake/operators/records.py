@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import fields as B
 from ..sources.images import read_regions
 from .islands import fold_islands, number_islands
+from .layouts import BEYOND
 
 
 def packed_date(data: Column, at: int, first_year: int, last_year: int) -> Column:
@@ -35,14 +36,16 @@ def judge(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 
 def clip_slots(slots: DataFrame, block_bytes: int, longest: int = 7 * 86400) -> DataFrame:
-    """Slots of a block's footer (channel, start, end, first, last as bytes in the block): accepted or the first reason against."""
-    return judge(slots, [("unknown channel", F.col("channel").isNotNull()), ("no end time", F.col("end").isNotNull()), ("span", (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") <= longest)), ("empty range", F.col("last") > F.col("first")), ("beyond block", F.col("last") <= block_bytes)])
+    """Slots of a block's footer (channel, start, end, first, last as bytes in the block): accepted or the first reason against. A clip without a start is kept."""
+    span = (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") <= longest)
+    return judge(slots, [("unknown channel", F.col("channel").isNotNull()), ("no end time", F.col("end").isNotNull()), ("span", F.col("start").isNull() | span), ("empty range", F.col("last") > F.col("first")), ("beyond block", F.col("last") <= block_bytes)])
 
 
 def frame_index(entries: DataFrame) -> DataFrame:
-    """Frame references of a clip (offset, length; clip_length, index_offset): accepted or the first reason against."""
+    """Frame references of a clip (offset, length; clip_length, index_offset, index_end if the clip goes on behind its index): accepted or the first reason against."""
     end = F.col("offset") + F.col("length")
-    return judge(entries, [("sentinel", F.col("offset") != 0xFFFFFFFF), ("no length", F.col("length") > 0), ("past clip", end <= F.col("clip_length")), ("overlaps index", end <= F.col("index_offset"))])
+    behind = F.col("offset") >= F.col("index_end") if "index_end" in entries.columns else F.lit(False)
+    return judge(entries, [("sentinel", F.col("offset") != 0xFFFFFFFF), ("no length", F.col("length") > 0), ("past clip", end <= F.col("clip_length")), ("overlaps index", (end <= F.col("index_offset")) | behind)])
 
 
 def unit_entries(slots: DataFrame) -> DataFrame:
@@ -157,24 +160,6 @@ def assemble_report(images: DataFrame, **sections: DataFrame) -> DataFrame:
     return out
 
 
-def leaf_entries(pages: DataFrame, most: int = 80, header: int = 96, size: int = 48) -> DataFrame:
-    """Entries of index pages (page_id, data): count at byte 16, entries behind the header; blank, malformed (an offset of all ones) or populated.
-
-    The count is capped; entries that the page cuts off are not read, which ``truncated`` tells.
-    """
-    d = F.col("data")
-    declared = B.le_uint(d, 16, 4)
-    room = F.floor((F.octet_length("data") - header) / size)
-    rows = pages.withColumns({"declared": declared, "truncated": declared > F.least(room, F.lit(most))})
-    n = F.least(F.col("declared"), room, F.lit(most))
-    rows = rows.where(n > 0).withColumn("entry", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    at = F.lit(header) + F.col("entry") * size
-    offset = B.le_uint(d, at + 8, 6)
-    blank = F.substring("data", (at + 1).cast("int"), F.lit(size)) == F.lit(bytes(size))
-    state = F.when(blank, "blank").when(offset == (1 << 48) - 1, "malformed").otherwise("populated")
-    return rows.select("page_id", "entry", state.alias("state"), F.when(state == "populated", offset).alias("data_offset"), F.when(state == "populated", B.byte_at(d, at + 20)).alias("channel"), "truncated")
-
-
 def carve_frames(hits: DataFrame, most: int) -> DataFrame:
     """Tag hits (image_id, offset, length, owned_len, trailer_ok, back_length) as frames: the reason against, or kept by a greedy pass.
 
@@ -203,9 +188,14 @@ def evaluate_candidates(rows: DataFrame, conditions: dict[str, Column], required
 
 
 def directory_entries(entries: DataFrame, frames: DataFrame) -> DataFrame:
-    """Entries of a flat directory (image_id, entry, offset, length, size_bytes): the first reason against, and the payload of the frame at the offset."""
-    end = F.try_add("offset", "length")
-    judged = judge(entries, [("zero length", F.col("length") > 0), ("overflow", end.isNotNull()), ("past end", end <= F.col("size_bytes"))])
+    """Entries of a flat directory (image_id, entry, offset, length, size_bytes; places of 64 bits): the first reason against, and the payload of the frame at the offset.
+
+    The places of accepted entries are longs; those of others may not fit and are kept as decimals in declared_offset and declared_length.
+    """
+    wide = entries.withColumns({f"declared_{c}": F.col(c).cast("decimal(20,0)") for c in ("offset", "length")})
+    end = F.col("declared_offset") + F.col("declared_length")
+    judged = judge(wide, [("zero length", F.col("declared_length") > 0), ("overflow", end < F.lit(BEYOND).cast("decimal(20,0)")), ("past end", end <= F.col("size_bytes"))])
+    judged = judged.withColumns({c: F.when(F.col("rejected").isNull(), F.col(f"declared_{c}").cast("long")) for c in ("offset", "length")})
     return judged.join(frames.select("image_id", "offset", "payload"), ["image_id", "offset"], "left").withColumn("payload", F.when(F.col("rejected").isNull(), F.col("payload")))
 
 

@@ -43,34 +43,54 @@ def x03b(spark, sf_dir):
     return C.read_pointers(hits, chunks, b"MAGIC", WINDOW)
 
 
-@query("x05_block_entries", """WITH e AS (SELECT p_partkey AS image_id, p_size AS s, unnest(range(3)) AS entry FROM part), f AS (SELECT *, CASE WHEN (image_id + entry) % 5 = 0 THEN 'Empty' WHEN (image_id + entry) % 7 = 0 THEN 'Malformed' ELSE 'Occupied' END AS state, least(entry * 4096, 10000) AS "offset" FROM e)
-SELECT image_id, entry, state, "offset", least("offset" + CASE WHEN state = 'Empty' THEN 0 WHEN entry = 2 THEN least(s * 512, 4096) ELSE 4096 END, 10000) - "offset" AS length FROM f""")
+@query("x05_block_entries", """WITH e AS (SELECT p_partkey AS image_id, p_size AS s, unnest(range(3)) AS entry FROM part), f AS (SELECT *, (image_id + entry) % 5 = 0 AS empty, entry * 4096 AS lo, CASE WHEN entry < 2 THEN 4096 ELSE least(s * 512, 4096) END AS own FROM e), g AS (SELECT *, least(lo + own, 10000) - lo AS cut FROM f),
+h AS (SELECT *, nullif(concat_ws(', ', CASE WHEN (image_id + entry) % 7 = 0 THEN 'previous' END, CASE WHEN entry = 2 AND s * 512 > 4096 THEN 'too many sectors' END, CASE WHEN cut < own THEN 'cut by the image''s end' END), '') AS p FROM g)
+SELECT image_id, entry, CASE WHEN empty THEN 'Empty' WHEN p IS NOT NULL THEN 'Malformed' ELSE 'Occupied' END AS state, CASE WHEN NOT empty THEN p END AS problems, CASE WHEN image_id % 3 = 0 THEN image_id % 32 ELSE image_id % 16 + 1 END AS channel, CASE WHEN entry < 2 THEN entry + 1 ELSE 0 END AS next, CASE WHEN NOT empty THEN lo END AS "offset", CASE WHEN NOT empty THEN cut END AS length FROM h""")
 def x05b(spark, sf_dir):
+    """Block tables of three entries; the last one's next block is 0 or -1."""
     k, s = F.col("p_partkey"), F.col("p_size")
 
     def entry(i):
-        last = F.when(F.lit(i) == 2, 0).otherwise(i + 1)
-        full = pack((1, 1), (k % 16, 1), (s, 2), (F.lit(1000), 4), (F.when((k + i) % 7 == 0, 999).otherwise(1060), 4), (last, 4), (0, 4), (0, 4), bytes(8))
-        return F.when((k + i) % 5 == 0, F.lit(bytes(32))).otherwise(full)
+        after = F.when(k % 2 == 0, -1).otherwise(0) if i == 2 else F.lit(i + 1)
+        kind, before = F.when((k + i) % 5 == 0, 0xFE).otherwise(1), F.when((k + i) % 7 == 0, -5).otherwise(0)
+        return pack((kind, 1), (k % 16, 1), bytes(2), (1000, 4), (1060, 4), (after, 4), (s, 2), bytes(2), (before, 4), (0, 4), bytes(1), (F.when(k % 3 == 0, 1).otherwise(0), 1), bytes(1), (k % 64, 1))
 
     rows = table(spark, sf_dir, "part").select(k.alias("image_id"), F.lit(10000).cast("long").alias("size_bytes"), F.concat(*map(entry, range(3))).alias("data"))
-    return C.block_entries(rows, 4096).select("image_id", "entry", "state", "offset", "length")
+    return C.block_entries(rows, 4096).select("image_id", "entry", "state", "problems", "channel", "next", "offset", "length")
 
 
-@query("x07_footer_slots", """WITH e AS (SELECT p_partkey AS block_id, p_size AS declared, unnest(range(least(p_size, 4))) AS slot FROM part), f AS (SELECT *, block_id + slot AS x FROM e) SELECT block_id, slot, CASE WHEN x % 7 = 0 THEN 'unknown channel' WHEN x % 11 = 0 THEN 'no end time' WHEN x % 13 = 0 THEN 'span' WHEN x % 17 = 0 THEN 'empty range' WHEN x % 19 = 0 THEN 'beyond block' END AS rejected, declared > 4 AS truncated FROM f""")
+@query("x06_leaf_entries", """WITH e AS (SELECT p_partkey AS page_id, p_size AS declared, unnest(range(0, least(p_size, 10))) AS entry FROM part), f AS (SELECT *, CASE WHEN (page_id + entry) % 5 = 0 THEN 'blank' WHEN (page_id + entry) % 7 = 0 THEN 'malformed' ELSE 'populated' END AS state, (page_id + entry) % 11 = 0 AS other, (page_id + entry) % 13 = 0 AS turned FROM e)
+SELECT page_id, entry, state, CASE WHEN state = 'populated' THEN page_id * 4096 + entry END AS data_offset, CASE WHEN state = 'populated' THEN entry + 1 END AS channel, CASE WHEN state = 'populated' THEN 1700000000 END AS start, CASE WHEN state = 'populated' THEN nullif(concat_ws(', ', CASE WHEN turned THEN 'end before start' END, CASE WHEN other THEN 'other page' END), '') END AS notes, declared > 10 AS truncated FROM f""")
+def x06b(spark, sf_dir):
+    """Pages of a header and ten entries, cut off behind them, packed from part."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+
+    def entry(i):
+        x = k + i
+        sentinel = F.when(x % 5 == 0, -1).when(x % 7 == 0, 77).otherwise(0)
+        return pack((F.when(x % 11 == 0, k + 1).otherwise(k), 8), (sentinel, 8), bytes(1), (i, 1), bytes(6), (1_700_000_000, 4), (F.when(x % 13 == 0, 1_600_000_000).otherwise(1_700_000_060), 4), (k * 4096 + i, 8), bytes(8))
+
+    data = pack(bytes(16), (n, 4), bytes(76), *map(entry, range(10)))
+    pages = table(spark, sf_dir, "part").select(k.alias("page_id"), k.alias("page_offset"), data.alias("data"))
+    return C.leaf_entries(pages).select("page_id", "entry", "state", "data_offset", "channel", "start", "notes", "truncated")
+
+
+@query("x07_footer_slots", """WITH e AS (SELECT p_partkey AS block_id, unnest(range(p_size % 6)) AS slot FROM part WHERE p_size % 6 < 5 AND p_partkey % 9 > 0), f AS (SELECT *, block_id + slot AS x FROM e), g AS (SELECT *, CASE WHEN x % 10 > 0 OR x % 20 = 0 THEN 1700000000 + x END AS start FROM f)
+SELECT block_id, slot, CASE WHEN x % 7 = 0 THEN 'unknown channel' WHEN x % 11 = 0 THEN 'no end time' WHEN x % 13 = 0 AND start IS NOT NULL THEN 'span' WHEN x % 17 = 0 THEN 'empty range' WHEN x % 19 = 0 THEN 'beyond block' END AS rejected, start, x % 20 = 0 AS from_fallback FROM g""")
 def x07b(spark, sf_dir):
-    """Footers of a header and four slots, cut off behind them."""
+    """Footers of a header and four slots; some declare five or carry the marker, so they have none."""
     k, n = F.col("p_partkey"), F.col("p_size")
 
     def slot(i):
         x = k + i
-        end = F.when(x % 11 == 0, 0).when(x % 13 == 0, x + 1000 - 1).otherwise(x + 1000 + 60)
-        first = F.lit(4096)
-        return pack((F.when(x % 7 == 0, 900).otherwise(x % 16), 4), (x + 1000, 4), (end, 4), (first, 4), (F.when(x % 17 == 0, first).when(x % 19 == 0, 2_000_000).otherwise(8192), 4), bytes(12))
+        at = x + 1_700_000_000
+        end = F.when(x % 11 == 0, 0).when(x % 13 == 0, at - 1).otherwise(at + 60)
+        last = F.when(x % 17 == 0, 4096).when(x % 19 == 0, 2_000_000).otherwise(8192)
+        return pack(bytes(13), (F.when(x % 7 == 0, 200).otherwise(x % 16), 1), bytes(26), (F.when(x % 20 == 0, at).otherwise(0), 4), bytes(4), (end, 4), bytes(4), (F.when(x % 10 == 0, 0).otherwise(at), 4), bytes(12), (4096, 4), (last, 4), bytes(432))
 
-    data = pack(bytes(8), (n, 4), bytes(4), *map(slot, range(4)))
+    data = pack(bytes(13), (F.when(k % 9 == 0, 255).otherwise(0), 1), bytes(6), (n % 6, 2), bytes(490), *map(slot, range(4)))
     slots = C.footer_slots(table(spark, sf_dir, "part").select(k.alias("block_id"), data.alias("data")))
-    return E.clip_slots(slots, 1 << 20).select("block_id", F.col("entry").alias("slot"), "rejected", "truncated")
+    return E.clip_slots(slots, 1 << 20).select("block_id", F.col("entry").alias("slot"), "rejected", "start", "from_fallback")
 
 
 @query("x09_boot_record", """WITH e AS (SELECT o_orderkey AS image_id, unnest(range(4)) AS slot FROM orders WHERE o_orderkey % 23 > 0), f AS (SELECT *, CASE WHEN (image_id + slot) % 5 = 0 THEN 0 ELSE 7 END AS type, (image_id + slot) % 9 * 100 AS lba, CASE WHEN (image_id + slot) % 7 = 0 THEN 0 ELSE 5000 END AS n FROM e),
@@ -124,31 +144,33 @@ def x16b(spark, sf_dir):
     return C.stream_records(cut(images), WINDOW).withColumn("time", F.col("time").cast("long"))
 
 
-@query("x17_frame_references", """WITH e AS (SELECT p_partkey AS clip_id, p_size AS n, unnest(range(least(p_size, 6))) AS entry FROM part WHERE p_partkey % 9 > 0), f AS (SELECT *, clip_id + entry AS x FROM e)
-SELECT clip_id, entry, CASE WHEN x % 23 = 0 THEN 'sentinel' WHEN x % 29 = 0 THEN 'no length' WHEN x % 1000 * 50 + 100 > 40000 THEN 'past clip' WHEN x % 1000 * 50 + 100 > 39000 THEN 'overlaps index' END AS rejected, n > 6 AS truncated FROM f""")
+@query("x17_frame_references", """WITH e AS (SELECT p_partkey AS clip_id, p_size % 4 AS n, unnest(range(9)) AS k FROM part WHERE p_partkey % 9 > 0), f AS (SELECT clip_id, CASE WHEN k < 6 THEN 0 ELSE 1 END AS "array", CASE WHEN k < 6 THEN k ELSE k - 6 END AS entry, clip_id + k AS x FROM e WHERE k < 6 OR k - 6 < n AND clip_id % 6 > 0), g AS (SELECT *, CASE WHEN x % 23 = 0 THEN 4294967295 ELSE x % 1000 * 50 END AS o FROM f)
+SELECT clip_id, "array", CASE WHEN "array" = 0 THEN 1 ELSE 3 END AS kind, entry, CASE WHEN x % 23 = 0 THEN 'sentinel' WHEN x % 29 = 0 THEN 'no length' WHEN o + 100 > 40000 THEN 'past clip' WHEN o + 100 > 39000 AND o < 39144 THEN 'overlaps index' END AS rejected FROM g""")
 def x17b(spark, sf_dir):
-    """Indexes of six references, declaring more or fewer; every ninth lacks the tag."""
+    """Indexes of two arrays of references; of every sixth clip the second lies outside of the index; every ninth lacks the tag."""
     k = F.col("p_partkey")
 
     def entry(i):
         x = k + i
-        return pack((F.when(x % 23 == 0, F.lit(0xFFFFFFFF)).otherwise(x % 1000 * 50), 4), (F.when(x % 29 == 0, 0).otherwise(100), 4))
+        return pack((F.when(x % 23 == 0, F.lit(0xFFFFFFFF)).otherwise(x % 1000 * 50), 4), (F.when(x % 29 == 0, 0).otherwise(100), 4), bytes(4))
 
-    data = pack(F.when(k % 9 == 0, F.lit(b"DHIX")).otherwise(F.lit(b"DHII")), (60, 4), (F.col("p_size"), 4), *map(entry, range(6)))
+    arrays = pack((1, 4), (39036, 4), (72, 4), (3, 4), (F.when(k % 6 == 0, 100).otherwise(39108), 4), (F.col("p_size") % 4 * 12, 4))
+    data = pack(F.when(k % 9 == 0, F.lit(b"DHIX")).otherwise(F.lit(b"DHII")), (144, 4), (2, 4), arrays, *map(entry, range(9)))
     rows = table(spark, sf_dir, "part").select(k.alias("clip_id"), F.lit(40000).alias("clip_length"), F.lit(39000).alias("index_offset"), data.alias("data"))
-    return E.frame_index(C.frame_references(rows)).select("clip_id", "entry", "rejected", "truncated")
+    return E.frame_index(C.frame_references(rows)).select("clip_id", "array", "kind", "entry", "rejected")
 
 
-@query("x20_flat_directory", """WITH e AS (SELECT p_partkey AS image_id, unnest(range(5)) AS entry FROM part WHERE p_partkey % 9 > 0), f AS (SELECT *, (image_id + entry) * 64 AS "offset", CASE WHEN (image_id + entry) % 31 = 0 THEN 0 ELSE 64 END AS length FROM e), r AS (SELECT *, CASE WHEN length <= 0 THEN 'zero length' WHEN "offset" + length > 90000 THEN 'past end' END AS rejected FROM f)
-SELECT image_id, entry, rejected, CASE WHEN rejected IS NULL AND entry = 3 THEN 'frame ' || image_id END AS payload FROM r""")
+@query("x20_flat_directory", """WITH e AS (SELECT p_partkey AS image_id, unnest(range(5)) AS entry FROM part WHERE p_partkey % 9 > 0), f AS (SELECT *, (image_id + entry) * 64 AS o, CASE WHEN (image_id + entry) % 31 = 0 THEN 0 ELSE 64 END AS n, (image_id + entry) % 37 = 0 AS far FROM e), r AS (SELECT *, CASE WHEN n <= 0 THEN 'zero length' WHEN far THEN 'overflow' WHEN o + n > 90000 THEN 'past end' END AS rejected FROM f)
+SELECT image_id, entry, image_id % 16 + 1 AS channel, rejected, CASE WHEN rejected IS NULL THEN o END AS "offset", CASE WHEN rejected IS NULL AND entry = 3 THEN 'frame ' || image_id END AS payload FROM r""")
 def x20b(spark, sf_dir):
-    """Directories of five entries, one of which has a frame; every ninth lacks the tag."""
+    """Directories of five entries, one of which has a frame, some so far out that their end overflows; every ninth lacks the tag."""
     k = F.col("p_partkey")
 
     def entry(i):
-        return pack(((k + i) * 64, 6), bytes(2), (F.when((k + i) % 31 == 0, 0).otherwise(64), 6), bytes(18))
+        far = F.when((k + i) % 37 == 0, -8).otherwise((k + i) * 64)
+        return pack((k % 16, 1), (0xFD, 1), bytes(2), (far, 8), (F.when((k + i) % 31 == 0, 0).otherwise(64), 8), bytes(12))
 
     data = pack(F.when(k % 9 == 0, F.lit(b"DIDY")).otherwise(F.lit(b"DIDX")), (5, 4), bytes(8), *map(entry, range(5)))
     images = table(spark, sf_dir, "part").select(k.alias("image_id"), F.lit(90000).cast("long").alias("size_bytes"), data.alias("data"))
     frames = images.select("image_id", ((F.col("image_id") + 3) * 64).alias("offset"), F.concat(F.lit("frame "), F.col("image_id").cast("string")).alias("payload"))
-    return E.directory_entries(C.directory(images), frames).select("image_id", "entry", "rejected", "payload")
+    return E.directory_entries(C.directory(images), frames).select("image_id", "entry", "channel", "rejected", "offset", "payload")

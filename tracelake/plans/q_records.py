@@ -132,21 +132,6 @@ def d17(spark, sf_dir):
     return report.select("image_id", "sessions.n_sessions", "sessions.missing", "index.verdict")
 
 
-@query("x06_leaf_entries", """WITH e AS (SELECT p_partkey AS page_id, p_size AS declared, unnest(range(0, least(p_size, 10))) AS entry FROM part) SELECT page_id, entry, CASE WHEN (page_id + entry) % 5 = 0 THEN 'blank' WHEN (page_id + entry) % 7 = 0 THEN 'malformed' ELSE 'populated' END AS state, CASE WHEN (page_id + entry) % 5 > 0 AND (page_id + entry) % 7 > 0 THEN page_id * 4096 + entry END AS data_offset, CASE WHEN (page_id + entry) % 5 > 0 AND (page_id + entry) % 7 > 0 THEN entry::INTEGER END AS channel, declared > 10 AS truncated FROM e""")
-def x06(spark, sf_dir):
-    """Pages of a header and ten entries, cut off behind them, packed from part."""
-    k, n = F.col("p_partkey"), F.col("p_size")
-
-    def entry(i):
-        offset = F.when((k + i) % 7 == 0, F.lit((1 << 48) - 1)).otherwise(k * 4096 + i)
-        full = F.concat(F.lit(bytes(8)), B.le_bytes(offset, 6), F.lit(bytes(6)), B.le_bytes(i, 1), F.lit(bytes(27)))
-        return F.hex(F.when((k + i) % 5 == 0, F.lit(bytes(48))).otherwise(full))
-
-    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), entry), ""))
-    data = F.concat(F.lit(bytes(16)), B.le_bytes(n, 4), F.lit(bytes(76)), body)
-    return E.leaf_entries(table(spark, sf_dir, "part").select(k.alias("page_id"), data.alias("data")))
-
-
 @query("x10_carve_frames", """WITH RECURSIVE h AS (SELECT DISTINCT l_suppkey AS image_id, l_orderkey * 20 + l_linenumber AS "offset" FROM lineitem), d AS (SELECT *, "offset" % 61 AS length, "offset" % 13 > 0 AS trailer_ok, "offset" % 61 + CASE WHEN "offset" % 17 = 0 THEN 1 ELSE 0 END AS back_length FROM h), j AS (SELECT *, CASE WHEN length <= 0 THEN 'no length' WHEN "offset" + length > 290000 THEN 'past end' WHEN NOT trailer_ok THEN 'no trailer' WHEN back_length <> length THEN 'back length' END AS rejected FROM d),
 g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY "offset") AS i FROM j WHERE rejected IS NULL), w AS (SELECT image_id, i, "offset" + length AS reach, true AS kept FROM g WHERE i = 1 UNION ALL SELECT w.image_id, g.i, CASE WHEN g."offset" >= w.reach THEN g."offset" + g.length ELSE w.reach END, g."offset" >= w.reach FROM w JOIN g ON g.image_id = w.image_id AND g.i = w.i + 1),
 k AS (SELECT g.image_id, g."offset", g.length, kept, count(*) FILTER (kept) OVER (PARTITION BY g.image_id ORDER BY g.i ROWS UNBOUNDED PRECEDING) AS place FROM g JOIN w USING (image_id, i))
