@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as B
 from ..functions.times import packed_clock, unix_clock
-from ..sources.images import read_regions
+from ..sources.images import FileImages, TableImages, as_images
 from . import detect, records
 from .layouts import BLOCK_ENTRY, CLIP_SLOT, DIRECTORY_ENTRY, FRAME_ARRAY, FRAME_REFERENCE, LEAF_ENTRY, explode_entries, read_head, unsigned
 
@@ -150,56 +150,62 @@ def image_sizes(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("owned_len")).alias("size_bytes"))
 
 
-def _bytes_at(chunks: DataFrame, places: DataFrame, at: Column, length: Column, name: str, window: int) -> DataFrame:
+def _bytes_at(images: FileImages | TableImages, places: DataFrame, at: Column, length: Column, name: str) -> DataFrame:
     """``places`` (image_id, offset, ...) with the bytes at ``at`` as a column."""
     wanted = places.select("image_id", F.col("offset").alias("region_id"), at.cast("long").alias("offset"), length.cast("long").alias("length"))
-    got = read_regions(chunks, wanted, window).select("image_id", F.col("region_id").alias("offset"), F.col("data").alias(name))
+    if isinstance(images, FileImages):  # the rows go to the bytes, so nothing has to be joined again
+        rest = [c for c in places.columns if c not in ("image_id", "offset")]
+        wanted = places.select("image_id", F.col("offset").alias("region_id"), at.cast("long").alias("offset"), length.cast("long").alias("length"), *[F.col(c).alias(f"__{c}") for c in rest])
+        return images.read(wanted).select("image_id", F.col("region_id").alias("offset"), *[F.col(f"__{c}").alias(c) for c in rest], F.col("data").alias(name))
+    got = images.read(wanted).select("image_id", F.col("region_id").alias("offset"), F.col("data").alias(name))
     return places.join(got, ["image_id", "offset"], "left")
 
 
-def tagged_frames(chunks: DataFrame, window: int, tag: bytes = b"DHAV", trailer: bytes = b"dhav", header: int = 24, least: int = 32, longest: int = 64 << 20, hits: DataFrame | None = None) -> DataFrame:
+def tagged_frames(chunks: DataFrame | FileImages, window: int, tag: bytes = b"DHAV", trailer: bytes = b"dhav", header: int = 24, least: int = 32, longest: int = 64 << 20, hits: DataFrame | None = None) -> DataFrame:
     """Frames at each hit of the tag, for ``carve_frames``: the header's fields, and whether trailer and back-length agree.
 
     A declared length out of bounds counts as none. With ``hits`` (image_id, offset) only those are decoded.
     """
-    found = detect.find_pattern(chunks, tag) if hits is None else hits.select("image_id", "offset")
-    hits = found.join(image_sizes(chunks).withColumnRenamed("size_bytes", "owned_len"), "image_id")
-    rows = _bytes_at(chunks, hits, F.col("offset"), F.lit(header), "head", window)
-    rows = rows.withColumns(unpack(F.col("head"), TAGGED_FRAME)).drop("head")
+    images = as_images(chunks, window)
+    if hits is None:
+        rows = detect.find_in_images(images, tag, follow=(0, header)).withColumnRenamed("bytes", "head")
+    else:
+        rows = _bytes_at(images, hits.select("image_id", "offset"), F.col("offset"), F.lit(header), "head")
+    rows = rows.withColumns(unpack(F.col("head"), TAGGED_FRAME)).drop("head").join(images.sizes().withColumnRenamed("size_bytes", "owned_len"), "image_id")
     rows = rows.withColumn("length", F.when(F.col("length").between(least, longest), F.col("length")).otherwise(0))
     n = len(trailer)
-    rows = _bytes_at(chunks, rows, F.col("offset") + F.col("length") - n - 4, F.when(F.col("length") > 0, n + 4).otherwise(0), "tail", window)
+    rows = _bytes_at(images, rows, F.col("offset") + F.col("length") - n - 4, F.when(F.col("length") > 0, n + 4).otherwise(0), "tail")
     kinds = F.create_map(*[F.lit(x) for pair in FRAME_KINDS.items() for x in pair])
     kind = F.coalesce(F.try_element_at(kinds, F.col("type").cast("int")), F.concat(F.lit("unrecognised-type-0x"), F.lpad(F.hex("type"), 2, "0")))
     return rows.withColumns({"kind": kind, "trailer_ok": F.coalesce(F.substring("tail", 1, n) == F.lit(trailer), F.lit(False)), "back_length": B.le_uint(F.col("tail"), n, 4)}).drop("tail")
 
 
-def start_codes(chunks: DataFrame, window: int, images: DataFrame | None = None) -> DataFrame:
+def start_codes(chunks: DataFrame | FileImages, window: int, images: DataFrame | None = None) -> DataFrame:
     """(image_id, pos, unit, h264, h265, boundary) of the start codes 00 00 01, for ``carve_runs``; a boundary is a first parameter set.
 
-    With ``images`` (image_id) only theirs.
+    With ``images`` (image_id) only theirs are searched.
     """
-    found = detect.find_pattern(chunks, b"\0\0\1")
+    searched = as_images(chunks, window)
     if images is not None:
-        found = found.join(images, "image_id", "left_semi")
-    hits = _bytes_at(chunks, found, F.col("offset") + 3, F.lit(1), "byte", window)
-    rows = hits.select("image_id", F.col("offset").alias("pos"), B.byte_at(F.col("byte"), 0).alias("unit")).where("unit is not null")
+        searched = searched.only(images)
+    hits = detect.find_in_images(searched, b"\0\0\1", follow=(3, 1))
+    rows = hits.select("image_id", F.col("offset").alias("pos"), B.byte_at(F.col("bytes"), 0).alias("unit")).where("unit is not null")
     avc, hevc = detect.unit_points(F.col("unit"))
     boundary = (F.col("unit") < 128) & ((F.col("unit").bitwiseAND(F.lit(31)) == 7) | (F.shiftright("unit", 1).bitwiseAND(F.lit(63)) == 32))
     return rows.withColumns({"h264": avc, "h265": hevc, "boundary": boundary})
 
 
-def carve_streams(chunks: DataFrame, window: int, max_gap: int = 256 << 10, least: int = 2, images: DataFrame | None = None) -> DataFrame:
+def carve_streams(chunks: DataFrame | FileImages, window: int, max_gap: int = 256 << 10, least: int = 2, images: DataFrame | None = None) -> DataFrame:
     """Runs of start codes in image bytes, of all images or of ``images``."""
     return records.carve_runs(start_codes(chunks, window, images).drop("unit"), max_gap, least)
 
 
-def stream_records(chunks: DataFrame, window: int, needle: bytes = b"TPREC\1\0", size: int = 64) -> DataFrame:
+def stream_records(chunks: DataFrame | FileImages, window: int, needle: bytes = b"TPREC\1\0", size: int = 64) -> DataFrame:
     """Records of ``size`` bytes that begin with the needle: channel, time as it stands, codec, frames, description.
 
     Records cut off by the image's end are left out; an empty text field is null, nothing is made up for it.
     """
-    rows = _bytes_at(chunks, detect.find_pattern(chunks, needle), F.col("offset"), F.lit(size), "record", window).where(F.octet_length("record") == size)
+    rows = detect.find_in_images(as_images(chunks, window), needle, follow=(0, size)).withColumnRenamed("bytes", "record").where(F.octet_length("record") == size)
     d = F.col("record")
 
     def text(at, length):
@@ -210,10 +216,11 @@ def stream_records(chunks: DataFrame, window: int, needle: bytes = b"TPREC\1\0",
     return rows.select("image_id", "offset", B.byte_at(d, 7).alias("channel"), time.alias("time"), text(16, 16).alias("codec"), B.le_uint(d, 40, 4).alias("frames"), text(48, 16).alias("description"))
 
 
-def read_pointers(hits: DataFrame, chunks: DataFrame, magic: bytes, window: int, width: int = 6) -> DataFrame:
+def read_pointers(hits: DataFrame, chunks: DataFrame | FileImages, magic: bytes, window: int, width: int = 6) -> DataFrame:
     """Hits (image_id, hit_id, offset, weight) whose place holds a pointer, checked for the magic where it points to, as ``follow_pointers`` does."""
-    rows = _bytes_at(chunks, hits, F.col("offset"), F.lit(width), "field", window)
-    rows = rows.withColumn("pointer", B.le_uint(F.col("field"), 0, width)).drop("field", "offset").join(image_sizes(chunks), "image_id")
+    images = as_images(chunks, window)
+    rows = _bytes_at(images, hits, F.col("offset"), F.lit(width), "field")
+    rows = rows.withColumn("pointer", B.le_uint(F.col("field"), 0, width)).drop("field", "offset").join(images.sizes(), "image_id")
     targets = rows.select("image_id", F.col("pointer").alias("offset")).where("offset is not null").distinct()
-    found = _bytes_at(chunks, targets, F.col("offset"), F.lit(len(magic)), "there", window)
+    found = _bytes_at(images, targets, F.col("offset"), F.lit(len(magic)), "there")
     return records.follow_pointers(rows, found.select("image_id", "offset", (F.col("there") == F.lit(magic)).alias("magic_ok")))

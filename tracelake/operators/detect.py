@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.images import read_regions
+from ..sources.images import FileImages, TableImages, as_images
 
 #: Thresholds, and factors of evidence states and of matches.
 THRESHOLDS = {"min_confidence": 0.65, "min_margin": 0.20, "min_quality": 0.50}
@@ -19,35 +19,54 @@ STATE_FACTORS = {"validated": 1.00, "provisional": 0.80, "model_specific": 0.70,
 MATCH_FACTORS = {"match": 1.00, "partial": 0.50, "mismatch": 0.00, "absent": 0.00}
 
 
-def find_pattern(chunks: DataFrame, needle: bytes, start: int = 0) -> DataFrame:
-    """(image_id, offset) of all hits from ``start`` on, overlapping ones too."""
+def find_pattern(chunks: DataFrame, needle: bytes, start: int = 0, follow: tuple[int, int] | None = None) -> DataFrame:
+    """(image_id, offset) of all hits from ``start`` on, overlapping ones too; with ``follow`` (place behind the hit's begin, length) also the ``bytes`` there, as far as the data of the chunk runs."""
     def search(batches):
         for batch in batches:
-            images, offsets = [], []
+            images, offsets, found = [], [], []
             for image, base, owned, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = data.find(needle)
                 while 0 <= at < owned:
                     if base + at >= start:
                         images.append(image)
                         offsets.append(base + at)
+                        if follow:
+                            found.append(data[at + follow[0] : at + sum(follow)])
                     at = data.find(needle, at + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(offsets, pa.int64())], names=["image_id", "offset"])
+            columns = {"image_id": pa.array(images, pa.int64()), "offset": pa.array(offsets, pa.int64()), **({"bytes": pa.array(found, pa.binary())} if follow else {})}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return chunks.select("image_id", "base_offset", "owned_len", "data").where(F.col("data").isNotNull()).mapInArrow(search, "image_id long, offset long")
+    shape = "image_id long, offset long" + ", bytes binary" * bool(follow)
+    return chunks.select("image_id", "base_offset", "owned_len", "data").where(F.col("data").isNotNull()).mapInArrow(search, shape)
+
+
+def find_in_images(images: FileImages | TableImages, needle: bytes, touching: DataFrame | None = None, follow: tuple[int, int] | None = None) -> DataFrame:
+    """``find_pattern`` over images: files are cut in windows that run on as far as is asked for, and only those that ``touching`` (image_id, offset, length) touches.
+
+    Of a table of windows all are searched, and bytes that its windows don't hold are read by region.
+    """
+    if isinstance(images, FileImages):
+        return find_pattern(images.chunks(max(len(needle) - 1, sum(follow or (0,))), touching), needle, follow=follow)
+    hits = find_pattern(images.chunks(), needle)
+    if follow is None:
+        return hits
+    wanted = hits.select("image_id", F.col("offset").alias("region_id"), (F.col("offset") + follow[0]).alias("offset"), F.lit(follow[1]).cast("long").alias("length"))
+    got = images.read(wanted).select("image_id", F.col("region_id").alias("offset"), F.col("data").alias("bytes"))
+    return hits.join(got, ["image_id", "offset"], "left")
 
 
 def first_hit(hits: DataFrame) -> DataFrame:
     return hits.groupBy("image_id").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("n_hits"))
 
 
-def evaluate_rules(chunks: DataFrame, rules: DataFrame, window: int = 16 << 20, overlap: int = 64) -> DataFrame:
+def evaluate_rules(chunks: DataFrame | FileImages, rules: DataFrame, window: int = 16 << 20, overlap: int = 64) -> DataFrame:
     """Evidence rows of rules (vendor, rule, pattern BINARY, kind, at, stop, step) on images cut in windows of ``window`` bytes.
 
     kind exact: the pattern has to stand at ``at``; aligned: at ``at`` or a multiple of ``step`` behind it, before ``stop``; header: the same with step 1.
     match, or mismatch if the place is there but holds something else, or absent if the image is too short. The rules are a
     small table of profiles, which goes to all tasks. The window doesn't change results: where a pattern is longer than the
-    ``overlap`` by which data runs on, each window is joined with the bytes behind it first. Images are looked at once, and no
-    bytes of windows behind the last place of a rule.
+    ``overlap`` by which data runs on, each window of a table is joined with the bytes behind it first. Images are looked at once, and no
+    bytes of windows behind the last place of a rule; of files such windows aren't read.
     """
     table = rules.collect()
     looked = []  # number, pattern, first place, last place, step
@@ -56,11 +75,17 @@ def evaluate_rules(chunks: DataFrame, rules: DataFrame, window: int = 16 << 20,
             last = r["at"] if r["kind"] == "exact" or r["stop"] is None else max(r["stop"] - 1, r["at"])
             looked.append((k, bytes(r["pattern"]), r["at"], last, max(r["step"] or 1, 1)))
     longest = max((len(x[1]) for x in looked), default=0)
-    rows = chunks.select("image_id", "base_offset", "owned_len", "data")
-    if longest > overlap + 1:
+    images, sizes = as_images(chunks, window), None
+    if isinstance(images, FileImages):
+        sizes = images.sizes()
+        head = sizes.select("image_id", F.lit(0).cast("long").alias("offset"), F.least("size_bytes", F.lit(max((x[3] for x in looked), default=-1) + 1)).alias("length"))
+        rows = images.chunks(max(longest - 1, 0), touching=head)
+    else:
+        rows = images.chunks().select("image_id", "base_offset", "owned_len", "data")
+    if longest > overlap + 1 and sizes is None:
         number = F.floor(F.col("base_offset") / window)
         behind = rows.select("image_id", number.alias("region_id"), (F.col("base_offset") + F.col("owned_len")).alias("offset"), F.lit(longest - 1).cast("long").alias("length"))
-        tails = read_regions(rows, behind, window).select("image_id", F.col("region_id").alias("__n"), F.col("data").alias("__tail"))
+        tails = TableImages(rows, window).read(behind).select("image_id", F.col("region_id").alias("__n"), F.col("data").alias("__tail"))
         whole = F.concat(F.substring("data", F.lit(1), F.col("owned_len").cast("int")), F.coalesce("__tail", F.lit(b"")))
         rows = rows.withColumn("__n", number).join(tails, ["image_id", "__n"], "left").select("image_id", "base_offset", "owned_len", whole.alias("data"))
     touched = F.col("base_offset") <= max((x[3] for x in looked), default=-1)
@@ -83,6 +108,8 @@ def evaluate_rules(chunks: DataFrame, rules: DataFrame, window: int = 16 << 20,
             yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(ends, pa.int64()), pa.array(met, pa.list_(pa.int32()))], names=["image_id", "end", "met"])
 
     found = rows.select(F.col("image_id").cast("long"), "base_offset", F.col("owned_len").cast("long"), F.when(touched, F.col("data")).alias("data")).mapInArrow(search, "image_id long, end long, met array<int>")
+    if sizes is not None:
+        found = found.unionByName(sizes.select(F.col("image_id").cast("long"), F.col("size_bytes").cast("long").alias("end"), F.array().cast("array<int>").alias("met")))
     images = found.groupBy("image_id").agg(F.max("end").alias("size"), F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
     kinds = {f.name: f.dataType for f in rules.schema}
     given = lambda r, c: F.lit(r[c]).cast(kinds[c]).alias(c)

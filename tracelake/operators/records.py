@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fields as B
-from ..sources.images import read_regions
+from ..sources.images import FileImages, as_images
 from .islands import fold_islands, number_islands
 from .layouts import BEYOND
 
@@ -131,20 +131,21 @@ def build_index(clips: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.groupBy("image_id").agg(F.count_if(F.col("entry_id").isNotNull()).alias("n_accessible"), F.count_if(F.col("entry_id").isNull()).alias("n_unreferenced"), F.count_distinct("entry_id").alias("n_entries"))
 
 
-def extract_payload(ranges: DataFrame, chunks: DataFrame, most: int, window: int = 16 << 20) -> DataFrame:
+def extract_payload(ranges: DataFrame, chunks: DataFrame | FileImages, most: int, window: int = 16 << 20) -> DataFrame:
     """Per recording the bytes of its ranges (recording_id, image_id, seq, offset, length) in order: digest, bytes and an error instead of a cut.
 
     ``chunks`` hold the images in windows of ``window`` bytes; a range may lie in any number of them. Bytes are read only of
     recordings without an error.
     """
-    sizes = chunks.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("owned_len")).alias("__size"))
+    images = as_images(chunks, window)
+    sizes = images.sizes().withColumnRenamed("size_bytes", "__size")
     rows = ranges.join(sizes, "image_id", "left")
     inside = (F.col("offset") >= 0) & (F.col("length") >= 0) & (F.try_add(F.col("offset").cast("long"), F.col("length").cast("long")) <= F.col("__size"))
     found = rows.groupBy("recording_id").agg(F.sum("length").alias("n_bytes"), F.bool_or(~F.coalesce(inside, F.lit(False))).alias("__outside"))
     good = found.where((F.col("n_bytes") <= most) & ~F.col("__outside")).select("recording_id")
     order = F.row_number().over(Window.partitionBy("recording_id").orderBy("seq", "image_id", "offset", "length"))
     wanted = ranges.join(good, "recording_id", "left_semi").withColumn("region_id", F.struct("recording_id", order.alias("place"))).select("image_id", "region_id", "seq", "offset", "length")
-    pieces = read_regions(chunks, wanted, window).select(F.col("region_id.recording_id").alias("recording_id"), "seq", F.coalesce(F.hex("data"), F.lit("")).alias("piece"))
+    pieces = images.read(wanted).select(F.col("region_id.recording_id").alias("recording_id"), "seq", F.coalesce(F.hex("data"), F.lit("")).alias("piece"))
     parts = pieces.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("parts"))
     digests = parts.select("recording_id", F.sha2(F.unhex(F.array_join(F.transform("parts", lambda p: p["piece"]), "")), 256).alias("sha256"))
     error = F.when(F.col("__outside"), "range outside image").when(F.col("n_bytes") > most, "over the cap")

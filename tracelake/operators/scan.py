@@ -1,6 +1,7 @@
 """Runs over image bytes: recovery that scans what its plan names, and the whole run from signatures to recovered candidates.
 
-Chunks are (image_id, base_offset, owned_len, data) of ``window`` bytes each; null data is a window that can't be read.
+Images are ``FileImages``, of which only the windows are read that a step needs, or a table of chunks (image_id, base_offset, owned_len,
+data) of ``window`` bytes each, where null data is a window that can't be read.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as B
 from ..functions import times as T
+from ..sources.images import FileImages, as_images
 from ..sources.scratch import checkpointed
 from . import decode, detect
 from . import ranges as R
@@ -24,14 +26,6 @@ ALL_BYTES, ALL_REGIONS = 1 << 62, 1 << 32
 BIN = 1 << 16
 
 
-def readable_targets(targets: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
-    """Targets (image_id, kind, offset, length) with ``readable``: all windows that they touch are there and have data."""
-    last = F.floor((F.col("offset") + F.col("length") - 1) / window)
-    touched = targets.where("length > 0").withColumn("__n", F.explode(F.sequence(F.floor(F.col("offset") / window), last)))
-    there = chunks.select("image_id", F.floor(F.col("base_offset") / window).alias("__n"), F.col("data").isNotNull().alias("__there"))
-    return touched.join(there, ["image_id", "__n"], "left").groupBy(*targets.columns).agg(F.bool_and(F.coalesce("__there", F.lit(False))).alias("readable"))
-
-
 def place_hits(hits: DataFrame, targets: DataFrame) -> DataFrame:
     """Hits (image_id, offset) that lie in a target, with its kind; where claimed and available ranges overlap, the claimed one counts."""
     spread = R.with_bins(targets.select("image_id", "kind", F.col("offset").alias("__lo"), (F.col("offset") + F.col("length")).alias("__hi")), F.col("__lo"), F.col("__hi"), BIN)
@@ -40,17 +34,19 @@ def place_hits(hits: DataFrame, targets: DataFrame) -> DataFrame:
     return met.groupBy("image_id", "offset").agg(F.min_by("kind", rank).alias("target"))
 
 
-def scan_recovery(chunks: DataFrame, images: DataFrame, records: DataFrame, scope: DataFrame, window: int, max_bytes: int = ALL_BYTES, max_regions: int = ALL_REGIONS) -> tuple[DataFrame, DataFrame]:
+def scan_recovery(chunks: DataFrame | FileImages, images: DataFrame, records: DataFrame, scope: DataFrame, window: int, max_bytes: int = ALL_BYTES, max_regions: int = ALL_REGIONS) -> tuple[DataFrame, DataFrame]:
     """(candidates, report): container frames in the bytes that the plan names, classified, and one row an image on the run.
 
     ``images``: image_id, size_bytes; ``records``: image_id, accessible, offset, length; ``scope``: the one region of an image that its index
     governs, images without one have no row. Targets with an unreadable window are skipped and counted; the run goes on. A frame with an
     unknown kind has no signature and goes; one without a valid length, trailer or back-length is Corrupted. A run that its bounds cut
-    is a REVIEW. The search is one narrow pass over the chunks, so their bytes shuffle only where headers and trailers are read.
+    is a REVIEW. Of files only the windows that targets touch are searched, and headers and trailers are read by seeking; a table of chunks is
+    searched whole, and its windows shuffle where headers and trailers are read.
     """
     planned = V.budget_prefix(V.plan_recovery(records, images).drop("place"), ["image_id"], ["offset", "kind", "length"], max_bytes, max_regions)
-    targets = checkpointed(readable_targets(planned.select("image_id", "kind", "offset", "length", "truncated"), chunks, window))
-    hits = place_hits(detect.find_pattern(chunks, b"DHAV"), targets.where("readable"))
+    source = as_images(chunks, window)
+    targets = checkpointed(source.readable(planned.select("image_id", "kind", "offset", "length", "truncated")))
+    hits = place_hits(detect.find_in_images(source, b"DHAV", touching=targets.where("readable")), targets.where("readable"))
     hits = checkpointed(hits)
     frames = decode.tagged_frames(chunks, window, hits=hits).join(hits, ["image_id", "offset"])
     governed = scope.select("image_id", F.col("offset").alias("__lo"), (F.col("offset") + F.col("length")).alias("__hi"))
@@ -83,7 +79,7 @@ def recovery_decision(report_found: Column, partly: Column) -> Column:
     return F.when(report_found == 0, "not recovered").when(partly, "partially recovered").otherwise("completely recovered")
 
 
-def run_images(chunks: DataFrame, rules: DataFrame, most: DataFrame, records: DataFrame, scope: DataFrame, window: int, overlap: int, max_gap: int = MAX_GAP, min_bytes: int = 1 << 20, max_bytes: int = ALL_BYTES) -> tuple[DataFrame, DataFrame]:
+def run_images(chunks: DataFrame | FileImages, rules: DataFrame, most: DataFrame, records: DataFrame, scope: DataFrame, window: int, overlap: int, max_gap: int = MAX_GAP, min_bytes: int = 1 << 20, max_bytes: int = ALL_BYTES) -> tuple[DataFrame, DataFrame]:
     """(run, candidates): the whole run over many images. A row an image: each gate's decision, counts up to there (null behind it) and the outcome.
 
     ``rules`` and ``most`` as ``evaluate_rules`` and ``vendor_scores`` take them; ``records``: what the vendors' indexes describe
@@ -99,7 +95,7 @@ def run_images(chunks: DataFrame, rules: DataFrame, most: DataFrame, records: Da
     carved = runs.select("image_id", F.col("run").alias("offset"), (F.col("last") - F.col("run") + 4).alias("length"))
     recordings = checkpointed(described.unionByName(carved, allowMissingColumns=True))
     parsed = recordings.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_recordings"))
-    sizes = checkpointed(decode.image_sizes(chunks).join(parsed.select("image_id"), "image_id", "left_semi"))
+    sizes = checkpointed(as_images(chunks, window).sizes().join(parsed.select("image_id"), "image_id", "left_semi"))
     silent = timeline_gaps(recordings, max_gap).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_gaps"))
     holes = R.coverage(recordings, sizes, min_bytes).select("image_id", "n_holes")
     gaps = checkpointed(holes.join(silent, "image_id", "left").fillna(0, ["n_gaps"]))

@@ -1,4 +1,4 @@
-"""Queries of byte decoders: bytes are packed from the given tables, cut in windows where they are images, and decoded."""
+"""Queries of byte decoders: bytes are packed from the given tables, written to files where they are images, and decoded."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as B
 from ..operators import decode as C
 from ..operators import records as E
+from ..sources.images import FileImages
 from .registry import query
 from .views import table
 
@@ -23,12 +24,10 @@ def filled(n, byte="78"):
     return F.unhex(F.repeat(F.lit(byte), n.cast("int")))
 
 
-def cut(rows):
-    """Images (image_id, data) as chunks of WINDOW bytes that run on by 8."""
-    n = F.octet_length("data").cast("long")
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / WINDOW)))
-    rows = rows.withColumn("k", k)
-    return rows.select("image_id", (F.col("k") * WINDOW).alias("base_offset"), F.least(F.lit(WINDOW).cast("long"), n - F.col("k") * WINDOW).alias("owned_len"), F.substring("data", (F.col("k") * WINDOW + 1).cast("int"), F.lit(WINDOW + 8)).alias("data"))
+def on_files(rows, window=WINDOW):
+    """Images (image_id, data, maybe start for pieces) in files, to be read in windows."""
+    start = F.col("start") if "start" in rows.columns else F.lit(0)
+    return FileImages.written(rows.select("image_id", start.alias("start"), "data"), window)
 
 
 @query("x03_read_pointers", """WITH h AS (SELECT o_orderkey AS image_id, o_orderkey % 90 + 12 AS pointer, o_orderkey % 4 > 0 AS ok FROM orders), b AS (SELECT *, unnest([1, 2]) AS hit_id FROM h)
@@ -38,7 +37,7 @@ def x03b(spark, sf_dir):
     k = F.col("o_orderkey")
     far = F.when(k % 5 == 0, 500).otherwise(k % 90 + 12)
     data = pack((k % 90 + 12, 6), (far, 6), filled(k % 90), F.when(k % 4 > 0, F.lit(b"MAGIC")).otherwise(F.lit(b"magic")), bytes(200))
-    chunks = cut(table(spark, sf_dir, "orders").select(k.alias("image_id"), F.substring(data, 1, 200).alias("data")))
+    chunks = on_files(table(spark, sf_dir, "orders").select(k.alias("image_id"), F.substring(data, 1, 200).alias("data")))
     hits = table(spark, sf_dir, "orders").select(k.alias("image_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("hit_id")).select("image_id", "hit_id", ((F.col("hit_id") - 1) * 6).cast("long").alias("offset"), F.lit(0.5).alias("weight"))
     return C.read_pointers(hits, chunks, b"MAGIC", WINDOW)
 
@@ -119,7 +118,7 @@ def x10b(spark, sf_dir):
     frame = pack(b"DHAV", (kind, 1), (0, 1), (k % 8, 2), (k, 4), (length, 4), bytes(8), filled(k % 70), F.when(k % 11 == 0, F.lit(b"dhax")).otherwise(F.lit(b"dhav")), (F.when(k % 13 == 0, length + 1).otherwise(length), 4))
     data = F.concat(filled(k % 5), F.when(k % 17 == 0, F.expr("substring(f, 1, octet_length(f) - 3)")).otherwise(F.col("f")))
     images = table(spark, sf_dir, "orders").select(k.alias("image_id"), k, frame.alias("f")).select("image_id", data.alias("data"))
-    return E.carve_frames(C.tagged_frames(cut(images), WINDOW), 1000).select("image_id", "offset", "length", F.col("raw_channel").alias("channel"), "kind", "rejected")
+    return E.carve_frames(C.tagged_frames(on_files(images), WINDOW), 1000).select("image_id", "offset", "length", F.col("raw_channel").alias("channel"), "kind", "rejected")
 
 
 @query("x13_start_codes", """SELECT p_partkey AS image_id, 0 AS run, 10 * (p_partkey % 9) AS last, p_partkey % 9 + 1 AS n_units, CASE WHEN p_partkey % 2 = 0 THEN 'H264' ELSE 'H265' END AS codec FROM part WHERE p_partkey % 9 > 0""")
@@ -129,7 +128,7 @@ def x13b(spark, sf_dir):
     first, rest = F.when(k % 2 == 0, F.lit("67")).otherwise(F.lit("40")), F.when(k % 2 == 0, F.lit("65")).otherwise(F.lit("26"))
     fill = F.lit("AAAAAAAAAAAA")
     data = F.unhex(F.concat(F.lit("000001"), first, fill, F.repeat(F.concat(F.lit("000001"), rest, fill), (k % 9).cast("int"))))
-    return C.carve_streams(cut(table(spark, sf_dir, "part").select(k.alias("image_id"), data.alias("data"))), WINDOW)
+    return C.carve_streams(on_files(table(spark, sf_dir, "part").select(k.alias("image_id"), data.alias("data"))), WINDOW)
 
 
 @query("x16_decoded_records", """SELECT o_orderkey AS image_id, o_orderkey % 100 AS "offset", (o_orderkey % 16)::INTEGER AS channel, o_orderkey * 4294967296 + 7 AS time, CASE WHEN o_orderkey % 3 > 0 THEN 'H.265' END AS codec, o_custkey AS frames, 'cam ' || o_orderkey AS description FROM orders WHERE o_orderkey % 10 > 0""")
@@ -141,7 +140,7 @@ def x16b(spark, sf_dir):
     record = pack(b"TPREC\1\0", (k % 16, 1), (F.lit(7), 4), (k, 4), codec, bytes(8), (F.col("o_custkey"), 4), bytes(4), name)
     data = F.concat(filled(k % 100), F.when(k % 10 == 0, F.substring(F.col("r"), 1, 60)).otherwise(F.col("r")))
     images = table(spark, sf_dir, "orders").select(k.alias("image_id"), k, record.alias("r")).select("image_id", data.alias("data"))
-    return C.stream_records(cut(images), WINDOW).withColumn("time", F.col("time").cast("long"))
+    return C.stream_records(on_files(images), WINDOW).withColumn("time", F.col("time").cast("long"))
 
 
 @query("x17_frame_references", """WITH e AS (SELECT p_partkey AS clip_id, p_size % 4 AS n, unnest(range(9)) AS k FROM part WHERE p_partkey % 9 > 0), f AS (SELECT clip_id, CASE WHEN k < 6 THEN 0 ELSE 1 END AS "array", CASE WHEN k < 6 THEN k ELSE k - 6 END AS entry, clip_id + k AS x FROM e WHERE k < 6 OR k - 6 < n AND clip_id % 6 > 0), g AS (SELECT *, CASE WHEN x % 23 = 0 THEN 4294967295 ELSE x % 1000 * 50 END AS o FROM f)

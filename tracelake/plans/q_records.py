@@ -9,9 +9,9 @@ from ..operators import detect as D
 from ..operators import index as N
 from ..operators import records as E
 from ..operators import recovery as V
-from ..sources import images as S
 from ..sources.tables import read_case_tables
-from .q_detect import WINDOW, chunks, windows
+from .q_decode import on_files
+from .q_detect import WINDOW, chunks
 from .q_index import _TWO, two
 from .q_recovery import _FRAGMENTS, fragments
 from .q_timeline import _DOMAINS, _GAPS, _ROLLUP, _SESSIONS, _STEPS, a04
@@ -116,12 +116,16 @@ def d06(spark, sf_dir):
     return E.build_index(clips, matched)
 
 
+def documents_on_files(spark, sf_dir, window):
+    return on_files(chunks(spark, sf_dir), window)
+
+
 @query("d22_extract_payload", """WITH r AS (SELECT doc_id AS recording_id, text, octet_length(encode(text)) AS n, doc_id % 9 = 0 AS far FROM documents) SELECT recording_id, 60 + CASE WHEN far THEN 200000 ELSE 0 END AS n_bytes, CASE WHEN n >= 110 AND NOT far THEN sha256(unhex(substr(hex(encode(text)), 101, 120))) END AS sha256, CASE WHEN n < 110 OR far THEN 'range outside image' END AS error FROM r""")
 def d22(spark, sf_dir):
     ids = chunks(spark, sf_dir).select(F.col("image_id").alias("recording_id"), "image_id")
     far = F.when(F.col("recording_id") % 9 == 0, 200000).otherwise(0)
     pieces = ids.select("recording_id", "image_id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit(50).alias("offset"), F.lit(30).alias("length")), F.struct(F.lit(2).alias("seq"), F.lit(80).alias("offset"), (F.lit(30) + far).alias("length")))).alias("p")).select("recording_id", "image_id", "p.*")
-    return E.extract_payload(pieces, windows(spark, sf_dir), 1000000, WINDOW)
+    return E.extract_payload(pieces, documents_on_files(spark, sf_dir, WINDOW), 1000000, WINDOW)
 
 
 @query("d17_report", f"""WITH {_DOMAINS}, {_STEPS}, {_SESSIONS}, {_GAPS}, {_ROLLUP}, {_TWO}, s AS (SELECT image_id, count(*) AS n_sessions, sum(missing_seconds)::BIGINT AS missing FROM ru GROUP BY image_id) SELECT i.image_id, n_sessions, missing, verdict FROM (SELECT DISTINCT image_id FROM v_segments) i LEFT JOIN s USING (image_id) LEFT JOIN vd USING (image_id)""")
@@ -184,10 +188,17 @@ def d11(spark, sf_dir):
 
 @query("s02_read_regions", """WITH r AS (SELECT doc_id AS image_id, unnest([1, 2, 3]) AS region_id, unnest([0, 100, 5000]) AS "offset", unnest([16, 64, 200]) AS length, hex(encode(text)) AS h FROM documents) SELECT image_id, region_id, "offset", length, nullif(substr(h, 2 * "offset" + 1, 2 * length), '') AS hex FROM r""")
 def s02(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
-    wanted = rows.select("image_id", F.explode(F.array(*[F.struct(F.lit(i).alias("region_id"), F.lit(o).alias("offset"), F.lit(n).alias("length")) for i, o, n in ((1, 0, 16), (2, 100, 64), (3, 5000, 200))])).alias("r")).select("image_id", "r.*")
-    pieces = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("owned_len") - 1, F.lit(0)) / 128)))).select("image_id", (F.col("at") * 128).alias("base_offset"), F.least(F.lit(128), F.col("owned_len") - F.col("at") * 128).alias("owned_len"), F.expr("substring(data, cast(at * 128 + 1 as int), 128)").alias("data"))
-    return S.read_regions(pieces, wanted, 128).select("image_id", "region_id", "offset", "length", F.hex("data").alias("hex"))
+    parts = F.array(*[F.struct(F.lit(i).alias("region_id"), F.lit(o).alias("offset"), F.lit(n).alias("length")) for i, o, n in ((1, 0, 16), (2, 100, 64), (3, 5000, 200))])
+    wanted = chunks(spark, sf_dir).select("image_id", F.inline(parts))
+    return documents_on_files(spark, sf_dir, 128).read(wanted).select("image_id", "region_id", "offset", "length", F.hex("data").alias("hex"))
+
+
+@query("s01_image_chunks", """WITH h AS (SELECT doc_id AS image_id, hex(encode(coalesce(text, ''))) AS h FROM documents), w AS (SELECT *, unnest(range(0, (length(h) // 2 + 999) // 1000)) * 1000 AS base_offset FROM h)
+SELECT image_id, base_offset, least(1000, length(h) // 2 - base_offset) AS owned_len, md5(substr(h, 2 * base_offset + 1, 2 * 1008)) AS digest FROM w""")
+def s01(spark, sf_dir):
+    """Texts as images in files, in windows of 1,000 bytes that run on by 8."""
+    windows = documents_on_files(spark, sf_dir, 1000).chunks(8)
+    return windows.select("image_id", "base_offset", "owned_len", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
 @query("s06_case_tables", "SELECT o_orderpriority, c_mktsegment, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL")

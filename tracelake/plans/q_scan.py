@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import decode as C
 from ..operators import scan as S
-from .q_decode import WINDOW, cut, filled, pack
+from .q_decode import WINDOW, filled, on_files, pack
 from .registry import query
 from .views import table
 
@@ -27,9 +26,12 @@ def images(spark, sf_dir):
         codes = pack(b"\0\0\1\x67\0\0\1\x68\0\0\1\x65\0\0\1\x61", filled(F.lit(48)))
         return F.when(x % 5 == 0, codes).otherwise(frame)
 
-    rows = cut(table(spark, sf_dir, "orders").select(k.alias("image_id"), F.concat(*signs, *map(slot, range(SLOTS))).alias("data")))
-    broken = (F.col("image_id") % 13 == 0) & (F.col("base_offset") == 256)
-    return rows.withColumn("data", F.when(~broken, F.col("data")))
+    rows = table(spark, sf_dir, "orders").select(k.alias("image_id"), F.concat(*signs, *map(slot, range(SLOTS))).alias("data"))
+    # every 13th image lacks the bytes of one window
+    piece = lambda at, to: F.struct(F.lit(at).alias("start"), F.expr(f"substring(data, {at + 1}, {to - at})").alias("data"))
+    size = HEAD + SLOTS * SLOT
+    pieces = F.when(F.col("image_id") % 13 == 0, F.array(piece(0, 256), piece(320, size))).otherwise(F.array(piece(0, size)))
+    return on_files(rows.select("image_id", F.inline(pieces)))
 
 
 def index(spark, sf_dir):
@@ -58,8 +60,8 @@ _CANDIDATE = """k AS image_id, 32 + i * 64 AS "offset", 64 AS length, 'video-key
 
 
 def _searched(spark, sf_dir):
-    chunks = images(spark, sf_dir)
-    return S.scan_recovery(chunks, C.image_sizes(chunks), index(spark, sf_dir), scopes(spark, sf_dir), WINDOW)
+    files = images(spark, sf_dir)
+    return S.scan_recovery(files, files.sizes(), index(spark, sf_dir), scopes(spark, sf_dir), WINDOW)
 
 
 _PICKED = ("image_id", "offset", "length", "kind", "channel", "start", "target", "data_state")

@@ -1,17 +1,92 @@
-"""Raw images as bounded windows of bytes, and regions out of them."""
+"""Raw images as bounded windows of bytes, and regions out of them.
+
+``FileImages`` are images in files that a file system of pyarrow reaches (a local path, or a URI with its scheme), ``TableImages`` a table of
+windows. Both give windows to scan, the images' sizes, and the bytes of regions; files by seeking, so that no window shuffles.
+"""
 
 from __future__ import annotations
 
-import os
+import math
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from .scratch import checkpointed, shared_path
+
+
+#: Bytes that a task reads at least, if there are as many; bytes of regions that are handed on at once.
+TASK, BATCH = 256 << 20, 32 << 20
+CATALOG = "image_id long, start long, size long, path string, at long"
+
+
+def _file_system(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def file_sizes(paths: list[str]) -> list[int]:
+    """The sizes of files, asked for on the driver."""
+    out = []
+    for path in paths:
+        system, inner = _file_system(path)
+        info = system.get_file_info(inner)
+        if not info.is_file:
+            raise FileNotFoundError(path)
+        out.append(info.size)
+    return out
+
+
+class _Files:
+    """Files that stay open while a task reads from them."""
+
+    def __init__(self):
+        self.opened: dict[str, object] = {}
+
+    def read(self, path: str, at: int, length: int) -> bytes | None:
+        """The bytes at a place, short at the file's end; None if they can't be read."""
+        try:
+            if path not in self.opened:
+                if len(self.opened) >= 64:
+                    self.close()
+                system, inner = _file_system(path)
+                self.opened[path] = system.open_input_file(inner)
+            return self.opened[path].read_at(length, at)
+        except OSError:
+            return None
+
+    def region(self, extents: list[dict], offset: int, length: int) -> tuple[bytes, bool]:
+        """The bytes of a region out of the extents that it touches, in order, up to the first that is missing; whether none is."""
+        parts, at, end = [], offset, offset + length
+        for e in extents:
+            if e["start"] > at:
+                break
+            if e["start"] + e["size"] <= at:
+                continue
+            want = min(end, e["start"] + e["size"]) - at
+            got = self.read(e["path"], e["at"] + at - e["start"], want)
+            parts.append(got or b"")
+            at += len(parts[-1])
+            if got is None or len(got) < want or at >= end:
+                break
+        return b"".join(parts), at >= end
+
+    def close(self):
+        for file in self.opened.values():
+            file.close()
+        self.opened = {}
 
 
 class _Windows(InputPartition):
-    def __init__(self, image_id: int, path: str, first: int, count: int):
-        self.image_id, self.path, self.first, self.count = image_id, path, first, count
+    def __init__(self, image_id: int, path: str, size: int, first: int, count: int):
+        self.image_id, self.path, self.size, self.first, self.count = image_id, path, size, first, count
 
 
 class _Reader(DataSourceReader):
@@ -20,26 +95,44 @@ class _Reader(DataSourceReader):
         self.window, self.overlap, self.group = int(options.get("window", 16 << 20)), int(options.get("overlap", 64)), int(options.get("group", 8))
         if not 1 <= self.window <= 64 << 20 or self.overlap < 0:
             raise ValueError("a window has 1 byte to 64 MB")
+        self.ids, self.low, self.high = None, 0, None
 
     def partitions(self):
         out = []
-        for image_id, path in enumerate(self.paths):
-            n = -(-os.path.getsize(path) // self.window)
-            out += [_Windows(image_id, path, k, min(self.group, n - k)) for k in range(0, n, self.group)]
+        wanted = [k for k in range(len(self.paths)) if self.ids is None or k in self.ids]
+        for image_id, size in zip(wanted, file_sizes([self.paths[k] for k in wanted]), strict=True):
+            first, last = self.low // self.window, -(-size // self.window)
+            if self.high is not None:
+                last = min(last, self.high // self.window + 1)
+            out += [_Windows(image_id, self.paths[image_id], size, k, min(self.group, last - k)) for k in range(first, last, self.group)]
         return out
 
     def read(self, partition):
-        size = os.path.getsize(partition.path)
-        with open(partition.path, "rb") as file:
-            for k in range(partition.first, partition.first + partition.count):
-                base = k * self.window
-                file.seek(base)
-                data = file.read(self.window + self.overlap)
-                yield (partition.image_id, base, min(self.window, size - base), data)
+        files = _Files()
+        for k in range(partition.first, partition.first + partition.count):
+            base = k * self.window
+            yield (partition.image_id, base, min(self.window, partition.size - base), files.read(partition.path, base, self.window + self.overlap))
+        files.close()
+
+
+class _FilteringReader(_Reader):
+    """Leaves out images and windows that filters on image_id and base_offset exclude; all filters are evaluated again."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) == ("image_id",) and isinstance(f, EqualTo | In):
+                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.ids = own if self.ids is None else self.ids & own
+            elif getattr(f, "attribute", None) == ("base_offset",):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, f.value)
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    self.high = f.value if self.high is None else min(self.high, f.value)
+            yield f
 
 
 class ImageChunks(DataSource):
-    """Images on a path that all executors see: options paths (comma-joined), window, overlap, group (windows a task)."""
+    """Images on paths that all executors see: options paths (comma-joined), window, overlap, group (windows a task), pushdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -49,13 +142,181 @@ class ImageChunks(DataSource):
         return "image_id long, base_offset long, owned_len long, data binary"
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_FilteringReader if self.options.get("pushdown") == "true" else _Reader)(self.options)
 
 
 def read_images(spark: SparkSession, paths: list[str], window: int = 16 << 20, overlap: int = 64) -> DataFrame:
-    """Chunks (image_id by place in sorted ``paths``, base_offset, owned_len, data); data runs ``overlap`` bytes into the next."""
+    """Chunks (image_id by place in sorted ``paths``, base_offset, owned_len, data); data runs ``overlap`` bytes into the next.
+
+    Where the session has ``spark.sql.python.filterPushdown.enabled``, filters on image_id and base_offset reach the reader, and other windows
+    aren't read.
+    """
     spark.dataSource.register(ImageChunks)
-    return spark.read.format("image_chunks").options(paths=",".join(paths), window=window, overlap=overlap).load()
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("image_chunks").options(paths=",".join(paths), window=window, overlap=overlap, pushdown=pushdown).load()
+
+
+class TableImages:
+    """Images as a table of windows (image_id, base_offset, owned_len, data) of ``window`` bytes; null data is a window that can't be read."""
+
+    def __init__(self, rows: DataFrame, window: int):
+        self.rows, self.window = rows, window
+
+    def chunks(self, overlap: int = 0) -> DataFrame:
+        """The windows as they are, whatever their overlap."""
+        return self.rows
+
+    def sizes(self) -> DataFrame:
+        return self.rows.groupBy("image_id").agg(F.max(F.col("base_offset") + F.col("owned_len")).alias("size_bytes"))
+
+    def only(self, ids: DataFrame) -> TableImages:
+        """The images of ``ids`` (image_id)."""
+        return TableImages(self.rows.join(ids, "image_id", "left_semi"), self.window)
+
+    def read(self, regions: DataFrame) -> DataFrame:
+        return read_regions(self.rows, regions, self.window)
+
+    def readable(self, targets: DataFrame) -> DataFrame:
+        """Targets (image_id, offset, length, ...) with ``readable``: all windows that they touch are there and have data."""
+        last = F.floor((F.col("offset") + F.col("length") - 1) / self.window)
+        touched = targets.where("length > 0").withColumn("__n", F.explode(F.sequence(F.floor(F.col("offset") / self.window), last)))
+        there = self.rows.select("image_id", F.floor(F.col("base_offset") / self.window).alias("__n"), F.col("data").isNotNull().alias("__there"))
+        return touched.join(there, ["image_id", "__n"], "left").groupBy(*targets.columns).agg(F.bool_and(F.coalesce("__there", F.lit(False))).alias("readable"))
+
+
+class FileImages:
+    """Images as extents in files: ``catalog`` (image_id, start and size in the image, path, at: place in the file), a row for each piece of an image.
+
+    Holes between extents and files that can't be read are unreadable bytes. What shuffles are rows of the catalog and regions, never bytes:
+    windows and regions go to tasks as places, and are read there by seeking.
+    """
+
+    def __init__(self, catalog: DataFrame, window: int = 16 << 20):
+        self.catalog, self.window = catalog, window
+
+    @classmethod
+    def of_paths(cls, spark: SparkSession, paths: list[str | list[str]], window: int = 16 << 20) -> FileImages:
+        """An image for each path, or for each list of paths, which hold an image's bytes one behind the other; image_id is its place."""
+        rows = []
+        for image_id, own in enumerate(paths):
+            own, start = [own] if isinstance(own, str) else own, 0
+            for path, size in zip(own, file_sizes(own), strict=True):
+                rows.append((image_id, start, size, path, 0))
+                start += size
+        return cls(spark.createDataFrame(rows, CATALOG), window)
+
+    @classmethod
+    def written(cls, images: DataFrame, window: int = 16 << 20) -> FileImages:
+        """Write images (image_id, start, data: a row for each piece; null data isn't written) to the shared folder, a file for each task, and list them.
+
+        The list is stored, so tasks that ran twice leave a file that nothing names.
+        """
+        folder = shared_path(images.sparkSession, "images")
+
+        def write(batches):
+            system, inner = _file_system(folder)
+            system.create_dir(inner, recursive=True)
+            name, at = f"{uuid.uuid4().hex}.img", 0
+            with system.open_output_stream(f"{inner}/{name}") as out:
+                for batch in batches:
+                    data = batch.column(2).to_pylist()
+                    sizes, places = [], []
+                    for piece in data:
+                        out.write(piece)
+                        sizes.append(len(piece))
+                        places.append(at)
+                        at += len(piece)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([f"{folder}/{name}"] * len(sizes), pa.string()), pa.array(places, pa.int64())], names=[f.split()[0] for f in CATALOG.split(", ")])
+
+        rows = images.where("data is not null").select(F.col("image_id").cast("long"), F.col("start").cast("long"), "data")
+        return cls(checkpointed(rows.mapInArrow(write, CATALOG)), window)
+
+    def sizes(self) -> DataFrame:
+        """(image_id, size_bytes), out of the catalog alone."""
+        return self.catalog.groupBy("image_id").agg(F.max(F.col("start") + F.col("size")).alias("size_bytes"))
+
+    def only(self, ids: DataFrame) -> FileImages:
+        """The images of ``ids`` (image_id); the others' bytes aren't read."""
+        return FileImages(self.catalog.join(ids, "image_id", "left_semi"), self.window)
+
+    def _extents(self) -> DataFrame:
+        own = F.sort_array(F.collect_list(F.struct("start", "size", "path", "at")))
+        return self.catalog.groupBy("image_id").agg(own.alias("__extents"), F.max(F.col("start") + F.col("size")).alias("__size"))
+
+    def chunks(self, overlap: int = 64, touching: DataFrame | None = None) -> DataFrame:
+        """Windows (image_id, base_offset, owned_len, data), each with ``overlap`` bytes of the next; with ``touching`` (image_id, offset, length) only those that these touch.
+
+        A window is dealt out as a place: by number of windows, since its row says nothing of its bytes.
+        """
+        total = self.catalog.agg(F.sum("size")).first()[0] or 0
+        tasks = max(self.catalog.sparkSession.sparkContext.defaultParallelism, math.ceil(total / max(TASK, self.window)))
+        count = F.ceil(F.col("__size") / self.window)
+        rows = self._extents().where("__size > 0").withColumn("__n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+        if touching is not None:
+            hit = touching.where("length > 0 and offset >= 0").select("image_id", F.explode(F.sequence(F.floor(F.col("offset") / self.window), F.floor((F.col("offset") + F.col("length") - 1) / self.window))).alias("__n"))
+            rows = rows.join(hit.distinct(), ["image_id", "__n"], "left_semi")
+        base = F.col("__n") * self.window
+        owned = F.least(F.lit(self.window).cast("long"), F.col("__size") - base)
+        near = F.filter("__extents", lambda e: (e["start"] < base + owned + overlap) & (e["start"] + e["size"] > base))
+        dealt = rows.select("image_id", base.alias("base_offset"), owned.alias("owned_len"), near.alias("__extents")).repartition(tasks)
+
+        def made(rows):
+            columns = zip(("image_id", "base_offset", "owned_len", "data"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+            return pa.RecordBatch.from_pydict({name: pa.array(values, kind) for name, values, kind in columns})
+
+        def read(batches):
+            files, rows, size = _Files(), [], 0
+            for row in (r for batch in batches for r in batch.to_pylist()):
+                data, _ = files.region(row["__extents"], row["base_offset"], row["owned_len"] + overlap)
+                rows.append((row["image_id"], row["base_offset"], row["owned_len"], data if len(data) >= row["owned_len"] else None))
+                size += len(data)
+                if size >= BATCH or len(rows) == 10_000:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
+            files.close()
+
+        return dealt.mapInArrow(read, "image_id long, base_offset long, owned_len long, data binary")
+
+    def read(self, regions: DataFrame) -> DataFrame:
+        """Regions (image_id, offset, length, ...) with their bytes: short at the image's end, null beyond it or where a byte can't be read."""
+        names = regions.columns
+        lo, hi = F.col("offset"), F.least(F.col("offset") + F.col("length"), F.col("__size"))
+        placed = regions.join(self._extents(), "image_id", "left").withColumn("__have", F.when((F.col("length") > 0) & (lo >= 0) & F.col("__size").isNotNull(), hi - lo))
+        near = F.filter("__extents", lambda e: (e["start"] < hi) & (e["start"] + e["size"] > lo))
+        placed = placed.select(*names, "__have", near.alias("__extents"))
+
+        def read(batches):
+            files = _Files()
+            for batch in batches:
+                rows, found, size, first = batch.select(["offset", "__have", "__extents"]).to_pylist(), [], 0, 0
+                for k, row in enumerate(rows):
+                    data, whole = files.region(row["__extents"], row["offset"], row["__have"]) if (row["__have"] or 0) > 0 else (b"", False)
+                    found.append(data if whole else None)
+                    size += len(data)
+                    if size >= BATCH or k == len(rows) - 1:
+                        yield pa.RecordBatch.from_arrays([*batch.slice(first, len(found)).columns[: len(names)], pa.array(found, pa.binary())], names=[*names, "data"])
+                        found, size, first = [], 0, k + 1
+            files.close()
+
+        return placed.mapInArrow(read, T.StructType([*regions.schema, T.StructField("data", T.BinaryType())]))
+
+    def readable(self, targets: DataFrame) -> DataFrame:
+        """Targets (image_id, offset, length, ...) with ``readable``: extents cover all windows that they touch, as the catalog says."""
+        window = F.lit(self.window).cast("long")
+        lo = F.floor(F.col("offset") / window) * window
+        hi = F.least((F.floor((F.col("offset") + F.col("length") - 1) / window) + 1) * window, F.col("__size"))
+        # how far the extents reach without a hole, from where the target begins on
+        reach = F.aggregate("__extents", lo, lambda at, e: F.when((e["start"] <= at) & (e["start"] + e["size"] > at), e["start"] + e["size"]).otherwise(at))
+        inside = F.col("offset") + F.col("length") <= F.ceil(F.col("__size") / window) * window
+        rows = targets.where("length > 0").join(self._extents(), "image_id", "left")
+        return rows.select(*targets.columns, F.coalesce((reach >= hi) & inside, F.lit(False)).alias("readable")).distinct()
+
+
+def as_images(chunks: DataFrame | TableImages | FileImages, window: int) -> TableImages | FileImages:
+    """A table of windows as images; images as they are."""
+    return TableImages(chunks, window) if isinstance(chunks, DataFrame) else chunks
 
 
 def read_regions(chunks: DataFrame, regions: DataFrame, window: int) -> DataFrame:
