@@ -2,7 +2,7 @@
 
 import random
 
-from tracelake.operators import graph
+from tracelake.operators import components, graph
 
 SHAPE = "image_id long, page long, next long, other long"
 
@@ -64,6 +64,81 @@ def test_ring_longer_than_the_guard(spark):
     assert not [r for r in found if r.kind == "duplicate"]
 
 
+def tarjan(edges):
+    """Components of more than one node, as sets."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set())
+    order, low, stack, found, n = {}, {}, [], [], 0
+    for start in out:
+        if start in order:
+            continue
+        todo = [(start, iter(sorted(out[start])))]
+        order[start] = low[start] = n = n + 1
+        stack.append(start)
+        while todo:
+            x, rest = todo[-1]
+            for y in rest:
+                if y not in order:
+                    order[y] = low[y] = n = n + 1
+                    stack.append(y)
+                    todo.append((y, iter(sorted(out[y]))))
+                    break
+                if y in stack:
+                    low[x] = min(low[x], order[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == order[x]:
+                    own = stack[stack.index(x) :]
+                    del stack[stack.index(x) :]
+                    found.append(frozenset(own))
+    return {c for c in found if len(c) > 1}
+
+
+def components_of(spark, images):
+    rows = [(i, a, b) for i, edges in images.items() for a, b in edges]
+    found = components.strong_components(spark.createDataFrame(rows, "image_id long, page long, target long")).collect()
+    out = {i: {} for i in images}
+    for r in found:
+        out[r.image_id].setdefault(r.node, set()).add(r.page)
+    return {i: {frozenset(c) for c in x.values()} for i, x in out.items()}
+
+
+def test_components_of_random_graphs(spark):
+    rng, images = random.Random(8), {}
+    for i in range(12):
+        n = rng.randrange(3, 14)
+        images[i] = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(1, 3 * n))}
+    assert components_of(spark, images) == {i: tarjan(e) for i, e in images.items()}
+
+
+def test_components_of_long_shapes(spark):
+    n = 300
+    ring = [(k, (k + 1) % n) for k in range(n)]
+    leaves = [(k, k + 1) for k in range(n)] + [(-1, k) for k in range(n)]
+    both_ways = [(k, k + 1) for k in range(n)] + [(k + 1, k) for k in range(n)]
+    tree = [(k, c) for k in range(250) for c in (2 * k + 1, 2 * k + 2)]
+    closing = tree + [(k, (k - 1) // 2 if k % 2 else 0) for k in range(1, 250, 3)]
+    images = {0: ring, 1: leaves, 2: both_ways, 3: tree, 4: closing, 5: [*ring, (5, 200), (10, -1), (-1, -2), (-3, 4)]}
+    assert components_of(spark, images) == {i: tarjan(e) for i, e in images.items()}
+
+
+def test_kinds_of_pointers_and_declared_pages(spark):
+    pages = [(1, 100, 200, 300, True), (1, 200, 250, 0, True), (1, 300, 900, 100, True), (1, 400, 100, None, False), (2, 100, 0, 0, True), (1, 250, 0, 0, True), (1, 500, 0, 0, True)]
+    pages = spark.createDataFrame([(*p[:2], p[2], p[3], p[4]) for p in pages] + [(1, 600, 400, 800, True)], "image_id long, page long, next long, other long, leaf_or_internal boolean")
+    roots = spark.createDataFrame([(1, 100), (1, 600), (2, 100)], "image_id long, page long")
+    regions = spark.createDataFrame([(1, 100, 850), (2, 0, 1000)], "image_id long, first long, size long")
+    found = graph.traverse_pages(pages, roots, regions=regions, page_bytes=100)
+    assert sorted((r.kind, r.page, r.target) for r in found.where("image_id = 1 and kind <> 'visited'").collect()) == sorted([("misaligned", 200, 250), ("out of range", 300, 900), ("cycle", 300, 100), ("bad type", 400, None), ("unreadable", 600, 800)], key=str)
+    assert {r.page for r in found.where("image_id = 1 and kind = 'visited'").collect()} == {100, 200, 300, 400, 600}
+    headers = spark.createDataFrame([(1, 5), (2, 1), (3, None)], "image_id long, declared long")
+    assert {r.image_id: (r.n_visited, r.n_cycle, r.state) for r in graph.traversal_report(found, headers).collect()} == {1: (5, 1, "PARTIAL"), 2: (1, 0, "COMPLETE"), 3: (0, 0, "NONE")}
+    assert {r.state for r in graph.traversal_report(found.where("image_id = 2"), spark.createDataFrame([(2, 4)], "image_id long, declared long")).collect()} == {"PARTIAL"}
+
+
 LINKS = "image_id long, block long, first long, prev long, next long, empty boolean"
 
 

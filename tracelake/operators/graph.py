@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import checkpointed
+from ..sources.scratch import checkpointed, stored
 
 IMAGE = "image_id"
 
@@ -38,16 +38,19 @@ def reach(edges: DataFrame, heads: DataFrame, max_rounds: int = 40) -> DataFrame
     raise RuntimeError(f"chains are longer than 2**{max_rounds} blocks")
 
 
-def _walk(rows: DataFrame) -> DataFrame:
+def walk_links(rows: DataFrame) -> DataFrame:
     """Rows (image_id, block, to, steps, bad, done, low), one a block, with ``to`` moved on along the links until it is done.
 
     Pointer doubling from each block's side: an active row of round k has jumped 2**k links; steps and bad add up over the jumps, and low
     is the least of a block's own and all that lead to it. A round in which no row gets done and nothing else changes leaves
     only rows that lead into loops, all of them with ``to`` on a loop.
     """
-    was = None
+    was, parts = None, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        rows = checkpointed(rows)
+        # where joins are broadcast, each round's union would double the partitions
+        rows = stored(rows if was is None else rows.coalesce(parts), "walk")
+        if was is None:
+            parts = max(parts, rows.rdd.getNumPartitions())
         now = rows.agg(F.count_if(~F.col("done")), F.count("low"), F.sum(F.col("low").cast("decimal(38,0)"))).first()
         if now[0] == 0:
             return rows
@@ -72,7 +75,7 @@ def chain_ends(blocks: DataFrame) -> DataFrame:
     head = F.when((F.col("block") > 0) & (F.col("first") == F.col("block")), F.col("block"))
     bad = F.when(F.col("back_mismatch"), 1).otherwise(0).cast("long")
     start = rows.select(IMAGE, "block", F.when(follow, F.col("next")).otherwise(F.col("block")).alias("to"), follow.cast("long").alias("steps"), bad.alias("bad"), (~follow).alias("done"), head.alias("low"))
-    walked = _walk(start)
+    walked = walk_links(start)
     straight = walked.where("done").select(IMAGE, "block", F.col("to").alias("end"), "steps", "bad", F.lit(False).alias("loop"), F.col("low").alias("least_head"))
     left = checkpointed(walked.where("not done"))
     if left.isEmpty():
@@ -82,11 +85,11 @@ def chain_ends(blocks: DataFrame) -> DataFrame:
     ring = edges.where("__on").select(IMAGE, "block", "to", "bad")
     # the ring's least block names it
     names = ring.select(IMAGE, "block", "to", F.lit(1).cast("long").alias("steps"), F.lit(0).cast("long").alias("bad"), F.lit(False).alias("done"), F.col("block").alias("low"))
-    named = ring.join(_walk(names).select(IMAGE, "block", F.col("low").alias("ring")), [IMAGE, "block"])
+    named = ring.join(walk_links(names).select(IMAGE, "block", F.col("low").alias("ring")), [IMAGE, "block"])
     sizes = named.groupBy(IMAGE, "ring").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("all_bad"))
     entered = named.select(IMAGE, "ring", F.col("to").alias("entry"), F.col("block").alias("end"), F.col("bad").alias("closing")).join(sizes, [IMAGE, "ring"])
     stop = F.coalesce("__on", F.lit(False))
-    tails = _walk(edges.select(IMAGE, "block", F.when(stop, F.col("block")).otherwise(F.col("to")).alias("to"), F.when(stop, 0).otherwise(1).cast("long").alias("steps"), F.when(stop, 0).otherwise(F.col("bad")).cast("long").alias("bad"), stop.alias("done"), F.lit(None).cast("long").alias("low")))
+    tails = walk_links(edges.select(IMAGE, "block", F.when(stop, F.col("block")).otherwise(F.col("to")).alias("to"), F.when(stop, 0).otherwise(1).cast("long").alias("steps"), F.when(stop, 0).otherwise(F.col("bad")).cast("long").alias("bad"), stop.alias("done"), F.lit(None).cast("long").alias("low")))
     looped = tails.select(IMAGE, "block", F.col("to").alias("entry"), "steps", "bad").join(entered, [IMAGE, "entry"]).join(left.select(IMAGE, "block", "low"), [IMAGE, "block"])
     return straight.unionByName(looped.select(IMAGE, "block", "end", (F.col("steps") + F.col("n") - 1).alias("steps"), (F.col("bad") + F.col("all_bad") - F.col("closing")).alias("bad"), F.lit(True).alias("loop"), F.col("low").alias("least_head")))
 
@@ -138,16 +141,31 @@ def chain_summary(blocks: DataFrame) -> DataFrame:
     return rows.groupBy(IMAGE, "head").agg(F.sum("length").alias("bytes"), F.max("__channel").alias("channel"), F.count_if(F.col("channel") != F.col("__channel")).alias("disagreeing"), F.min("start").alias("start"), F.max("end").alias("end"), (~F.bool_or("__apart")).alias("contiguous"))
 
 
-def traverse_pages(pages: DataFrame, roots: DataFrame, guard: int = 64) -> DataFrame:
-    """Pages (image_id, page, next, other; null: no pointer) that the roots reach, with depth, and the edges that go wrong.
+def traverse_pages(pages: DataFrame, roots: DataFrame, guard: int = 64, regions: DataFrame | None = None, page_bytes: int = 1) -> DataFrame:
+    """Pages (image_id, page, next, other; null or 0 for none if ``regions`` are given; maybe leaf_or_internal: boolean) that the roots reach, with depth, and the edges that go wrong.
 
-    (image_id, kind, page, target, depth): kind visited, out of range, duplicate or cycle. An edge to a page already visited
-    closes a cycle if its target reaches its source, else it is a duplicate. More than ``guard`` levels are an error; rings may be of any length.
+    (image_id, kind, page, target, depth): kind visited, bad type (a visited page whose pointers aren't followed), out of range, misaligned,
+    unreadable, duplicate or cycle. ``regions`` (image_id, first, size) say where an image's pages lie, every ``page_bytes`` from the first on; without
+    them each page that isn't there is out of range. An edge to a page already visited closes a cycle if both lie in one strongly
+    connected component, else it is a duplicate. More than ``guard`` levels are an error; rings may be of any length.
     """
-    edges = checkpointed(pages.select(IMAGE, "page", F.explode(F.array("next", "other")).alias("target")).where("target is not null").distinct())
+    from .components import strong_components
+
+    sound = F.coalesce(F.col("leaf_or_internal"), F.lit(False)) if "leaf_or_internal" in pages.columns else F.lit(True)
+    edges = pages.where(sound).select(IMAGE, "page", F.explode(F.array("next", "other")).alias("target")).where("target is not null").distinct()
+    if regions is not None:
+        lo, far = F.col("first"), F.col("target") - F.col("first")
+        outside = (far < 0) | (far + page_bytes > F.col("size")) | lo.isNull()
+        state = F.when(outside, "out of range").when(far % page_bytes != 0, "misaligned").otherwise("unreadable")
+        edges = edges.where("target <> 0").join(regions.select(IMAGE, "first", "size"), IMAGE, "left").select(IMAGE, "page", "target", state.alias("kind"))
+    else:
+        edges = edges.withColumn("kind", F.lit("out of range"))
+    edges = checkpointed(edges)
     known = pages.select(IMAGE, F.col("page").alias("target")).distinct()
-    good = checkpointed(edges.join(known, [IMAGE, "target"], "left_semi"))
-    bad = edges.join(known, [IMAGE, "target"], "left_anti")
+    # a page that is there but lies at no page's place isn't followed either
+    there = edges if regions is None else edges.where("kind = 'unreadable'")
+    good = checkpointed(there.select(IMAGE, "page", "target").join(known, [IMAGE, "target"], "left_semi"))
+    bad = edges.join(good, [IMAGE, "page", "target"], "left_anti")
     visited = checkpointed(roots.select(IMAGE, "page").join(known.withColumnRenamed("target", "page"), [IMAGE, "page"], "left_semi").distinct().select(IMAGE, "page", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
     front = visited
     for depth in range(1, guard + 1):
@@ -159,19 +177,32 @@ def traverse_pages(pages: DataFrame, roots: DataFrame, guard: int = 64) -> DataF
     else:
         raise RuntimeError(f"pages are more than {guard} levels deep")
     tree = visited.where("parent is not null").select(IMAGE, F.col("parent").alias("page"), F.col("page").alias("target"))
-    again = checkpointed(visited.select(IMAGE, "page", "depth").join(good, [IMAGE, "page"]).join(tree, [IMAGE, "page", "target"], "left_anti"))
-    # what the targets of those edges reach, level by level, to see whether they come back to the edge's source
-    seen = checkpointed(again.select(IMAGE, F.col("page").alias("source"), F.col("target").alias("page")).distinct())
-    walk = seen
-    while True:  # as many rounds as the longest way round, whatever the guard
-        walk = checkpointed(walk.join(good, [IMAGE, "page"]).select(IMAGE, "source", F.col("target").alias("page")).distinct().join(seen, [IMAGE, "source", "page"], "left_anti"))
-        if walk.isEmpty():
-            break
-        seen = checkpointed(seen.unionByName(walk))
-    back = seen.where(F.col("source") == F.col("page")).select(IMAGE, "page").distinct().withColumn("__back", F.lit(True))
-    wrong = again.join(back, [IMAGE, "page"], "left").select(IMAGE, F.when(F.col("__back"), "cycle").otherwise("duplicate").alias("kind"), "page", "target", "depth")
-    outside = visited.join(bad, [IMAGE, "page"]).select(IMAGE, F.lit("out of range").alias("kind"), "page", "target", "depth")
-    return visited.select(IMAGE, F.lit("visited").alias("kind"), "page", F.lit(None).cast("long").alias("target"), "depth").unionByName(outside).unionByName(wrong)
+    reached = checkpointed(visited.select(IMAGE, "page", "depth").join(good, [IMAGE, "page"]))
+    again = reached.join(tree, [IMAGE, "page", "target"], "left_anti")
+    names = checkpointed(strong_components(reached))
+    own = names.select(IMAGE, F.col("page").alias("target"), F.col("node").alias("__node"))
+    round_ = (F.col("page") == F.col("target")) | F.coalesce(F.col("node") == F.col("__node"), F.lit(False))
+    wrong = again.join(names, [IMAGE, "page"], "left").join(own, [IMAGE, "target"], "left").select(IMAGE, F.when(round_, "cycle").otherwise("duplicate").alias("kind"), "page", "target", "depth")
+    astray = visited.join(bad, [IMAGE, "page"]).select(IMAGE, "kind", "page", "target", "depth")
+    found = visited.select(IMAGE, F.lit("visited").alias("kind"), "page", F.lit(None).cast("long").alias("target"), "depth").unionByName(astray).unionByName(wrong)
+    if "leaf_or_internal" in pages.columns:
+        odd = visited.join(pages.where(~sound).select(IMAGE, "page"), [IMAGE, "page"], "left_semi")
+        found = found.unionByName(odd.select(IMAGE, F.lit("bad type").alias("kind"), "page", F.lit(None).cast("long").alias("target"), "depth"))
+    return found
+
+
+def traversal_report(found: DataFrame, headers: DataFrame) -> DataFrame:
+    """Per image of ``headers`` (image_id, declared: pages that the header declares, or null) what ``traverse_pages`` found, and whether that is the whole tree.
+
+    COMPLETE: no pointer went wrong, no cycle, no bad type, and as many pages as declared; duplicates are normal. PARTIAL otherwise, NONE without pages.
+    """
+    kinds = ("visited", "duplicate", "cycle", "out of range", "misaligned", "unreadable", "bad type")
+    names = ["n_" + k.replace(" ", "_") for k in kinds]
+    by = found.groupBy(IMAGE).agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in zip(kinds, names, strict=True)])
+    rows = headers.select(IMAGE, "declared").join(by, IMAGE, "left").fillna(0, names)
+    wrong = F.col("n_cycle") + F.col("n_out_of_range") + F.col("n_misaligned") + F.col("n_unreadable") + F.col("n_bad_type")
+    same = F.coalesce(F.col("declared") == F.col("n_visited"), F.lit(True))
+    return rows.withColumn("state", F.when(F.col("n_visited") == 0, "NONE").when((wrong == 0) & same, "COMPLETE").otherwise("PARTIAL"))
 
 
 def accessibility(chains: DataFrame, primary_table: str = "table_role") -> DataFrame:
