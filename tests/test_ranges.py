@@ -75,3 +75,14 @@ def test_partitions_do_not_matter(spark):
     rows = spark.createDataFrame(some(7, 200), SHAPE)
     one, many = ranges.merge_ranges(rows.coalesce(1)), ranges.merge_ranges(rows.repartition(13, F.rand(1)), bin_bytes=17)
     assert sorted(taken(one)) == sorted(taken(many))
+
+
+def test_islands_are_told_apart_by_their_keys():
+    """Two islands dealt out under one hash start anew each."""
+    import pyarrow as pa
+
+    from tracelake.operators.islands import _fold
+
+    batch = pa.RecordBatch.from_pydict({"image_id": [1, 1, 2, 2, 2], "island": [1, 1, 1, 1, 2], "v": [1, 1, 1, 1, 1], "__isle": [7, 7, 7, 7, 7]})
+    (out,) = _fold(["v"], lambda state, v: ((state or 0) + v,) * 2, ["image_id", "island"])([batch])
+    assert out.column("__out").to_pylist() == [1, 2, 1, 2, 1] and out.schema.names == ["image_id", "island", "v", "__out"]

@@ -22,13 +22,16 @@ def number_islands(df: DataFrame, keys: Sequence[str], order: Sequence, new: Col
     return flagged.withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def _fold(columns: list[str], step):
-    """Run ``step(state, row values) -> (state, out)`` over rows sorted by their island; the state is None at each island's start."""
+def _fold(columns: list[str], step, names: list[str]):
+    """Run ``step(state, row values) -> (state, out)`` over rows sorted by their island; the state is None at each island's start.
+
+    Islands are told apart by the columns ``names``; their hash only deals them out.
+    """
 
     def fold(batches):
         at, state = None, None
         for batch in batches:
-            isle = batch.column(batch.num_columns - 1).to_numpy()
+            isle = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
             values = [batch.column(c).to_pylist() for c in columns]
             out = []
             for k, row in enumerate(zip(*values, strict=True)):
@@ -45,7 +48,7 @@ def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence, island: st
     isle = F.xxhash64(*keys, island)
     rows = df.withColumn("__isle", isle).repartition("__isle").sortWithinPartitions("__isle", *keys, island, *order)
     shape = T.StructType([*df.schema, T.StructField("__out", T.LongType())])
-    return rows.mapInArrow(_fold(columns, step), shape).withColumnRenamed("__out", name)
+    return rows.mapInArrow(_fold(columns, step, [*keys, island]), shape).withColumnRenamed("__out", name)
 
 
 def anchored_groups(df: DataFrame, keys: Sequence[str], value: str, width: int, ties: Sequence[str] = (), name: str = "anchor") -> DataFrame:
