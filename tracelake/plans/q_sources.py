@@ -54,3 +54,16 @@ def s10(spark, sf_dir):
     S.append_custody(rows.where("event % 2 = 0"), path)
     S.append_custody(rows.where("event % 2 = 1"), path)
     return spark.read.schema("event long, case_id long").parquet(path).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum("event").alias("total"))
+
+
+@query("s04_applicable_rules", """WITH r AS (SELECT 'p' || n_nationkey AS id, n_nationkey % 5 AS v, CASE WHEN n_nationkey % 3 > 0 THEN 'm' || n_nationkey % 4 END AS m, CASE WHEN n_nationkey % 2 = 0 THEN 'v' || n_nationkey % 3 END AS w FROM nation)
+SELECT c_custkey AS image_id, min(id) AS profile_id FROM customer LEFT JOIN r ON v = c_nationkey % 5 AND (m IS NULL OR m = 'm' || c_custkey % 5) AND (w IS NULL OR w = 'v' || c_custkey % 4) GROUP BY c_custkey""")
+def s04(spark, sf_dir):
+    """Profiles out of nations, in capitals, some for one model or one variant alone."""
+    n, c = F.col("n_nationkey"), F.col("c_custkey")
+    named = lambda letter, number: F.concat(F.lit(letter), number.cast("string"))
+    only = lambda on, value: F.when(on, F.array(value)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    rules = table(spark, sf_dir, "nation").select(named("p", n).alias("id"), F.lit("1").alias("version"), named("VENDOR", n % 5).alias("vendor"), only(n % 3 > 0, named("m", n % 4)).alias("models"), none.alias("firmware"), only(n % 2 == 0, named("v", n % 3)).alias("variants"))
+    images = table(spark, sf_dir, "customer").select(c.alias("image_id"), named("Vendor", F.col("c_nationkey") % 5).alias("vendor"), named("m", c % 5).alias("model"), F.lit("f").alias("firmware_version"), named("v", c % 4).alias("variant"))
+    return S.applicable_rules(images, rules).select("image_id", "profile_id")

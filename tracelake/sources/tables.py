@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULE_SHAPE = "id string, version string, vendor string, models array<string>, firmware array<string>, signatures array<struct<name:string,pattern_hex:string,weight:double,exclusive:boolean,evidence_status:string,offset_constraints:array<struct<type:string,offset:long,start:long,end:long,alignment:long,max_offset:long>>>>, layout map<string,string>"
+RULE_SHAPE = "id string, version string, vendor string, models array<string>, firmware array<string>, variants array<string>, signatures array<struct<name:string,pattern_hex:string,weight:double,exclusive:boolean,evidence_status:string,offset_constraints:array<struct<type:string,offset:long,start:long,end:long,alignment:long,max_offset:long>>>>, layout map<string,string>"
 CASE_SHAPE = "case_id string, source_path string, source_type string, expected_detection string, expected_classification string, expected_regions array<struct<offset:long,length:long>>, synthetic boolean"
 #: The headers of the CSV reports.
 CSV_COLUMNS = {"recovery": ["candidate_id", "offset", "length", "data_state", "status", "level", "reason"], "recordings": ["channel", "start", "end", "n_segments", "missing_seconds"], "timeline": ["channel", "instant", "kind", "description"]}
@@ -42,11 +42,12 @@ def signature_rules(profiles: DataFrame) -> DataFrame:
 
 
 def applicable_rules(images: DataFrame, rules: DataFrame) -> DataFrame:
-    """Images with the first profile of their vendor (any case) whose model and firmware lists are empty or name theirs."""
+    """Images with the first profile of their vendor (any case) whose model, firmware and, if there, variant lists are empty or name theirs."""
     fits = lambda col, own: (F.coalesce(F.size(col), F.lit(0)) <= 0) | F.array_contains(F.col(col), F.col(own))
-    profiles = rules.select(F.lower("vendor").alias("__vendor"), F.col("id").alias("profile_id"), "version", "models", "firmware")
-    met = images.join(F.broadcast(profiles), F.lower(images["vendor"]) == F.col("__vendor"), "left")
-    good = F.coalesce(fits("models", "model") & fits("firmware", "firmware_version"), F.lit(False))
+    lists = ["variants"] if "variants" in rules.columns and "variant" in images.columns else []
+    profiles = rules.select(F.lower("vendor").alias("__vendor"), F.col("id").alias("profile_id"), "version", "models", "firmware", *lists)
+    met = images.join(profiles, F.lower(images["vendor"]) == F.col("__vendor"), "left")
+    good = F.coalesce(fits("models", "model") & fits("firmware", "firmware_version") & (fits("variants", "variant") if lists else F.lit(True)), F.lit(False))
     best = met.groupBy("image_id").agg(F.min(F.when(good, F.struct("profile_id", "version"))).alias("best"))
     return best.select("image_id", "best.profile_id", "best.version")
 
