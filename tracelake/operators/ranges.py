@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prefix import running_sums
+
 KEYS = ("image_id",)
 #: Bytes of a bin, in which ranges are merged and joined before they meet over the whole key.
 BIN = 1 << 20
@@ -32,12 +34,23 @@ def _islands(df: DataFrame, by: Sequence) -> DataFrame:
 def merge_ranges(df: DataFrame, keys: Sequence[str] = KEYS, bin_bytes: int = BIN) -> DataFrame:
     """Sorted disjoint ranges; overlapping and adjacent ones merged.
 
-    Merges in bins of each key first, so that a key with very many ranges is worked on by many tasks; what is left of the bins
-    meets in a second pass.
+    Merges in bins of each key first. Of each bin only where its last range starts and how far it reaches goes on to the pass over
+    the key, which tells every bin that an earlier range enters how far that one reaches and where it starts. So a key with very
+    many ranges is worked on by many tasks; the pass over the key sees a row for each bin.
     """
     rows = _valid(df).select(*keys, F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"), F.floor(F.col("offset") / bin_bytes).alias("__bin"))
-    first = _islands(rows, [*keys, "__bin"]).drop("__bin")
-    return _islands(first, keys).select(*keys, F.col("lo").alias("offset"), (F.col("hi") - F.col("lo")).alias("length"))
+    first = _islands(rows, [*keys, "__bin"])
+    bins = first.groupBy(*keys, "__bin").agg(F.min("lo").alias("__first"), F.max("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("__reach", F.max("__hi").over(earlier))
+    # ranges of a bin are disjoint by now: if the last one doesn't start behind all earlier bins, none of the bin does
+    bins = bins.withColumn("__start", F.max(F.when(F.col("__reach").isNull() | (F.col("__lo") > F.col("__reach")), F.col("__lo"))).over(earlier))
+    entered = bins.where("__reach >= __first").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bin").alias("__at"), "__reach", "__start")
+    same = F.col("__bin") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    met = first.join(entered, same, "left").withColumn("__start", F.when(F.col("lo") <= F.col("__reach"), F.col("__start")).otherwise(F.col("lo")))
+    return met.groupBy(*keys, "__start").agg(F.max("hi").alias("__hi")).select(*keys, F.col("__start").alias("offset"), (F.col("__hi") - F.col("__start")).alias("length"))
 
 
 def union_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -72,16 +85,20 @@ def intersect_ranges(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) ->
     return merge_ranges(pairs.select(*keys, lo.alias("offset"), (hi - lo).alias("length")), keys)
 
 
-def complement_ranges(df: DataFrame, universe: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """What of each key's universe (one range a key) no range covers; ranges beyond the universe don't count."""
+def complement_ranges(df: DataFrame, universe: DataFrame, keys: Sequence[str] = KEYS, bin_bytes: int = BIN) -> DataFrame:
+    """What of each key's universe (one range a key) no range covers; ranges beyond the universe don't count.
+
+    Holes inside a bin are found in the bin; holes between bins from one row a bin.
+    """
     u = universe.select(*keys, F.col("offset").alias("u_lo"), (F.col("offset") + F.col("length")).alias("u_hi")).where("u_hi > u_lo")
-    cut = merge_ranges(df, keys).join(u, list(keys)).select(*keys, F.greatest("offset", "u_lo").alias("lo"), F.least(F.col("offset") + F.col("length"), "u_hi").alias("hi")).where("hi > lo")
-    # each range opens a hole at its end; the universe opens one at its start
-    edges = cut.select(*keys, "lo", "hi").unionByName(u.select(*keys, F.lit(None).cast("long").alias("lo"), F.col("u_lo").alias("hi")))
-    w = Window.partitionBy(*keys).orderBy("hi", F.col("lo").asc_nulls_first())
-    holes = edges.withColumn("next", F.lead("lo").over(w)).join(u, list(keys))
-    stop = F.coalesce("next", "u_hi")
-    return holes.select(*keys, F.col("hi").alias("offset"), (stop - F.col("hi")).alias("length")).where("length > 0")
+    cut = merge_ranges(df, keys, bin_bytes).join(u, list(keys)).select(*keys, F.greatest("offset", "u_lo").alias("lo"), F.least(F.col("offset") + F.col("length"), "u_hi").alias("hi")).where("hi > lo")
+    cut = cut.withColumn("__bin", F.floor(F.col("lo") / bin_bytes)).repartition(*keys, "__bin")
+    inside = cut.withColumn("before", F.lag("hi").over(Window.partitionBy(*keys, "__bin").orderBy("lo"))).where("before is not null").select(*keys, "before", "lo")
+    bins = cut.groupBy(*keys, "__bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__bin")
+    # the universe opens the first hole at its start and closes the last one at its end
+    edges = bins.withColumn("__rank", F.lit(1)).unionByName(u.select(*keys, F.col("u_lo").alias("lo"), F.col("u_lo").alias("hi"), F.lit(0).alias("__rank"))).unionByName(u.select(*keys, F.col("u_hi").alias("lo"), F.col("u_hi").alias("hi"), F.lit(2).alias("__rank")))
+    between = edges.withColumn("before", F.lag("hi").over(Window.partitionBy(*keys).orderBy("__rank", "lo"))).where("before is not null").select(*keys, "before", "lo")
+    return inside.unionByName(between).select(*keys, F.col("before").alias("offset"), (F.col("lo") - F.col("before")).alias("length")).where("length > 0")
 
 
 def subtract_ranges(a: DataFrame, cut: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -189,12 +206,19 @@ def overlapping_pairs(df: DataFrame, id_col: str, keys: Sequence[str] = KEYS) ->
     return pairs.select(*keys, f"a_{id_col}", f"b_{id_col}", lo.alias("offset"), (hi - lo).alias("length"))
 
 
-def asof_before(left: DataFrame, right: DataFrame, tolerance: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``left`` (keys, offset, ...) with marker: the offset of the nearest right row at most ``tolerance`` before it, or at it."""
+def asof_before(left: DataFrame, right: DataFrame, tolerance: int, keys: Sequence[str] = KEYS, bin_bytes: int = BIN) -> DataFrame:
+    """``left`` (keys, offset, ...) with marker: the offset of the nearest right row at most ``tolerance`` before it, or at it.
+
+    Searched in bins, each of which gets the last marker of the bins before it.
+    """
     both = left.select(*keys, "offset").distinct().withColumn("__marker", F.lit(None).cast("long")).unionByName(right.select(*keys, "offset", F.col("offset").alias("__marker")).distinct())
-    w = Window.partitionBy(*keys).orderBy("offset", F.col("__marker").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("marker", F.last("__marker", ignorenulls=True).over(w))
-    hit = filled.where("__marker is null").where(F.col("offset") - F.col("marker") <= tolerance).select(*keys, "offset", "marker")
+    both = both.withColumns({"__bin": F.floor(F.col("offset") / bin_bytes), "__carried": F.lit(False)})
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "__bin").agg(F.max("__marker").alias("__marker")).withColumn("__marker", F.max("__marker").over(earlier))
+    carried = carried.where(F.col("__bin") * bin_bytes - F.col("__marker") <= tolerance).withColumns({"offset": F.col("__marker"), "__carried": F.lit(True)})
+    w = Window.partitionBy(*keys, "__bin").orderBy("offset", F.col("__marker").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.unionByName(carried).withColumn("marker", F.last("__marker", ignorenulls=True).over(w))
+    hit = filled.where("__marker is null and not __carried").where(F.col("offset") - F.col("marker") <= tolerance).select(*keys, "offset", "marker")
     return left.join(hit, [*keys, "offset"], "left")
 
 
@@ -203,8 +227,8 @@ def map_logical(ranges: DataFrame, segments: DataFrame, keys: Sequence[str] = KE
 
     ``ranges``: keys, range_id, offset, length in the stream; ``segments``: keys, seq, offset, length on disk.
     """
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    laid = _valid(segments).select(*keys, F.col("offset").alias("disk"), "length", "seq").withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
+    laid = _valid(segments).select(*keys, F.col("offset").alias("disk"), "length", "seq")
+    laid = running_sums(laid, keys, ["seq", "disk", "length"], {"__upto": F.col("length")}).withColumn("offset", F.col("__upto") - F.col("length")).drop("__upto")
     pairs = overlap_join(ranges, laid, keys)
     lo = F.greatest("a_offset", "b_offset")
     hi = F.least(F.col("a_offset") + F.col("a_length"), F.col("b_offset") + F.col("b_length"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import ranges as R
+from .prefix import running_sums
 
 #: Bytes of a probe at most, and of a scan chunk.
 PROBE, CHUNK = 256 * 1024, 1024 * 1024
@@ -73,12 +74,14 @@ def rank_hypotheses(df: DataFrame, k: int, key: str = "image_id") -> DataFrame:
 
 def budget_prefix(targets: DataFrame, keys: Sequence[str], order: Sequence[str], max_bytes: int, max_regions: int) -> DataFrame:
     """Targets in order up to the first that would break a bound; ``truncated`` tells whether there was one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = targets.withColumns({"bytes_upto": F.sum("length").over(upto), "place": F.row_number().over(w)})
-    rows = rows.withColumn("__over", (F.col("bytes_upto") > max_bytes) | (F.col("place") > max_regions))
-    rows = rows.withColumns({"__stop": F.max(F.when(F.col("__over"), 1).otherwise(0)).over(upto), "truncated": F.bool_or("__over").over(Window.partitionBy(*keys))})
-    return rows.where("__stop = 0").drop("__stop", "__over")
+    rows = running_sums(targets, keys, order, {"bytes_upto": F.col("length"), "place": F.lit(1)})
+    over = (F.col("bytes_upto") > max_bytes) | (F.col("place") > max_regions)
+    stops = rows.groupBy(*keys).agg(F.min(F.when(over, F.col("place"))).alias("__stop")).where("__stop is not null").select(*[F.col(k).alias(f"__{k}") for k in keys], "__stop")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    kept = rows.join(stops, same, "left").where(F.col("__stop").isNull() | (F.col("place") < F.col("__stop")))
+    return kept.withColumn("truncated", F.col("__stop").isNotNull()).drop("__stop", *[f"__{k}" for k in keys])
 
 
 def establish_order(fragments: DataFrame, key: str = "group_id") -> DataFrame:
