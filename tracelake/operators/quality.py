@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def diff_results(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Differences of two tables by key and column: (keys, path, left, right); values as text, a missing row as path '(row)'."""
-    columns = [c for c in a.columns if c not in keys]
+def _leaves(value: Column, kind: T.DataType, path: Column) -> Column:
+    """An array of (path, value as text) for each value inside ``value`` that holds no others; null and empty containers are such values."""
+    leaf = F.array(F.struct(path.alias("path"), F.to_json(F.struct(value.alias("v"))).alias("value")))
+    if isinstance(kind, T.StructType) and kind.fields:
+        inner = F.concat(*[_leaves(value.getField(f.name), f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+        return F.when(value.isNull(), leaf).otherwise(inner)
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(value, lambda v, i: _leaves(v, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+    elif isinstance(kind, T.MapType):
+        inner = F.transform(F.map_entries(value), lambda e: _leaves(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string"))))
+    else:
+        return leaf
+    return F.when(F.coalesce(F.size(value), F.lit(0)) <= 0, leaf).otherwise(F.flatten(inner))
 
-    def paths(df, side):
-        cells = F.array(*[F.struct(F.lit(c).alias("path"), F.to_json(F.struct(F.col(c).alias("v"))).alias(side)) for c in columns], F.struct(F.lit("(row)").alias("path"), F.lit("there").alias(side)))
-        return df.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
-    both = paths(a, "left").join(paths(b, "right"), [*keys, "path"], "full_outer")
-    rows = both.where(~F.col("left").eqNullSafe(F.col("right")))
-    lone = F.col("left").isNull() | F.col("right").isNull()
-    return rows.where(~lone | (F.col("path") == "(row)"))
+def diff_results(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Differences of two tables by key and path: (keys, path, left, right); values as JSON text, a missing row as path '(row)'.
+
+    Paths lead into structs, arrays and maps, as ``a.b[2].c``; a path that one side alone has is null on the other. Tables meet once,
+    by key, and only rows that differ are taken apart. Keys are unique in either table; rows with a null key meet no other.
+    """
+
+    def flat(df, side):
+        parts = [_leaves(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in df.schema.fields if f.name not in keys]
+        return df.select(*keys, (F.concat(*parts) if parts else F.array().cast("array<struct<path:string,value:string>>")).alias(side))
+
+    met = flat(a, "__a").join(flat(b, "__b"), list(keys), "full_outer")
+    there = [F.when(F.col(c).isNotNull(), "there").alias(n) for c, n in (("__a", "left"), ("__b", "right"))]
+    lone = met.where("__a is null or __b is null").select(*keys, F.lit("(row)").alias("path"), *there)
+    none = F.lit(None).cast("string")
+    cells = F.concat(
+        F.transform("__a", lambda e: F.struct(e["path"].alias("path"), e["value"].alias("left"), none.alias("right"))),
+        F.transform("__b", lambda e: F.struct(e["path"].alias("path"), none.alias("left"), e["value"].alias("right"))),
+    )
+    apart = met.where("__a <> __b").select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*").groupBy(*keys, "path").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    return apart.where(~F.col("left").eqNullSafe(F.col("right"))).unionByName(lone)
 
 
 def contract_checks(records: DataFrame, images: DataFrame) -> DataFrame:

@@ -92,6 +92,20 @@ def d14(spark, sf_dir):
     return Q.diff_results(a, b, ["p_partkey"])
 
 
+@query("d14_diff_nested", """WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+t AS (SELECT *, CASE WHEN l_orderkey % 13 = 0 AND l_linenumber % 2 = 1 THEN 'changed' ELSE l_returnflag END AS flag FROM l)
+SELECT l_orderkey, 'lines[' || i || '].state.flag' AS path, '{"v":"' || l_returnflag || '"}' AS "left", '{"v":"' || flag || '"}' AS "right" FROM t WHERE l_returnflag <> flag AND NOT (l_orderkey % 17 = 0 AND i = n - 1 AND n > 1) AND l_orderkey % 19 <> 0
+UNION ALL SELECT l_orderkey, unnest(['lines[' || i || '].number', 'lines[' || i || '].state.flag']), unnest(['{"v":' || l_linenumber || '}', '{"v":"' || l_returnflag || '"}']), NULL FROM t WHERE l_orderkey % 17 = 0 AND i = n - 1 AND n > 1 AND l_orderkey % 19 <> 0
+UNION ALL SELECT DISTINCT l_orderkey, '(row)', 'there', NULL FROM t WHERE l_orderkey % 19 = 0""")
+def d14_nested(spark, sf_dir):
+    """Orders with their lines as nested values: a changed flag, a last line that is gone where there are several, orders that are gone."""
+    line = F.struct(F.col("l_linenumber").alias("number"), F.struct(F.col("l_returnflag").alias("flag")).alias("state"))
+    a = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    changed = F.transform("lines", lambda e: e.withField("state.flag", F.when((F.col("l_orderkey") % 13 == 0) & (e["number"] % 2 == 1), "changed").otherwise(e["state"]["flag"])))
+    short = F.when((F.col("l_orderkey") % 17 == 0) & (F.size("lines") > 1), F.slice(changed, 1, F.size("lines") - 1)).otherwise(changed)
+    return Q.diff_results(a, a.where("l_orderkey % 19 <> 0").withColumn("lines", short), ["l_orderkey"])
+
+
 @query("d18_contract_checks", """WITH r AS (SELECT o_custkey % 10 AS image_id, o_orderkey // 2 AS record_id, o_orderkey * 100 AS "offset", CASE WHEN o_orderkey % 53 = 0 THEN 0 ELSE 100 END AS length, CASE WHEN o_orderkey % 71 = 0 THEN 0 ELSE epoch(o_orderdate)::BIGINT END AS start, o_orderkey * 100 - CASE WHEN o_orderkey % 83 = 0 THEN 1 ELSE 0 END AS po, 50 AS pl, o_orderstatus <> 'P' AS accessible FROM orders), i AS (SELECT image_id, max("offset") AS size_bytes FROM r GROUP BY image_id),
 x AS (SELECT 'region in bounds' AS "check", count(*) FILTER (NOT ("offset" >= 0 AND "offset" + length <= size_bytes)) AS failures FROM r JOIN i USING (image_id) UNION ALL SELECT 'region not empty', count(*) FILTER (length <= 0) FROM r UNION ALL SELECT 'no placeholder time', count(*) FILTER (start IN (0, 2147483647)) FROM r UNION ALL SELECT 'payload inside record', count(*) FILTER (po < "offset" OR po + pl > "offset" + length) FROM r UNION ALL SELECT 'one standing', (SELECT count(*) FROM (SELECT record_id FROM r GROUP BY record_id HAVING count(DISTINCT accessible) > 1))) SELECT *, CASE WHEN failures > 0 THEN 'FAIL' ELSE 'PASS' END AS state FROM x""")
 def d18(spark, sf_dir):

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import digests
 from ..operators import scan as S
+from ..operators.prefix import running_sums
+from ..sources.images import FileImages, TableImages
 from .q_decode import WINDOW, filled, on_files, pack
 from .registry import query
 from .views import table
@@ -97,3 +100,15 @@ def d13_images(spark, sf_dir):
     rules = spark.createDataFrame(rules, "vendor string, rule string, pattern binary, kind string, at long, stop long, step long, state string, weight double, exclusive boolean")
     most = spark.createDataFrame([("alpha", 1.0), ("beta", 1.0)], "vendor string, max_score double")
     return S.run_images(images(spark, sf_dir), rules, most, index(spark, sf_dir), scopes(spark, sf_dir), WINDOW, 8, min_bytes=100)[0]
+
+
+@query("d15_image_digests", """WITH d AS (SELECT doc_id, doc_id % 50 AS image_id, coalesce(text, '') AS text FROM documents), g AS (SELECT image_id, sum(octet_length(encode(text)))::BIGINT AS size_bytes, md5(string_agg(text, '' ORDER BY doc_id)) AS md5_again, sha256(string_agg(text, '' ORDER BY doc_id)) AS sha256_again FROM d GROUP BY image_id)
+SELECT image_id, size_bytes, md5_again, sha256_again, CASE WHEN image_id % 7 = 0 THEN 'MISMATCH' WHEN image_id % 11 = 0 THEN 'UNKNOWN' ELSE 'MATCH' END AS verdict FROM g WHERE size_bytes > 0""")
+def d15_images(spark, sf_dir):
+    """Documents one behind the other as images in files: digests of their windows as acquired, some damaged or lost since, against a second pass that seeks."""
+    own = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("image_id"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    laid = running_sums(own, ["image_id"], ["doc_id"], {"end": F.octet_length("data")})
+    files = FileImages.written(laid.where("length(data) > 0").select("image_id", (F.col("end") - F.octet_length("data")).alias("start"), "data"), 1 << 20)
+    first = digests.image_digests(TableImages(files.chunks(64), files.window))
+    acquired = first.select("image_id", F.when(F.col("image_id") % 7 == 0, F.md5(F.lit(""))).when(F.col("image_id") % 11 != 0, F.upper("md5")).alias("md5"), "sha256")
+    return digests.verify_images(acquired, files).select("image_id", "size_bytes", "md5_again", "sha256_again", "verdict")
