@@ -133,3 +133,22 @@ def test_long_and_deep_pages(spark):
     pages = [(1, "u", long, "x", "y", "z"), (2, "u", "", "x", "y", "z"), (2, "u", "", "x", "y", "z")]
     got = html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string, key string, gone string, text string"))
     assert got.columns == ["page_id", "url", "text"] and sorted((r.page_id, len(r.text)) for r in got.collect()) == [(1, 1_999_999), (2, 0), (2, 0)]
+
+
+def test_no_text_is_lost_to_quotes_formulas_or_teasers():
+    assert html_text.main_text("<article><p>one</p><p data-x=it's>two</p><p>three</p></article>") == "one\n\ntwo\n\nthree"
+    assert html_text.main_text("<p title = 'a > b'>one</p><p title=\"c > d\">two</p><p 'x>three</p><p a='>left open") == "one\n\ntwo\n\nthree"
+    assert html_text.main_text("Let <math><mi>x</mi><annotation>\\x</annotation></math> hold.") == "Let x hold."
+    assert html_text.main_text("<main><h1>Title</h1><article><p>body</p></article><p>more</p></main><p>out</p>") == "Title\n\nbody\n\nmore"
+    assert html_text.main_text("<article>teaser</article><p>the long text beside it</p>") == "teaser\n\nthe long text beside it"
+    assert html_text.main_text("<p>beside</p><article>the long text of the article</article>") == "the long text of the article"
+    assert html_text.main_text("<p a" + "='x" * 50_000) == "" and html_text.main_text("<p " + "= " * 50_000 + ">t") == "t"
+
+
+def test_template_decides_where_an_article_is_a_teaser(spark):
+    """Pages of one host share a menu as long as their article: what the template leaves is held by the article."""
+    menu = "<div><ul><li>" + "</li><li>".join(f"Section number {k}" for k in range(12)) + "</li></ul></div>"
+    pages = [(k, f"http://a.example/{k}", f"<body>{menu}<article><p>Story {k} " + f"word{k} " * 9 + "</p></article></body>") for k in range(12)]
+    assert not any(html_text.subtrees(p)[1] for _, _, p in pages)
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Story {k} " + " ".join([f"word{k}"] * 9) for k in range(12)}

@@ -7,8 +7,9 @@ two parses again and deletes the template's subtrees. No count can show text tha
 page, so elements that HTML itself sets apart (by tag or role), hidden ones, and those whose class or id is a plain word for adverts,
 comments and the like go by fixed rules. A form or an element so named stays if the page's article, or most of its text, stands in it.
 
-If a page has article elements (or else a main element), its text is what stands in them, and nothing inside them is taken for
-template; such a page isn't shuffled. Others are joined with their template's subtrees.
+If a page's article elements (or else its main elements) hold most of what rules and template leave, its text is what stands in them,
+and nothing inside them is taken for template. A page for which the rules alone tell so isn't shuffled; others are joined with their
+template's subtrees. An article that holds less, such as a teaser, decides nothing.
 
 Blocks end at block-level tags; inline tags and line breaks don't end them. Character references are decoded, white space
 in a block becomes one space, blocks are joined by an empty line.
@@ -37,7 +38,7 @@ from .common import apart, stored
 #: Pages of different text from which a subtree of a host is template, and the least share of the host's.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 #: Elements whose content is no text, parts of forms, elements that hold no article, and roles of such.
-RAW = frozenset("script style noscript template textarea title iframe svg math object head select datalist option".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation annotation-xml object head select datalist option".split())
 CONTROLS = frozenset("button label".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog header fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -49,7 +50,8 @@ MARKS = frozenset("ad ads advert adverts advertisement banner sponsored promo si
 COMMENTS = frozenset("comment comments comment-list disqus_thread replies".split())
 #: The elements that may be a template's; paragraphs, headings, items and cells go with one of these around them.
 CONTAINERS = frozenset("div section ul ol dl table figure details center address blockquote header fieldset".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Quotes hold a value only right behind an equals sign; elsewhere they are characters like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _BARE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|=|$)", re.I)
@@ -178,29 +180,35 @@ def _apply_rules(blocks: list[str], elements: list[Element]) -> None:
         e.goes = own or e.parent.goes
 
 
-def _scope(elements: list[Element]) -> str | None:
-    """The tag of the elements that hold the page's text, None if the page has no such."""
-    there = {e.tag for e in elements if not e.goes and e.last > e.first}
-    return next((tag for tag in ("article", "main") if tag in there), None)
-
-
 def _may_be_template(e: Element) -> bool:
     return e.tag in CONTAINERS and e.hash is not None and not (e.goes or e.main or e.has_main)
 
 
+def _scope(blocks: list[str], elements: list[Element], template: frozenset[int] = frozenset()) -> tuple[str | None, list[bool]]:
+    """The tag of the elements that hold most of the text that the fixed rules and the template leave, None if the page has no such; and the blocks that go."""
+    out = _covered((e for e in elements if e.goes or (e.hash in template and _may_be_template(e))), len(blocks))
+    total = sum(len(b) for b, o in zip(blocks, out, strict=True) if not o)
+    ruled = _covered((e for e in elements if e.goes), len(blocks))
+    for tag in ("article", "main"):
+        inside = _covered((e for e in elements if e.tag == tag and not e.goes), len(blocks))
+        if 2 * sum(len(b) for b, i, o in zip(blocks, inside, out, strict=True) if i and not o) > total:
+            return tag, [r or not i for r, i in zip(ruled, inside, strict=True)]
+    return None, out
+
+
 def subtrees(page: str | None) -> tuple[int, bool, list[int]]:
-    """The hash of the page, whether its article is marked, and the hashes of the subtrees that may be template."""
+    """The hash of the page, whether a marked article holds most of its text, and the hashes of the subtrees that may be template."""
     blocks, elements = parse(page)
-    return elements[0].hash or 0, _scope(elements) is not None, sorted({e.hash for e in elements if _may_be_template(e)})
+    return elements[0].hash or 0, _scope(blocks, elements)[0] is not None, sorted({e.hash for e in elements if _may_be_template(e)})
 
 
 def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The page's main text without unwanted elements and the subtrees in ``template``."""
+    """The page's main text without unwanted elements and the subtrees in ``template``.
+
+    Where articles, or else main elements, hold most of what these leave, the text is what stands in them, and the template takes nothing out of it.
+    """
     blocks, elements = parse(page)
-    tag = _scope(elements)
-    out = _covered((e for e in elements if e.goes or (tag is None and e.hash in template and _may_be_template(e))), len(blocks))
-    inside = _covered((e for e in elements if e.tag == tag and not e.goes), len(blocks)) if tag else [True] * len(blocks)
-    return "\n\n".join(b for b, i, o in zip(blocks, inside, out, strict=True) if i and not o)
+    return "\n\n".join(b for b, gone in zip(blocks, _scope(blocks, elements, template)[1], strict=True) if not gone)
 
 
 def _find_subtrees(batches):
