@@ -13,7 +13,7 @@ RECORDS = "image_id long, offset long, length long, accessible boolean"
 def frame(n, kind=0xFD, good=True, declared=None):
     body = b"y" * (n - 32)
     head = b"DHAV" + bytes([kind, 0, 2, 0]) + (7).to_bytes(4, "little") + (declared or n).to_bytes(4, "little") + ((24 << 26) | (5 << 22) | (10 << 17) | 5).to_bytes(4, "little") + bytes(4)
-    return head + body + (b"dhav" if good else b"nope") + n.to_bytes(4, "little")
+    return head + body + (b"dhav" if good else b"nope") + (n - 8).to_bytes(4, "little")
 
 
 def image(seed, n=40):

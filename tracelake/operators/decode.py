@@ -18,7 +18,7 @@ from .layouts import BLOCK_ENTRY, CLIP_SLOT, DIRECTORY_ENTRY, FRAME_ARRAY, FRAME
 
 #: The layouts of a boot record's slots and of a tagged frame.
 BOOT_SLOT = {"type": (4, 1), "start_lba": (8, 4), "sectors": (12, 4)}
-TAGGED_FRAME = {"type": (4, 1), "subtype": (5, 1), "raw_channel": (6, 2), "frame_number": (8, 4), "length": (12, 4), "packed_time": (16, 4)}
+TAGGED_FRAME = {"type": (4, 1), "subtype": (5, 1), "raw_channel": (6, 2), "frame_number": (8, 4), "length": (12, 4), "packed_time": (16, 4), "sub_time": (20, 2), "extra_length": (22, 1), "checksum": (23, 1)}
 #: Kinds of a tagged frame by its type byte.
 FRAME_KINDS = {0xFD: "video-key-frame", 0xFC: "video-delta-frame", 0xF0: "audio-frame", 0xF1: "info-frame"}
 
@@ -164,7 +164,7 @@ def _bytes_at(images: FileImages | TableImages, places: DataFrame, at: Column, l
 def tagged_frames(chunks: DataFrame | FileImages, window: int, tag: bytes = b"DHAV", trailer: bytes = b"dhav", header: int = 24, least: int = 32, longest: int = 64 << 20, hits: DataFrame | None = None) -> DataFrame:
     """Frames at each hit of the tag, for ``carve_frames``: the header's fields, and whether trailer and back-length agree.
 
-    A declared length out of bounds counts as none. With ``hits`` (image_id, offset) only those are decoded.
+    A declared length out of bounds counts as none. The trailer states how many bytes are ahead of it; ``back_length`` is the frame's length by that. With ``hits`` (image_id, offset) only those are decoded.
     """
     images = as_images(chunks, window)
     if hits is None:
@@ -177,7 +177,7 @@ def tagged_frames(chunks: DataFrame | FileImages, window: int, tag: bytes = b"DH
     rows = _bytes_at(images, rows, F.col("offset") + F.col("length") - n - 4, F.when(F.col("length") > 0, n + 4).otherwise(0), "tail")
     kinds = F.create_map(*[F.lit(x) for pair in FRAME_KINDS.items() for x in pair])
     kind = F.coalesce(F.try_element_at(kinds, F.col("type").cast("int")), F.concat(F.lit("unrecognised-type-0x"), F.lpad(F.hex("type"), 2, "0")))
-    return rows.withColumns({"kind": kind, "trailer_ok": F.coalesce(F.substring("tail", 1, n) == F.lit(trailer), F.lit(False)), "back_length": B.le_uint(F.col("tail"), n, 4)}).drop("tail")
+    return rows.withColumns({"kind": kind, "trailer_ok": F.coalesce(F.substring("tail", 1, n) == F.lit(trailer), F.lit(False)), "back_length": B.le_uint(F.col("tail"), n, 4) + n + 4}).drop("tail")
 
 
 def start_codes(chunks: DataFrame | FileImages, window: int, images: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,16 @@ def packed_date(data: Column, at: int, first_year: int, last_year: int) -> Colum
     return F.struct(F.when(state.isin("Valid", "Implausible"), time).alias("time"), state.alias("state"))
 
 
+def packed_date_of(value: Column, first_year: int, last_year: int) -> Column:
+    """As ``packed_date``, of the date's five bytes as one little-endian number; null is Truncated."""
+    bits = lambda at, n: F.shiftright(value, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    year, month, day, hour, minute, second = bits(0, 12), bits(12, 4), bits(16, 5), bits(21, 5), bits(26, 6), bits(32, 6)
+    good = month.between(1, 12) & (day >= 1) & (hour < 24) & (minute < 60) & (second < 60) & (year >= 1)
+    time = F.when(good, F.try_make_timestamp(year, month, day, hour, minute, second.cast("decimal(16,6)")))
+    state = F.when(value.isNull(), "Truncated").when(value == 0, "Empty").when(time.isNull(), "Invalid").when(~year.between(first_year, last_year), "Implausible").otherwise("Valid")
+    return F.struct(F.when(state.isin("Valid", "Implausible"), time).alias("time"), state.alias("state"))
+
+
 def judge(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     """``rows`` with the reason of the first rule that fails (a rule fails where its condition isn't true), null if all hold."""
     reason = F.lit(None).cast("string")
@@ -161,13 +171,14 @@ def assemble_report(images: DataFrame, **sections: DataFrame) -> DataFrame:
     return out
 
 
-def carve_frames(hits: DataFrame, most: int) -> DataFrame:
+def carve_frames(hits: DataFrame, most: int, rules: list[tuple[str, Column]] | None = None) -> DataFrame:
     """Tag hits (image_id, offset, length, owned_len, trailer_ok, back_length) as frames: the reason against, or kept by a greedy pass.
 
-    A kept frame hides hits inside of it ("inside a frame"); behind ``most`` frames of an image the rest is "over the cap".
+    A kept frame hides hits inside of it ("inside a frame"); behind ``most`` frames of an image the rest is "over the cap". ``rules``, as ``judge`` takes
+    them, stand instead of those on length, end, trailer and back-length.
     """
     end = F.col("offset") + F.col("length")
-    judged = judge(hits, [("no length", F.col("length") > 0), ("past end", end <= F.col("owned_len")), ("no trailer", F.col("trailer_ok")), ("back length", F.col("back_length") == F.col("length"))])
+    judged = judge(hits, rules or [("no length", F.col("length") > 0), ("past end", end <= F.col("owned_len")), ("no trailer", F.col("trailer_ok")), ("back length", F.col("back_length") == F.col("length"))])
     good = judged.where("rejected is null")
     w = Window.partitionBy("image_id").orderBy("offset")
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_decode, q_detect, q_graph, q_index, q_pipeline, q_quality, q_ranges, q_records, q_recovery, q_scan, q_sources, q_timeline  # noqa: F401
+from . import q_decode, q_detect, q_graph, q_headers, q_index, q_pipeline, q_quality, q_ranges, q_records, q_recovery, q_scan, q_sources, q_timeline  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 

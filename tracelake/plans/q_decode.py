@@ -115,7 +115,7 @@ def x10b(spark, sf_dir):
     k = F.col("o_orderkey")
     kind = F.when(k % 3 == 0, 0xFD).when(k % 3 == 1, 0xF0).otherwise(1)
     length = k % 70 + 32
-    frame = pack(b"DHAV", (kind, 1), (0, 1), (k % 8, 2), (k, 4), (length, 4), bytes(8), filled(k % 70), F.when(k % 11 == 0, F.lit(b"dhax")).otherwise(F.lit(b"dhav")), (F.when(k % 13 == 0, length + 1).otherwise(length), 4))
+    frame = pack(b"DHAV", (kind, 1), (0, 1), (k % 8, 2), (k, 4), (length, 4), bytes(8), filled(k % 70), F.when(k % 11 == 0, F.lit(b"dhax")).otherwise(F.lit(b"dhav")), (F.when(k % 13 == 0, length - 7).otherwise(length - 8), 4))
     data = F.concat(filled(k % 5), F.when(k % 17 == 0, F.expr("substring(f, 1, octet_length(f) - 3)")).otherwise(F.col("f")))
     images = table(spark, sf_dir, "orders").select(k.alias("image_id"), k, frame.alias("f")).select("image_id", data.alias("data"))
     return E.carve_frames(C.tagged_frames(on_files(images), WINDOW), 1000).select("image_id", "offset", "length", F.col("raw_channel").alias("channel"), "kind", "rejected")

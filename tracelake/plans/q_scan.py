@@ -25,7 +25,7 @@ def images(spark, sf_dir):
     def slot(i):
         x = k + i
         clock = F.lit((24 << 26) | (5 << 22) | (10 << 17) | (10 << 12) | (i << 6)) + k % 50 + 2
-        frame = pack(b"DHAV", (F.when(x % 11 == 0, 9).otherwise(0xFD), 1), bytes(1), (F.lit(i), 1), bytes(1), (k % 200 + 0x20202020, 4), (SLOT, 4), (clock, 4), bytes(4), filled(F.lit(32)), F.when(x % 7 == 0, F.lit(b"xxxx")).otherwise(F.lit(b"dhav")), (SLOT, 4))
+        frame = pack(b"DHAV", (F.when(x % 11 == 0, 9).otherwise(0xFD), 1), bytes(1), (F.lit(i), 1), bytes(1), (k % 200 + 0x20202020, 4), (SLOT, 4), (clock, 4), bytes(4), filled(F.lit(32)), F.when(x % 7 == 0, F.lit(b"xxxx")).otherwise(F.lit(b"dhav")), (SLOT - 8, 4))
         codes = pack(b"\0\0\1\x67\0\0\1\x68\0\0\1\x65\0\0\1\x61", filled(F.lit(48)))
         return F.when(x % 5 == 0, codes).otherwise(frame)
 
