@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..operators import containers as X
 from ..operators import frames as M
 from ..operators import headers as H
 from ..operators import units as U
@@ -103,3 +104,34 @@ def x19b(spark, sf_dir):
     data = F.when(F.col("image_id") % 13 == 0, F.expr("substring(data, 1, 5)")).when(F.col("image_id") % 17 == 0, F.expr("substring(data, 1, 138)")).otherwise(F.col("data"))
     found = H.decode_headers(on_files(rows.select("image_id", data.alias("data"))), WINDOW, _HEADER)
     return found.select("image_id", "header_offset", "recognition", "state", "problems", "video_start", "video_start_origin", "video_start_raw", "block_size", "blocks", "tree_offset", "backup_tree_offset_origin", "backup_tree_size")
+
+
+def containers(spark, sf_dir):
+    """A container for each row of part: a pack, an information part, video, junk, an unknown stream, audio that may be too long, and a system part."""
+    k = F.col("p_partkey")
+    be = lambda value, size: F.unhex(F.lpad(F.hex(value.cast("long")), 2 * size, "0"))
+    little = F.lit(b"\x80\0\0\xaa")
+    body = k % 40
+    data = F.concat(
+        F.lit(b"\0\0\1\xba" + b"\xaa" * 12), be(k, 4), F.lit(b"OFNI"), pack((k % 30, 4)), filled(k % 30),
+        F.lit(b"\0\0\1\xe0"), be(body + 3, 2), F.lit(b"\x80"), be(0xA000 + k % 5, 2), filled(body), filled(F.when(k % 3 == 0, 3).otherwise(0)),
+        F.when(k % 4 == 0, F.lit(b"\0\0\1\xf9\xaa\xaa\xaa\xaa")).otherwise(F.lit(b"")), F.lit(b"\0\0\1\xc0"), be(F.when(k % 7 == 0, 60000).otherwise(4), 2), little, F.lit(b"\0\0\1\xbb\0\4"), little)
+    images = on_files(table(spark, sf_dir, "part").select(k.alias("image_id"), data.alias("data")))
+    return images, images.sizes().select("image_id", F.lit(1).alias("region_id"), F.lit(0).alias("offset"), F.col("size_bytes").alias("length"))
+
+
+_WALK = """p AS (SELECT p_partkey AS k, p_partkey % 30 AS o, p_partkey % 40 AS b, 37 + p_partkey % 30 + p_partkey % 40 + CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END AS f FROM part), q AS (SELECT *, f + CASE WHEN k % 4 = 0 THEN 8 ELSE 0 END AS a FROM p),
+w AS (SELECT k, 0 AS "offset", 'pack' AS kind, 20 AS length, k AS serial, NULL AS payload_offset, NULL AS payload_length, NULL AS rejected FROM q UNION ALL SELECT k, 20, 'info', 8 + o, NULL, CASE WHEN o > 0 THEN 28 END, CASE WHEN o > 0 THEN o END, NULL FROM q
+UNION ALL SELECT k, 28 + o, 'video-0', CASE WHEN k % 5 < b THEN 9 + b END, NULL, CASE WHEN k % 5 < b THEN 28 + o + 9 + k % 5 END, CASE WHEN k % 5 < b THEN b - k % 5 END, CASE WHEN k % 5 >= b THEN 'payload outside' END FROM q
+UNION ALL SELECT k, f, NULL, NULL, NULL, NULL, NULL, 'unknown stream' FROM q WHERE k % 4 = 0 UNION ALL SELECT k, a, 'audio', CASE WHEN k % 7 > 0 THEN 10 END, NULL, CASE WHEN k % 7 > 0 THEN a + 9 END, CASE WHEN k % 7 > 0 THEN 1 END, CASE WHEN k % 7 = 0 THEN 'beyond region' END FROM q UNION ALL SELECT k, a + 10, 'system', 10, NULL, a + 19, 1, NULL FROM q),
+x AS (SELECT *, "offset" - coalesce(lag("offset" + coalesce(length, 0)) OVER (PARTITION BY k ORDER BY "offset"), 0) AS skipped FROM w)"""
+
+
+@query("x11_walk_containers", f"""WITH {_WALK} SELECT k AS image_id, "offset", kind, length::BIGINT AS length, serial, payload_offset::BIGINT AS payload_offset, payload_length::BIGINT AS payload_length, rejected, skipped FROM x""")
+def x11b(spark, sf_dir):
+    return X.walk_containers(*containers(spark, sf_dir), WINDOW).drop("region_id")
+
+
+@query("x11_contiguous", f"""WITH {_WALK}, y AS (SELECT *, count(*) FILTER (rejected IS NOT NULL OR skipped > 0) OVER (PARTITION BY k ORDER BY "offset" ROWS UNBOUNDED PRECEDING) AS broken FROM x) SELECT k AS image_id, "offset", kind, length::BIGINT AS length FROM y WHERE broken = 0""")
+def x11c(spark, sf_dir):
+    return X.walk_containers(*containers(spark, sf_dir), WINDOW, resync=False).select("image_id", "offset", "kind", "length")
