@@ -67,6 +67,18 @@ def test_language_of_long_texts_ties_and_repeats(spark, monkeypatch):
     assert got == [(1, "aa"), (2, "en"), (2, "en"), (3, "en")]
 
 
+def test_language_sample_is_bound(spark):
+    """Equal rows are cut like any others, languages of few rows are whole, and the sample doesn't hang on partitions."""
+    rows = [("en", "one text")] * 20_000 + [("de", f"satz {k}") for k in range(3000)] + [("fr", f"mot {k}") for k in range(9)] + [("", "x"), (None, "y"), ("en", None), ("it", "z" * 50)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    picked, langs = lang_id.pick(docs.repartition(7), rows=700, longest=40)
+    assert langs == ["de", "en", "fr"]
+    assert {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()} == {"en": 700, "de": 700, "fr": 9}
+    texts = lambda df: sorted((r.lang, r.text) for r in df.collect())
+    assert texts(picked) == texts(lang_id.pick(docs.coalesce(1), rows=700, longest=40)[0])
+    assert lang_id.pick(docs.limit(0))[0].count() == 0 and lang_id.fit(docs.limit(0)) is None
+
+
 def test_lines_near_the_threshold(spark):
     """Counts by brute force in and around the sketch's band, with null sites and a long text."""
     docs = [(100 * n + k, f"line {n}\nown {n} {k}", "en", f"s{k}", 0, "x", "y", "z") for n in (8, 9, 10, 11, 12, 40) for k in range(n)]

@@ -24,13 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Longest context in bytes.
 ORDER = 4
-#: The sample's bounds: expected rows of each language, and the longest text (in characters) that is learnt from.
+#: The sample's bounds: most rows of each language, and the longest text (in characters) that is learnt from.
 ROWS_PER_LANGUAGE, LONGEST = 700, 20_000
 #: Bytes that are scored at once.
 CHUNK = 1 << 18
+#: Bits of a draw.
+DRAW_BITS = 48
 UNKNOWN = "und"
 
 
@@ -174,20 +177,26 @@ def _build(langs: list[str], counts: pd.DataFrame) -> Model:
     return Model(langs, grams, [b.astype(np.float32) for b in bits], contexts, [e.astype(np.float32) for e in escapes])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST) -> Model | None:
-    """The frozen trees of the languages in ``labelled``, None if it has no language.
+def pick(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST) -> tuple[DataFrame, list[str]]:
+    """The sample and its languages: (lang, text) of the ``rows`` rows of each language with the smallest hashes of their text, of all if there are fewer.
 
-    Learns from about ``rows`` rows of each language, picked by a hash of the text, none longer than ``longest`` characters.
+    Texts longer than ``longest`` characters, null and empty ones, and those of no language aren't picked. Equal texts have one hash; the bound cuts them too.
     """
     usable = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and lang <> '' and text is not null").where(F.char_length("text").between(1, longest))
-    usable = usable.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1_000_000)))
-    there = {r["lang"]: r for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()}
-    if not there:
+    usable = usable.withColumn("draw", F.shiftrightunsigned(F.xxhash64("text"), 64 - DRAW_BITS))
+    there = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()
+    # twice the rows by expectation, so that hardly more than the sample is ranked; at least the smallest draw, so that a language of few texts isn't lost
+    share = {r["lang"]: max(r["least"] + 1, min(1 << DRAW_BITS, (2 * rows + 100 << DRAW_BITS) // r["n"])) for r in there}
+    most = F.create_map(*[x for lang, at in share.items() for x in (F.lit(lang), F.lit(at).cast("long"))]) if share else F.lit(None).cast("map<string,bigint>")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    return usable.where(F.col("draw") < most[F.col("lang")]).withColumn("place", place).where(F.col("place") <= rows).select("lang", "text"), sorted(share)
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST) -> Model | None:
+    """The frozen trees of the languages in ``labelled``, None if it has no language. Learns from the rows that ``pick`` picks."""
+    sample, langs = pick(labelled, text_col, lang_col, rows, longest)
+    if not langs:
         return None
-    # at least the rows of the smallest draw, so that a language whose rows share few texts isn't lost
-    share = F.create_map(*[F.lit(x) for lang, r in there.items() for x in (lang, max(r["least"] + 1, min(1_000_000, round(1_000_000 * rows / r["n"]))))])
-    sample = usable.where(F.col("draw") < share[F.col("lang")])
-    langs = sorted(there)
     number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)])
     counts = sample.withColumn("lang", number[F.col("lang")]).mapInPandas(_count, "lang int, depth int, gram long, n long").groupBy("lang", "depth", "gram").agg(F.sum("n").cast("int").alias("n"))
     counts = counts.toArrow().to_pandas()
