@@ -141,14 +141,14 @@ def p12(spark, sf_dir):
 
 def _packed(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
-    data = F.concat(B.le_bytes(k, 4), B.le_bytes(s, 2), B.le_bytes(k * 40503 - 5000000, 4), B.le_bytes(k * 1000003, 6))
+    data = F.concat(B.le_bytes(k, 4), B.le_bytes(s, 2), B.le_bytes(k * 40503 - 5000000, 7), B.le_bytes(k * 1000003, 6))
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", data.alias("data"))
 
 
 @query("p10_le_fields", "SELECT p_partkey, p_partkey AS u32, p_size::BIGINT AS u16, p_partkey * 40503 - 5000000 AS i32, p_partkey * 1000003 AS u48, (p_partkey & 255)::INTEGER AS first_byte, NULL::BIGINT AS beyond FROM part")
 def p10(spark, sf_dir):
     d = F.col("data")
-    return _packed(spark, sf_dir).select("p_partkey", B.le_uint(d, 0, 4).alias("u32"), B.le_uint(d, 4, 2).alias("u16"), B.le_int(d, 6, 4).alias("i32"), B.le_uint(d, 10, 6).alias("u48"), B.byte_at(d, 0).alias("first_byte"), B.le_uint(d, 14, 4).alias("beyond"))
+    return _packed(spark, sf_dir).select("p_partkey", B.le_uint(d, 0, 4).alias("u32"), B.le_uint(d, 4, 2).alias("u16"), B.le_int(d, 6, 7).alias("i32"), B.le_uint(d, 13, 6).alias("u48"), B.byte_at(d, 0).alias("first_byte"), B.le_uint(d, 17, 4).alias("beyond"))
 
 
 @query("p09_channels", "SELECT p_partkey, (p_partkey & 255) + 1 AS zero_based, CASE WHEN p_size % 2 = 0 THEN p_partkey & 255 ELSE p_partkey & 15 END AS flagged, CASE WHEN p_size BETWEEN 0 AND 31 THEN p_size + 1 END AS bounded FROM part")
