@@ -13,13 +13,22 @@ def byte_at(data: Column, at) -> Column:
     return F.when((at >= 0) & (at < F.octet_length(data)), F.conv(one, 16, 10).cast("int"))
 
 
+def halves_exchanged(value: Column) -> Column:
+    """A long with the two hex digits of each byte exchanged, as they are in hex that is read backwards."""
+    low = F.lit(0x0F0F0F0F0F0F0F0F)
+    return F.shiftleft(value.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(value, 4).bitwiseAND(low))
+
+
+def le_long(data: Column) -> Column:
+    """All bytes, eight at most, as a little-endian number; of eight as a two's complement long. Null without bytes."""
+    return halves_exchanged(F.conv(F.reverse(F.hex(data)), 16, -10).cast("long"))
+
+
 def le_uint(data: Column, at, size: int) -> Column:
     """A little-endian unsigned number of up to 7 bytes as a long; null if it doesn't fit."""
     at = at if isinstance(at, Column) else F.lit(at)
-    total = byte_at(data, at).cast("long")
-    for k in range(1, size):
-        total = total + F.shiftleft(byte_at(data, at + k).cast("long"), 8 * k)
-    return total
+    there = F.when((at >= 0) & (at + size <= F.octet_length(data)), F.substring(data, (at + 1).cast("int"), F.lit(size)))
+    return le_long(there)
 
 
 def le_int(data: Column, at, size: int) -> Column:
@@ -30,7 +39,8 @@ def le_int(data: Column, at, size: int) -> Column:
 
 def le_bytes(value: Column, size: int) -> Column:
     """A number as ``size`` little-endian bytes, two's complement."""
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(value.cast("long"), 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)]))
+    digits = F.reverse(F.lpad(F.hex(halves_exchanged(value.cast("long"))), 16, "0"))
+    return F.unhex(F.substring(digits, 1, 2 * size))
 
 
 def channel_zero_based(value: Column) -> Column:

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fields as B
+
 Place = tuple[int, int] | tuple[int, int, str]
 
 
@@ -50,19 +52,16 @@ DIRECTORY_ENTRY = Layout(
 
 
 def backwards(data: Column) -> Column:
-    """The bytes in hex, last one first, so that a little-endian number is one stretch of it."""
-    return F.array_join(F.reverse(F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))), "")
+    """The bytes in hex from the last digit to the first, so that a little-endian number is one stretch of it, with the halves of each byte exchanged."""
+    return F.reverse(F.hex(data))
 
 
 def number(back: Column, at: Column, width: Column, signed: Column) -> Column:
     """The number of ``width`` bytes at a place of bytes that are given ``backwards``; of eight bytes as a two's complement long, whatever ``signed`` says. Null where a byte is missing."""
     begin = F.char_length(back) - 2 * (at + width)
-    digits = F.conv(F.substring(back, begin + 1, 2 * width), 16, 10)
-    wide = digits.cast("decimal(20,0)")
-    below = F.when(wide >= F.lit(str(1 << 63)).cast("decimal(20,0)"), wide - F.lit(BEYOND).cast("decimal(20,0)")).otherwise(wide).cast("long")
-    above = F.call_function("shiftleft", F.lit(1).cast("long"), 8 * width)
-    value = F.when(width >= 8, below).otherwise(digits.cast("long"))
-    return F.when((at >= 0) & (begin >= 0), F.when(signed & (width < 8) & (value >= F.shiftright(above, 1)), value - above).otherwise(value))
+    value = B.halves_exchanged(F.conv(F.when((at >= 0) & (begin >= 0), F.substring(back, begin + 1, 2 * width)), 16, -10).cast("long"))
+    free = F.when(signed & (width < 8), 64 - 8 * width).otherwise(0)
+    return F.call_function("shiftright", F.call_function("shiftleft", value, free), free)
 
 
 #: The first number that 64 bits don't hold.
@@ -75,8 +74,15 @@ def unsigned(value: Column) -> Column:
     return F.when(value < 0, (exact + F.lit(BEYOND).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(exact)
 
 
-def _static(places: dict[str, Place], back: Column) -> dict[str, Column]:
-    return {name: number(back, F.lit(at), F.lit(width), F.lit(bool(sign))) for name, (at, width, *sign) in places.items()}
+def _static(places: dict[str, Place], data: Column, begin: Column) -> dict[str, Column]:
+    """The fields at their own places, each out of its own few bytes, as filters on them may make them again."""
+    found = {}
+    for name, (at, width, *sign) in places.items():
+        first = begin + at
+        value = B.le_long(F.when(first + width <= F.octet_length(data), F.substring(data, first.cast("int") + 1, F.lit(width))))
+        free = 64 - 8 * width if sign else 0
+        found[name] = F.shiftright(F.shiftleft(value, free), free) if free else value
+    return found
 
 
 def _said(layout: Layout, key: str) -> Column:
@@ -111,12 +117,12 @@ def _sizes(rows: DataFrame, layout: Layout) -> tuple[Column, Column, Column]:
 
 def read_head(rows: DataFrame, layout: Layout) -> DataFrame:
     """``rows`` with the header's fields of their ``data``, each as head_<field>."""
-    rows = rows.withColumn("__back", backwards(F.substring("data", F.lit(1), _sizes(rows, layout)[0].cast("int"))))
     if "layout" in rows.columns:
-        rows = rows.withColumn("__spots", _spots(layout, layout.head))
+        head = F.substring("data", F.lit(1), _sizes(rows, layout)[0].cast("int"))
+        rows = rows.withColumns({"__back": backwards(head), "__spots": _spots(layout, layout.head)})
         found = _moved(layout.head, F.col("__back"), F.col("__spots"))
     else:
-        found = _static(layout.head, F.col("__back"))
+        found = _static(layout.head, F.col("data"), F.lit(0))
     return rows.withColumns({f"head_{n}": c for n, c in found.items()}).drop("__back", "__spots")
 
 
@@ -137,7 +143,10 @@ def explode_entries(rows: DataFrame, layout: Layout, count: Column, begin: Colum
     rows = rows.withColumn("__n", F.least("__count", "__room")).where(F.col("__n") > 0)
     rows = rows.withColumns({"truncated": F.col("__count") > F.col("__room"), "entry": F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))})
     rows = rows.withColumn("entry_at", F.col("__begin") + F.col("entry") * F.col("entry_size"))
-    rows = rows.withColumn("__back", backwards(F.substring("data", F.col("entry_at").cast("int") + 1, F.col("entry_size").cast("int"))))
-    back = F.col("__back")
-    found = _moved(layout.fields, back, F.col("__spots")) if by_profile else _static(layout.fields, back)
-    return rows.withColumns({"blank": ~back.rlike("[1-9A-F]"), **found}).drop("data", "layout", "__begin", "__count", "__room", "__n", "__spots", "__back")
+    own = F.substring("data", F.col("entry_at").cast("int") + 1, F.col("entry_size").cast("int"))
+    if by_profile:
+        rows = rows.withColumn("__back", backwards(own))
+        found = _moved(layout.fields, F.col("__back"), F.col("__spots"))
+    else:
+        found = _static(layout.fields, F.col("data"), F.col("entry_at"))
+    return rows.withColumns({"blank": ~F.hex(own).rlike("[1-9A-F]"), **found}).drop("data", "layout", "__begin", "__count", "__room", "__n", "__spots", "__back")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as B
 from ..operators import decode as C
+from ..operators import ranges as R
 from ..operators import records as E
 from ..sources.images import FileImages
 from .registry import query
@@ -24,6 +25,22 @@ def filled(n, byte="78"):
     return F.unhex(F.repeat(F.lit(byte), n.cast("int")))
 
 
+def packed(n, part):
+    """``part(i)`` for i from 0 to below ``n``, one behind the other: one expression for all, so that the code stays small enough to be compiled."""
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.hex(part(i))), ""))
+
+
+def made(data):
+    """Bytes that are packed once, like bytes that are read: what isn't deterministic is not packed again for each filter over it, nor ahead of an exchange."""
+    return F.when(F.spark_partition_id() >= 0, data)
+
+
+def dealt(spark, sf_dir, name):
+    """Rows of a table dealt out by their key over all tasks, as a row makes many times the bytes that it has."""
+    rows = table(spark, sf_dir, name)
+    return R.dealt(rows, rows.columns[0])
+
+
 def on_files(rows, window=WINDOW):
     """Images (image_id, data, maybe start for pieces) in files, to be read in windows."""
     start = F.col("start") if "start" in rows.columns else F.lit(0)
@@ -87,8 +104,8 @@ def x07b(spark, sf_dir):
         last = F.when(x % 17 == 0, 4096).when(x % 19 == 0, 2_000_000).otherwise(8192)
         return pack(bytes(13), (F.when(x % 7 == 0, 200).otherwise(x % 16), 1), bytes(26), (F.when(x % 20 == 0, at).otherwise(0), 4), bytes(4), (end, 4), bytes(4), (F.when(x % 10 == 0, 0).otherwise(at), 4), bytes(12), (4096, 4), (last, 4), bytes(432))
 
-    data = pack(bytes(13), (F.when(k % 9 == 0, 255).otherwise(0), 1), bytes(6), (n % 6, 2), bytes(490), *map(slot, range(4)))
-    slots = C.footer_slots(table(spark, sf_dir, "part").select(k.alias("block_id"), data.alias("data")))
+    data = pack(bytes(13), (F.when(k % 9 == 0, 255).otherwise(0), 1), bytes(6), (n % 6, 2), bytes(490), packed(4, slot))
+    slots = C.footer_slots(dealt(spark, sf_dir, "part").select(k.alias("block_id"), made(data).alias("data")))
     return E.clip_slots(slots, 1 << 20).select("block_id", F.col("entry").alias("slot"), "rejected", "start", "from_fallback")
 
 
