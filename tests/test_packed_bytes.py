@@ -12,7 +12,7 @@ from tracelake.operators import layouts
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["x07_footer_slots"])
+@pytest.mark.parametrize("name", ["x06_leaf_entries", "x07_footer_slots"])
 def test_bytes_are_packed_once_behind_the_exchange(spark, name):
     df = __spark_entry__.queries()[name](spark, SF_DIR)
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()

@@ -86,8 +86,8 @@ def x06b(spark, sf_dir):
         sentinel = F.when(x % 5 == 0, -1).when(x % 7 == 0, 77).otherwise(0)
         return pack((F.when(x % 11 == 0, k + 1).otherwise(k), 8), (sentinel, 8), bytes(1), (i, 1), bytes(6), (1_700_000_000, 4), (F.when(x % 13 == 0, 1_600_000_000).otherwise(1_700_000_060), 4), (k * 4096 + i, 8), bytes(8))
 
-    data = pack(bytes(16), (n, 4), bytes(76), *map(entry, range(10)))
-    pages = table(spark, sf_dir, "part").select(k.alias("page_id"), k.alias("page_offset"), data.alias("data"))
+    data = pack(bytes(16), (n, 4), bytes(76), packed(10, entry))
+    pages = dealt(spark, sf_dir, "part").select(k.alias("page_id"), k.alias("page_offset"), made(data).alias("data"))
     return C.leaf_entries(pages).select("page_id", "entry", "state", "data_offset", "channel", "start", "notes", "truncated")
 
 
