@@ -43,3 +43,36 @@ def test_numbers_of_each_width(spark):
         assert row.f8 == row.s8 == v and row.blank == (v == 0)
         for n in range(1, 8):
             assert row[f"f{n}"] == int.from_bytes(raw[8 - n :], "little") and row[f"s{n}"] == int.from_bytes(raw[8 - n :], "little", signed=True)
+
+
+def test_windows_side_by_side_are_read_at_once(spark, monkeypatch):
+    """One read for the windows of an image, several only around a hole; the same windows as before."""
+    from tracelake.sources import images
+
+    whole = [(i, 0, bytearray(bytes(range(200)))) for i in range(3)]
+    cut = [(7, 0, bytearray(b"a" * 40)), (7, 50, bytearray(b"b" * 50)), (8, 0, None)]
+    files = images.FileImages.written(spark.createDataFrame(whole + cut, "image_id long, start long, data binary"), 16)
+    got = {(r.image_id, r.base_offset): (r.owned_len, r.data and bytes(r.data)) for r in files.chunks(3).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 7} == {(i, b): (min(16, 200 - b), bytes(range(b, min(b + 19, 200)))) for i in range(3) for b in range(0, 200, 16)}
+    assert [got[7, b][1] and len(got[7, b][1]) for b in range(0, 100, 16)] == [19, 19, None, None, 19, 19, 4]
+    assert sorted((r.image_id, r.size_bytes) for r in files.sizes().collect()) == [(0, 200), (1, 200), (2, 200), (7, 100)]
+    touching = spark.createDataFrame([(0, 20, 30), (0, 40, 1), (0, 190, 50), (1, 500, 9)], "image_id long, offset long, length long")
+    assert sorted((r.image_id, r.base_offset) for r in files.chunks(3, touching).collect()) == [(0, 16), (0, 32), (0, 48), (0, 176), (0, 192)]
+    joined = sorted((r.image_id, r.base_offset, r.owned_len, bytes(r.data)) for r in files.chunks(3, touching, joined=True).collect())
+    assert b"".join(d[:n] for _, _, n, d in joined) == bytes(range(16, 64)) + bytes(range(176, 200))
+    reads, own = [], images._Files.read
+    monkeypatch.setattr(images._Files, "read", lambda self, *a: reads.append(a) or own(self, *a))
+    path = files.catalog.where("image_id = 1").first()
+    found = list(images._Files().windows([(0, 200, path.path, path.at)], 200, 16, 3, 0, 12, False))
+    assert len(found) == 13 and len(reads) == 1
+    assert [x[:2] for x in images._Files().windows([(0, 200, path.path, path.at)], 200, 16, 3, 0, 12, True)] == [(0, 200)]
+
+
+def test_sums_come_back_by_broadcast(spark):
+    """Rows aren't dealt out again to meet the sums of earlier ranges."""
+    from tracelake.operators.prefix import running_sums
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id", F.lit(1).alias("one"))
+    df = running_sums(rows, ["k"], ["id"], {"n": F.col("one")})
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+    assert all(r.n == r.id // 3 + 1 for r in df.collect())

@@ -46,7 +46,7 @@ def find_in_images(images: FileImages | TableImages, needle: bytes, touching: Da
     Of a table of windows all are searched, and bytes that its windows don't hold are read by region.
     """
     if isinstance(images, FileImages):
-        return find_pattern(images.chunks(max(len(needle) - 1, sum(follow or (0,))), touching), needle, follow=follow)
+        return find_pattern(images.chunks(max(len(needle) - 1, sum(follow or (0,))), touching, joined=True), needle, follow=follow)
     hits = find_pattern(images.chunks(), needle)
     if follow is None:
         return hits
@@ -79,7 +79,7 @@ def evaluate_rules(chunks: DataFrame | FileImages, rules: DataFrame, window: int
     if isinstance(images, FileImages):
         sizes = images.sizes()
         head = sizes.select("image_id", F.lit(0).cast("long").alias("offset"), F.least("size_bytes", F.lit(max((x[3] for x in looked), default=-1) + 1)).alias("length"))
-        rows = images.chunks(max(longest - 1, 0), touching=head)
+        rows = images.chunks(max(longest - 1, 0), touching=head, joined=True)
     else:
         rows = images.chunks().select("image_id", "base_offset", "owned_len", "data")
     if longest > overlap + 1 and sizes is None:

@@ -52,7 +52,7 @@ def _of_files(images: FileImages, regions: DataFrame) -> DataFrame:
             found = _Running((row["image_id"], row["region_id"]))
             for at in range(row["offset"], row["offset"] + row["length"], BATCH):
                 wanted = min(BATCH, row["offset"] + row["length"] - at)
-                found.take(files.region([e for e in row["__extents"] if e["start"] < at + wanted and e["start"] + e["size"] > at], at, wanted)[0], wanted)
+                found.take(files.region([tuple(e[n] for n in ("start", "size", "path", "at")) for e in row["__extents"] if e["start"] < at + wanted and e["start"] + e["size"] > at], at, wanted)[0], wanted)
                 if not found.whole:
                     break
             yield _made([found.row(row["length"])])

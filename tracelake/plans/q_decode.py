@@ -54,8 +54,8 @@ def x03b(spark, sf_dir):
     k = F.col("o_orderkey")
     far = F.when(k % 5 == 0, 500).otherwise(k % 90 + 12)
     data = pack((k % 90 + 12, 6), (far, 6), filled(k % 90), F.when(k % 4 > 0, F.lit(b"MAGIC")).otherwise(F.lit(b"magic")), bytes(200))
-    chunks = on_files(table(spark, sf_dir, "orders").select(k.alias("image_id"), F.substring(data, 1, 200).alias("data")))
-    hits = table(spark, sf_dir, "orders").select(k.alias("image_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("hit_id")).select("image_id", "hit_id", ((F.col("hit_id") - 1) * 6).cast("long").alias("offset"), F.lit(0.5).alias("weight"))
+    chunks = on_files(dealt(spark, sf_dir, "orders").select(k.alias("image_id"), F.substring(data, 1, 200).alias("data")))
+    hits = dealt(spark, sf_dir, "orders").select(k.alias("image_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("hit_id")).select("image_id", "hit_id", ((F.col("hit_id") - 1) * 6).cast("long").alias("offset"), F.lit(0.5).alias("weight"))
     return C.read_pointers(hits, chunks, b"MAGIC", WINDOW)
 
 
@@ -134,7 +134,7 @@ def x10b(spark, sf_dir):
     length = k % 70 + 32
     frame = pack(b"DHAV", (kind, 1), (0, 1), (k % 8, 2), (k, 4), (length, 4), bytes(8), filled(k % 70), F.when(k % 11 == 0, F.lit(b"dhax")).otherwise(F.lit(b"dhav")), (F.when(k % 13 == 0, length - 7).otherwise(length - 8), 4))
     data = F.concat(filled(k % 5), F.when(k % 17 == 0, F.expr("substring(f, 1, octet_length(f) - 3)")).otherwise(F.col("f")))
-    images = table(spark, sf_dir, "orders").select(k.alias("image_id"), k, frame.alias("f")).select("image_id", data.alias("data"))
+    images = dealt(spark, sf_dir, "orders").select(k.alias("image_id"), k, frame.alias("f")).select("image_id", data.alias("data"))
     return E.carve_frames(C.tagged_frames(on_files(images), WINDOW), 1000).select("image_id", "offset", "length", F.col("raw_channel").alias("channel"), "kind", "rejected")
 
 
@@ -145,7 +145,7 @@ def x13b(spark, sf_dir):
     first, rest = F.when(k % 2 == 0, F.lit("67")).otherwise(F.lit("40")), F.when(k % 2 == 0, F.lit("65")).otherwise(F.lit("26"))
     fill = F.lit("AAAAAAAAAAAA")
     data = F.unhex(F.concat(F.lit("000001"), first, fill, F.repeat(F.concat(F.lit("000001"), rest, fill), (k % 9).cast("int"))))
-    return C.carve_streams(on_files(table(spark, sf_dir, "part").select(k.alias("image_id"), data.alias("data"))), WINDOW)
+    return C.carve_streams(on_files(dealt(spark, sf_dir, "part").select(k.alias("image_id"), data.alias("data"))), WINDOW)
 
 
 @query("x16_decoded_records", """SELECT o_orderkey AS image_id, o_orderkey % 100 AS "offset", (o_orderkey % 16)::INTEGER AS channel, o_orderkey * 4294967296 + 7 AS time, CASE WHEN o_orderkey % 3 > 0 THEN 'H.265' END AS codec, o_custkey AS frames, 'cam ' || o_orderkey AS description FROM orders WHERE o_orderkey % 10 > 0""")
@@ -156,7 +156,7 @@ def x16b(spark, sf_dir):
     name = F.substring(F.concat(F.concat(F.lit("cam "), k.cast("string")).cast("binary"), F.lit(bytes(16))), 1, 16)
     record = pack(b"TPREC\1\0", (k % 16, 1), (F.lit(7), 4), (k, 4), codec, bytes(8), (F.col("o_custkey"), 4), bytes(4), name)
     data = F.concat(filled(k % 100), F.when(k % 10 == 0, F.substring(F.col("r"), 1, 60)).otherwise(F.col("r")))
-    images = table(spark, sf_dir, "orders").select(k.alias("image_id"), k, record.alias("r")).select("image_id", data.alias("data"))
+    images = dealt(spark, sf_dir, "orders").select(k.alias("image_id"), k, record.alias("r")).select("image_id", data.alias("data"))
     return C.stream_records(on_files(images), WINDOW).withColumn("time", F.col("time").cast("long"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from .scratch import checkpointed, shared_path
+from .scratch import shared_path, stored
 
 
-#: Bytes that a task reads at least, if there are as many; bytes of regions that are handed on at once.
-TASK, BATCH = 256 << 20, 32 << 20
+#: Bytes that a task reads at least, if there are as many; bytes of regions that are handed on at once; bytes of windows side by side that are read at once.
+TASK, BATCH, RUN = 256 << 20, 32 << 20, 1 << 20
+#: Files that a task keeps open, and windows that are handed on at once.
+OPEN, ROWS = 256, 50_000
 CATALOG = "image_id long, start long, size long, path string, at long"
 
 
@@ -54,29 +57,43 @@ class _Files:
         """The bytes at a place, short at the file's end; None if they can't be read."""
         try:
             if path not in self.opened:
-                if len(self.opened) >= 64:
-                    self.close()
+                if len(self.opened) >= OPEN:
+                    self.opened.pop(next(iter(self.opened))).close()
                 system, inner = _file_system(path)
                 self.opened[path] = system.open_input_file(inner)
             return self.opened[path].read_at(length, at)
         except OSError:
             return None
 
-    def region(self, extents: list[dict], offset: int, length: int) -> tuple[bytes, bool]:
-        """The bytes of a region out of the extents that it touches, in order, up to the first that is missing; whether none is."""
+    def region(self, extents: list[tuple], offset: int, length: int) -> tuple[bytes, bool]:
+        """The bytes of a region out of the extents (start, size, path, at) that it touches, in order, up to the first that is missing; whether none is."""
         parts, at, end = [], offset, offset + length
-        for e in extents:
-            if e["start"] > at:
+        for start, size, path, place in extents:
+            if start > at:
                 break
-            if e["start"] + e["size"] <= at:
+            if start + size <= at:
                 continue
-            want = min(end, e["start"] + e["size"]) - at
-            got = self.read(e["path"], e["at"] + at - e["start"], want)
+            want = min(end, start + size) - at
+            got = self.read(path, place + at - start, want)
             parts.append(got or b"")
             at += len(parts[-1])
             if got is None or len(got) < want or at >= end:
                 break
-        return b"".join(parts), at >= end
+        return parts[0] if len(parts) == 1 else b"".join(parts), at >= end
+
+    def windows(self, extents: list[tuple], size: int, window: int, overlap: int, first: int, last: int, joined: bool):
+        """(base, owned length, bytes) of the windows ``first`` to ``last`` of an image of ``size`` bytes, read at once and, if ``joined``, as one where none of their bytes is missing; None for a window that can't be read."""
+        base, end = first * window, min((last + 1) * window, size)
+        data, _ = self.region(extents, base, end - base + overlap)
+        whole = len(data) >= end - base
+        if whole and joined:
+            yield base, end - base, data
+            return
+        for k in range(first, last + 1):
+            at = k * window
+            owned = min(window, size - at)
+            piece = data[at - base : at - base + owned + overlap] if whole or k == first else self.region(extents, at, owned + overlap)[0]
+            yield at, owned, piece if len(piece) >= owned else None
 
     def close(self):
         for file in self.opened.values():
@@ -84,6 +101,27 @@ class _Files:
         self.opened = {}
 
 
+def _lists(column: pa.ListArray) -> list[list[tuple]]:
+    """A column of lists of structs as lists of tuples, without a dict for each; empty for null."""
+    own = column.values
+    rows = list(zip(*(own.field(k).to_pylist() for k in range(own.type.num_fields)), strict=True))
+    return [rows[a:b] for a, b in pairwise(column.offsets.to_pylist())]
+
+
+def _joined(spans: list[tuple], most: int) -> list[tuple]:
+    """Spans (first, last) of windows up to window ``most``, those that overlap or stand side by side as one."""
+    out = []
+    for first, last in sorted(spans):
+        last = min(last, most)
+        if first > last:
+            continue
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
 class _Windows(InputPartition):
     def __init__(self, image_id: int, path: str, size: int, first: int, count: int):
         self.image_id, self.path, self.size, self.first, self.count = image_id, path, size, first, count
@@ -191,8 +229,10 @@ class FileImages:
     windows and regions go to tasks as places, and are read there by seeking.
     """
 
-    def __init__(self, catalog: DataFrame, window: int = 16 << 20):
+    def __init__(self, catalog: DataFrame, window: int = 16 << 20, extents: DataFrame | None = None):
+        """``extents``: the catalog as a row an image (image_id, __extents in order, __size), if it is at hand."""
         self.catalog, self.window = catalog, window
+        self._grouped = extents
 
     @classmethod
     def of_paths(cls, spark: SparkSession, paths: list[str | list[str]], window: int = 16 << 20) -> FileImages:
@@ -209,7 +249,7 @@ class FileImages:
     def written(cls, images: DataFrame, window: int = 16 << 20) -> FileImages:
         """Write images (image_id, start, data: a row for each piece; null data isn't written) to the shared folder, a file for each task, and list them.
 
-        The list is stored, so tasks that ran twice leave a file that nothing names.
+        The list is stored, with one row an image, so tasks that ran twice leave a file that nothing names.
         """
         folder = shared_path(images.sparkSession, "images")
 
@@ -219,6 +259,8 @@ class FileImages:
             name, at = f"{uuid.uuid4().hex}.img", 0
             with system.open_output_stream(f"{inner}/{name}") as out:
                 for batch in batches:
+                    # null data goes here: as a filter it would make the data twice
+                    batch = batch.filter(batch.column(2).is_valid())
                     data = batch.column(2).to_pylist()
                     sizes, places = [], []
                     for piece in data:
@@ -228,37 +270,49 @@ class FileImages:
                         at += len(piece)
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([f"{folder}/{name}"] * len(sizes), pa.string()), pa.array(places, pa.int64())], names=[f.split()[0] for f in CATALOG.split(", ")])
 
-        rows = images.where("data is not null").select(F.col("image_id").cast("long"), F.col("start").cast("long"), "data")
-        return cls(checkpointed(rows.mapInArrow(write, CATALOG)), window)
+        rows = images.select(F.col("image_id").cast("long"), F.col("start").cast("long"), "data")
+        extents = stored(cls(rows.mapInArrow(write, CATALOG))._extents(), "extents")
+        return cls(extents.select("image_id", F.inline("__extents")), window, extents)
 
     def sizes(self) -> DataFrame:
         """(image_id, size_bytes), out of the catalog alone."""
+        if self._grouped is not None:
+            return self._grouped.select("image_id", F.col("__size").alias("size_bytes"))
         return self.catalog.groupBy("image_id").agg(F.max(F.col("start") + F.col("size")).alias("size_bytes"))
 
     def only(self, ids: DataFrame) -> FileImages:
         """The images of ``ids`` (image_id); the others' bytes aren't read."""
-        return FileImages(self.catalog.join(ids, "image_id", "left_semi"), self.window)
+        kept = lambda d: None if d is None else d.join(ids, "image_id", "left_semi")
+        return FileImages(kept(self.catalog), self.window, kept(self._grouped))
 
     def _extents(self) -> DataFrame:
+        if self._grouped is not None:
+            return self._grouped
         own = F.sort_array(F.collect_list(F.struct("start", "size", "path", "at")))
         return self.catalog.groupBy("image_id").agg(own.alias("__extents"), F.max(F.col("start") + F.col("size")).alias("__size"))
 
-    def chunks(self, overlap: int = 64, touching: DataFrame | None = None) -> DataFrame:
+    def chunks(self, overlap: int = 64, touching: DataFrame | None = None, joined: bool = False) -> DataFrame:
         """Windows (image_id, base_offset, owned_len, data), each with ``overlap`` bytes of the next; with ``touching`` (image_id, offset, length) only those that these touch.
 
-        A window is dealt out as a place: by number of windows, since its row says nothing of its bytes.
+        Windows side by side, of ``RUN`` bytes at most and of less where all bytes are few, go to a task as one place, and those of them that are
+        wanted are read at once; with ``joined`` they come as one row, for what doesn't look at the windows' borders.
         """
         total = self.catalog.agg(F.sum("size")).first()[0] or 0
         tasks = max(self.catalog.sparkSession.sparkContext.defaultParallelism, math.ceil(total / max(TASK, self.window)))
-        count = F.ceil(F.col("__size") / self.window)
-        rows = self._extents().where("__size > 0").withColumn("__n", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
-        if touching is not None:
-            hit = touching.where("length > 0 and offset >= 0").select("image_id", F.explode(F.sequence(F.floor(F.col("offset") / self.window), F.floor((F.col("offset") + F.col("length") - 1) / self.window))).alias("__n"))
-            rows = rows.join(hit.distinct(), ["image_id", "__n"], "left_semi")
-        base = F.col("__n") * self.window
-        owned = F.least(F.lit(self.window).cast("long"), F.col("__size") - base)
-        near = F.filter("__extents", lambda e: (e["start"] < base + owned + overlap) & (e["start"] + e["size"] > base))
-        dealt = rows.select("image_id", base.alias("base_offset"), owned.alias("owned_len"), near.alias("__extents")).repartition(tasks)
+        window, per = self.window, max(1, min(RUN, total // (8 * tasks)) // self.window)
+        last = F.floor((F.col("__size") - 1) / window)
+        rows = self._extents().where("__size > 0")
+        runs = lambda lo, hi: F.explode(F.sequence(F.floor(lo / per), F.floor(hi / per)))
+        inside = lambda lo, hi: F.struct(F.greatest(lo, F.col("__run") * per).alias("first"), F.least(hi, F.col("__run") * per + per - 1).alias("last"))
+        if touching is None:
+            rows = rows.withColumn("__run", runs(F.lit(0), last)).withColumn("__spans", F.array(inside(F.lit(0).cast("long"), last)))
+        else:
+            hit = touching.where("length > 0 and offset >= 0").select("image_id", F.floor(F.col("offset") / window).alias("__lo"), F.floor((F.col("offset") + F.col("length") - 1) / window).alias("__hi"))
+            hit = hit.withColumn("__run", runs(F.col("__lo"), F.col("__hi"))).groupBy("image_id", "__run").agg(F.collect_set(inside(F.col("__lo"), F.col("__hi"))).alias("__spans"))
+            rows = rows.join(hit, "image_id").where(F.col("__run") * (per * window) < F.col("__size"))
+        base = F.col("__run") * (per * window)
+        near = F.filter("__extents", lambda e: (e["start"] < base + per * window + overlap) & (e["start"] + e["size"] > base))
+        dealt = rows.select("image_id", "__run", "__size", "__spans", near.alias("__extents")).repartition(tasks, "image_id", "__run")
 
         def made(rows):
             columns = zip(("image_id", "base_offset", "owned_len", "data"), zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
@@ -266,13 +320,15 @@ class FileImages:
 
         def read(batches):
             files, rows, size = _Files(), [], 0
-            for row in (r for batch in batches for r in batch.to_pylist()):
-                data, _ = files.region(row["__extents"], row["base_offset"], row["owned_len"] + overlap)
-                rows.append((row["image_id"], row["base_offset"], row["owned_len"], data if len(data) >= row["owned_len"] else None))
-                size += len(data)
-                if size >= BATCH or len(rows) == 10_000:
-                    yield made(rows)
-                    rows, size = [], 0
+            for batch in batches:
+                for image, end, spans, extents in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _lists(batch.column(3)), _lists(batch.column(4)), strict=True):
+                    for first, last in _joined(spans, -(-end // window) - 1):
+                        for base, owned, data in files.windows(extents, end, window, overlap, first, last, joined):
+                            rows.append((image, base, owned, data))
+                            size += len(data or b"")
+                            if size >= BATCH or len(rows) == ROWS:
+                                yield made(rows)
+                                rows, size = [], 0
             if rows:
                 yield made(rows)
             files.close()
@@ -290,12 +346,13 @@ class FileImages:
         def read(batches):
             files = _Files()
             for batch in batches:
-                rows, found, size, first = batch.select(["offset", "__have", "__extents"]).to_pylist(), [], 0, 0
-                for k, row in enumerate(rows):
-                    data, whole = files.region(row["__extents"], row["offset"], row["__have"]) if (row["__have"] or 0) > 0 else (b"", False)
+                found, size, first = [], 0, 0
+                rows = zip(batch.column("offset").to_pylist(), batch.column("__have").to_pylist(), _lists(batch.column("__extents")), strict=True)
+                for k, (offset, have, extents) in enumerate(rows):
+                    data, whole = files.region(extents, offset, have) if (have or 0) > 0 else (b"", False)
                     found.append(data if whole else None)
                     size += len(data)
-                    if size >= BATCH or k == len(rows) - 1:
+                    if size >= BATCH or k == batch.num_rows - 1:
                         yield pa.RecordBatch.from_arrays([*batch.slice(first, len(found)).columns[: len(names)], pa.array(found, pa.binary())], names=[*names, "data"])
                         found, size, first = [], 0, k + 1
             files.close()
