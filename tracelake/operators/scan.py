@@ -20,35 +20,33 @@ from .pipeline import detection_gate
 from .timeline import MAX_GAP, timeline_gaps
 
 STATES = ("Active", "Deleted", "Orphaned", "Unindexed", "Corrupted")
-#: Bounds that cut nothing.
-ALL_BYTES, ALL_REGIONS = 1 << 62, 1 << 32
 #: Bytes of the bins in which hits meet targets.
 BIN = 1 << 16
 
 
 def place_hits(hits: DataFrame, targets: DataFrame) -> DataFrame:
-    """Hits (image_id, offset) that lie in a target, with its kind; where claimed and available ranges overlap, the claimed one counts."""
+    """Hits (image_id, offset, ...) that lie in a target, with its kind as ``target``; where claimed and available ranges overlap, the claimed one counts."""
     spread = R.with_bins(targets.select("image_id", "kind", F.col("offset").alias("__lo"), (F.col("offset") + F.col("length")).alias("__hi")), F.col("__lo"), F.col("__hi"), BIN)
     met = hits.withColumn("__bin", F.floor(F.col("offset") / BIN)).join(spread, ["image_id", "__bin"]).where("offset >= __lo and offset < __hi")
     rank = F.when(F.col("kind") == "claimed", 0).when(F.col("kind") == "available", 1).otherwise(2)
-    return met.groupBy("image_id", "offset").agg(F.min_by("kind", rank).alias("target"))
+    others = [F.first(c).alias(c) for c in hits.columns if c not in ("image_id", "offset")]
+    return met.groupBy("image_id", "offset").agg(F.min_by("kind", rank).alias("target"), *others)
 
 
-def scan_recovery(chunks: DataFrame | FileImages, images: DataFrame, records: DataFrame, scope: DataFrame, window: int, max_bytes: int = ALL_BYTES, max_regions: int = ALL_REGIONS) -> tuple[DataFrame, DataFrame]:
+def scan_recovery(chunks: DataFrame | FileImages, images: DataFrame, records: DataFrame, scope: DataFrame, window: int, max_bytes: int = V.ALL_BYTES, max_regions: int = V.ALL_REGIONS) -> tuple[DataFrame, DataFrame]:
     """(candidates, report): container frames in the bytes that the plan names, classified, and one row an image on the run.
 
     ``images``: image_id, size_bytes; ``records``: image_id, accessible, offset, length; ``scope``: the one region of an image that its index
     governs, images without one have no row. Targets with an unreadable window are skipped and counted; the run goes on. A frame with an
     unknown kind has no signature and goes; one without a valid length, trailer or back-length is Corrupted. A run that its bounds cut
-    is a REVIEW. Of files only the windows that targets touch are searched, and headers and trailers are read by seeking; a table of chunks is
-    searched whole, and its windows shuffle where headers and trailers are read.
+    is a REVIEW. Of files only the windows that targets touch are searched, headers come along with the hits, and trailers are read by seeking; a table
+    of chunks is searched whole, and its windows shuffle where headers and trailers are read.
     """
-    planned = V.budget_prefix(V.plan_recovery(records, images).drop("place"), ["image_id"], ["offset", "kind", "length"], max_bytes, max_regions)
+    planned = V.planned_targets(records, images, max_bytes, max_regions)
     source = as_images(chunks, window)
     targets = checkpointed(source.readable(planned.select("image_id", "kind", "offset", "length", "truncated")))
-    hits = place_hits(detect.find_in_images(source, b"DHAV", touching=targets.where("readable")), targets.where("readable"))
-    hits = checkpointed(hits)
-    frames = decode.tagged_frames(chunks, window, hits=hits).join(hits, ["image_id", "offset"])
+    found = detect.find_in_images(source, b"DHAV", touching=targets.where("readable"), follow=(0, decode.HEADER)).withColumnRenamed("bytes", "head")
+    frames = decode.tagged_frames(chunks, window, hits=place_hits(found, targets.where("readable")))
     governed = scope.select("image_id", F.col("offset").alias("__lo"), (F.col("offset") + F.col("length")).alias("__hi"))
     inside = F.when(F.col("__lo").isNull(), "no index").when((F.col("offset") >= F.col("__lo")) & (F.col("offset") < F.col("__hi")), "unclaimed in scope").otherwise("outside scope")
     valid = (F.col("length") > 0) & (F.col("offset") + F.col("length") <= F.col("owned_len")) & F.col("trailer_ok") & (F.col("back_length") == F.col("length"))
@@ -79,7 +77,7 @@ def recovery_decision(report_found: Column, partly: Column) -> Column:
     return F.when(report_found == 0, "not recovered").when(partly, "partially recovered").otherwise("completely recovered")
 
 
-def run_images(chunks: DataFrame | FileImages, rules: DataFrame, most: DataFrame, records: DataFrame, scope: DataFrame, window: int, overlap: int, max_gap: int = MAX_GAP, min_bytes: int = 1 << 20, max_bytes: int = ALL_BYTES) -> tuple[DataFrame, DataFrame]:
+def run_images(chunks: DataFrame | FileImages, rules: DataFrame, most: DataFrame, records: DataFrame, scope: DataFrame, window: int, overlap: int, max_gap: int = MAX_GAP, min_bytes: int = 1 << 20, max_bytes: int = V.ALL_BYTES) -> tuple[DataFrame, DataFrame]:
     """(run, candidates): the whole run over many images. A row an image: each gate's decision, counts up to there (null behind it) and the outcome.
 
     ``rules`` and ``most`` as ``evaluate_rules`` and ``vendor_scores`` take them; ``records``: what the vendors' indexes describe

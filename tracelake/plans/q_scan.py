@@ -8,7 +8,7 @@ from ..operators import digests
 from ..operators import scan as S
 from ..operators.prefix import running_sums
 from ..sources.images import FileImages, TableImages
-from .q_decode import WINDOW, filled, on_files, pack
+from .q_decode import WINDOW, dealt, filled, made, on_files, pack
 from .registry import query
 from .views import table
 
@@ -29,7 +29,7 @@ def images(spark, sf_dir):
         codes = pack(b"\0\0\1\x67\0\0\1\x68\0\0\1\x65\0\0\1\x61", filled(F.lit(48)))
         return F.when(x % 5 == 0, codes).otherwise(frame)
 
-    rows = table(spark, sf_dir, "orders").select(k.alias("image_id"), F.concat(*signs, *map(slot, range(SLOTS))).alias("data"))
+    rows = dealt(spark, sf_dir, "orders").select(k.alias("image_id"), made(F.concat(*signs, *map(slot, range(SLOTS)))).alias("data"))
     # every 13th image lacks the bytes of one window
     piece = lambda at, to: F.struct(F.lit(at).alias("start"), F.expr(f"substring(data, {at + 1}, {to - at})").alias("data"))
     size = HEAD + SLOTS * SLOT
