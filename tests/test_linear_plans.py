@@ -46,6 +46,19 @@ def test_ranges_over_many_bins(spark, seed):
     assert all(x[0] != y[0] or x[1] + x[2] < y[1] for x, y in zip(holes, holes[1:]))
 
 
+def test_merges_hold_few_rows_in_a_task(spark):
+    """However few partitions the session has, rows are dealt out over more of them, and none is held in a hash."""
+    rows = spark.createDataFrame([(k, o, 40) for k in range(3) for o in range(0, 4000, 37 + k)], SHAPE)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        for found in (ranges.merge_ranges(rows, bin_bytes=64), ranges._divided(rows, rows.where("offset < 50"), ["image_id"], 64)):
+            assert "Aggregate" not in plan(found)
+            assert found.rdd.getNumPartitions() >= ranges.PARTS > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(name)
+
+
 def test_unanimity_and_order_count_no_distinct_values(spark):
     rows = [(1, 10, "a", 5, 7, 0, 4, 1), (1, 10, "a", 6, 7, 9, 4, 2), (2, None, "a", 5, 8, 0, 4, 3), (2, 3, "b", 5, 9, 2, 4, 4), (3, None, None, None, None, 8, 1, 5), (4, 1, "a", None, 3, 9, 1, 6), (4, 1, "a", 2, 1, 0, 1, 7)]
     df = spark.createDataFrame(rows, "group_id long, channel long, state string, sequence long, ts long, offset long, length long, fragment_id long")
