@@ -59,6 +59,30 @@ def test_merges_hold_few_rows_in_a_task(spark):
         spark.conf.unset(name)
 
 
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_ranges_that_cross_bins_are_closed_once(spark, seed):
+    """What one bin opens is closed by the next bin with a new start, or by the key's last one, also if that has no start of its own."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(400), rng.choice([1, 2, 7, 8, 9, 90])) for _ in range(45)]
+    rows += [(9, 0, 100), (9, 20, 3), (9, 96, 2), (8, 0, 8), (8, 8, 8), (8, 17, 1), (7, 5, 40), (7, 44, 9), (7, 60, 1)]
+    want = []
+    for key in {r[0] for r in rows}:
+        open_, reach = None, None
+        for o, n in sorted(r[1:] for r in rows if r[0] == key):
+            if reach is None or o > reach:
+                if reach is not None:
+                    want.append((key, open_, reach - open_))
+                open_, reach = o, o + n
+            reach = max(reach, o + n)
+        want.append((key, open_, reach - open_))
+    got = [(r.image_id, r.offset, r.length) for r in ranges.merge_ranges(spark.createDataFrame(rows, SHAPE), bin_bytes=8).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    stats = {r.image_id: (r.n_ranges, r.total_bytes, r.min_offset, r.max_end) for r in ranges.range_stats(spark.createDataFrame(rows, SHAPE)).collect()}
+    for key in {r[0] for r in rows}:
+        mine = [w for w in want if w[0] == key]
+        assert stats[key] == (len(mine), sum(w[2] for w in mine), min(w[1] for w in mine), max(w[1] + w[2] for w in mine))
+
+
 def test_unanimity_and_order_count_no_distinct_values(spark):
     rows = [(1, 10, "a", 5, 7, 0, 4, 1), (1, 10, "a", 6, 7, 9, 4, 2), (2, None, "a", 5, 8, 0, 4, 3), (2, 3, "b", 5, 9, 2, 4, 4), (3, None, None, None, None, 8, 1, 5), (4, 1, "a", None, 3, 9, 1, 6), (4, 1, "a", 2, 1, 0, 1, 7)]
     df = spark.createDataFrame(rows, "group_id long, channel long, state string, sequence long, ts long, offset long, length long, fragment_id long")
