@@ -59,6 +59,18 @@ def test_merges_hold_few_rows_in_a_task(spark):
         spark.conf.unset(name)
 
 
+def test_adaptive_execution_leaves_passes_dealt_out(spark):
+    """Partitions of a pass over bins aren't put together for the cores at hand, under sums over the ranges neither."""
+    rows = spark.range(200_000).select((F.col("id") % 50).alias("image_id"), (F.col("id") * 640).alias("offset"), F.lit(320).cast("long").alias("length"))
+    merged = ranges.merge_ranges(rows)
+    assert merged.rdd.getNumPartitions() >= ranges.PARTS
+    sizes = [r["count"] for r in merged.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 20_000
+    stats = ranges.range_stats(rows)
+    assert "Rebalance" not in plan(stats) and plan(stats).count(f", {ranges.PARTS}\n") == 3
+    assert sorted(map(tuple, stats.collect())) == [(k, 4000, 4000 * 320, k * 640, (199_950 + k) * 640 + 320) for k in range(50)]
+
+
 @pytest.mark.parametrize("seed", [5, 6, 7])
 def test_ranges_that_cross_bins_are_closed_once(spark, seed):
     """What one bin opens is closed by the next bin with a new start, or by the key's last one, also if that has no start of its own."""
