@@ -72,3 +72,34 @@ def test_a_table_has_the_digests_of_its_files(spark, files):
 def test_nothing(spark):
     none = TableImages(spark.createDataFrame([], "image_id long, base_offset long, owned_len long, data binary"), 64)
     assert digests.image_digests(none).collect() == []
+
+
+def test_windows_of_an_image_shuffle_once(spark):
+    images = table(spark, 1000)
+    plan = digests.image_digests(images)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_a_window_short_of_the_next_one_ends_the_reading(spark):
+    rows = [(0, 0, 64, b"a" * 64), (0, 64, 10, b"b" * 10), (0, 128, 5, b"c" * 5), (1, 0, 0, None), (2, 64, 64, b"d" * 64), (None, 0, 3, b"abc")]
+    found = digests.image_digests(TableImages(spark.createDataFrame(rows, "image_id long, base_offset long, owned_len long, data binary"), 64))
+    got = {r.image_id: tuple(r)[1:] for r in found.collect()}
+    assert got == {0: (133, 64, None, None), 1: (0, 0, *both(b"")), 2: (128, 0, None, None), None: (3, None, None, None)}
+
+
+def test_the_list_of_images_laid_out_does_not_grow_by_the_pieces(spark):
+    """Two extents an image at most here, not one a piece: a list of pieces is what the driver can't hold."""
+    rows = [(k % 3, k, b"%d," % k if k % 7 else None if k % 2 else b"") for k in range(2000)]
+    files = FileImages.laid(spark.createDataFrame(rows, "image_id long, k long, data binary").repartition(6), ["k"], 64)
+    whole = {i: b"".join(d for j, _, d in rows if j == i and d is not None) for i in range(3)}
+    assert {r.image_id: (r.size_bytes, r.md5, r.sha256) for r in digests.image_digests(files).collect()} == {i: (len(d), *both(d)) for i, d in whole.items()}
+    assert files.catalog.count() <= 3 * 4
+    pieces = spark.createDataFrame([(1, k * 5, b"12345") for k in range(100) if k != 50], "image_id long, start long, data binary").coalesce(1)
+    assert sorted(tuple(r) for r in FileImages.written(pieces, 64).catalog.select("start", "size").collect()) == [(0, 250), (255, 245)]
+
+
+def test_lists_of_extents_are_not_broadcast(spark):
+    files = FileImages.laid(spark.createDataFrame([(0, 0, b"abc")], "image_id long, k long, data binary"), ["k"], 64)
+    regions = spark.createDataFrame([(0, "r", 0, 3)], "image_id long, region_id string, offset long, length long")
+    for found in (digests.region_digests(files, regions), files.read(regions), files.readable(regions), files.chunks(touching=regions)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

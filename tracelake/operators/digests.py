@@ -10,6 +10,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.sources.images import BATCH, FileImages, TableImages, _Files
 
@@ -44,7 +45,7 @@ def _made(rows: list[tuple]) -> pa.RecordBatch:
 def _of_files(images: FileImages, regions: DataFrame) -> DataFrame:
     lo, hi = F.col("offset"), F.col("offset") + F.col("length")
     near = F.filter("__extents", lambda e: (e["start"] < hi) & (e["start"] + e["size"] > lo))
-    placed = regions.join(images._extents(), "image_id", "left").select("image_id", "region_id", "offset", "length", F.coalesce(near, F.array()).alias("__extents"))
+    placed = images._met(regions, "left").select("image_id", "region_id", "offset", "length", F.coalesce(near, F.array()).alias("__extents"))
 
     def read(batches):
         files = _Files()
@@ -93,6 +94,55 @@ def _of_table(images: TableImages, regions: DataFrame) -> DataFrame:
     return rows.mapInArrow(fold, DIGESTS)
 
 
+def _of_windows(images: TableImages) -> DataFrame:
+    """Of whole images; sizes are found along the way, so windows are read once."""
+    window = images.window
+    own = F.least(F.col("owned_len"), F.lit(window)).cast("int")
+    rows = images.rows.select("image_id", F.floor(F.col("base_offset") / window).alias("__n"), (F.col("base_offset") + F.col("owned_len")).alias("__end"), own.alias("__own"), F.substring("data", F.lit(1), own).alias("data"))
+    rows = rows.repartition("image_id").sortWithinPartitions("image_id", "__n")
+    names = ("size_bytes", "read_bytes", "md5", "sha256")
+
+    def fold(batches):
+        found, size, at, short = None, None, -1, 0
+
+        def done():
+            if size is None or found.key[0] is None:
+                return (*found.key, size, None, None, None)
+            image, *rest = (found if size > 0 else _Running(found.key)).row(size)
+            return (image, size, *rest)
+
+        for batch in batches:
+            kind, rows = batch.column(0).type, []
+            for k, (image, n, end, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if found is None or found.key != (image,):
+                    if found is not None:
+                        rows.append(done())
+                    found, size, at, short = _Running((image,)), None, -1, 0
+                size = end if size is None else size if end is None else max(size, end)
+                # a window given twice counts once
+                if n is None or n == at:
+                    continue
+                if n != at + 1 or short:
+                    # a window is missing, or the last one ended short of this one
+                    found.whole, found.read, short = False, found.read - short, 0
+                at = n
+                data = batch.column(4)[k]
+                found.take(data.as_buffer() if data.is_valid else None, own)
+                if found.whole and own < window:
+                    short = own
+            if rows:
+                yield listed(kind, rows)
+        if found is not None:
+            yield listed(kind, [done()])
+
+    def listed(kind, rows):
+        kinds = (kind, pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["image_id", *names])
+
+    kinds = zip(names, (T.LongType(), T.LongType(), T.StringType(), T.StringType()), strict=True)
+    return rows.mapInArrow(fold, T.StructType([rows.schema["image_id"], *(T.StructField(n, t) for n, t in kinds)]))
+
+
 def region_digests(images: TableImages | FileImages, regions: DataFrame) -> DataFrame:
     """(image_id, region_id as text, read_bytes, md5, sha256) of ``regions`` (image_id, region_id, offset, length), in lower-case hex.
 
@@ -105,7 +155,9 @@ def region_digests(images: TableImages | FileImages, regions: DataFrame) -> Data
 
 
 def image_digests(images: TableImages | FileImages) -> DataFrame:
-    """(image_id, size_bytes, read_bytes, md5, sha256) of whole images."""
+    """(image_id, size_bytes, read_bytes, md5, sha256) of whole images. Windows of a table shuffle once, to their image."""
+    if isinstance(images, TableImages):
+        return _of_windows(images)
     whole = images.sizes().select("image_id", F.lit("").alias("region_id"), F.lit(0).cast("long").alias("offset"), F.col("size_bytes").alias("length"))
     return images.sizes().join(region_digests(images, whole).drop("region_id"), "image_id", "left")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import digests
 from ..operators import scan as S
-from ..operators.prefix import running_sums
 from ..sources.images import FileImages, TableImages
 from .q_decode import WINDOW, dealt, filled, made, on_files, pack
 from .registry import query
@@ -107,8 +106,7 @@ SELECT image_id, size_bytes, md5_again, sha256_again, CASE WHEN image_id % 7 = 0
 def d15_images(spark, sf_dir):
     """Documents one behind the other as images in files: digests of their windows as acquired, some damaged or lost since, against a second pass that seeks."""
     own = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("image_id"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    laid = running_sums(own, ["image_id"], ["doc_id"], {"end": F.octet_length("data")})
-    files = FileImages.written(laid.where("length(data) > 0").select("image_id", (F.col("end") - F.octet_length("data")).alias("start"), "data"), 1 << 20)
+    files = FileImages.laid(own.where("length(data) > 0"), ["doc_id"], 1 << 20)
     first = digests.image_digests(TableImages(files.chunks(64), files.window))
     acquired = first.select("image_id", F.when(F.col("image_id") % 7 == 0, F.md5(F.lit(""))).when(F.col("image_id") % 11 != 0, F.upper("md5")).alias("md5"), "sha256")
     return digests.verify_images(acquired, files).select("image_id", "size_bytes", "md5_again", "sha256_again", "verdict")

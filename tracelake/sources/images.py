@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.window import Window
 
 from .scratch import shared_path, stored
 
@@ -222,6 +223,39 @@ class TableImages:
         return touched.join(there, ["image_id", "__n"], "left").groupBy(*targets.columns).agg(F.bool_and(F.coalesce("__there", F.lit(False))).alias("readable"))
 
 
+def _write(folder: str, batches):
+    """Write rows (image_id, start, data, perhaps the number of the task's part) to a new file in ``folder`` and list them; rows that follow each other in their image make one extent."""
+    system, inner = _file_system(folder)
+    system.create_dir(inner, recursive=True)
+    name, at = f"{uuid.uuid4().hex}.img", 0
+    path = f"{folder}/{name}"
+    # of the extents listed the last one may still grow
+    listed: list[list] = []
+
+    def made(rows: list[list]) -> pa.RecordBatch:
+        names = [f.split()[0] for f in CATALOG.split(", ")] + ["part"] * (len(rows[0]) - 5)
+        return pa.RecordBatch.from_pydict({n: pa.array(v, pa.string() if n == "path" else pa.int64()) for n, v in zip(names, zip(*rows, strict=True), strict=True)})
+
+    with system.open_output_stream(f"{inner}/{name}") as out:
+        for batch in batches:
+            # null data goes here: as a filter it would make the data twice
+            batch = batch.filter(batch.column(2).is_valid())
+            parts = zip(*(batch.column(k).to_pylist() for k in range(3, batch.num_columns)), strict=True) if batch.num_columns > 3 else [()] * batch.num_rows
+            for image, start, data, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), parts, strict=True):
+                out.write(data)
+                last = listed[-1] if listed else None
+                if last is not None and last[0] == image and start == (None if last[1] is None else last[1] + last[2]):
+                    last[2] += len(data)
+                else:
+                    listed.append([image, start, len(data), path, at, *part])
+                at += len(data)
+            if len(listed) > 1:
+                yield made(listed[:-1])
+                del listed[:-1]
+        if listed:
+            yield made(listed)
+
+
 class FileImages:
     """Images as extents in files: ``catalog`` (image_id, start and size in the image, path, at: place in the file), a row for each piece of an image.
 
@@ -249,29 +283,31 @@ class FileImages:
     def written(cls, images: DataFrame, window: int = 16 << 20) -> FileImages:
         """Write images (image_id, start, data: a row for each piece; null data isn't written) to the shared folder, a file for each task, and list them.
 
-        The list is stored, with one row an image, so tasks that ran twice leave a file that nothing names.
+        The list is stored, with one row an image, so tasks that ran twice leave a file that nothing names. Pieces that follow each other in their
+        image and in a task's rows are one extent.
         """
         folder = shared_path(images.sparkSession, "images")
+        rows = images.select(F.col("image_id").cast("long"), F.col("start").cast("long"), "data")
+        return cls._listed(rows.mapInArrow(lambda batches: _write(folder, batches), CATALOG), window)
 
-        def write(batches):
-            system, inner = _file_system(folder)
-            system.create_dir(inner, recursive=True)
-            name, at = f"{uuid.uuid4().hex}.img", 0
-            with system.open_output_stream(f"{inner}/{name}") as out:
-                for batch in batches:
-                    # null data goes here: as a filter it would make the data twice
-                    batch = batch.filter(batch.column(2).is_valid())
-                    data = batch.column(2).to_pylist()
-                    sizes, places = [], []
-                    for piece in data:
-                        out.write(piece)
-                        sizes.append(len(piece))
-                        places.append(at)
-                        at += len(piece)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([f"{folder}/{name}"] * len(sizes), pa.string()), pa.array(places, pa.int64())], names=[f.split()[0] for f in CATALOG.split(", ")])
+    @classmethod
+    def laid(cls, pieces: DataFrame, order: list[str], window: int = 16 << 20) -> FileImages:
+        """Write pieces (image_id, data and the columns of ``order``, a full one) as images in which they stand one behind the other; null data isn't written.
 
-        rows = images.select(F.col("image_id").cast("long"), F.col("start").cast("long"), "data")
-        extents = stored(cls(rows.mapInArrow(write, CATALOG))._extents(), "extents")
+        Bytes shuffle once, by ranges of images and ``order``. Every task writes what it has of an image as one extent, so places come from the
+        sizes of a few extents and the list of them doesn't grow by the pieces.
+        """
+        folder = shared_path(pieces.sparkSession, "images")
+        # no place is known yet: within a task null places follow each other
+        rows = pieces.repartitionByRange("image_id", *order).sortWithinPartitions("image_id", *order)
+        rows = rows.select(F.col("image_id").cast("long"), F.lit(None).cast("long").alias("start"), "data", F.spark_partition_id().cast("long").alias("part"))
+        parts = rows.mapInArrow(lambda batches: _write(folder, batches), f"{CATALOG}, part long")
+        ahead = Window.partitionBy("image_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        return cls._listed(parts.withColumn("start", F.coalesce(F.sum("size").over(ahead), F.lit(0).cast("long"))).drop("part"), window)
+
+    @classmethod
+    def _listed(cls, catalog: DataFrame, window: int) -> FileImages:
+        extents = stored(cls(catalog)._extents(), "extents")
         return cls(extents.select("image_id", F.inline("__extents")), window, extents)
 
     def sizes(self) -> DataFrame:
@@ -285,6 +321,10 @@ class FileImages:
         kept = lambda d: None if d is None else d.join(ids, "image_id", "left_semi")
         return FileImages(kept(self.catalog), self.window, kept(self._grouped))
 
+    def _met(self, rows: DataFrame, how: str) -> DataFrame:
+        """``rows`` joined with their image's extents, which are never broadcast: in memory a list of them is many times as large as its file."""
+        return rows.join(self._extents().hint("merge"), "image_id", how)
+
     def _extents(self) -> DataFrame:
         if self._grouped is not None:
             return self._grouped
@@ -309,7 +349,7 @@ class FileImages:
         else:
             hit = touching.where("length > 0 and offset >= 0").select("image_id", F.floor(F.col("offset") / window).alias("__lo"), F.floor((F.col("offset") + F.col("length") - 1) / window).alias("__hi"))
             hit = hit.withColumn("__run", runs(F.col("__lo"), F.col("__hi"))).groupBy("image_id", "__run").agg(F.collect_set(inside(F.col("__lo"), F.col("__hi"))).alias("__spans"))
-            rows = rows.join(hit, "image_id").where(F.col("__run") * (per * window) < F.col("__size"))
+            rows = self._met(hit, "inner").where("__size > 0").where(F.col("__run") * (per * window) < F.col("__size"))
         base = F.col("__run") * (per * window)
         near = F.filter("__extents", lambda e: (e["start"] < base + per * window + overlap) & (e["start"] + e["size"] > base))
         dealt = rows.select("image_id", "__run", "__size", "__spans", near.alias("__extents")).repartition(tasks, "image_id", "__run")
@@ -339,7 +379,7 @@ class FileImages:
         """Regions (image_id, offset, length, ...) with their bytes: short at the image's end, null beyond it or where a byte can't be read."""
         names = regions.columns
         lo, hi = F.col("offset"), F.least(F.col("offset") + F.col("length"), F.col("__size"))
-        placed = regions.join(self._extents(), "image_id", "left").withColumn("__have", F.when((F.col("length") > 0) & (lo >= 0) & F.col("__size").isNotNull(), hi - lo))
+        placed = self._met(regions, "left").withColumn("__have", F.when((F.col("length") > 0) & (lo >= 0) & F.col("__size").isNotNull(), hi - lo))
         near = F.filter("__extents", lambda e: (e["start"] < hi) & (e["start"] + e["size"] > lo))
         placed = placed.select(*names, "__have", near.alias("__extents"))
 
@@ -367,7 +407,7 @@ class FileImages:
         # how far the extents reach without a hole, from where the target begins on
         reach = F.aggregate("__extents", lo, lambda at, e: F.when((e["start"] <= at) & (e["start"] + e["size"] > at), e["start"] + e["size"]).otherwise(at))
         inside = F.col("offset") + F.col("length") <= F.ceil(F.col("__size") / window) * window
-        rows = targets.where("length > 0").join(self._extents(), "image_id", "left")
+        rows = self._met(targets.where("length > 0"), "left")
         return rows.select(*targets.columns, F.coalesce((reach >= hi) & inside, F.lit(False)).alias("readable")).distinct()
 
 
