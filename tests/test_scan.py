@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tracelake.operators import decode, scan
+from tracelake.operators import decode, detect, scan
 
 CHUNKS = "image_id long, base_offset long, owned_len long, data binary"
 RECORDS = "image_id long, offset long, length long, accessible boolean"
@@ -93,3 +94,23 @@ def test_empty(spark):
     none = spark.createDataFrame([], CHUNKS)
     found, report = scan.scan_recovery(none, decode.image_sizes(none), spark.createDataFrame([], RECORDS), spark.createDataFrame([], "image_id long, offset long, length long"), 64)
     assert found.count() == 0 and report.count() == 0
+
+
+def test_hits_are_grouped_where_they_met_their_targets(spark):
+    hits = spark.createDataFrame([(0, 10, b"a"), (0, 99, b"b"), (0, 70_000, b"c")], "image_id long, offset long, head binary")
+    targets = spark.createDataFrame([(0, "available", 0, 90_000), (0, "claimed", 5, 10), (1, "claimed", 0, 10)], "image_id long, kind string, offset long, length long")
+    found = scan.place_hits(hits, targets.hint("merge"))
+    assert sorted(tuple(r) for r in found.select("image_id", "offset", "target", F.hex("head")).collect()) == [(0, 10, "claimed", "61"), (0, 99, "available", "62"), (0, 70_000, "available", "63")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+
+
+def test_many_rules_are_met_without_lists(spark):
+    """Rules beyond the bits of one long, met in several windows of an image."""
+    rules = [("v", f"r{k}", b"%03d" % k, "exact", k * 3, None, 1, "validated", 1.0, False) for k in range(130)]
+    rules = spark.createDataFrame(rules, "vendor string, rule string, pattern binary, kind string, at long, stop long, step long, state string, weight double, exclusive boolean")
+    data = {0: b"".join(b"%03d" % k if k % 5 else b"---" for k in range(130)), 1: b"000"}
+    chunks = spark.createDataFrame([(i, at, min(64, len(d) - at), bytearray(d[at : at + 72])) for i, d in data.items() for at in range(0, len(d), 64)], "image_id long, base_offset long, owned_len long, data binary")
+    found = detect.evaluate_rules(chunks, rules, 64, 8)
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.image_id, int(r.rule[1:])): r.match_status for r in found.collect()}
+    assert got == {(i, k): "absent" if i and k else "match" if i or k % 5 else "mismatch" for i in data for k in range(130)}

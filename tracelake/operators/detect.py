@@ -89,33 +89,37 @@ def evaluate_rules(chunks: DataFrame | FileImages, rules: DataFrame, window: int
         whole = F.concat(F.substring("data", F.lit(1), F.col("owned_len").cast("int")), F.coalesce("__tail", F.lit(b"")))
         rows = rows.withColumn("__n", number).join(tails, ["image_id", "__n"], "left").select("image_id", "base_offset", "owned_len", whole.alias("data"))
     touched = F.col("base_offset") <= max((x[3] for x in looked), default=-1)
+    # rules met as bits of longs, which are hashed where lists would be sorted
+    masks = [f"met_{j}" for j in range(max(1, -(-len(table) // 63)))]
 
     def search(batches):
         for batch in batches:
-            images, ends, met = [], [], []
+            images, ends, met = [], [], [[] for _ in masks]
             for image, base, owned, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = []
+                own = [0] * len(masks)
                 for k, pattern, first, last, step in looked if data is not None else ():
                     stop = min(last, base + owned - 1) - base + len(pattern)
                     at = data.find(pattern, max(first, base) - base, stop) if last >= base else -1
                     while at >= 0 and (base + at - first) % step:
                         at = data.find(pattern, at + 1, stop)
                     if at >= 0:
-                        own.append(k)
+                        own[k // 63] |= 1 << k % 63
                 images.append(image)
                 ends.append(None if owned is None else base + owned)
-                met.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(images, pa.int64()), pa.array(ends, pa.int64()), pa.array(met, pa.list_(pa.int32()))], names=["image_id", "end", "met"])
+                for column, bits in zip(met, own, strict=True):
+                    column.append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()) for values in (images, ends, *met)], names=["image_id", "end", *masks])
 
-    found = rows.select(F.col("image_id").cast("long"), "base_offset", F.col("owned_len").cast("long"), F.when(touched, F.col("data")).alias("data")).mapInArrow(search, "image_id long, end long, met array<int>")
+    found = rows.select(F.col("image_id").cast("long"), "base_offset", F.col("owned_len").cast("long"), F.when(touched, F.col("data")).alias("data")).mapInArrow(search, "image_id long, end long" + "".join(f", {m} long" for m in masks))
     if sizes is not None:
-        found = found.unionByName(sizes.select(F.col("image_id").cast("long"), F.col("size_bytes").cast("long").alias("end"), F.array().cast("array<int>").alias("met")))
-    images = found.groupBy("image_id").agg(F.max("end").alias("size"), F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+        found = found.unionByName(sizes.select(F.col("image_id").cast("long"), F.col("size_bytes").cast("long").alias("end"), *[F.lit(0).cast("long").alias(m) for m in masks]))
+    images = found.groupBy("image_id").agg(F.max("end").alias("size"), F.array(*[F.bit_or(m) for m in masks]).alias("met"))
     kinds = {f.name: f.dataType for f in rules.schema}
     given = lambda r, c: F.lit(r[c]).cast(kinds[c]).alias(c)
     listed = [F.struct(F.lit(k).alias("k"), F.lit(None if r["pattern"] is None or r["at"] is None else r["at"] + len(r["pattern"])).cast("long").alias("least"), *[given(r, c) for c in ("vendor", "rule", "state", "weight", "exclusive")]) for k, r in enumerate(table)]
     each = images.select("image_id", "size", "met", F.explode(F.array(*listed)).alias("r")) if listed else images.join(rules.limit(0).select(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("least"), "vendor", "rule", "state", "weight", "exclusive").alias("r")), F.lit(False))
-    status = F.when(F.array_contains("met", F.col("r.k")), "match").when(F.col("size") < F.col("r.least"), "absent").otherwise("mismatch")
+    bits = F.element_at("met", F.floor(F.col("r.k") / 63).cast("int") + 1)
+    status = F.when(F.getbit(bits, F.col("r.k") % 63) == 1, "match").when(F.col("size") < F.col("r.least"), "absent").otherwise("mismatch")
     return each.select("image_id", "r.vendor", "r.rule", status.alias("match_status"), "r.state", "r.weight", "r.exclusive")
 
 

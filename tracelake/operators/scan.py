@@ -30,7 +30,8 @@ def place_hits(hits: DataFrame, targets: DataFrame) -> DataFrame:
     met = hits.withColumn("__bin", F.floor(F.col("offset") / BIN)).join(spread, ["image_id", "__bin"]).where("offset >= __lo and offset < __hi")
     rank = F.when(F.col("kind") == "claimed", 0).when(F.col("kind") == "available", 1).otherwise(2)
     others = [F.first(c).alias(c) for c in hits.columns if c not in ("image_id", "offset")]
-    return met.groupBy("image_id", "offset").agg(F.min_by("kind", rank).alias("target"), *others)
+    # a hit has one bin, so hits are grouped where the join has put them
+    return met.groupBy("image_id", "__bin", "offset").agg(F.min_by("kind", rank).alias("target"), *others).drop("__bin")
 
 
 def scan_recovery(chunks: DataFrame | FileImages, images: DataFrame, records: DataFrame, scope: DataFrame, window: int, max_bytes: int = V.ALL_BYTES, max_regions: int = V.ALL_REGIONS) -> tuple[DataFrame, DataFrame]:
