@@ -124,3 +124,26 @@ def test_fields_hold_their_numbers(spark):
     spark.createDataFrame([(1_200_000, 7)], "p_partkey long, p_size int").write.parquet(os.path.join(folder, "part.parquet"))
     (row,) = __spark_entry__.queries()["p10_le_fields"](spark, folder).collect()
     assert row.i32 == 1_200_000 * 40503 - 5000000 and row.u48 == 1_200_000 * 1000003 and row.beyond is None
+
+
+def test_holes_and_divided_ranges_take_three_exchanges(spark):
+    """Neither merges what it takes first, and universes come along with the passes, so no row meets them in a join."""
+    rows = spark.createDataFrame([(1, 0, 5)], SHAPE)
+    records = rows.withColumn("accessible", F.lit(True))
+    claims = ranges.claim_map(records, rows)
+    for found, n in ((ranges.complement_ranges(rows, rows), 3), (ranges.subtract_ranges(rows, rows), 3), (claims, 6), (ranges.split_by_scope(claims.where("kind = 'unclaimed'"), rows), 6)):
+        assert plan(found).count("RepartitionByExpression") == n and "Join" not in plan(found)
+
+
+def test_universes_of_other_keys(spark):
+    """Keys without ranges, without a universe, null keys, universes that begin behind all ranges or end ahead of them; sides that overlap themselves."""
+    rows = spark.createDataFrame([(1, 0, 30), (1, 20, 30), (2, 5, 5), (3, 100, 10), (4, 7, 1), (None, 1, 5)], SHAPE)
+    universe = spark.createDataFrame([(1, 10, 100), (3, 0, 50), (4, 20, 10), (5, 3, 4), (6, 9, 0), (None, 0, 9)], SHAPE)
+    holes = sorted(map(tuple, ranges.complement_ranges(rows, universe, bin_bytes=8).collect()), key=str)
+    assert holes == [(1, 50, 60), (3, 0, 50), (4, 20, 10), (5, 3, 4), (None, 0, 9)]
+    known = rows.withColumn("accessible", F.col("offset") != 20)
+    got = sorted(map(tuple, ranges.claim_map(known, universe).collect()), key=str)
+    assert got == sorted([(1, "claimed", 10, 20), (1, "available", 20, 30), *[(k, "unclaimed", o, n) for k, o, n in holes]], key=str)
+    cut = spark.createDataFrame([(1, 8, 8), (1, 12, 10), (1, 12, 10), (2, 0, 6)], SHAPE)
+    parts = sorted((r.image_id or 0, r.inside, r.offset, r.length) for r in ranges._divided(rows, cut, ["image_id"], 8).collect())
+    assert parts == [(0, False, 1, 5), (1, False, 0, 8), (1, False, 22, 28), (1, True, 8, 14), (2, False, 6, 4), (2, True, 5, 1), (3, False, 100, 10), (4, False, 7, 1)]
