@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import fields
-from tracelake.operators import ranges, recovery
+from tracelake.operators import pipeline, ranges, recovery
 
 SHAPE = "image_id long, offset long, length long"
 
@@ -131,7 +131,7 @@ def test_holes_and_divided_ranges_take_three_exchanges(spark):
     rows = spark.createDataFrame([(1, 0, 5)], SHAPE)
     records = rows.withColumn("accessible", F.lit(True))
     claims = ranges.claim_map(records, rows)
-    for found, n in ((ranges.complement_ranges(rows, rows), 3), (ranges.subtract_ranges(rows, rows), 3), (claims, 6), (ranges.split_by_scope(claims.where("kind = 'unclaimed'"), rows), 6)):
+    for found, n in ((ranges.complement_ranges(rows, rows), 3), (ranges.subtract_ranges(rows, rows), 3), (claims, 3), (ranges.split_by_scope(claims.where("kind = 'unclaimed'"), rows), 6)):
         assert plan(found).count("RepartitionByExpression") == n and "Join" not in plan(found)
 
 
@@ -147,3 +147,43 @@ def test_universes_of_other_keys(spark):
     cut = spark.createDataFrame([(1, 8, 8), (1, 12, 10), (1, 12, 10), (2, 0, 6)], SHAPE)
     parts = sorted((r.image_id or 0, r.inside, r.offset, r.length) for r in ranges._divided(rows, cut, ["image_id"], 8).collect())
     assert parts == [(0, False, 1, 5), (1, False, 0, 8), (1, False, 22, 28), (1, True, 8, 14), (2, False, 6, 4), (2, True, 5, 1), (3, False, 100, 10), (4, False, 7, 1)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_claims_and_what_is_left(spark, seed):
+    """Both kinds and what neither claims, over many bins, against bytes one by one."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(4), rng.random() < 0.5, rng.randrange(500), rng.choice([1, 3, 7, 8, 9, 60])) for _ in range(60)]
+    limits = {0: (20, 450), 1: (0, 900), 2: (300, 10), 5: (3, 40)}
+    records = spark.createDataFrame(rows, "image_id long, accessible boolean, offset long, length long")
+    universe = spark.createDataFrame([(k, *v) for k, v in limits.items()], SHAPE)
+    got = [tuple(r) for r in ranges.claim_map(records, universe, bin_bytes=8).collect()]
+    cells = {(i, p) for i, (o, n) in limits.items() for p in range(o, o + n)}
+    held = {a: {(i, p) for i, x, o, n in rows if x == a for p in range(o, o + n)} & cells for a in (True, False)}
+    for kind, want in (("claimed", held[True]), ("available", held[False]), ("unclaimed", cells - held[True] - held[False])):
+        mine = sorted((i, o, n) for i, k, o, n in got if k == kind)
+        assert {(i, p) for i, o, n in mine for p in range(o, o + n)} == want and sum(r[2] for r in mine) == len(want)
+        assert all(x[0] != y[0] or x[1] + x[2] < y[1] for x, y in zip(mine, mine[1:]))
+
+
+def test_budgets_need_no_join(spark):
+    """Keys are told of their cut among their own rows; a negative length, behind which bounds may hold again, still ends at the first break."""
+    rows = [(i, k, 10) for i, n in ((1, 30), (2, 3), (None, 12)) for k in range(n)]
+    found = recovery.budget_prefix(spark.createDataFrame(rows, SHAPE).repartition(3), ["image_id"], ["offset"], 80, 100)
+    assert "Join" not in plan(found) and found.columns == ["image_id", "offset", "length", "bytes_upto", "place", "truncated"]
+    assert sorted((r.image_id or 0, r.bytes_upto, r.place, r.truncated) for r in found.collect()) == [(0, 10 * k, k, True) for k in range(1, 9)] + [(1, 10 * k, k, True) for k in range(1, 9)] + [(2, 10 * k, k, False) for k in range(1, 4)]
+    odd = [(1, 0, 50), (1, 1, 40), (1, 2, -60), (1, 3, 5), (2, 0, None), (2, 1, 7)]
+    got = recovery.budget_prefix(spark.createDataFrame(odd, SHAPE), ["image_id"], ["offset"], 80, 100).collect()
+    assert sorted((r.image_id, r.place, r.bytes_upto, r.truncated) for r in got) == [(1, 1, 50, True), (2, 1, None, False), (2, 2, 7, False)]
+
+
+def test_targets_are_planned_in_one_go(spark):
+    """Probes and sweeps come out of one reading of the claims, and findings go to their bins as they are."""
+    records = spark.createDataFrame([(1, True, 100, 600), (1, False, 650, 20)], "image_id long, accessible boolean, offset long, length long")
+    planned = recovery.plan_recovery(records, spark.createDataFrame([(1, 2000)], "image_id long, size_bytes long"), 200, 500)
+    assert leaves(planned) == 2
+    assert [tuple(r)[:4] for r in planned.orderBy("place").select("kind", "offset", "length", "place").collect()] == [("unclaimed", 0, 100, 1), ("claimed", 100, 200, 2), ("available", 650, 20, 3), ("unclaimed", 700, 500, 4), ("unclaimed", 1200, 500, 5), ("unclaimed", 1700, 300, 6)]
+    shape = "image_id long, region_id long, offset long, claim string, allocation string, present boolean, signature boolean, valid boolean"
+    findings = spark.createDataFrame([(1, 7, 150, "indexed", "free", True, True, True)] * 3 + [(1, 8, 1999, "no index", "allocated", True, True, False), (1, 9, 1999, "indexed", "free", False, True, True)], shape)
+    (row,) = pipeline.run_recovery(records, spark.createDataFrame([(1, 2000)], "image_id long, size_bytes long"), findings, recovery.ALL_BYTES, recovery.ALL_REGIONS).collect()
+    assert (row.n_candidates, row.n_deleted, row.n_corrupted, row.n_active) == (2, 1, 1, 0)
