@@ -21,3 +21,16 @@ def test_nothing_is_cut(spark):
     assert QUERIES["a12_reassemble_whole"](spark, SF_DIR).where("truncated").count() == 0
     assert QUERIES["d08_run_recovery_whole"](spark, SF_DIR).where("truncated").count() == 0
     assert QUERIES["d10_basis_inventory_whole"](spark, SF_DIR).where("rank > n_all").count() == 0
+
+
+def test_findings_of_a_whole_run_shuffle_once(spark):
+    """Line items go to the bins of their targets as they are; they are neither dealt out nor grouped ahead of that, and told apart there."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, -1)
+    try:
+        found = QUERIES["d08_run_recovery_whole"](spark, SF_DIR)
+        # findings, targets by bin, targets by image, candidates by image
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+    finally:
+        spark.conf.set(name, before)
